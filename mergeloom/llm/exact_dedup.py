@@ -25,8 +25,11 @@ from mergeloom.llm.common import materialize, with_small_side, work_folder
 
 #: The characters that normalisation deletes.
 DELETED = " \t\n\x0b\x0c\r"
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+#: Settings while the stream runs: state on disk, without space set aside for each of many small stores.
+STATE_SETTINGS = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 
 
 def normalized(text: Column) -> Column:
@@ -47,8 +50,9 @@ def stream_groups(keyed: DataFrame, label: str, bytes_per_batch: int) -> DataFra
     spark = keyed.sparkSession
     source, log = work_folder(spark, f"{label}-staged"), work_folder(spark, f"{label}-log")
     keyed.write.parquet(source)
-    before = spark.conf.get(PROVIDER, None)
-    spark.conf.set(PROVIDER, ROCKSDB)
+    before = {k: spark.conf.get(k, None) for k in STATE_SETTINGS}
+    for k, v in STATE_SETTINGS.items():
+        spark.conf.set(k, v)
     try:
         # max() over structs: larger n_chars first, then the smaller id and row_id by negation
         state = (
@@ -70,7 +74,8 @@ def stream_groups(keyed: DataFrame, label: str, bytes_per_batch: int) -> DataFra
             .awaitTermination()
         )
     finally:
-        spark.conf.unset(PROVIDER) if before is None else spark.conf.set(PROVIDER, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in state.schema) + ", batch bigint"
     updates = spark.read.schema(kinds).option("basePath", log).parquet(log) if _any_batch(spark, log) else spark.createDataFrame([], kinds)
     last = updates.groupBy("digest").agg(F.max_by(F.struct("group_size", "best"), "batch").alias("s"))
