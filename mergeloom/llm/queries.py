@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from mergeloom.llm.common import bucket_of_id
 from mergeloom.llm.exact_dedup import exact_dedup
+from mergeloom.llm.language import identify_language, labelled_rows, learn_languages
 from mergeloom.llm.licenses import license_scan
 from mergeloom.llm.packing import best_fit_packing
 
@@ -15,6 +17,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = documents(spark, sf_dir), bucket_of_id("doc_id", 4) == 2
+    model = learn_languages(labelled_rows(docs, ~held_out))
+    return identify_language(docs, model).withColumn("held_out", held_out)
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir))
 
@@ -46,6 +54,7 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS te
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_language_id": op2_language_id,
         "op3_exact_dedup": op3_exact_dedup,
         "op7_license_scan": op7_license_scan,
         "op9_best_fit_packing": op9_best_fit_packing,
