@@ -11,6 +11,7 @@ from mergeloom.llm.exact_dedup import exact_dedup
 from mergeloom.llm.language import identify_language, labelled_rows, learn_languages
 from mergeloom.llm.licenses import license_scan
 from mergeloom.llm.packing import best_fit_packing
+from mergeloom.llm.toxicity import learn_toxicity, score_toxicity
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +28,12 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = documents(spark, sf_dir), bucket_of_id("doc_id", 5) == 0
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~held_out)
+    return score_toxicity(docs, learn_toxicity(docs, labels)).withColumn("held_out", held_out)
+
+
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(documents(spark, sf_dir)).drop("spans")
 
@@ -56,6 +63,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_language_id": op2_language_id,
         "op3_exact_dedup": op3_exact_dedup,
+        "op6_toxicity": op6_toxicity,
         "op7_license_scan": op7_license_scan,
         "op9_best_fit_packing": op9_best_fit_packing,
     }

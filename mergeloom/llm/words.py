@@ -91,6 +91,40 @@ def hash_words(words: Words) -> np.ndarray:
         return mixed((sums[words.ends] - sums[words.starts]) * down[words.starts] + (words.ends - words.starts).astype(np.uint64))
 
 
+def shingles(hashes: np.ndarray, counts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of each text's runs of `size` words, text by text, and how many each text has.
+
+    A text of fewer words, one at least, has its whole sequence as its only run.
+    """
+    ends = np.cumsum(counts)
+    runs = np.where(counts >= size, counts - size + 1, np.minimum(counts, 1))
+    total = int(runs.sum())
+    starts = np.repeat(ends - counts - (np.cumsum(runs) - runs), runs) + np.arange(total)
+    last = np.repeat(ends, runs)
+    padded = np.r_[hashes, np.zeros(size, np.uint64)]
+    with np.errstate(over="ignore"):
+        value = np.repeat(np.minimum(counts, size), runs).astype(np.uint64)
+        for k in range(size):
+            here = starts + k
+            value = value * np.uint64(MULTIPLIER) + np.where(here < last, padded[here], np.uint64(0))
+        return mixed(value), runs
+
+
+def minima(values: np.ndarray, counts: np.ndarray, hashes: int, seed: int = 1) -> np.ndarray:
+    """The least value of each universal hash a * x + b over each text's values; all ones where it has none."""
+    rng = np.random.default_rng(seed)
+    a = rng.integers(0, 1 << 63, hashes, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    b = rng.integers(0, 1 << 63, hashes, dtype=np.uint64)
+    out = np.full((len(counts), hashes), np.iinfo(np.uint64).max, np.uint64)
+    ends = np.cumsum(counts)
+    with np.errstate(over="ignore"):
+        for k, (begin, end) in enumerate(zip((ends - counts).tolist(), ends.tolist(), strict=True)):
+            for at in range(begin, end, 1024):
+                part = values[at : min(end, at + 1024)]
+                np.minimum(out[k], (a[:, None] * part[None, :] + b[:, None]).min(axis=1), out=out[k])
+    return out
+
+
 def row_slices(texts: pa.Array, most: int = 4 << 20) -> Iterator[tuple[int, int]]:
     """Row ranges whose texts hold about `most` bytes together, one row at least."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
