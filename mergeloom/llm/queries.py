@@ -10,6 +10,7 @@ from mergeloom.llm.common import bucket_of_id
 from mergeloom.llm.exact_dedup import exact_dedup
 from mergeloom.llm.language import identify_language, labelled_rows, learn_languages
 from mergeloom.llm.licenses import license_scan
+from mergeloom.llm.near_dedup import minhash_components
 from mergeloom.llm.packing import best_fit_packing
 from mergeloom.llm.toxicity import learn_toxicity, score_toxicity
 
@@ -28,6 +29,10 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir))
 
 
+def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_components(documents(spark, sf_dir), shingle_words=3, percent=85)
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held_out = documents(spark, sf_dir), bucket_of_id("doc_id", 5) == 0
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~held_out)
@@ -63,6 +68,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_language_id": op2_language_id,
         "op3_exact_dedup": op3_exact_dedup,
+        "op4_minhash_near_dedup": op4_minhash_near_dedup,
         "op6_toxicity": op6_toxicity,
         "op7_license_scan": op7_license_scan,
         "op9_best_fit_packing": op9_best_fit_packing,
