@@ -52,4 +52,4 @@ def connected_components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         if before[0]:
             raise RuntimeError("components did not settle")
     own = links.select(F.col("b").alias("node")).distinct().withColumn("component", F.col("node"))
-    return links.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(own)
+    return materialize(links.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(own), "components")

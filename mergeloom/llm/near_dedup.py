@@ -58,13 +58,13 @@ def set_digests(values: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str, size: int, hashes: int) -> DataFrame:
-    """A row of SKETCH for each row of docs; the signature holds the upper 32 bits of each minimum."""
+    """A row of SKETCH for each row of docs; the signature holds 32-bit minima."""
 
     def sketch(batches):
         for batch in batches:
             for a, b in row_slices(batch.column(2)):
                 values, counts = shingle_sets(batch.column(2)[a:b], size)
-                signature = (minima(values, counts, hashes) >> np.uint64(32)).astype(np.uint32)
+                signature = minima(values.astype(np.uint32), counts, hashes)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0)[a:b], batch.column(1)[a:b], pa.array(counts.astype(np.int64))]
                     + [pa.array(d) for d in set_digests(values, counts)]
@@ -166,45 +166,38 @@ def minhash_components(
     shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
     members = materialize(banded.join(shared, "key", "left_semi"), "buckets")
 
-    links = spark_empty(rows, "a bigint, b bigint")
-    tested = links
-    components = None
+    empty = spark_empty(rows, "a bigint, b bigint")
+    links, tested, components = empty, empty, spark_empty(rows, "node bigint, component bigint")
+    members = members.withColumn("owner", F.col("row"))
     fan = 1
     while not members.isEmpty():
-        dealt = F.pmod(F.xxhash64("row"), F.lit(fan))
-        centres = materialize(members.groupBy("key", dealt.alias("part")).agg(F.min(F.struct("row", "n")).alias("r")).select("key", F.col("r.row").alias("a"), F.col("r.n").alias("n_a")), "centres")
-        close = (F.least("n", "n_a") * 100 >= F.greatest("n", "n_a") * percent) & (F.col("row") != F.col("a"))
-        if components is not None:
-            owner = components.select(F.col("node").alias("a"), F.col("component").alias("owner_a"))
-            centres_owned = centres.join(owner, "a", "left").withColumn("owner_a", F.coalesce("owner_a", "a"))
-            close = close & (F.col("owner_a") != F.col("owner"))
-        else:
-            centres_owned = centres
-        pairs = members.join(centres_owned, "key").where(close).select(F.least("a", "row").alias("a"), F.greatest("a", "row").alias("b")).distinct()
-        pairs = materialize(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+        dealt = F.pmod(F.xxhash64("row"), F.lit(fan)).alias("part")
+        centre = F.min(F.struct("row", "n", "owner")).alias("r")
+        centres = members.groupBy("key", dealt).agg(centre).select("key", F.col("r.row").alias("a"), F.col("r.n").alias("n_a"), F.col("r.owner").alias("owner_a"))
+        centres = materialize(centres, "centres")
+        close = (F.least("n", "n_a") * 100 >= F.greatest("n", "n_a") * percent) & (F.col("owner_a") != F.col("owner"))
+        pairs = members.join(centres, "key").where(close).select(F.least("a", "row").alias("a"), F.greatest("a", "row").alias("b")).distinct()
+        pairs = materialize(pairs.join(tested, ["a", "b"], "left_anti") if fan > 1 else pairs, "pairs")
         tested = tested.unionByName(pairs)
         likely = materialize(alike_signatures(with_both(pairs, nodes, "signature"), hashes, least), "likely-pairs")
+        found = empty
         if not likely.isEmpty():
             ends = likely.select(F.explode(F.array("a", "b")).alias("row")).distinct()
             wanted = materialize(nodes.select("row", "id", "d0", "d1").join(ends, "row", "left_semi"), "wanted")
             sets = materialize(fetch_sets(docs, wanted, wanted.count(), id_col, text_col, shingle_words), "sets")
             found = materialize(alike_sets(with_both(likely, sets, "set"), percent), "confirmed")
-            links = links.unionByName(found)
-            components = materialize(connected_components(links), "components")
         # centres are done; of the rest, buckets with more than one component go on
-        rest = members.select("key", "row", "n").join(centres.select("key", F.col("a").alias("row")), ["key", "row"], "left_anti")
-        if components is not None:
-            owner = components.select(F.col("node").alias("row"), F.col("component").alias("owner"))
-            rest = rest.join(owner, "row", "left").withColumn("owner", F.coalesce("owner", "row"))
-        else:
-            rest = rest.withColumn("owner", F.col("row"))
-            components = spark_empty(rows, "node bigint, component bigint")
+        rest = members.join(centres.select("key", F.col("a").alias("row")), ["key", "row"], "left_anti")
+        if not found.isEmpty():
+            links = components.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(found)
+            components = connected_components(links)
+            owner = components.select(F.col("node").alias("row"), F.col("component").alias("found"))
+            rest = rest.join(owner, "row", "left").withColumn("owner", F.coalesce("found", "row")).drop("found")
         rest = materialize(rest, "bucket-rest")
-        mixed_keys = rest.groupBy("key").agg(F.min("owner").alias("low"), F.max("owner").alias("high")).where("low < high").select("key")
-        members = materialize(rest.join(mixed_keys, "key", "left_semi"), "bucket-rest")
-        fan = min(128, fan * 8)
+        several = rest.groupBy("key").agg(F.min("owner").alias("low"), F.max("owner").alias("high")).where("low < high").select("key")
+        members = materialize(rest.join(several, "key", "left_semi"), "bucket-next")
+        fan = min(128, fan * 16)
 
-    components = components if components is not None else spark_empty(rows, "node bigint, component bigint")
     by_set = materialize(
         copies.join(components, copies.row == components.node, "left").select("d0", "d1", "n", F.coalesce("component", "row").alias("component")), "set-components"
     )

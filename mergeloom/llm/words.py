@@ -111,17 +111,25 @@ def shingles(hashes: np.ndarray, counts: np.ndarray, size: int) -> tuple[np.ndar
 
 
 def minima(values: np.ndarray, counts: np.ndarray, hashes: int, seed: int = 1) -> np.ndarray:
-    """The least value of each universal hash a * x + b over each text's values; all ones where it has none."""
+    """The least value of each universal hash a * x + b over each text's values; all ones where it has none.
+
+    values are well-mixed unsigned integers of 32 or 64 bits, and so are the minima.
+    """
+    kind, block = values.dtype.type, 512
     rng = np.random.default_rng(seed)
-    a = rng.integers(0, 1 << 63, hashes, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    b = rng.integers(0, 1 << 63, hashes, dtype=np.uint64)
-    out = np.full((len(counts), hashes), np.iinfo(np.uint64).max, np.uint64)
+    a = (rng.integers(0, 1 << 63, hashes, dtype=np.uint64) * np.uint64(2) + np.uint64(1)).astype(kind)[:, None]
+    b = (rng.integers(0, 1 << 63, hashes, dtype=np.uint64) >> np.uint64(9)).astype(kind)[:, None]
+    out = np.full((len(counts), hashes), np.iinfo(kind).max, kind)
+    room = np.empty((hashes, block), kind)
     ends = np.cumsum(counts)
     with np.errstate(over="ignore"):
         for k, (begin, end) in enumerate(zip((ends - counts).tolist(), ends.tolist(), strict=True)):
-            for at in range(begin, end, 1024):
-                part = values[at : min(end, at + 1024)]
-                np.minimum(out[k], (a[:, None] * part[None, :] + b[:, None]).min(axis=1), out=out[k])
+            for at in range(begin, end, block):
+                part = values[at : min(end, at + block)]
+                hashed = room[:, : len(part)]
+                np.multiply(a, part, out=hashed)
+                np.add(hashed, b, out=hashed)
+                np.minimum(out[k], hashed.min(axis=1), out=out[k])
     return out
 
 
