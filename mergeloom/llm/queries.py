@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from mergeloom.llm.common import bucket_of_id
 from mergeloom.llm.exact_dedup import exact_dedup
+from mergeloom.llm.grid_order import embedding_components
 from mergeloom.llm.language import identify_language, labelled_rows, learn_languages
 from mergeloom.llm.licenses import license_scan
 from mergeloom.llm.near_dedup import minhash_components
@@ -33,6 +34,10 @@ def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_components(documents(spark, sf_dir), shingle_words=3, percent=85)
 
 
+def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_components(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held_out = documents(spark, sf_dir), bucket_of_id("doc_id", 5) == 0
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~held_out)
@@ -69,6 +74,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_language_id": op2_language_id,
         "op3_exact_dedup": op3_exact_dedup,
         "op4_minhash_near_dedup": op4_minhash_near_dedup,
+        "op5_embedding_near_dedup": op5_embedding_near_dedup,
         "op6_toxicity": op6_toxicity,
         "op7_license_scan": op7_license_scan,
         "op9_best_fit_packing": op9_best_fit_packing,
