@@ -13,6 +13,7 @@ from mergeloom.llm.language import identify_language, labelled_rows, learn_langu
 from mergeloom.llm.licenses import license_scan
 from mergeloom.llm.near_dedup import minhash_components
 from mergeloom.llm.packing import best_fit_packing
+from mergeloom.llm.token_counts import document_token_counts
 from mergeloom.llm.toxicity import learn_toxicity, score_toxicity
 
 
@@ -20,6 +21,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return document_token_counts(documents(spark, sf_dir), rank_file=public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held_out = documents(spark, sf_dir), bucket_of_id("doc_id", 4) == 2
     model = learn_languages(labelled_rows(docs, ~held_out))
@@ -71,6 +78,7 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS te
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_token_counts": op1_token_counts,
         "op2_language_id": op2_language_id,
         "op3_exact_dedup": op3_exact_dedup,
         "op4_minhash_near_dedup": op4_minhash_near_dedup,
