@@ -13,6 +13,7 @@ from mergeloom.llm.language import identify_language, labelled_rows, learn_langu
 from mergeloom.llm.licenses import license_scan
 from mergeloom.llm.near_dedup import minhash_components
 from mergeloom.llm.packing import best_fit_packing
+from mergeloom.llm.pseudo_likelihood import learn_model, score_documents
 from mergeloom.llm.token_counts import document_token_counts
 from mergeloom.llm.toxicity import learn_toxicity, score_toxicity
 
@@ -61,6 +62,11 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing(documents(spark, sf_dir), tokenizer_file=public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op10_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return score_documents(docs, learn_model(docs))
+
+
 OP3_SQL = r"""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS text,
@@ -86,6 +92,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_toxicity": op6_toxicity,
         "op7_license_scan": op7_license_scan,
         "op9_best_fit_packing": op9_best_fit_packing,
+        "op10_pseudo_likelihood": op10_pseudo_likelihood,
     }
 
 
