@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from mergeloom.llm.common import bucket_of_id
 from mergeloom.llm.exact_dedup import exact_dedup
@@ -13,6 +14,7 @@ from mergeloom.llm.language import identify_language, labelled_rows, learn_langu
 from mergeloom.llm.licenses import license_scan
 from mergeloom.llm.near_dedup import minhash_components
 from mergeloom.llm.packing import best_fit_packing
+from mergeloom.llm.piece_scan import decode_documents, encode_documents
 from mergeloom.llm.pseudo_likelihood import learn_model, score_documents
 from mergeloom.llm.token_counts import document_token_counts
 from mergeloom.llm.toxicity import learn_toxicity, score_toxicity
@@ -56,6 +58,17 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(documents(spark, sf_dir)).drop("spans")
 
 
+def op8_sentencepiece_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every text the number and CRC-32 of its ids, and length and CRC-32 of what they decode to."""
+    import public_tokenizers
+
+    file = public_tokenizers.path("piece_bpe_32k.model")
+    rows = encode_documents(documents(spark, sf_dir), model_file=file)
+    rows = rows.select("doc_id", F.size("ids").alias("n_tokens"), F.crc32(F.array_join("ids", ",").cast("binary")).alias("ids_crc32"), "ids")
+    decoded = decode_documents(rows, model_file=file, keep=("doc_id", "n_tokens", "ids_crc32"))
+    return decoded.select("doc_id", "n_tokens", "ids_crc32", F.length("decoded").alias("n_chars"), F.crc32(F.encode("decoded", "UTF-8")).alias("decoded_crc32"))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -91,6 +104,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_embedding_near_dedup": op5_embedding_near_dedup,
         "op6_toxicity": op6_toxicity,
         "op7_license_scan": op7_license_scan,
+        "op8_sentencepiece_scan": op8_sentencepiece_scan,
         "op9_best_fit_packing": op9_best_fit_packing,
         "op10_pseudo_likelihood": op10_pseudo_likelihood,
     }
