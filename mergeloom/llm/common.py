@@ -1,47 +1,13 @@
-"""Helpers that the training-data operators share: shared storage, salts and row selection."""
+"""Helpers that the training-data operators share."""
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mergeloom.sources.storage import materialize, shared_root, work_folder
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir.
-
-    Where it is unset a local session gets a temporary folder (tests); any other
-    master raises ValueError, because executors do not see each other's disks.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    current = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if current.isDefined():
-        return current.get().rstrip("/")
-    if not re.match(r"local(\[|$)", spark.sparkContext.master):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    root = "file://" + tempfile.mkdtemp(prefix="spark-mergeloom-")
-    spark.sparkContext.setCheckpointDir(root)
-    return root
-
-
-def work_folder(spark: SparkSession, label: str) -> str:
-    """A new name for an intermediate table's folder on shared storage."""
-    return f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write df as Parquet on shared storage and return a reader of it.
-
-    This cuts the lineage: a lost executor costs a reread, not a recomputation.
-    """
-    path = work_folder(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+__all__ = ["bucket_of_id", "materialize", "shared_root", "with_small_side", "work_folder"]
 
 
 def bucket_of_id(id_column: str, modulus: int) -> Column:
