@@ -7,29 +7,37 @@ from pyspark.sql import functions as F
 
 from mergeloom.llm.common import materialize
 
+#: Parts that the links of one node are dealt to, so that a hub does not land in one task.
+SALTS = 16
 
-def _least_neighbours(links: DataFrame) -> DataFrame:
-    """For each a, the least of a and its neighbours b; written, so that joins with it may split a hub's rows."""
-    return materialize(links.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("least")).select("a", "least"), "stars")
+
+def _with_least(links: DataFrame) -> DataFrame:
+    """Links (a, b) with `least`, the least of a and all its neighbours b."""
+    least = links.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("low", "a").alias("least"))
+    spread = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return links.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int")).join(spread, ["a", "salt"]).select("a", "b", "least")
 
 
 def _large_star(links: DataFrame) -> DataFrame:
     """Each larger neighbour of a node is linked to the least of the node and all its neighbours."""
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    return both.join(_least_neighbours(both), "a").where("b > a").select(F.col("b").alias("a"), F.col("least").alias("b"))
+    return _with_least(both).where("b > a").select(F.col("b").alias("a"), F.col("least").alias("b"))
 
 
 def _small_star(links: DataFrame) -> DataFrame:
     """A node and its smaller neighbours are linked to the least of them."""
-    down = links.where("a > b")
-    starred = down.join(_least_neighbours(down), "a")
-    pulled = starred.select(F.col("b").alias("a"), F.col("least").alias("b"))
-    return pulled.unionByName(starred.select("a", F.col("least").alias("b"))).where("a != b")
+    starred = _with_least(links.where("a > b"))
+    moved = starred.select(F.explode(F.array("a", "b")).alias("a"), F.col("least").alias("b"))
+    return moved.where("a != b")
 
 
-def _fingerprint(links: DataFrame) -> tuple:
-    r = links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-    return tuple(r)
+def _are_stars(links: DataFrame) -> bool:
+    """Whether every node has one smaller neighbour at most and no node has both smaller and larger ones."""
+    ends = links.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(
+        links.select(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down"))
+    )
+    by_node = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return by_node.where("up > 1 OR (up > 0 AND down > 0)").isEmpty()
 
 
 def connected_components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -39,17 +47,13 @@ def connected_components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     ones are left out. Nodes are 64-bit integers. No links give no rows.
     """
     links = links.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    links = materialize(links, "links")
-    before = _fingerprint(links)
-    for _ in range(most_rounds if before[0] else 0):
+    for _ in range(most_rounds):
         large = materialize(_large_star(links).distinct(), "large-star")
         links = materialize(_small_star(large).distinct(), "small-star")
-        after = _fingerprint(links)
-        if after == before:
+        if _are_stars(links):
             break
-        before = after
     else:
-        if before[0]:
-            raise RuntimeError("components did not settle")
-    own = links.select(F.col("b").alias("node")).distinct().withColumn("component", F.col("node"))
-    return materialize(links.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(own), "components")
+        raise RuntimeError("components did not settle")
+    # in a star every node hangs on its least one
+    both = links.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("component")), F.struct(F.col("b").alias("node"), F.col("b").alias("component")))).alias("s"))
+    return materialize(both.select("s.*").distinct(), "components")

@@ -24,14 +24,16 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mergeloom.llm.common import materialize, with_small_side
 from mergeloom.llm.components import connected_components
 from mergeloom.llm.words import find_words, hash_words, minima, mixed, row_slices, shingles
 
-SKETCH = "id bigint, row bigint, n bigint, d0 bigint, d1 bigint, signature binary"
+SKETCH = "id bigint, row bigint, n bigint, d0 bigint, d1 bigint, signature binary, keys array<bigint>, brief array<bigint>"
+#: Minima whose lowest bytes a brief signature holds, eight to a 64-bit number.
+BRIEF = 64
 
 
 def shingle_sets(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -57,25 +59,48 @@ def set_digests(values: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.
     return sums[0], sums[1]
 
 
-def sketches(docs: DataFrame, id_col: str, text_col: str, size: int, hashes: int) -> DataFrame:
-    """A row of SKETCH for each row of docs; the signature holds 32-bit minima."""
+def sketches(docs: DataFrame, id_col: str, text_col: str, size: int, bands: int, band_rows: int) -> DataFrame:
+    """A row of SKETCH for each row of docs.
+
+    keys: a hash of each band's minima. signature: the lowest byte of each minimum, brief:
+    those of the first BRIEF; other minima agree in it with a probability of 1/256.
+    """
+    hashes = bands * band_rows
 
     def sketch(batches):
         for batch in batches:
-            for a, b in row_slices(batch.column(2)):
+            for a, b in row_slices(batch.column(2), 1 << 20):
                 values, counts = shingle_sets(batch.column(2)[a:b], size)
-                signature = minima(values.astype(np.uint32), counts, hashes)
+                least = minima(values.astype(np.uint32), counts, hashes)
+                with np.errstate(over="ignore"):
+                    keys = np.full((len(counts), bands), 0, np.uint64) + np.arange(bands, dtype=np.uint64)
+                    for k in range(band_rows):
+                        keys = mixed(keys * np.uint64(0x9E3779B97F4A7C15) + least[:, k::band_rows])
+                low = np.ascontiguousarray(least.astype(np.uint8))
+                brief = np.ascontiguousarray(low[:, :BRIEF]).view(np.int64)
+                lists = [pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.int64())) for x in (keys.view(np.int64), brief)]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0)[a:b], batch.column(1)[a:b], pa.array(counts.astype(np.int64))]
                     + [pa.array(d) for d in set_digests(values, counts)]
-                    + [pa.array([s.tobytes() for s in signature], pa.binary())],
-                    ["id", "row", "n", "d0", "d1", "signature"],
+                    + [pa.array([s.tobytes() for s in low], pa.binary()), *lists],
+                    ["id", "row", "n", "d0", "d1", "signature", "keys", "brief"],
                 )
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.monotonically_increasing_id().alias("row"), F.col(text_col).cast("binary").alias("text"))
     return rows.mapInArrow(sketch, SKETCH)
 
 
+def equal_bytes(left: str, right: str) -> Column:
+    """In how many bytes two brief signatures agree: those where no bit differs."""
+    total = F.lit(BRIEF)
+    for k in range(BRIEF // 8):
+        x = F.get(left, F.lit(k)).bitwiseXOR(F.get(right, F.lit(k)))
+        for shift, mask in ((4, 0x0F0F0F0F0F0F0F0F), (2, 0x0303030303030303), (1, 0x0101010101010101)):  # a byte's bits fold into its lowest
+            x = x.bitwiseOR(F.shiftrightunsigned(x, shift)).bitwiseAND(F.lit(mask))
+        total = total - F.bit_count(x)
+    return total
+
+
 def fetch_sets(docs: DataFrame, wanted: DataFrame, n_wanted: int, id_col: str, text_col: str, size: int) -> DataFrame:
     """row and shingle set (binary, sorted 64-bit hashes) of the wanted rows (row, id, d0, d1).
 
@@ -84,7 +109,7 @@ def fetch_sets(docs: DataFrame, wanted: DataFrame, n_wanted: int, id_col: str, t
 
     def sets(batches):
         for batch in batches:
-            for a, b in row_slices(batch.column(3)):
+            for a, b in row_slices(batch.column(3), 1 << 20):
                 values, counts = shingle_sets(batch.column(3)[a:b], size)
                 d0, d1 = set_digests(values, counts)
                 right = (d0 == batch.column(1)[a:b].to_numpy()) & (d1 == batch.column(2)[a:b].to_numpy())
@@ -114,7 +139,7 @@ def alike_signatures(pairs: DataFrame, hashes: int, least: int) -> DataFrame:
     def compare(batches):
         for batch in batches:
             left, right = (
-                np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint32).reshape(-1, hashes) if batch.num_rows else np.zeros((0, hashes), np.uint32)
+                np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, hashes) if batch.num_rows else np.zeros((0, hashes), np.uint8)
                 for k in (2, 3)
             )
             yield batch.select(["a", "b"]).filter(pa.array((left == right).sum(axis=1) >= least))
@@ -156,30 +181,34 @@ def minhash_components(
     hashes = bands * band_rows
     share = percent / 100
     least = math.floor(hashes * share - 6 * math.sqrt(hashes * share * (1 - share)))
-    rows = materialize(sketches(docs, id_col, text_col, shingle_words, hashes), "sketches")
-    first = rows.where("n > 0").groupBy("d0", "d1", "n").agg(F.min("row").alias("row"))
-    copies = materialize(first, "set-nodes")
+    least_brief = math.floor(BRIEF * share - 6 * math.sqrt(BRIEF * share * (1 - share)))
+    rows = materialize(sketches(docs, id_col, text_col, shingle_words, bands, band_rows), "sketches")
+    copies = materialize(rows.where("n > 0").groupBy("d0", "d1", "n").agg(F.min("row").alias("row")), "set-nodes")
     nodes = materialize(rows.join(copies.select("row"), "row", "left_semi"), "nodes")
 
-    key = lambda k: F.xxhash64(F.lit(k), F.substring("signature", 1 + 4 * band_rows * k, 4 * band_rows))
-    banded = nodes.select("row", "n", F.explode(F.array(*[key(k) for k in range(bands)])).alias("key"))
-    shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
-    members = materialize(banded.join(shared, "key", "left_semi"), "buckets")
+    banded = nodes.select("row", "n", F.explode("keys").alias("key"))
+    shared = materialize(banded.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "shared-bands")
+    members = banded.join(shared, "key")
+    # a row that meets many others is a likely centre of a group
+    standing = members.groupBy("row").agg(F.sum("c").alias("standing"))
+    members = materialize(members.select("key", "row", "n").join(standing, "row").join(nodes.select("row", "brief"), "row").withColumn("owner", F.col("row")), "buckets")
 
     empty = spark_empty(rows, "a bigint, b bigint")
-    links, tested, components = empty, empty, spark_empty(rows, "node bigint, component bigint")
-    members = members.withColumn("owner", F.col("row"))
+    tested, components = empty, spark_empty(rows, "node bigint, component bigint")
     fan = 1
     while not members.isEmpty():
         dealt = F.pmod(F.xxhash64("row"), F.lit(fan)).alias("part")
-        centre = F.min(F.struct("row", "n", "owner")).alias("r")
-        centres = members.groupBy("key", dealt).agg(centre).select("key", F.col("r.row").alias("a"), F.col("r.n").alias("n_a"), F.col("r.owner").alias("owner_a"))
+        centre = F.max(F.struct("standing", (-F.col("row")).alias("neg"), "n", "owner", "brief")).alias("r")
+        centres = members.groupBy("key", dealt).agg(centre).select(
+            "key", (-F.col("r.neg")).alias("a"), F.col("r.n").alias("n_a"), F.col("r.owner").alias("owner_a"), F.col("r.brief").alias("brief_a")
+        )
         centres = materialize(centres, "centres")
         close = (F.least("n", "n_a") * 100 >= F.greatest("n", "n_a") * percent) & (F.col("owner_a") != F.col("owner"))
+        close = close & (equal_bytes("brief", "brief_a") >= least_brief)
         pairs = members.join(centres, "key").where(close).select(F.least("a", "row").alias("a"), F.greatest("a", "row").alias("b")).distinct()
         pairs = materialize(pairs.join(tested, ["a", "b"], "left_anti") if fan > 1 else pairs, "pairs")
         tested = tested.unionByName(pairs)
-        likely = materialize(alike_signatures(with_both(pairs, nodes, "signature"), hashes, least), "likely-pairs")
+        likely = materialize(alike_signatures(with_both(pairs, nodes, "signature"), hashes, least), "likely-pairs") if not pairs.isEmpty() else empty
         found = empty
         if not likely.isEmpty():
             ends = likely.select(F.explode(F.array("a", "b")).alias("row")).distinct()
@@ -189,20 +218,18 @@ def minhash_components(
         # centres are done; of the rest, buckets with more than one component go on
         rest = members.join(centres.select("key", F.col("a").alias("row")), ["key", "row"], "left_anti")
         if not found.isEmpty():
-            links = components.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(found)
-            components = connected_components(links)
+            components = connected_components(components.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(found))
             owner = components.select(F.col("node").alias("row"), F.col("component").alias("found"))
             rest = rest.join(owner, "row", "left").withColumn("owner", F.coalesce("found", "row")).drop("found")
-        rest = materialize(rest, "bucket-rest")
         several = rest.groupBy("key").agg(F.min("owner").alias("low"), F.max("owner").alias("high")).where("low < high").select("key")
-        members = materialize(rest.join(several, "key", "left_semi"), "bucket-next")
-        fan = min(128, fan * 16)
+        members = materialize(rest.join(several, "key", "left_semi"), "bucket-rest")
+        fan = min(256, fan * 16)
 
     by_set = materialize(
         copies.join(components, copies.row == components.node, "left").select("d0", "d1", "n", F.coalesce("component", "row").alias("component")), "set-components"
     )
     owned = materialize(
-        rows.drop("signature").join(by_set, ["d0", "d1", "n"], "left").select("id", "row", F.col("n").alias("n_shingles"), F.coalesce("component", "row").alias("component")), "owned"
+        rows.select("id", "row", "n", "d0", "d1").join(by_set, ["d0", "d1", "n"], "left").select("id", "row", F.col("n").alias("n_shingles"), F.coalesce("component", "row").alias("component")), "owned"
     )
     # least id, null last, then least row
     best = owned.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("best"))
