@@ -131,9 +131,9 @@ def character_model(docs: DataFrame, text_col: str, *, weight: float = 0.4) -> n
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], ["code", "n"])
 
     rows = docs.select(F.col(text_col).cast("binary").alias("text")).mapInArrow(counts, "code bigint, n bigint")
-    summed = rows.groupBy("code").agg(F.sum("n").alias("n")).toPandas()
+    summed = rows.groupBy("code").agg(F.sum("n").alias("n")).toArrow()  # at most CODES**4 rows
     four = np.zeros(CODES**4)
-    four[summed["code"].to_numpy(np.int64)] = summed["n"].to_numpy()
+    four[summed["code"].to_numpy()] = summed["n"].to_numpy()
     four = four.reshape(CODES, CODES, CODES, CODES)
     out = np.full(CODES, 1 / CODES)
     for axes in ((0, 1, 2), (0, 1), (0,), ()):
