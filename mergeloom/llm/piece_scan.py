@@ -24,10 +24,12 @@ Defined results for odd input
 from __future__ import annotations
 
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -60,7 +62,11 @@ class Pieces:
             elif not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)):
                 normal[piece] = i
                 self.text[i] = piece.replace(SPACE, " ").encode()
+        self.sizes = np.array([len(t) for t in self.text], np.int64)
+        self.begins = np.cumsum(self.sizes) - self.sizes
+        self.pool = np.frombuffer(b"".join(self.text), np.uint8)
         self.scores = np.array([sp.get_score(i) for i in range(size)], np.float64)
+        self._forget()
         self.unknown = min(self.scores[list(normal.values())]) - UNKNOWN_PENALTY
         self.longest = max(map(len, normal))
         #: Whether no piece has a space after another character, so that texts may be cut there.
@@ -233,34 +239,62 @@ class Pieces:
                 spaces = 0
         return out + [SPACE * spaces] * bool(spaces)
 
-    def encode(self, texts: list[bytes], chunk: int = 512) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts in order, and where each text's begin and the last end."""
-        lanes: dict[str, int] = {}
-        own: list[int] = []
-        counts = np.zeros(len(texts), np.int64)
-        for k, text in enumerate(texts):
-            words = self.words(text)
-            counts[k] = len(words)
-            own += [lanes.setdefault(w, len(lanes)) for w in words]
-        sizes = np.fromiter(map(len, lanes), np.int64, len(lanes))
-        joined = np.frombuffer("".join(lanes).encode("utf-32-le"), np.uint32)
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.held = 0
+        self.ids = np.zeros(0, np.int32)
+        self.at, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _learn(self, new: list[str], chunk: int) -> None:
+        """Trace new words and keep their ids."""
+        sizes = np.fromiter(map(len, new), np.int64, len(new))
+        joined = np.frombuffer("".join(new).encode("utf-32-le"), np.uint32)
         ends = np.cumsum(sizes)
         coded = [joined[a:b] for a, b in zip((ends - sizes).tolist(), ends.tolist(), strict=True)]
         short = np.flatnonzero(sizes <= chunk).tolist()
         pool, begins, lengths = self.all_traces([(coded[k], len(coded[k])) for k in short], np.zeros(len(short) + 1, np.int64))
-        at, n = np.zeros(len(lanes), np.int64), np.zeros(len(lanes), np.int64)
+        at, n = np.zeros(len(new), np.int64), np.zeros(len(new), np.int64)
         at[short], n[short] = begins, lengths
         for k in np.flatnonzero(sizes > chunk).tolist():
             ids = self.long_run(coded[k], chunk)
             at[k], n[k] = len(pool), len(ids)
             pool = np.concatenate([pool, ids])
-        order = np.array(own, np.int64)
-        flat = picked(pool, at[order], n[order])
-        return flat, np.r_[0, np.cumsum(n[order])][np.r_[0, np.cumsum(counts)]]
+        self.at, self.count = np.r_[self.at, at + len(self.ids)], np.r_[self.count, n]
+        self.ids = np.r_[self.ids, pool.astype(np.int32)]
+        self.held += int(sizes.sum())
 
-    def decode(self, ids: list[int]) -> bytes:
-        """The text of ids, without the space that encoding put in front."""
-        return b"".join([self.text[i] for i in ids])[1:]
+    def encode(self, texts: list[bytes], chunk: int = 512) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in order, and where each text's begin and the last end.
+
+        Words met before are not traced again, until the kept ones pass a fixed size.
+        """
+        if self.held > 4_000_000:
+            self._forget()
+        before, place = len(self.known), self.known.setdefault
+        own: list[int] = []
+        counts = np.zeros(len(texts), np.int64)
+        for k, text in enumerate(texts):
+            words = self.words(text)
+            counts[k] = len(words)
+            own += [place(w, len(self.known)) for w in words]
+        new = list(islice(self.known, before, None))
+        if new:
+            self._learn(new, chunk)
+        order = np.array(own, np.int64)
+        n = self.count[order]
+        return picked(self.ids, self.at[order], n), np.r_[0, np.cumsum(n)][np.r_[0, np.cumsum(counts)]]
+
+    def decode(self, ids: np.ndarray, ends: np.ndarray) -> pa.Array:
+        """Texts of rows of ids, given where each row ends, without the space that encoding put in front."""
+        sizes = self.sizes[ids]
+        data = picked(self.pool, self.begins[ids], sizes)
+        stops = np.r_[0, np.cumsum(sizes)][ends]
+        starts = np.r_[0, stops[:-1]]
+        full = stops > starts
+        keep = np.ones(len(data), bool)
+        keep[starts[full]] = False
+        offsets = np.r_[0, np.cumsum(stops - starts - full)].astype(np.int32)
+        return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data[keep].tobytes())])
 
 
 @lru_cache(maxsize=2)
@@ -378,8 +412,13 @@ def decode_documents(rows: DataFrame, ids_col: str = "ids", *, model_file: str,
     def decode(batches):
         pieces = pieces_of(model_file)
         for batch in batches:
-            texts = [None if x is None else pieces.decode(x) for x in batch.column(batch.num_columns - 1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.binary()).cast(pa.string())], [*batch.schema.names[:-1], out_col])
+            for a in range(0, batch.num_rows, 512):
+                part = batch.slice(a, 512)
+                lists = part.column(part.num_columns - 1)
+                counts = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+                texts = pieces.decode(lists.flatten().to_numpy(), np.cumsum(counts)).cast(pa.string())
+                texts = pc.if_else(lists.is_valid(), texts, pa.scalar(None, pa.string()))
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], texts], [*batch.schema.names[:-1], out_col])
 
     kept = rows.select(*keep, ids_col)
     kinds = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1]), f"`{out_col}` string"])
