@@ -1,10 +1,11 @@
 """Licence scan with a positional index of rare licence words, in DataFrame functions only.
 
-Templates are short notices; the index maps each of their words to (template, place).
-For each text the words that also occur in templates are ranked by their inverse
-document frequency over the whole corpus; the rarest few are looked up in the index,
-each hit proposing a template at a relative position. A proposal stands when enough of
-the template's indexed words lie at their places and its mandatory key phrase does.
+Templates are short notices. Of each template's mandatory key phrase the word with the
+highest inverse document frequency over the whole corpus goes into the index, with its
+place. It is looked up wherever it stands in a text, each hit proposing the template at
+a relative position; as the key phrase must stand whole, no alignment can be missed,
+however many licences a text names. A proposal stands when the whole key phrase and
+enough of the template's indexed words lie at their places.
 All of this happens inside a row, so no text is shuffled and no key can be hot.
 
 Defined results for odd input
@@ -100,15 +101,12 @@ def license_scan(
     text_col: str = "text",
     *,
     templates: tuple[Template, ...] = TEMPLATES,
-    rarest: int = 8,
     least_share: float = 0.6,
 ) -> DataFrame:
     """One row for each row of docs.
 
     Columns: id, n_words, n_base, first_word, last_word, base_labels, labels, score and
     spans, an array of (label, start, score) for the alignments that stand.
-    rarest: how many of a text's distinct licence words are looked up, by falling
-    inverse document frequency.
     least_share: share of a template's weight (inverse document frequencies of its
     indexed words) that must lie at its place. score is the best such share, and 0.5
     at least where a base phrase stands.
@@ -116,43 +114,34 @@ def license_scan(
     words = docs.select(F.col(id_col).alias("id"), word_array(F.col(text_col)).alias("words"))
     vocabulary = license_words(templates)
     idf = inverse_document_frequency(words, vocabulary)
-    by_rarity = sorted(vocabulary, key=lambda w: (-idf[w], w))
 
     # small literals: postings by word; words, weights and key phrase by template
-    index = F.create_map(
-        *[
-            x
-            for w in vocabulary
-            for x in (
-                F.lit(w),
-                F.array(*[F.lit(t * SPAN - p).cast("bigint") for t, m in enumerate(templates) for p, v in enumerate(m.text.split()) if v == w]),
-            )
-        ]
-    )
+    postings: dict[str, list[int]] = {}
     placed = lambda pairs: F.array(*[F.struct(F.lit(w).alias("w"), F.lit(p).alias("p"), F.lit(float(x)).alias("x")) for w, p, x in pairs])
     body, keys = [], []
-    for m in templates:
+    for t, m in enumerate(templates):
         own = m.text.split()
         total = sum(idf[w] for w in own if w in idf)
         body.append(placed([(w, p, idf[w] / total) for p, w in enumerate(own) if w in idf]))
         key = m.key.split()
         at = next(p for p in range(len(own)) if own[p : p + len(key)] == key)
         keys.append(placed([(w, at + p, 1.0) for p, w in enumerate(key)]))
+        rare = max(range(len(key)), key=lambda p: idf.get(key[p], 0.0))
+        postings.setdefault(key[rare], []).append(t * SPAN - at - rare)
+    index = F.create_map(*[x for w, found in postings.items() for x in (F.lit(w), F.array(*[F.lit(s).cast("bigint") for s in found]))])
     bodies, key_words, names = F.array(*body), F.array(*keys), F.array(*[F.lit(m.label) for m in templates])
 
-    own_words = F.array_distinct(F.filter("words", lambda w: w.isin(vocabulary)))
-    chosen = F.slice(F.array_intersect(F.array(*[F.lit(w) for w in by_rarity]), own_words), 1, rarest)
     phrase_places = {p: places(F.col("words"), p) for p in PHRASES}
     step = words.select(
-        "id", "words", F.size("words").cast("bigint").alias("n_words"), chosen.alias("chosen"), *[c.alias(f"at_{k}") for k, c in enumerate(phrase_places.values())]
+        "id", "words", F.size("words").cast("bigint").alias("n_words"), *[c.alias(f"at_{k}") for k, c in enumerate(phrase_places.values())]
     )
     # a hit of word w at place i proposes t * SPAN + i - p for each posting (t, p)
-    found = F.transform("words", lambda w, i: F.when(F.array_contains("chosen", w), F.transform(index[w], lambda s: s + i)))
-    proposals = F.array_distinct(F.flatten(F.filter(found, lambda hit: hit.isNotNull())))
+    found = F.transform("words", lambda w, i: F.when(w.isin(list(postings)), F.transform(index[w], lambda s: s + i)))
+    proposals = F.flatten(F.filter(found, lambda hit: hit.isNotNull()))
     template = lambda c: F.floor((c + (SPAN >> 1)) / F.lit(SPAN)).cast("int")
     start = lambda c: (c - template(c) * F.lit(SPAN)).cast("int")
     word_at = lambda i: F.when(i >= 0, F.get("words", i))
-    step = step.withColumn("proposals", F.when(F.size("chosen") > 0, proposals))
+    step = step.withColumn("proposals", proposals)
     spans = F.filter(
         F.transform(
             F.filter("proposals", lambda c: F.forall(key_words[template(c)], lambda k: F.coalesce(word_at(start(c) + k["p"]) == k["w"], F.lit(False)))),

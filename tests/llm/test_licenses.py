@@ -67,3 +67,20 @@ def test_empty_table_and_null_ids(spark):
     assert license_scan(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
     docs = spark.createDataFrame([(None, "mit license"), (None, "mit license")], "doc_id bigint, text string")
     assert [r.n_base for r in license_scan(docs).collect()] == [1, 1]
+
+
+def test_texts_that_name_many_licenses(spark):
+    every = " -- ".join(t.text for t in TEMPLATES)
+    texts = [
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software. Licensed under CC BY-NC 4.0",
+        every,
+        "person charge copy binary forms domain international universal permission " * 3 + "released under the mit license",
+        " ".join(reversed(every.split())),
+    ] + ["licensed under cc by nc 4 0"] * 20  # makes its words less rare than those of the others
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.doc_id: r for r in license_scan(docs).collect()}
+    for k, want in enumerate(brute(texts, rarest=10_000)):
+        r = got[k]
+        assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels, r.labels, round(r.score, 9)) == want, texts[k]
+    assert got[0].labels == "cc-by-nc,mit"
+    assert set(got[1].labels.split(",")) == {t.label for t in TEMPLATES}
