@@ -2,7 +2,8 @@
 
 Stages: toxicity, language, exact duplicates, near duplicates, packing. Each works on
 all rows that the one before kept, which are written as Parquet on shared storage in
-between; all but the last return the columns of documents.
+between; all but the last return the columns of documents. A stage decides on rows, not
+ids: it gives each row a key of its own, which the operator gets as id and by which rows go.
 
 Defined results for odd input: null or empty texts have no language and go in the second
 stage; null ids are handled like other rows; of rows repeated with the same id and text
@@ -11,7 +12,7 @@ one stays; an empty table gives an empty result; further columns are passed on.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mergeloom.llm.common import bucket_of_id, materialize, with_small_side
@@ -22,44 +23,66 @@ from mergeloom.llm.packing import best_fit_packing
 from mergeloom.llm.toxicity import learn_toxicity, score_toxicity
 
 
-def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """docs without the rows whose doc_id is in dropped; null equals null."""
-    dropped = materialize(dropped.select(F.col("doc_id").alias("dropped_id")).distinct(), "dropped")
+def keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs, written with a key of its own for each row, and the name of the key's column."""
+    key = "row_key"
+    while key in {c.lower() for c in docs.columns}:
+        key += "_"
+    return materialize(docs.withColumn(key, F.monotonically_increasing_id()), "rows"), key
+
+
+def without(docs: DataFrame, dropped: DataFrame, key: str = "doc_id") -> DataFrame:
+    """docs without the rows whose key is in dropped; null equals null."""
+    dropped = materialize(dropped.select(F.col(key).alias("dropped_id")).distinct(), "dropped")
     side = with_small_side(dropped, dropped.count(), 16)
-    return docs.join(side, docs["doc_id"].eqNullSafe(side["dropped_id"]), "left_anti")
+    return docs.join(side, docs[key].eqNullSafe(side["dropped_id"]), "left_anti")
 
 
-def one_of_each(docs: DataFrame, decisions: DataFrame) -> DataFrame:
-    """The rows that decisions (doc_id, kept) keep; of rows with one id and one text a single one."""
-    by_id = materialize(decisions.groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n")), "decisions")
-    kept = without(docs, by_id.where("NOT kept"))
+def one_of_each(docs: DataFrame, decisions: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The rows that decisions (key, kept) keep; of rows with one key and one text a single one."""
+    by_id = materialize(decisions.groupBy(key).agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n")), "decisions")
+    kept = without(docs, by_id.where("NOT kept"), key)
     repeated = by_id.where("n > 1")
     if repeated.isEmpty():
         return kept
-    again = kept.join(repeated.select(F.col("doc_id").alias("again_id")), F.col("doc_id").eqNullSafe(F.col("again_id")), "left_semi")
-    return without(kept, repeated).unionByName(again.dropDuplicates(["doc_id", "text"]))
+    again = kept.join(repeated.select(F.col(key).alias("again_id")), F.col(key).eqNullSafe(F.col("again_id")), "left_semi")
+    return without(kept, repeated, key).unionByName(again.dropDuplicates([key, "text"]))
+
+
+def best_of_groups(rows: DataFrame, groups: DataFrame, key: str, *rank: Column) -> DataFrame:
+    """Decisions (key, kept) over the rows of groups (key, group): kept is the first by rank, then by doc_id, null last, then by key."""
+    order = F.struct(*[c.alias(f"rank{k}") for k, c in enumerate(rank)], F.col("doc_id").isNull().alias("none"), "doc_id", F.col(key).alias("row"))
+    members = materialize(rows.select(key, order.alias("order")).join(groups, key), "members")
+    best = members.groupBy("group").agg(F.min("order").alias("best")).select(F.col("best.row").alias(key), F.lit(True).alias("best"))
+    return members.join(best, key, "left").select(key, F.coalesce("best", F.lit(False)).alias("kept"))
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose restored text is not scored as toxic."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(bucket_of_id("doc_id", 5) != 0)
-    return without(docs, score_toxicity(docs, learn_toxicity(docs, labels)).where("predicted = 1"))
+    rows, key = keyed(docs)
+    return without(rows, score_toxicity(rows, learn_toxicity(rows, labels), key).where("predicted = 1"), key).drop(key)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a language: those without a letter go, and those that two languages fit alike."""
-    model = learn_languages(labelled_rows(docs, bucket_of_id("doc_id", 4) != 2))
-    return without(docs, identify_language(docs, model, least_margin=0.0005).where("rejected"))
+    rows, key = keyed(docs)
+    model = learn_languages(labelled_rows(rows, bucket_of_id("doc_id", 4) != 2))
+    return without(rows, identify_language(rows, model, key, least_margin=0.0005).where("rejected"), key).drop(key)
 
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group with equal texts, white space apart."""
-    return one_of_each(docs, exact_dedup(docs).select("doc_id", "kept"))
+    rows, key = keyed(docs)
+    groups = exact_dedup(rows, key).where("group_size > 1").select(key, F.col("keep_id").alias("group"))
+    return one_of_each(rows, best_of_groups(rows, groups, key, -F.length(F.coalesce("text", F.lit("")))), key).drop(key)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component linked by a similarity of 0.8 of five-word shingles."""
-    return one_of_each(docs, minhash_components(docs).select("doc_id", "kept"))
+    rows, key = keyed(docs)
+    groups = minhash_components(rows, key).select(key, F.col("component_id").alias("group"))
+    return one_of_each(rows, best_of_groups(rows, groups, key), key).drop(key)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

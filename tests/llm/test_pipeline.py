@@ -48,3 +48,32 @@ def test_repeated_rows_and_empty_table(spark):
     none = docs.where("doc_id > 5")
     assert corpus_pipeline.near_duplicates(spark, none, "").count() == 0
     assert corpus_pipeline.exact_duplicates(spark, none, "").count() == 0
+
+
+def test_decisions_are_per_row(spark, tmp_path):
+    schema = "doc_id bigint, text string, lang string, row_key int"
+    plain = [(k, prose("xa" if k % 2 else "yb", 60, k) + (" vilest" if k % 5 == 0 else ""), "xa" if k % 2 else "yb", 0) for k in range(300)]
+    spark.createDataFrame([(k, int(k % 5 == 0)) for k in range(300)], "doc_id bigint, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+
+    # 1001 and null are ids of a row that goes and of one that stays
+    clean, other = prose("xa", 60, "p"), prose("yb", 60, "q")
+    odd = [(1001, clean, "xa", 1), (1001, other + " vilest", "yb", 2), (None, other, "yb", 3), (None, clean + " vilest", "xa", 4)]
+    out = corpus_pipeline.toxicity(spark, spark.createDataFrame(plain + odd, schema), str(tmp_path))
+    assert out.columns == ["doc_id", "text", "lang", "row_key"]
+    assert {r.row_key for r in out.where("row_key > 0").collect()} == {1, 3}
+
+    odd = [(1001, clean, "xa", 1), (1001, "", "xa", 2), (None, other, "yb", 3), (None, None, "yb", 4)]
+    out = corpus_pipeline.language(spark, spark.createDataFrame(plain + odd, schema), str(tmp_path))
+    assert {r.row_key for r in out.where("row_key > 0").collect()} == {1, 3}
+
+    # copies go whatever else their ids stand for; of copies the smallest id stays, null last
+    words = clean.split()
+    words[50] = "changed"
+    for copy, stage in ((clean + "\n", corpus_pipeline.exact_duplicates), (" ".join(words), corpus_pipeline.near_duplicates)):
+        third = prose("xa", 60, "r")
+        odd = [(1005, copy, "xa", 1), (1003, copy, "xa", 2), (None, copy, "xa", 3), (1005, other, "yb", 4), (None, third, "xa", 5), (1003, copy, "xa", 6)]
+        out = stage(spark, spark.createDataFrame(odd, schema), "").collect()
+        assert sorted((r.doc_id or 0, r.text == copy) for r in out) == [(0, False), (1003, True), (1005, False)]
+        odd = [(1005, clean, "xa", 1), (1003, copy, "xa", 2), (None, other, "yb", 3), (None, copy, "xa", 4), (1003, third, "xa", 5)]
+        out = stage(spark, spark.createDataFrame(odd, schema), "").collect()
+        assert {r.row_key for r in out} == {2, 3, 5}
