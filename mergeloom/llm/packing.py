@@ -17,7 +17,9 @@ Defined results for odd input
 
 from __future__ import annotations
 
+import hashlib
 import os
+import re
 import zlib
 from array import array
 from functools import lru_cache
@@ -29,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mergeloom.llm.common import materialize
-from mergeloom.llm.words import find_words, hash_words, row_slices
+from mergeloom.llm.words import Words, find_words, hash_words, row_slices
 
 PIECES = "id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 PACKED = f"{PIECES}, sequence_id bigint, offset bigint"
@@ -41,6 +43,8 @@ class WordEncoder:
     A text's ids are then those of its words one after the other. Words are found and
     hashed in bulk; each new one is tokenized once and its ids kept in a pool, which
     is emptied when it holds more than `most` words or eight times as many ids.
+    Words alike but for case share their ids, save those that hold one of the file's
+    added tokens, which are found before lower-casing: these are kept by their exact bytes.
     """
 
     #: Words tokenized in one call, with a separator between them.
@@ -51,7 +55,8 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
-        self.tokenizer.encode_special_tokens = True
+        added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile(b"|".join(map(re.escape, sorted(added, key=len, reverse=True)))) if added else None
         self.tokenizer.model._resize_cache(0)  # each word comes once
         self.separator = "7"
         self.separator_id = self._ids([self.separator])[0][0]
@@ -100,6 +105,17 @@ class WordEncoder:
         self.used += total
         self.slots.update(zip(hashes, range(n, n + len(ids)), strict=True))
 
+    def _hashes(self, words: Words) -> np.ndarray:
+        """hash_words, but by exact bytes for words that hold an added token."""
+        hashes = hash_words(words)
+        spans = np.array([m.span() for m in self.added.finditer(words.data)] if self.added else [], np.int64).reshape(-1, 2)
+        at = np.searchsorted(words.starts, spans[:, 0], "right") - 1
+        inside = (at >= 0) & (spans[:, 1] <= words.ends[at])  # not from one text into the next
+        for k in np.unique(at[inside]).tolist():
+            word = words.data[words.starts[k] : words.ends[k]].tobytes()
+            hashes[k] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+        return hashes
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in order, and where each text's ids begin and the last ends."""
         words = find_words(texts)
@@ -107,7 +123,7 @@ class WordEncoder:
             return np.zeros(0, np.uint32), np.zeros(len(texts) + 1, np.int64)
         if len(self.slots) > self.most or self.used > 8 * self.most:
             self._empty()
-        distinct, first, inverse = np.unique(hash_words(words), return_index=True, return_inverse=True)
+        distinct, first, inverse = np.unique(self._hashes(words), return_index=True, return_inverse=True)
         keys = distinct.tolist()
         new = [k for k, h in enumerate(keys) if h not in self.slots]
         if new:

@@ -59,3 +59,26 @@ def test_exchange_two_for_one():
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id bigint, text string")
     assert best_fit_packing(docs, tokenizer_file=FILE).count() == 0
+
+
+def test_special_tokens_are_the_library_call(spark):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(FILE)
+    texts = [
+        "one <|endoftext|> two",
+        "one <|ENDOFTEXT|> two",
+        "a<|startoftext|>b A<|startoftext|>B a<|StartOfText|>b",
+        "x<|endoftext|><|endoftext|>7 \u0130<|endoftext|>\u0130 <|endoftext",
+        "<|endof",
+        "text|> <|end oftext|>",
+        None,
+        "w" * 300 + "<|endoftext|>",
+    ]
+    want = [tokenizer.encode(t or "", add_special_tokens=False).ids + [1] for t in texts]
+    assert want[0] == [637, 49407, 1237, 1]
+    for order in (1, -1):  # whichever comes first, words alike but for case keep apart
+        docs = spark.createDataFrame(list(enumerate(texts))[::order], "doc_id bigint, text string").coalesce(1)
+        rows = {r.doc_id: r for r in best_fit_packing(docs, tokenizer_file=FILE).collect()}
+        for k, ids in enumerate(want):
+            assert (rows[k].length, rows[k].ids_crc32) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())), texts[k]
