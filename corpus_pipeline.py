@@ -65,10 +65,15 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language: those without a letter go, and those that two languages fit alike."""
+    """Documents with a language: those without a letter go, and those that two languages fit alike.
+
+    Where no language can be learned only those without a letter go.
+    """
     rows, key = keyed(docs)
     model = learn_languages(labelled_rows(rows, bucket_of_id("doc_id", 4) != 2))
-    return without(rows, identify_language(rows, model, key, least_margin=0.0005).where("rejected"), key).drop(key)
+    if not model.languages:
+        return rows.where(F.col("text").rlike("\\p{L}")).drop(key)
+    return without(rows, identify_language(rows, model, key).where("rejected"), key).drop(key)
 
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -77,3 +77,19 @@ def test_decisions_are_per_row(spark, tmp_path):
         odd = [(1005, clean, "xa", 1), (1003, copy, "xa", 2), (None, other, "yb", 3), (None, copy, "xa", 4), (1003, third, "xa", 5)]
         out = stage(spark, spark.createDataFrame(odd, schema), "").collect()
         assert {r.row_key for r in out} == {2, 3, 5}
+
+
+def test_language_stage_has_the_margin_of_the_operator(spark):
+    from mergeloom.llm.common import bucket_of_id
+    from mergeloom.llm.language import identify_language, labelled_rows, learn_languages
+
+    rows = [(k, prose("xa" if k % 2 else "yb", 60, k), "xa" if k % 2 else "yb") for k in range(300)]
+    for k in range(300, 400):  # half of the one, half of the other
+        rows.append((k, prose("xa", 150, k) + " " + prose("yb", 95 + k % 60, k), None))
+    docs = spark.createDataFrame([*rows, (500, "12 34", None)], "doc_id bigint, text string, lang string")
+    model = learn_languages(labelled_rows(docs, bucket_of_id("doc_id", 4) != 2))
+    verdicts = identify_language(docs, model).collect()
+    assert any(r.rejected and r.margin >= 0.0005 for r in verdicts)
+    assert {r.doc_id for r in corpus_pipeline.language(spark, docs, "").collect()} == {r.doc_id for r in verdicts if not r.rejected}
+    unlabelled = docs.withColumn("lang", docs.lang.substr(1, 0)).replace("", None, ["lang"])
+    assert {r.doc_id for r in corpus_pipeline.language(spark, unlabelled, "").collect()} == {r[0] for r in rows}
