@@ -41,3 +41,27 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = work_folder(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Scratch:
+    """The intermediate tables of one call, in a folder of their own on shared storage."""
+
+    def __init__(self, spark: SparkSession, label: str):
+        self.spark, self.folder = spark, work_folder(spark, label)
+        self.paths: dict[str, list[str]] = {}
+        self.stored = 0
+
+    def store(self, df: DataFrame, name: str) -> DataFrame:
+        """Write df as Parquet and return a reader of it; this cuts the lineage as materialize does."""
+        self.stored += 1
+        path = f"{self.folder}/{name}-{self.stored}"
+        df.write.parquet(path)
+        self.paths.setdefault(name, []).append(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        """Delete all tables stored under these names; whoever still reads them must have been stored before."""
+        for name in names:
+            for path in self.paths.pop(name, []):
+                place = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+                place.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(place, True)
