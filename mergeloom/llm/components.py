@@ -5,28 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mergeloom.llm.common import materialize
+from mergeloom.llm.common import Scratch, with_small_side
 
-#: Parts that the links of one node are dealt to, so that a hub does not land in one task.
-SALTS = 16
 
+def _with_least(links: DataFrame, scratch: Scratch) -> DataFrame:
+    """Links (a, b) with `least`, the least of a and all its neighbours b.
 
-def _with_least(links: DataFrame) -> DataFrame:
-    """Links (a, b) with `least`, the least of a and all its neighbours b."""
-    least = links.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("low", "a").alias("least"))
-    spread = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return links.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int")).join(spread, ["a", "salt"]).select("a", "b", "least")
+    The least ones are written first, so that the join of a hub's links with them is one
+    that Spark deals out anew when a key is hot; small ones are broadcast.
+    """
+    least = scratch.store(links.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("low", "a").alias("least")), "least")
+    return links.join(with_small_side(least, least.count(), 24), "a").select("a", "b", "least")
 
 
-def _large_star(links: DataFrame) -> DataFrame:
+def _large_star(links: DataFrame, scratch: Scratch) -> DataFrame:
     """Each larger neighbour of a node is linked to the least of the node and all its neighbours."""
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    return _with_least(both).where("b > a").select(F.col("b").alias("a"), F.col("least").alias("b"))
+    return _with_least(both, scratch).where("b > a").select(F.col("b").alias("a"), F.col("least").alias("b"))
 
 
-def _small_star(links: DataFrame) -> DataFrame:
+def _small_star(links: DataFrame, scratch: Scratch) -> DataFrame:
     """A node and its smaller neighbours are linked to the least of them."""
-    starred = _with_least(links.where("a > b"))
+    starred = _with_least(links.where("a > b"), scratch)
     moved = starred.select(F.explode(F.array("a", "b")).alias("a"), F.col("least").alias("b"))
     return moved.where("a != b")
 
@@ -40,20 +40,26 @@ def _are_stars(links: DataFrame) -> bool:
     return by_node.where("up > 1 OR (up > 0 AND down > 0)").isEmpty()
 
 
-def connected_components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
+def connected_components(links: DataFrame, scratch: Scratch | None = None, most_rounds: int = 60) -> DataFrame:
     """node and component (least node reachable) for each node of links (columns a and b).
 
     Links may come in any direction and repeat; those of a node with itself and null
     ones are left out. Nodes are 64-bit integers. No links give no rows.
     """
+    scratch = scratch or Scratch(links.sparkSession, "components")
     links = links.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    links = scratch.store(links, "star-links")
     for _ in range(most_rounds):
-        large = materialize(_large_star(links).distinct(), "large-star")
-        links = materialize(_small_star(large).distinct(), "small-star")
         if _are_stars(links):
             break
+        large = scratch.store(_large_star(links, scratch).distinct(), "large-star")
+        scratch.drop("least", "star-links")
+        links = scratch.store(_small_star(large, scratch).distinct(), "star-links")
+        scratch.drop("least", "large-star")
     else:
         raise RuntimeError("components did not settle")
     # in a star every node hangs on its least one
     both = links.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("component")), F.struct(F.col("b").alias("node"), F.col("b").alias("component")))).alias("s"))
-    return materialize(both.select("s.*").distinct(), "components")
+    out = scratch.store(both.select("s.*").distinct(), "components")
+    scratch.drop("star-links")
+    return out
