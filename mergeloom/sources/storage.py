@@ -8,6 +8,20 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Settings for tables of long texts: a batch or row group holds some megabytes even where texts have some kilobytes.
+BATCH_SETTINGS = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
+    "spark.sql.parquet.columnarReaderBatchSize": "512",
+    "parquet.block.size": str(16 << 20),
+}
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Set BATCH_SETTINGS for the session, save those that it has set itself."""
+    for name, value in BATCH_SETTINGS.items():
+        if spark.conf.get(name, None) is None:
+            spark.conf.set(name, value)
+
 
 def shared_root(spark: SparkSession) -> str:
     """The folder that the cluster names in spark.checkpoint.dir.
