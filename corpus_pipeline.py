@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mergeloom.llm.common import bucket_of_id, materialize, with_small_side
+from mergeloom.llm.common import bucket_of_id, materialize, small_batches, with_small_side
 from mergeloom.llm.exact_dedup import exact_dedup
 from mergeloom.llm.language import identify_language, labelled_rows, learn_languages
 from mergeloom.llm.near_dedup import minhash_components
@@ -28,25 +28,14 @@ def keyed(docs: DataFrame) -> tuple[DataFrame, str]:
     key = "row_key"
     while key in {c.lower() for c in docs.columns}:
         key += "_"
+    small_batches(docs.sparkSession)
     return materialize(docs.withColumn(key, F.monotonically_increasing_id()), "rows"), key
 
 
-def without(docs: DataFrame, dropped: DataFrame, key: str = "doc_id") -> DataFrame:
-    """docs without the rows whose key is in dropped; null equals null."""
-    dropped = materialize(dropped.select(F.col(key).alias("dropped_id")).distinct(), "dropped")
-    side = with_small_side(dropped, dropped.count(), 16)
-    return docs.join(side, docs[key].eqNullSafe(side["dropped_id"]), "left_anti")
-
-
-def one_of_each(docs: DataFrame, decisions: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The rows that decisions (key, kept) keep; of rows with one key and one text a single one."""
-    by_id = materialize(decisions.groupBy(key).agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n")), "decisions")
-    kept = without(docs, by_id.where("NOT kept"), key)
-    repeated = by_id.where("n > 1")
-    if repeated.isEmpty():
-        return kept
-    again = kept.join(repeated.select(F.col(key).alias("again_id")), F.col(key).eqNullSafe(F.col("again_id")), "left_semi")
-    return without(kept, repeated, key).unionByName(again.dropDuplicates([key, "text"]))
+def without(rows: DataFrame, dropped: DataFrame, key: str) -> DataFrame:
+    """The columns of docs for keyed rows whose key is not in dropped."""
+    dropped = materialize(dropped.select(key), "dropped")
+    return rows.join(with_small_side(dropped, dropped.count(), 16), key, "left_anti").drop(key)
 
 
 def best_of_groups(rows: DataFrame, groups: DataFrame, key: str, *rank: Column) -> DataFrame:
@@ -61,7 +50,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose restored text is not scored as toxic."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(bucket_of_id("doc_id", 5) != 0)
     rows, key = keyed(docs)
-    return without(rows, score_toxicity(rows, learn_toxicity(rows, labels), key).where("predicted = 1"), key).drop(key)
+    return without(rows, score_toxicity(rows, learn_toxicity(rows, labels), key).where("predicted = 1"), key)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -73,27 +62,28 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = learn_languages(labelled_rows(rows, bucket_of_id("doc_id", 4) != 2))
     if not model.languages:
         return rows.where(F.col("text").rlike("\\p{L}")).drop(key)
-    return without(rows, identify_language(rows, model, key).where("rejected"), key).drop(key)
+    return without(rows, identify_language(rows, model, key).where("rejected"), key)
 
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group with equal texts, white space apart."""
     rows, key = keyed(docs)
     groups = exact_dedup(rows, key).where("group_size > 1").select(key, F.col("keep_id").alias("group"))
-    return one_of_each(rows, best_of_groups(rows, groups, key, -F.length(F.coalesce("text", F.lit("")))), key).drop(key)
+    return without(rows, best_of_groups(rows, groups, key, -F.length(F.coalesce("text", F.lit("")))).where("NOT kept"), key)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component linked by a similarity of 0.8 of five-word shingles."""
     rows, key = keyed(docs)
     groups = minhash_components(rows, key).select(key, F.col("component_id").alias("group"))
-    return one_of_each(rows, best_of_groups(rows, groups, key), key).drop(key)
+    return without(rows, best_of_groups(rows, groups, key).where("NOT kept"), key)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Where each piece of each document stands in sequences of at most 4096 tokens."""
     import public_tokenizers
 
+    small_batches(spark)
     return best_fit_packing(docs, tokenizer_file=public_tokenizers.path("word_bpe_49k.json"))
 
 

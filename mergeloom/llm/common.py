@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mergeloom.sources.storage import Scratch, materialize, shared_root, work_folder
+from mergeloom.sources.storage import Scratch, materialize, shared_root, small_batches, work_folder
 
-__all__ = ["Scratch", "bucket_of_id", "materialize", "shared_root", "with_small_side", "work_folder"]
+__all__ = ["Scratch", "bucket_of_id", "materialize", "shared_root", "small_batches", "with_small_side", "work_folder"]
 
 
 def bucket_of_id(id_column: str, modulus: int) -> Column:

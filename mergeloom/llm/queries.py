@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mergeloom.llm.common import bucket_of_id
+from mergeloom.llm.common import bucket_of_id, small_batches
 from mergeloom.llm.exact_dedup import exact_dedup
 from mergeloom.llm.grid_order import embedding_components
 from mergeloom.llm.language import identify_language, labelled_rows, learn_languages
@@ -21,6 +21,7 @@ from mergeloom.llm.toxicity import learn_toxicity, score_toxicity
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 

@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections import Counter
 from functools import lru_cache
 from typing import NamedTuple
@@ -151,8 +152,8 @@ class Decoder:
     STAND_IN, REPEAT, SEPARATOR, KEPT = -0.7, -0.3, -0.2, -9.0
 
     def __init__(self, model: np.ndarray):
-        self.model = model.tolist()
-        self.decode = lru_cache(200_000)(self._decode)
+        self.model = array("f", model.ravel().tobytes())
+        self.decode = lru_cache(50_000)(self._decode)
 
     def _readings(self, token: str):
         """For each character: (letter or '' to drop it, log-probability of the channel)."""
@@ -170,29 +171,36 @@ class Decoder:
             yield options
 
     def _decode(self, token: str) -> str:
-        """The likeliest reading; a space in it ends a word."""
-        best = {(0, 0, 0): (0.0, "")}
+        """The likeliest reading of the whole token; a space in it ends a word."""
+        model = self.model
+        best = {0: 0.0}  # by the last three letter codes, as one number
+        steps: list[dict[int, tuple[int, str]]] = []
         for options in self._readings(token):
-            after: dict[tuple, tuple[float, str]] = {}
-            for state, (score, read) in best.items():
+            after: dict[int, float] = {}
+            came: dict[int, tuple[int, str]] = {}
+            for state, score in best.items():
                 for letter, cost in options:
                     if not letter:
-                        to, total, text = state, score + cost, read
+                        to, total = state, score + cost
                     else:
                         code = LETTER_OF.get(letter, 0 if letter == " " else 27)
-                        a, b, c = state
-                        total = score + cost + (self.model[a][b][c][code] if c or code else 0.0)
-                        to, text = ((0, 0, 0) if not code else (b, c, code)), read + letter
-                    if to not in after or total > after[to][0]:
-                        after[to] = (total, text)
+                        total = score + cost + (model[state * CODES + code] if state % CODES or code else 0.0)
+                        to = state % CODES**2 * CODES + code if code else 0
+                    if to not in after or total > after[to]:
+                        after[to], came[to] = total, (state, letter)
             best = after
-        a_b_c = max(best, key=lambda s: best[s][0] + (self.model[s[0]][s[1]][s[2]][0] if s[2] else 0.0))
-        return best[a_b_c][1]
+            steps.append(came)
+        state = max(best, key=lambda s: best[s] + (model[s * CODES] if s % CODES else 0.0))
+        read = []
+        for came in reversed(steps):
+            state, letter = came[state]
+            read.append(letter)
+        return "".join(reversed(read))
 
     def _reading(self, match: re.Match) -> str:
-        """A match's reading; long ones are decoded in parts."""
+        """A match's reading; only those of short tokens are kept."""
         token = match.group(0)
-        return "".join([self.decode(token[k : k + 64]) for k in range(0, len(token), 64)])
+        return self.decode(token) if len(token) <= 64 else self._decode(token)
 
     def restore(self, texts: pa.Array) -> list[str | None]:
         """Each text with its disguised tokens replaced by their readings; null stays null."""
@@ -224,7 +232,9 @@ def without_copies(rows: DataFrame) -> DataFrame:
 
     rows has id, text and label. Three independent hashes take their turn, so that of
     many copies with small edits, which would count as evidence again and again, one or
-    few stay. Texts that are no copies of each other share no run with the minimum.
+    few stay. Runs are not compared further: two texts of which a share s of all runs is
+    common, a quoted passage for instance, are taken for copies with a probability of
+    about 1 - (1 - s)**3. This thins the sample to learn from; all rows are scored.
     """
 
     def sketch(batches):
@@ -256,7 +266,6 @@ def learn_toxicity(
     label_col: str = "toxic",
     *,
     sample_rows: int = 50_000,
-    least_share: float = 0.02,
     least_rows: int = 5,
     least_z: float = 6.0,
     most_words: int = 2000,
@@ -264,10 +273,10 @@ def learn_toxicity(
     """Character model over all texts, word weights from a bounded sample of labelled rows.
 
     labels: id and label (0 or 1). About sample_rows labelled rows at most are drawn by
-    a hash of the id, and of copies among them one is used. A word becomes a feature when it is in at least least_rows and
-    least_share of the toxic rows and its shares of toxic and clean rows differ by least_z
-    deviations; of these the most_words with the largest deviations stay. Weights are smoothed
-    log-likelihood ratios, the intercept is the log-odds of the labels.
+    a hash of the id, and of copies among them one is used. A word becomes a feature when
+    it is in at least least_rows toxic rows and its share of toxic rows is above that of clean
+    rows by least_z deviations; of these the most_words with the largest deviations stay.
+    Weights are smoothed log-likelihood ratios, the intercept is the log-odds of the labels.
     """
     characters = character_model(docs, text_col)
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"))
@@ -293,19 +302,17 @@ def learn_toxicity(
             yield pa.RecordBatch.from_arrays([pa.array(part, pa.string())] + [pa.array([t[w] for w in part], pa.int64()) for t in total], ["word", "n0", "n1"])
 
     counted = texts.mapInArrow(count, "word string, n0 bigint, n1 bigint").groupBy("word").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    counted = counted.persist()
+    counted = materialize(counted, "toxic-words")
     rows = {r.word: r for r in counted.where("word = ''").collect()}
     clean, toxic = (rows[""].n0, rows[""].n1) if rows else (0, 0)
     if not clean or not toxic:
-        counted.unpersist()
         return ToxicityModel(characters, {}, -math.inf)
     ratio = F.log((F.col("n1") + 0.5) / (toxic + 1.0)) - F.log((F.col("n0") + 0.5) / (clean + 1.0))
     pooled = (F.col("n1") + F.col("n0") + 1.0) / (toxic + clean + 2.0)
     z = (F.col("n1") / toxic - F.col("n0") / clean) / F.sqrt(pooled * (1 - pooled) * (1 / toxic + 1 / clean))
-    enough = F.col("n1") >= max(least_rows, math.ceil(least_share * toxic))
+    enough = F.col("n1") >= least_rows
     chosen = counted.where((F.col("word") != "") & enough).select("word", ratio.alias("ratio"), z.alias("z")).where(F.col("z") >= least_z)
     weights = {r.word: float(r.ratio) for r in chosen.orderBy(F.desc("z"), "word").limit(most_words).collect()}
-    counted.unpersist()
     return ToxicityModel(characters, weights, math.log(toxic / clean))
 
 

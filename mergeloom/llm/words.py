@@ -133,7 +133,7 @@ def minima(values: np.ndarray, counts: np.ndarray, hashes: int, seed: int = 1) -
     return out
 
 
-def row_slices(texts: pa.Array, most: int = 4 << 20) -> Iterator[tuple[int, int]]:
+def row_slices(texts: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Row ranges whose texts hold about `most` bytes together, one row at least."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
     at = 0

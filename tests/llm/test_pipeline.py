@@ -41,13 +41,26 @@ def test_each_stage_drops_what_it_should(spark, tmp_path):
     assert max(fills.values()) <= 4096
 
 
-def test_repeated_rows_and_empty_table(spark):
-    docs = spark.createDataFrame([(1, "a"), (1, "a"), (2, "b")], "doc_id bigint, text string")
-    decisions = spark.createDataFrame([(1, True), (1, False), (2, False)], "doc_id bigint, kept boolean")
-    assert [(r.doc_id, r.text) for r in corpus_pipeline.one_of_each(docs, decisions).collect()] == [(1, "a")]
-    none = docs.where("doc_id > 5")
-    assert corpus_pipeline.near_duplicates(spark, none, "").count() == 0
-    assert corpus_pipeline.exact_duplicates(spark, none, "").count() == 0
+STAGES = [corpus_pipeline.toxicity, corpus_pipeline.language, corpus_pipeline.exact_duplicates, corpus_pipeline.near_duplicates, corpus_pipeline.packing]
+
+
+@pytest.mark.parametrize("stage", STAGES)
+def test_clashing_columns_long_texts_and_empty_tables(spark, tmp_path, stage):
+    extra = ["again_id", "dropped_id", "kept", "row_key", "id", "group", "first", "node", "word", "label", "n", "row"]
+    schema = "doc_id bigint, text string, lang string, " + ", ".join(f"{c} string" for c in extra)
+    rows = [(k, prose("xa" if k % 2 else "yb", 40, k) + (" vilest" if k % 5 == 0 else ""), "xa" if k % 2 else "yb") for k in range(120)]
+    rows += [(900, prose("xa", 100_000, "long"), "xa"), (1, rows[1][1], "xa"), (None, rows[3][1], "xa"), (901, "word " * 200_000, None), (902, "", None), (None, None, None)]
+    spark.createDataFrame([(k, int(k % 5 == 0)) for k in range(120)], "doc_id bigint, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs = spark.createDataFrame([(*r, *[f"{c}{k}" for c in extra]) for k, r in enumerate(rows)], schema)
+    out = stage(spark, docs, str(tmp_path))
+    ids = [r.doc_id for r in out.select("doc_id").collect()]
+    assert 900 in ids
+    if stage is not corpus_pipeline.packing:
+        assert out.schema == docs.schema
+        if stage in (corpus_pipeline.exact_duplicates, corpus_pipeline.near_duplicates):
+            assert ids.count(1) == 1 and 3 in ids  # a repeated row once, a copy without id not
+    none = stage(spark, docs.where("doc_id > 5000"), str(tmp_path))
+    assert none.count() == 0 and none.schema == out.schema
 
 
 def test_decisions_are_per_row(spark, tmp_path):
