@@ -67,15 +67,19 @@ class Scratch:
 
     def store(self, df: DataFrame, name: str) -> DataFrame:
         """Write df as Parquet and return a reader of it; this cuts the lineage as materialize does."""
-        self.stored += 1
-        path = f"{self.folder}/{name}-{self.stored}"
+        path = self.path(name)
         df.write.parquet(path)
-        self.paths.setdefault(name, []).append(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def path(self, name: str) -> str:
+        """A new place for what is not written by store."""
+        self.stored += 1
+        self.paths.setdefault(name, []).append(f"{self.folder}/{name}-{self.stored}")
+        return self.paths[name][-1]
+
     def drop(self, *names: str) -> None:
-        """Delete all tables stored under these names; whoever still reads them must have been stored before."""
-        for name in names:
+        """Delete all that was stored under these names, or everything; what still reads it must have been stored before."""
+        for name in names or list(self.paths):
             for path in self.paths.pop(name, []):
                 place = self.spark._jvm.org.apache.hadoop.fs.Path(path)
                 place.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(place, True)
