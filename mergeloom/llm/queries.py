@@ -78,7 +78,7 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    return score_documents(docs, learn_model(docs))
+    return score_documents(docs, *learn_model(docs))
 
 
 OP3_SQL = r"""
