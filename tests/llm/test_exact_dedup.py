@@ -45,3 +45,16 @@ def test_repeated_rows_and_null_ids(spark):
 
 def test_empty_table(spark):
     assert exact_dedup(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
+
+
+@pytest.mark.parametrize("key_hex", [64, 1])
+def test_later_deliveries_are_checked_against_earlier_ones(spark, tmp_path, key_hex):
+    first = [(1, "a b"), (2, "c"), (3, "d"), (None, "e")]
+    second = [(4, "ab"), (5, "c  "), (6, "new"), (6, "new"), (None, "e")]
+    for rows, want in (
+        (first, [(None, None, 1, True), (1, 1, 1, True), (2, 2, 1, True), (3, 3, 1, True)]),
+        (second, [(None, None, 2, False), (4, 1, 2, False), (5, 5, 2, True), (6, 6, 2, False), (6, 6, 2, True)]),
+    ):
+        docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+        got = exact_dedup(docs, key_hex=key_hex, state=f"file://{tmp_path}/state").collect()
+        assert sorted(((r.doc_id, r.keep_id, r.group_size, r.kept) for r in got), key=str) == sorted(want, key=str)
