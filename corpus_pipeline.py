@@ -2,12 +2,15 @@
 
 Stages: toxicity, language, exact duplicates, near duplicates, packing. Each works on
 all rows that the one before kept, which are written as Parquet on shared storage in
-between; all but the last return the columns of documents. A stage decides on rows, not
-ids: it gives each row a key of its own, which the operator gets as id and by which rows go.
+between; all but the last return the columns of documents. Operators get a 64-bit hash of
+the text as id, since what they say depends on the text alone: rows go by what is said of
+their text, whatever their ids. Two of n texts share a hash with a probability of n * n / 2**65.
 
 Defined results for odd input: null or empty texts have no language and go in the second
-stage; null ids are handled like other rows; of rows repeated with the same id and text
-one stays; an empty table gives an empty result; further columns are passed on.
+stage; of rows that are copies the one with the smallest id stays (in the third stage of
+those with the longest text), null last; null ids are handled like other rows; of fully
+equal rows one stays; an empty table gives an empty result; further columns are passed on,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -15,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mergeloom.llm.common import bucket_of_id, materialize, small_batches, with_small_side
+from mergeloom.llm.common import Scratch, bucket_of_id, materialize, small_batches, with_small_side
 from mergeloom.llm.exact_dedup import exact_dedup
 from mergeloom.llm.language import identify_language, labelled_rows, learn_languages
 from mergeloom.llm.near_dedup import minhash_components
@@ -24,33 +27,38 @@ from mergeloom.llm.toxicity import learn_toxicity, score_toxicity
 
 
 def keyed(docs: DataFrame) -> tuple[DataFrame, str]:
-    """docs, written with a key of its own for each row, and the name of the key's column."""
-    key = "row_key"
+    """docs with a hash of its text for each row, and the name of the hash's column."""
+    key = "text_key"
     while key in {c.lower() for c in docs.columns}:
         key += "_"
     small_batches(docs.sparkSession)
-    return materialize(docs.withColumn(key, F.monotonically_increasing_id()), "rows"), key
+    return docs.withColumn(key, F.xxhash64("text")), key
 
 
 def without(rows: DataFrame, dropped: DataFrame, key: str) -> DataFrame:
     """The columns of docs for keyed rows whose key is not in dropped."""
-    dropped = materialize(dropped.select(key), "dropped")
+    dropped = materialize(dropped.select(key).distinct(), "dropped")
     return rows.join(with_small_side(dropped, dropped.count(), 16), key, "left_anti").drop(key)
 
 
-def best_of_groups(rows: DataFrame, groups: DataFrame, key: str, *rank: Column) -> DataFrame:
-    """Decisions (key, kept) over the rows of groups (key, group): kept is the first by rank, then by doc_id, null last, then by key."""
-    order = F.struct(*[c.alias(f"rank{k}") for k, c in enumerate(rank)], F.col("doc_id").isNull().alias("none"), "doc_id", F.col(key).alias("row"))
-    members = materialize(rows.select(key, order.alias("order")).join(groups, key), "members")
-    best = members.groupBy("group").agg(F.min("order").alias("best")).select(F.col("best.row").alias(key), F.lit(True).alias("best"))
-    return members.join(best, key, "left").select(key, F.coalesce("best", F.lit(False)).alias("kept"))
+def one_of_each(rows: DataFrame, groups: DataFrame, key: str, *rank: Column) -> DataFrame:
+    """The columns of docs for keyed rows: of each group the first row by rank, then by doc_id (null last), and all rows of no group.
+
+    groups: key and group, written, for keys whose rows share their group with others.
+    """
+    columns, group = [c for c in rows.columns if c != key], f"{key}_group"
+    side = with_small_side(groups.select(key, F.col("group").alias(group)), groups.count(), 80)
+    content = F.xxhash64(F.to_json(F.struct(*columns)))  # only fully equal rows are still alike
+    order = F.struct(*[c.alias(f"rank{k}") for k, c in enumerate(rank)], F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), content.alias("content"))
+    first = rows.join(side, key).groupBy(group).agg(F.min_by(F.struct(*columns), order).alias("first"))
+    return rows.join(side, key, "left_anti").select(*columns).unionByName(first.select("first.*"))
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose restored text is not scored as toxic."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(bucket_of_id("doc_id", 5) != 0)
     rows, key = keyed(docs)
-    return without(rows, score_toxicity(rows, learn_toxicity(rows, labels), key).where("predicted = 1"), key)
+    return without(rows, score_toxicity(rows, learn_toxicity(docs, labels), key).where("predicted = 1"), key)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,24 +67,33 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Where no language can be learned only those without a letter go.
     """
     rows, key = keyed(docs)
-    model = learn_languages(labelled_rows(rows, bucket_of_id("doc_id", 4) != 2))
+    model = learn_languages(labelled_rows(docs, bucket_of_id("doc_id", 4) != 2))
     if not model.languages:
-        return rows.where(F.col("text").rlike("\\p{L}")).drop(key)
+        return docs.where(F.col("text").rlike("\\p{L}"))
     return without(rows, identify_language(rows, model, key).where("rejected"), key)
 
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group with equal texts, white space apart."""
+    """One document of each group with equal texts, white space apart: that with the longest text."""
     rows, key = keyed(docs)
-    groups = exact_dedup(rows, key).where("group_size > 1").select(key, F.col("keep_id").alias("group"))
-    return without(rows, best_of_groups(rows, groups, key, -F.length(F.coalesce("text", F.lit("")))).where("NOT kept"), key)
+    scratch = Scratch(spark, "exact-duplicates")
+    groups = exact_dedup(rows, key, scratch=scratch).where("group_size > 1").select(key, F.col("text_sha256").alias("group")).distinct()
+    groups = materialize(groups, "groups")
+    scratch.drop()
+    return one_of_each(rows, groups, key, -F.length(F.coalesce("text", F.lit(""))))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component linked by a similarity of 0.8 of five-word shingles."""
     rows, key = keyed(docs)
-    groups = minhash_components(rows, key).select(key, F.col("component_id").alias("group"))
-    return without(rows, best_of_groups(rows, groups, key).where("NOT kept"), key)
+    scratch = Scratch(spark, "near-duplicates")
+    linked = minhash_components(rows, key, scratch=scratch).where("n_shingles > 0")
+    groups = linked.select(key, F.col("component_id").alias("group"))
+    several = groups.groupBy("group").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("group")
+    several = scratch.store(several, "several")
+    groups = materialize(groups.join(with_small_side(several, several.count(), 16), "group").select(key, "group").distinct(), "groups")
+    scratch.drop()
+    return one_of_each(rows, groups, key)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -252,6 +252,7 @@ def minhash_components(
     percent: int = 80,
     bands: int = 28,
     band_rows: int = 5,
+    scratch: Scratch | None = None,
 ) -> DataFrame:
     """One row for each row of docs: id, n_shingles, component_id, kept.
 
@@ -259,7 +260,7 @@ def minhash_components(
     At a similarity of 0.85 a pair shares none of 28 bands of 5 minima with a
     probability of 7e-8 (at 0.80 of 1.5e-5); all else is exact.
     """
-    scratch = Scratch(docs.sparkSession, "near-dedup")
+    scratch = scratch or Scratch(docs.sparkSession, "near-dedup")
     rows = scratch.store(sketches(docs, id_col, text_col, shingle_words, bands, band_rows), "sketches")
     # of equal sets the first row stands for all
     same = ["d0", "d1", "n"]
