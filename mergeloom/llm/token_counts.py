@@ -1,11 +1,19 @@
 """Token counts per document in flat token files, by a separator scan.
 
-A flat token file is nothing but token ids of a fixed width, little-endian, each
-document ended by an end-of-document id; there is no index. Files are cut into blocks
-that ignore documents. Each block is searched for the end id with one vector
-comparison and yields how many ends it holds and, per piece of a document in it, the
-tokens seen. An exclusive prefix sum of the ends over a file's blocks gives each piece
-its document's number, and pieces of one document that lie in several blocks are added.
+A flat token file is nothing but token ids of 16 bits, little-endian, each document ended
+by an end-of-document id; there is no index. Spark deals out a file's byte ranges to tasks,
+however large it is. A task searches its range block by block for the end id with one
+vector comparison, and yields how many ends a block holds and, for each piece of a document
+in it, the tokens seen. Exclusive prefix sums on two levels, over the blocks of a range and
+the ranges of a file, give every piece its document's number and place, and pieces of one
+document that lie in several blocks are added.
+
+Byte ranges come from Spark's text reader with the end id's bytes as line separator (one of
+them if they are alike, as a separator must not overlap itself), which splits anywhere;
+lines are put together again before they are searched, because the bytes may also match
+across two tokens. Whether a range begins with a whole token is known only once
+the ranges before it are summed, so ranges that are not a file's first are searched both
+ways and the right one is chosen then.
 
 Defined results for odd input
 -----------------------------
@@ -13,8 +21,8 @@ Defined results for odd input
 * Tokens after a file's last end id, if any, form a last document that is marked as open.
 * An empty file has no documents; an empty table of texts gives no files with documents.
 * Null ids and repeated rows keep their own places. Other columns are not read.
-* An id wider than the token width raises ValueError when files are written; a file
-  whose size is not a multiple of the width raises ValueError when it is scanned.
+* An id of more than 16 bits raises ValueError when files are written, a file of an odd
+  number of bytes when it is scanned. Bytes without an end id for 2 GB are beyond the reader.
 """
 
 from __future__ import annotations
@@ -28,10 +36,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from mergeloom.llm.common import materialize, work_folder
-from mergeloom.llm.words import row_slices
+from mergeloom.llm.common import Scratch, with_small_side
+from mergeloom.llm.words import row_slices, text_bytes
 
-PIECES = "file string, block bigint, ends bigint, piece bigint, tokens bigint, closed boolean"
+PIECES = "file bigint, split bigint, odd int, block bigint, ends bigint, size bigint, bytes bigint, piece bigint, tokens bigint, lead bigint, closed boolean"
+
+
+NAMES = [x.split()[0] for x in PIECES.split(", ")]
+KINDS = [pa.int64(), pa.int64(), pa.int32(), *[pa.int64()] * 4]
 
 
 @lru_cache(maxsize=2)
@@ -45,16 +57,26 @@ def rank_encoding(rank_file: str):
     return tiktoken.Encoding("flat", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+def end_bytes(end_id: int) -> bytes:
+    if end_id >= 1 << 16:
+        raise ValueError("ids of 16 bits only")
+    return end_id.to_bytes(2, "little")
+
+
+def separator(end_id: int) -> bytes:
+    """What splits files into lines to read: the end id's bytes, or one of them if they are alike."""
+    end = end_bytes(end_id)
+    return end[:1] if end[0] == end[1] else end
+
+
 def write_token_files(docs: DataFrame, id_col: str, text_col: str, rank_file: str, end_id: int, folder: str) -> DataFrame:
-    """Tokenize docs into flat files of 16-bit ids in folder; one file for each partition, in row order.
+    """Tokenize docs into flat files in folder; one file for each partition, in row order.
 
     The end id is written as the line separator of Spark's own text writer, which any
     storage takes. Returns id, part and place: the place of each row in its partition's
-    file. A recomputed partition has the same rows in the same order where docs is read
-    from storage.
+    file, by a plan of the same scan. docs must be read from storage, so that a partition
+    that is computed again has the same rows in the same order.
     """
-    if end_id >= 1 << 16:
-        raise ValueError("ids of 16 bits only")
 
     def tokens(batches):
         encoding = rank_encoding(rank_file)
@@ -68,83 +90,132 @@ def write_token_files(docs: DataFrame, id_col: str, text_col: str, rank_file: st
                     out.append(ids.astype("<u2").tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["tokens"])
 
-    separator = end_id.to_bytes(2, "little").decode("latin-1")
     flat = docs.select(F.col(text_col).cast("binary").alias("text")).mapInArrow(tokens, "tokens binary").selectExpr("CAST(tokens AS STRING) AS value")
-    flat.write.option("lineSep", separator).option("encoding", "ISO-8859-1").text(folder)
+    flat.write.option("lineSep", end_bytes(end_id).decode("latin-1")).option("encoding", "ISO-8859-1").text(folder)
     place = F.monotonically_increasing_id()
-    rows = docs.select(F.col(id_col).alias("id"), F.spark_partition_id().alias("part"), place.bitwiseAND((1 << 33) - 1).alias("place"))
-    return materialize(rows, "token-places")
+    empty = F.octet_length(F.coalesce(F.col(text_col), F.lit(""))) == 0
+    return docs.select(F.col(id_col).alias("id"), F.spark_partition_id().alias("part"), place.bitwiseAND((1 << 33) - 1).alias("place"), empty.alias("empty"))
+
+
+def joined_lines(lines: pa.Array, end: bytes) -> np.ndarray:
+    """The bytes of lines, each with its separator."""
+    data, offsets = text_bytes(lines)
+    out = np.empty(len(data) + len(end) * len(lines), np.uint8)
+    ends = offsets[1:] + len(end) * np.arange(len(lines))
+    own = np.ones(len(out), bool)
+    for k, byte in enumerate(end):
+        out[ends + k], own[ends + k] = byte, False
+    out[own] = data
+    return out
+
 
+def block_pieces(ids: np.ndarray, end_id: int) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+    """Number of ends, and for each piece of a document its tokens, where it begins and whether an end follows."""
+    ends = np.flatnonzero(ids == end_id)
+    tokens = np.diff(np.r_[-1, ends, len(ids)]) - 1
+    closed = np.arange(len(tokens)) < len(ends)
+    if not tokens[-1] and len(ends):  # nothing follows the last end
+        tokens, closed = tokens[:-1], closed[:-1]
+    return len(ends), tokens, np.cumsum(tokens + closed) - (tokens + closed), closed
 
-def scan_pieces(spark: SparkSession, folder: str, end_id: int, width: int, block_tokens: int) -> DataFrame:
-    """Rows of PIECES: for each block of each file its pieces of documents, in order."""
-    kind = np.dtype(f"<u{width}")
+
+def scan_pieces(spark: SparkSession, folder: str, end_id: int, block_tokens: int) -> DataFrame:
+    """Rows of PIECES: for each block of each byte range of a file its pieces of documents, in order.
+
+    odd: 1 where the range is read as if its first byte were the second one of a token,
+    whose first is then the last byte of the separator before.
+    """
+    end = separator(end_id)
 
     def scan(batches):
+        where, state = None, []
         for batch in batches:
-            for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                buffer = content.as_buffer()
-                if buffer is None or not buffer.size:
-                    continue
-                if buffer.size % width:
-                    raise ValueError(f"{name} is not a file of {width}-byte tokens")
-                ids = np.frombuffer(buffer, kind)
-                for block, at in enumerate(range(0, len(ids), block_tokens)):
-                    part = ids[at : at + block_tokens]
-                    ends = np.flatnonzero(part == end_id)
-                    tokens = np.diff(np.r_[-1, ends, len(part)]) - 1
-                    closed = np.arange(len(tokens)) < len(ends)
-                    if not tokens[-1] and len(ends):  # nothing follows the last end
-                        tokens, closed = tokens[:-1], closed[:-1]
-                    n = len(tokens)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([name] * n), pa.array([block] * n), pa.array([len(ends)] * n), pa.array(np.arange(n)), pa.array(tokens), pa.array(closed)],
-                        ["file", "block", "ends", "piece", "tokens", "closed"],
-                    )
-
-    files = spark.read.format("binaryFile").load(folder).select(F.col("path"), F.col("content"))
-    return files.mapInArrow(scan, PIECES)
-
-
-def count_tokens(spark: SparkSession, folder: str, *, end_id: int, width: int = 2, block_tokens: int = 1 << 19) -> DataFrame:
+            key = batch.column(1).to_numpy(), batch.column(2).to_numpy()
+            cuts = np.r_[0, np.flatnonzero((key[0][1:] != key[0][:-1]) | (key[1][1:] != key[1][:-1])) + 1, batch.num_rows] if batch.num_rows else np.zeros(1, np.int64)
+            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                file, split = int(key[0][a]), int(key[1][a])
+                if where != (file, split):
+                    where, state = (file, split), [[0, b"", 0], [1, end[-1:], 0]][: 2 if split else 1]
+                raw = joined_lines(batch.column(0)[a:b], end)
+                for own in state:
+                    odd, carried, block = own
+                    data = np.r_[np.frombuffer(carried, np.uint8), raw]
+                    whole = len(data) // 2 * 2
+                    own[1] = data[whole:].tobytes()
+                    ids = np.frombuffer(data[:whole].tobytes(), "<u2")
+                    for at in range(0, max(1, len(ids)), block_tokens):
+                        part = ids[at : at + block_tokens]
+                        ends, tokens, lead, closed = block_pieces(part, end_id)
+                        n = len(tokens)
+                        numbers = (file, split, odd, block, ends, len(part), len(raw) if not at else 0)
+                        columns = [pa.array(np.full(n, x), k) for x, k in zip(numbers, KINDS, strict=False)] + [pa.array(np.arange(n)), pa.array(tokens), pa.array(lead), pa.array(closed)]
+                        yield pa.RecordBatch.from_arrays(columns, NAMES)
+                        block += 1
+                    own[2] = block
+
+    lines = spark.read.option("lineSep", end.decode("latin-1")).option("encoding", "ISO-8859-1").text(folder)
+    lines = lines.select(F.col("value").cast("binary").alias("line"), F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"))
+    return lines.mapInArrow(scan, PIECES)
+
+
+def count_tokens(spark: SparkSession, folder: str, *, end_id: int, block_tokens: int = 1 << 19, scratch: Scratch | None = None) -> DataFrame:
     """One row for each document of the flat token files in folder.
 
     Columns: file, place (number in the file, from 0), start (its first token's place in
     the file), n_tokens (without the end id), closed (whether an end id follows).
     block_tokens: tokens searched at once; blocks take no notice of documents.
     """
-    pieces = materialize(scan_pieces(spark, folder, end_id, width, block_tokens), "token-pieces")
-    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = pieces.where("piece = 0").select("file", "block", F.coalesce(F.sum("ends").over(before), F.lit(0)).alias("base"))
-    blocks = materialize(blocks, "token-blocks")
+    scratch = scratch or Scratch(spark, "token-counts")
+    files = spark.read.format("binaryFile").load(folder).where("length > 0").select("path", "length")  # no content is read
+    if not files.where("length % 2 = 1").isEmpty():
+        raise ValueError(f"{folder} has files that are not of 2-byte tokens")
+    pieces = scratch.store(scan_pieces(spark, folder, end_id, block_tokens), "pieces")
+    own = ["file", "split", "odd"]
+    blocks = pieces.where("piece = 0").select(*own, "block", "ends", "size", "bytes")
+    before = lambda column, by, order: F.coalesce(F.sum(column).over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # first over ranges: where each begins tells which reading of it holds
+    splits = blocks.groupBy(*own).agg(F.sum("ends").alias("ends"), F.sum("bytes").alias("bytes"))
+    begins = splits.where("odd = 0").select("file", "split", before("bytes", ["file"], "split").alias("begin"))
+    right = splits.join(begins, ["file", "split"]).where("odd = begin % 2")
+    right = right.select(*own, "begin", "bytes", before("ends", ["file"], "split").alias("documents"))
+    right = scratch.store(right, "ranges")
+    # then over the blocks of a range
+    inside = scratch.store(blocks.select(*own, "block", before("ends", own, "block").alias("inner"), before("size", own, "block").alias("tokens_before")), "blocks")
+    based = inside.join(right, own).select(*own, "block", (F.col("documents") + F.col("inner")).alias("base"), ((F.col("begin") - F.col("odd")) / 2 + F.col("tokens_before")).cast("bigint").alias("offset"))
+    based = scratch.store(based, "bases")
     stitched = (
-        pieces.join(blocks, ["file", "block"])
+        pieces.join(with_small_side(based, based.count(), 64), [*own, "block"])
         .groupBy("file", (F.col("base") + F.col("piece")).alias("place"))
-        .agg(F.sum("tokens").alias("n_tokens"), F.max("closed").alias("closed"), F.min(F.struct("block", "piece")).alias("at"))
-    )
-    # start: tokens and ends before it in its block, and whole blocks before that
-    inside = Window.partitionBy("file", "block").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
-    led = pieces.select("file", "block", "piece", (F.lit(block_tokens) * F.col("block") + F.coalesce(F.sum(F.col("tokens") + F.col("closed").cast("int")).over(inside), F.lit(0))).alias("start"))
-    return (
-        stitched.select("file", "place", "n_tokens", "closed", "at.block", "at.piece")
-        .join(led, ["file", "block", "piece"])
-        .select("file", "place", "start", "n_tokens", "closed")
+        .agg(F.sum("tokens").alias("n_tokens"), F.max("closed").alias("closed"), F.min(F.col("offset") + F.col("lead")).alias("start"))
     )
+    # a file without an end id at its end was read as if it had one
+    ends = right.groupBy("file").agg(F.max(F.col("begin") + F.col("bytes")).alias("read"))
+    listed = scratch.store(files.select(F.col("path").alias("name"), F.xxhash64("path").alias("file"), "length").join(ends, "file", "left"), "files")
+    if not listed.where(f"read IS NULL OR read NOT IN (length, length + {len(separator(end_id))})").isEmpty():
+        raise RuntimeError("the ranges read do not make up the files")
+    found = stitched.join(with_small_side(listed, listed.count(), 300), "file")
+    unended = (F.col("read") > F.col("length")) & (F.col("start") + F.col("n_tokens") >= F.col("length") / 2)
+    found = found.select(F.col("name").alias("file"), "place", "start", "n_tokens", (F.col("closed") & ~unended).alias("closed"))
+    return found.where("closed OR n_tokens > 0")
 
 
 def document_token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, rank_file: str, end_id: int = 50256) -> DataFrame:
     """Tokenize docs into flat files, scan those, and give each row its count: id, n_tokens, part, place, start.
 
-    Raises RuntimeError if the files do not hold as many documents as docs has rows.
+    Raises RuntimeError unless every file holds as many documents as its partition has rows,
+    and tokens for those rows only that have a text.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     spark = docs.sparkSession
-    folder = work_folder(spark, "flat-tokens")
-    places = write_token_files(docs, id_col, text_col, rank_file, end_id, folder)
-    counts = count_tokens(spark, folder, end_id=end_id)
+    scratch = Scratch(spark, "token-files")
+    folder = scratch.path("flat-tokens")
+    places = scratch.store(write_token_files(docs, id_col, text_col, rank_file, end_id, folder), "places")
+    counts = count_tokens(spark, folder, end_id=end_id, scratch=scratch)
     part = F.regexp_extract("file", r"part-(\d+)", 1).cast("int")
-    counts = materialize(counts.select(part.alias("part"), "place", "start", "n_tokens"), "token-counts")
-    found, rows = counts.count(), places.count()
-    if found != rows:
-        raise RuntimeError(f"{found} documents in the token files, {rows} rows")
-    return places.join(counts, ["part", "place"]).select(F.col("id").alias(id_col), "n_tokens", "part", "place", "start")
+    counts = scratch.store(counts.select(part.alias("part"), "place", "start", "n_tokens"), "counts")
+    scratch.drop("flat-tokens", "pieces", "ranges", "blocks", "bases", "files")
+    joined = scratch.store(places.join(counts, ["part", "place"], "full"), "joined")
+    if not joined.where("n_tokens IS NULL OR empty IS NULL OR empty != (n_tokens = 0)").isEmpty():
+        raise RuntimeError("the token files do not hold the documents of the table, row by row")
+    scratch.drop("places", "counts")
+    return joined.select(F.col("id").alias(id_col), "n_tokens", "part", "place", "start")
