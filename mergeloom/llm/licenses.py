@@ -1,11 +1,14 @@
 """Licence scan with a positional index of rare licence words, in DataFrame functions only.
 
-Templates are short notices. Of each template's mandatory key phrase the word with the
-highest inverse document frequency over the whole corpus goes into the index, with its
-place. It is looked up wherever it stands in a text, each hit proposing the template at
-a relative position; as the key phrase must stand whole, no alignment can be missed,
-however many licences a text names. A proposal stands when the whole key phrase and
-enough of the template's indexed words lie at their places.
+Templates are notices and passages of licences, each with a key phrase that must stand
+whole. Inverse document frequencies over the whole corpus tell which words of a template are
+rare: some of them are its postings, words with their places in it, and the rarest word of
+its key phrase is looked up wherever it stands in a text, each hit proposing the template
+at a relative position. No alignment with a whole key phrase can be missed, however many
+licences a text names. A proposal stands when the key phrase is there and enough of the
+template's postings agree with its position, weighted by rarity; a posting may be off by
+some places, the more the further it is from the key phrase, so that a word put in or left
+out does not lose the rest.
 All of this happens inside a row, so no text is shuffled and no key can be hot.
 
 Defined results for odd input
@@ -19,45 +22,17 @@ Defined results for odd input
 from __future__ import annotations
 
 import math
-from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mergeloom.llm.license_texts import TEMPLATES, Template
+
 #: What separates words, once A-Z are lower-cased.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Phrases whose every place counts, with their labels.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
-#: Words too common to index.
-COMMON = frozenset("a and any are as at be by for from in is it of on or that the this to use with without you your".split())
-
-
-class Template(NamedTuple):
-    label: str
-    text: str
-    key: str  # must be part of text
-
-
-#: Notices by which licences are known.
-TEMPLATES = (
-    Template("mit", "released under the mit license", "mit license"),
-    Template("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software", "hereby granted free of charge"),
-    Template("apache", "licensed under the apache license version 2 0", "apache license"),
-    Template("gpl", "this work is licensed under the gnu general public license version 3", "general public license"),
-    Template("gpl", "redistribute it and or modify it under the terms of the gnu general public license", "general public license"),
-    Template("lgpl", "under the terms of the gnu lesser general public license", "lesser general public license"),
-    Template("agpl", "under the terms of the gnu affero general public license", "affero general public license"),
-    Template("bsd", "redistribution and use in source and binary forms with or without modification are permitted", "source and binary forms"),
-    Template("mpl", "subject to the terms of the mozilla public license version 2 0", "mozilla public license"),
-    Template("cc-by-nc", "licensed under cc by nc 4 0", "cc by nc"),
-    Template("cc-by-sa", "licensed under cc by sa 4 0", "cc by sa"),
-    Template("cc-by-nc", "licensed under a creative commons attribution noncommercial 4 0 international license", "creative commons attribution noncommercial"),
-    Template("cc-by", "licensed under a creative commons attribution 4 0 international license", "creative commons attribution 4"),
-    Template("cc0", "dedicated to the public domain under cc0 1 0 universal", "cc0 1 0"),
-    Template("isc", "permission to use copy modify and or distribute this software for any purpose", "distribute this software for any purpose"),
-    Template("unlicense", "this is free and unencumbered software released into the public domain", "unencumbered software released into the public domain"),
-)
 #: Room for a template's number beside a position in one 64-bit value.
 SPAN = 1 << 40
 
@@ -76,7 +51,22 @@ def places(words: Column, phrase: str) -> Column:
 
 
 def license_words(templates: tuple[Template, ...]) -> list[str]:
-    return sorted({w for t in templates for w in t.text.split()} - COMMON)
+    return sorted({w for t in templates for w in t.text.split()})
+
+
+def postings_of(template: Template, idf: dict[str, float], most: int) -> list[tuple[str, int, float, int]]:
+    """The template's rarest words: word, place, share of their weight, and how many places it may be off."""
+    own, key = template.text.split(), key_place(template)
+    chosen = sorted(sorted(range(len(own)), key=lambda p: -idf[own[p]])[:most])
+    total = sum(idf[own[p]] for p in chosen)
+    after = key + len(template.key.split()) - 1
+    return [(own[p], p, idf[own[p]] / total, 0 if key <= p <= after else 2 + max(key - p, p - after) // 8) for p in chosen]
+
+
+def key_place(template: Template) -> int:
+    """Where the key phrase begins in the template."""
+    own, key = template.text.split(), template.key.split()
+    return next(p for p in range(len(own)) if own[p : p + len(key)] == key)
 
 
 def inverse_document_frequency(words: DataFrame, vocabulary: list[str]) -> dict[str, float]:
@@ -101,46 +91,45 @@ def license_scan(
     text_col: str = "text",
     *,
     templates: tuple[Template, ...] = TEMPLATES,
+    postings: int = 16,
     least_share: float = 0.6,
 ) -> DataFrame:
     """One row for each row of docs.
 
     Columns: id, n_words, n_base, first_word, last_word, base_labels, labels, score and
     spans, an array of (label, start, score) for the alignments that stand.
-    least_share: share of a template's weight (inverse document frequencies of its
-    indexed words) that must lie at its place. score is the best such share, and 0.5
-    at least where a base phrase stands.
+    postings: how many of a template's words, the rarest, are held against a text.
+    least_share: share of their weight (inverse document frequencies) that must lie about
+    its place. score is the best such share, and 0.5 at least where a base phrase stands.
     """
     words = docs.select(F.col(id_col).alias("id"), word_array(F.col(text_col)).alias("words"))
     vocabulary = license_words(templates)
     idf = inverse_document_frequency(words, vocabulary)
 
-    # small literals: postings by word; words, weights and key phrase by template
-    postings: dict[str, list[int]] = {}
-    placed = lambda pairs: F.array(*[F.struct(F.lit(w).alias("w"), F.lit(p).alias("p"), F.lit(float(x)).alias("x")) for w, p, x in pairs])
-    body, keys = [], []
+    # small literals: places of key words by word; postings and key phrase by template
+    looked_up: dict[str, list[int]] = {}
+    bodies, keys = [], []
     for t, m in enumerate(templates):
-        own = m.text.split()
-        total = sum(idf[w] for w in own if w in idf)
-        body.append(placed([(w, p, idf[w] / total) for p, w in enumerate(own) if w in idf]))
-        key = m.key.split()
-        at = next(p for p in range(len(own)) if own[p : p + len(key)] == key)
-        keys.append(placed([(w, at + p, 1.0) for p, w in enumerate(key)]))
-        rare = max(range(len(key)), key=lambda p: idf.get(key[p], 0.0))
-        postings.setdefault(key[rare], []).append(t * SPAN - at - rare)
-    index = F.create_map(*[x for w, found in postings.items() for x in (F.lit(w), F.array(*[F.lit(s).cast("bigint") for s in found]))])
-    bodies, key_words, names = F.array(*body), F.array(*keys), F.array(*[F.lit(m.label) for m in templates])
+        bodies.append(F.array(*[F.struct(F.lit(w).alias("w"), F.lit(p).alias("p"), F.lit(float(x)).alias("x"), F.lit(off).alias("off")) for w, p, x, off in postings_of(m, idf, postings)]))
+        key, at = m.key.split(), key_place(m)
+        keys.append(F.array(*[F.struct(F.lit(w).alias("w"), F.lit(at + p).alias("p")) for p, w in enumerate(key)]))
+        rare = max(range(len(key)), key=lambda p: idf[key[p]])
+        looked_up.setdefault(key[rare], []).append(t * SPAN - at - rare)
+    index = F.create_map(*[x for w, found in looked_up.items() for x in (F.lit(w), F.array(*[F.lit(s).cast("bigint") for s in found]))])
+    bodies, key_words, names = F.array(*bodies), F.array(*keys), F.array(*[F.lit(m.label) for m in templates])
 
     phrase_places = {p: places(F.col("words"), p) for p in PHRASES}
     step = words.select(
         "id", "words", F.size("words").cast("bigint").alias("n_words"), *[c.alias(f"at_{k}") for k, c in enumerate(phrase_places.values())]
     )
     # a hit of word w at place i proposes t * SPAN + i - p for each posting (t, p)
-    found = F.transform("words", lambda w, i: F.when(w.isin(list(postings)), F.transform(index[w], lambda s: s + i)))
+    found = F.transform("words", lambda w, i: F.when(w.isin(list(looked_up)), F.transform(index[w], lambda s: s + i)))
     proposals = F.flatten(F.filter(found, lambda hit: hit.isNotNull()))
     template = lambda c: F.floor((c + (SPAN >> 1)) / F.lit(SPAN)).cast("int")
     start = lambda c: (c - template(c) * F.lit(SPAN)).cast("int")
     word_at = lambda i: F.when(i >= 0, F.get("words", i))
+    first = lambda c, k: F.greatest(start(c) + k["p"] - k["off"], F.lit(0))
+    around = lambda c, k: F.slice("words", first(c, k) + 1, F.greatest(start(c) + k["p"] + k["off"] + 1 - first(c, k), F.lit(0)))
     step = step.withColumn("proposals", proposals)
     spans = F.filter(
         F.transform(
@@ -148,7 +137,7 @@ def license_scan(
             lambda c: F.struct(
                 names[template(c)].alias("label"),
                 start(c).alias("start"),
-                F.least(F.lit(1.0), F.aggregate(bodies[template(c)], F.lit(0.0), lambda sum_, k: sum_ + F.when(word_at(start(c) + k["p"]) == k["w"], k["x"]).otherwise(0.0))).alias("score"),
+                F.least(F.lit(1.0), F.aggregate(bodies[template(c)], F.lit(0.0), lambda sum_, k: sum_ + F.when(F.array_contains(around(c, k), k["w"]), k["x"]).otherwise(0.0))).alias("score"),
             ),
         ),
         lambda s: s["score"] >= least_share,
