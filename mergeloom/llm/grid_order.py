@@ -4,8 +4,10 @@ Vectors are scaled to length one, so a cosine bound is a bound on distance. They
 projected on the leading principal dimensions of all vectors, cut into grid cells as
 wide as that distance, and sorted by label and cell into blocks. Two blocks are joined
 only if their cells lie within one of each other in every leading dimension; a pair of
-blocks is halved again and again, skipping intervals that are provably distant, down to
-small intervals whose cosines are computed in double precision.
+blocks is halved again and again, skipping intervals that are provably distant and counting
+those that are provably all linked, down to small intervals whose cosines are computed in
+double precision. Pairs of blocks are worked off in tiles of neighbouring blocks, so that a
+block's vectors travel once for each tile and not for each pair.
 
 Equal vectors of a label are one node with a weight. A pair of blocks yields for each
 vector the number of links and a spanning forest of them, so dense groups do not yield
@@ -27,10 +29,10 @@ import math
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from mergeloom.llm.common import materialize
+from mergeloom.llm.common import Scratch, with_small_side
 from mergeloom.llm.components import connected_components
 
 #: Room for rounding between distances in the projection and exact cosines.
@@ -38,33 +40,38 @@ GUARD = 1e-6
 
 
 def unit_rows(packed: list[bytes], size: int) -> np.ndarray:
-    """Vectors from their bytes, in double precision, scaled to length one."""
+    """Vectors from their bytes, in double precision, scaled to length one; by the largest component first, whose square always fits."""
     v = np.frombuffer(b"".join(packed), np.float64).reshape(len(packed), size)
+    v = v / np.abs(v).max(axis=1, keepdims=True)
     return v / np.sqrt(np.einsum("ij,ij->i", v, v))[:, None]
 
 
-def principal_axes(nodes: DataFrame, dimensions: int) -> dict[int, np.ndarray]:
-    """For each vector length the leading eigenvectors of the second moments over all nodes."""
+def principal_axes(nodes: DataFrame, sizes: list[int], dimensions: int, rounds: int = 2) -> dict[int, np.ndarray]:
+    """For each vector length axes near the leading ones of all nodes' second moments, by subspace iteration.
 
-    def moments(batches):
+    A round sums v * (v . axes) over all nodes. Any axes give right results; good ones skip more.
+    """
+    axes = {n: np.linalg.qr(np.random.default_rng(n).normal(size=(n, min(n, 2 * dimensions))))[0] for n in sizes}
+
+    def products(batches):
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            sizes = batch.column(0).to_numpy()
-            packed = batch.column(1).to_pylist()
-            for size in np.unique(sizes).tolist():
-                v = unit_rows([p for p, s in zip(packed, sizes.tolist(), strict=True) if s == size], size)
-                sums[size] = sums.get(size, 0) + v.T @ v
-        for size, s in sums.items():
-            yield pa.RecordBatch.from_pydict({"size": pa.array([size] * size, pa.int32()), "axis": pa.array(range(size), pa.int32()), "sums": pa.array(s.tolist(), pa.list_(pa.float64()))})
-
-    rows = nodes.select("size", "vector").mapInArrow(moments, "size int, axis int, sums array<double>")
-    one = rows.select("size", "axis", F.posexplode("sums").alias("k", "x")).groupBy("size", "axis", "k").agg(F.sum("x").alias("x")).toPandas()
-    axes = {}
-    for size, group in one.groupby("size"):
-        m = np.zeros((size, size))
-        m[group["axis"], group["k"]] = group["x"]
-        axes[int(size)] = np.linalg.eigh((m + m.T) / 2)[1][:, ::-1][:, :dimensions].copy()
-    return axes
+            every, packed = batch.column(0).to_numpy(), batch.column(1).to_pylist()
+            for size in np.unique(every).tolist():
+                v = unit_rows([packed[k] for k in np.flatnonzero(every == size).tolist()], size)
+                sums[size] = sums.get(size, 0) + v.T @ (v @ shared.value[size])
+        for size, x in sums.items():
+            yield pa.RecordBatch.from_pydict({"size": pa.array([size], pa.int32()), "sums": pa.array([x.ravel().tolist()], pa.list_(pa.float64()))})
+
+    for _ in range(rounds if sizes else 0):
+        shared = nodes.sparkSession.sparkContext.broadcast(axes)
+        rows = nodes.select("size", "vector").mapInArrow(products, "size int, sums array<double>")
+        total = rows.select("size", F.posexplode("sums").alias("k", "x")).groupBy("size", "k").agg(F.sum("x").alias("x")).toPandas()  # some numbers for each component
+        for size, group in total.groupby("size"):
+            m = np.zeros(axes[int(size)].size)
+            m[group["k"]] = group["x"]
+            axes[int(size)] = np.linalg.qr(m.reshape(int(size), -1))[0]
+    return {n: x[:, :dimensions].copy() for n, x in axes.items()}
 
 
 class Block:
@@ -78,53 +85,85 @@ class Block:
         self.cells = np.frombuffer(row["cells"], np.int64).reshape(n, -1)
 
 
-def join_intervals(a: Block, b: Block, u: slice, v: slice, least: float, leaf: int, found) -> None:
-    """Halve two intervals recursively; skip those with cells more than one apart in a dimension."""
+class Links:
+    """Links between the nodes of two blocks (or within one), by number of neighbours and as a spanning forest."""
+
+    def __init__(self, a: Block, b: Block):
+        self.nodes = a.nodes if a is b else np.r_[a.nodes, b.nodes]
+        self.weights = a.weights if a is b else np.r_[a.weights, b.weights]
+        self.shift, self.within = (0 if a is b else len(a.nodes)), a is b
+        self.counts = np.zeros(len(self.nodes), np.int64)
+        self.pairs: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def add(self, i: np.ndarray, j: np.ndarray) -> None:
+        """Linked pairs, one node of either block."""
+        j = j + self.shift
+        if self.within:
+            i, j = i[i < j], j[i < j]
+        np.add.at(self.counts, i, self.weights[j])
+        np.add.at(self.counts, j, self.weights[i])
+        self.pairs.append((i, j))
+
+    def add_all(self, u: slice, v: slice) -> None:
+        """Every node of an interval linked with every one of another, or of the same one."""
+        i, j = np.arange(u.start, u.stop), np.arange(v.start, v.stop) + self.shift
+        if self.within and u == v:
+            self.counts[i] += self.weights[i].sum() - self.weights[i]
+        else:
+            self.counts[i] += self.weights[j].sum()
+            self.counts[j] += self.weights[i].sum()
+            self.pairs.append((np.full(len(j), i[0]), j))
+        self.pairs.append((np.full(len(i), i[0]), i))
+        if not (self.within and u == v):
+            self.pairs.append((i, np.full(len(i), j[0])))
+
+    def forest(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """node, number of links, and another node that it is connected with or itself."""
+        least = np.arange(len(self.nodes))
+        i, j = (np.concatenate([p[k] for p in self.pairs]) if self.pairs else np.zeros(0, np.int64) for k in (0, 1))
+        while len(i):
+            low = np.minimum(least[i], least[j])
+            before = least.copy()
+            np.minimum.at(least, least[i], low)
+            np.minimum.at(least, least[j], low)
+            least = least[least]
+            if (before == least).all():
+                break
+        seen = np.flatnonzero(self.counts)
+        return self.nodes[seen], self.counts[seen], self.nodes[least[seen]]
+
+
+def join_intervals(a: Block, b: Block, u: slice, v: slice, least: float, leaf: int, links: Links) -> None:
+    """Halve two intervals recursively; skip those with cells more than one apart in a dimension, count those linked throughout."""
     x, y = a.cells[u], b.cells[v]
     if (x.min(axis=0) > y.max(axis=0) + 1).any() or (y.min(axis=0) > x.max(axis=0) + 1).any():
         return
+    if linked_throughout(a.vectors[u], b.vectors[v], least):
+        links.add_all(u, v)
+        return
     if len(x) <= leaf and len(y) <= leaf:
         i, j = np.nonzero(a.vectors[u] @ b.vectors[v].T >= least)
-        found(i + u.start, j + v.start)
+        links.add(i + u.start, j + v.start)
         return
     cut = lambda s: [slice(s.start, (s.start + s.stop) // 2), slice((s.start + s.stop) // 2, s.stop)]
     for s in cut(u) if len(x) > leaf else [u]:
         for t in cut(v) if len(y) > leaf else [v]:
             if a is not b or s.start <= t.start:
-                join_intervals(a, b, s, t, least, leaf, found)
+                join_intervals(a, b, s, t, least, leaf, links)
 
 
-def join_blocks(a: Block, b: Block, least: float, leaf: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Links counted by node (weighted), and node pairs that span what the two blocks link.
+def linked_throughout(x: np.ndarray, y: np.ndarray, least: float) -> bool:
+    """Whether two sets of unit vectors lie in balls so near that every pair must be linked."""
+    centre_x, centre_y = x.mean(axis=0), y.mean(axis=0)
+    reach = [np.sqrt(((s - c) ** 2).sum(axis=1).max()) for s, c in ((x, centre_x), (y, centre_y))]
+    return bool(np.linalg.norm(centre_x - centre_y) + sum(reach) <= math.sqrt(2 - 2 * least) - GUARD)
 
-    The result is (node, number of links, another node that it is connected with or itself).
-    """
-    nodes = a.nodes if a is b else np.r_[a.nodes, b.nodes]
-    weights = a.weights if a is b else np.r_[a.weights, b.weights]
-    shift = 0 if a is b else len(a.nodes)
-    counts = np.zeros(len(nodes), np.int64)
-    parent = list(range(len(nodes)))
-
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    def found(i: np.ndarray, j: np.ndarray) -> None:
-        j = j + shift
-        if a is b:
-            i, j = i[i < j], j[i < j]
-        np.add.at(counts, i, weights[j])
-        np.add.at(counts, j, weights[i])
-        for p, q in zip(i.tolist(), j.tolist(), strict=True):
-            p, q = root(p), root(q)
-            if p != q:
-                parent[max(p, q)] = min(p, q)
 
-    join_intervals(a, b, slice(0, len(a.nodes)), slice(0, len(b.nodes)), least, leaf, found)
-    seen = np.flatnonzero(counts)
-    return nodes[seen], counts[seen], nodes[[root(i) for i in seen.tolist()]] if len(seen) else nodes[:0]
+def join_blocks(a: Block, b: Block, least: float, leaf: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Links counted by node (weighted), and node pairs that span what the two blocks link, as Links.forest gives them."""
+    links = Links(a, b)
+    join_intervals(a, b, slice(0, len(a.nodes)), slice(0, len(b.nodes)), least, leaf, links)
+    return links.forest()
 
 
 def embedding_components(
@@ -137,11 +176,14 @@ def embedding_components(
     dimensions: int = 4,
     block_rows: int = 512,
     leaf: int = 64,
+    tile: int = 8,
 ) -> DataFrame:
     """One row for each row: id, n_links, component_id, kept.
 
-    Linked are rows with equal labels and a cosine of at least least_cosine.
+    Linked are rows with equal labels and a cosine of at least least_cosine. tile: blocks
+    on each side of a tile, which a task holds together.
     """
+    scratch = Scratch(rows.sparkSession, "grid-order")
     width = math.sqrt(2 - 2 * least_cosine) + GUARD
     whole = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     listed = rows.select(F.col(id_col).cast("bigint").alias("id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).cast("array<double>").alias("v"))
@@ -153,11 +195,12 @@ def embedding_components(
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(3), batch.column(1), pa.array(vectors, pa.binary())], ["id", "row", "label", "vector"])
 
     packed = listed.select("id", "label", "v", F.monotonically_increasing_id().alias("row"), fit.alias("fit")).mapInArrow(pack, "id bigint, row bigint, label string, vector binary")
-    packed = materialize(packed, "vectors")
+    packed = scratch.store(packed, "vectors")
     # one node for equal vectors of a label
     nodes = packed.where("vector IS NOT NULL").groupBy("label", "vector").agg(F.min("row").alias("node"), F.count(F.lit(1)).alias("weight"))
-    nodes = materialize(nodes.withColumn("size", (F.octet_length("vector") / 8).cast("int")), "vector-nodes")
-    axes = rows.sparkSession.sparkContext.broadcast(principal_axes(nodes, dimensions))  # as large as a few vectors
+    nodes = scratch.store(nodes.withColumn("size", (F.octet_length("vector") / 8).cast("int")), "nodes")
+    sizes = [r.size for r in nodes.groupBy("size").agg(F.count(F.lit(1)).alias("n")).select("size").collect()]  # lengths of vectors
+    axes = rows.sparkSession.sparkContext.broadcast(principal_axes(nodes, sizes, dimensions))  # as large as a few vectors
 
     def place(batches):
         for batch in batches:
@@ -207,37 +250,43 @@ def embedding_components(
             )
         return pd.DataFrame(made, columns=["label", "size", "block", "low", "high", "nodes", "weights", "vectors", "cells"])
 
-    stored = materialize(
-        ordered.mapInPandas(cut, "label string, size int, block bigint, low array<bigint>, high array<bigint>, nodes binary, weights binary, vectors binary, cells binary"), "blocks"
-    )
+    kinds = "label string, size int, block bigint, low array<bigint>, high array<bigint>, nodes binary, weights binary, vectors binary, cells binary"
+    stored = scratch.store(ordered.mapInPandas(cut, kinds), "blocks")
     # candidate pairs of blocks share a cell, or have neighbouring ones, in the first dimension
     bounds = stored.select("label", "size", "block", "low", "high")
     one = bounds.select("label", "size", F.explode(F.expr("sequence(low[0], high[0])")).alias("cell"), F.col("block").alias("a"), F.col("low").alias("low_a"), F.col("high").alias("high_a"))
     two = bounds.select("label", "size", F.explode(F.expr("sequence(low[0] - 1, high[0] + 1)")).alias("cell"), F.col("block").alias("b"), F.col("low").alias("low_b"), F.col("high").alias("high_b"))
     near = F.forall(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda k: (F.get("low_a", k) <= F.get("high_b", k) + 1) & (F.get("low_b", k) <= F.get("high_a", k) + 1))
     pairs = one.join(two, ["label", "size", "cell"]).where(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    content = ["nodes", "weights", "vectors", "cells"]
-    side = lambda x: stored.select(F.col("block").alias(x), F.struct(*content).alias(f"content_{x}"))
-    joined = materialize(pairs, "block-pairs").join(side("a"), "a").join(side("b"), "b").select("a", "b", "content_a", "content_b")
-
-    def link(batches):
-        for batch in batches:
-            for r in range(batch.num_rows):
-                p = batch.slice(r, 1).to_pylist()[0]
-                a = Block(p["content_a"])
-                b = a if p["a"] == p["b"] else Block(p["content_b"])
-                node, n, other = join_blocks(a, b, least_cosine, leaf)
-                yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(n), pa.array(other)], ["node", "n", "other"])
-
-    links = materialize(joined.mapInArrow(link, "node bigint, n bigint, other bigint"), "vector-links")
-    components = connected_components(links.select(F.col("node").alias("a"), F.col("other").alias("b")))
+    # tiles: blocks in the order of their partition, `tile` to a group; a pair belongs to the tile of its two groups
+    groups = bounds.select("block", "label", "size", "low").withColumn("part", F.spark_partition_id())
+    place = F.row_number().over(Window.partitionBy("part").orderBy("label", "size", "low", "block"))
+    groups = scratch.store(groups.select("block", F.concat_ws("-", "part", F.floor((place - 1) / tile)).alias("tile_group")), "tile-groups")
+    side = with_small_side(groups, groups.count(), 40)
+    of = lambda x: side.select(F.col("block").alias(x), F.col("tile_group").alias(f"group_{x}"))
+    pairs = scratch.store(pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", F.concat_ws("/", "group_a", "group_b").alias("tile")), "block-pairs")
+    content = stored.select("block", "nodes", "weights", "vectors", "cells")
+    needed = pairs.select("tile", F.explode(F.array("a", "b")).alias("block")).distinct()
+    listed_pairs = scratch.store(pairs.groupBy("tile").agg(F.collect_list(F.struct("a", "b")).alias("pairs")), "tile-pairs")  # tile * tile at most in a row
+
+    def link(key: tuple, blocks: pd.DataFrame, listed: pd.DataFrame) -> pd.DataFrame:
+        held = {int(r["block"]): Block(r) for r in blocks.to_dict("records")}
+        found = [join_blocks(held[p["a"]], held[p["b"]], least_cosine, leaf) for p in listed["pairs"].iloc[0]]
+        node, n, other = (np.concatenate(x) for x in zip(*found, strict=True))
+        return pd.DataFrame({"node": node, "n": n, "other": other})
+
+    shipped = needed.join(content, "block").groupBy("tile")
+    links = shipped.cogroup(listed_pairs.groupBy("tile")).applyInPandas(link, "node bigint, n bigint, other bigint")
+    links = scratch.store(links, "links")
+    scratch.drop("blocks", "tile-groups", "block-pairs", "tile-pairs")
+    components = connected_components(links.select(F.col("node").alias("a"), F.col("other").alias("b")), scratch)
     counted = links.groupBy("node").agg(F.sum("n").alias("n"))
     owner = nodes.select("label", "vector", "node", "weight").join(counted, "node", "left").join(components, "node", "left")
-    owner = materialize(
-        owner.select(F.col("label"), F.col("vector"), (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "node").alias("component")), "vector-owners"
-    )
+    owner = owner.select("label", "vector", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "node").alias("component"))
+    owner = scratch.store(owner, "owners")
     owned = packed.join(owner, ["label", "vector"], "left").select("id", "row", F.coalesce("n_links", F.lit(0).cast("bigint")).alias("n_links"), F.coalesce("component", "row").alias("component"))
-    owned = materialize(owned, "vector-owned")
+    owned = scratch.store(owned, "owned")
+    scratch.drop("vectors", "nodes", "links", "components", "owners")
     best = owned.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("best"))
-    best = materialize(best.select("component", F.col("best.id").alias("component_id"), F.col("best.row").alias("kept_row")), "vector-best")
+    best = scratch.store(best.select("component", F.col("best.id").alias("component_id"), F.col("best.row").alias("kept_row")), "best")
     return owned.join(best, "component").select(F.col("id").alias(id_col), "n_links", "component_id", (F.col("row") == F.col("kept_row")).alias("kept"))
