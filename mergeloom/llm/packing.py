@@ -2,10 +2,12 @@
 
 Documents are tokenized and cut into pieces of at most `capacity` tokens; only the
 pieces' lengths and checksums are kept. Full pieces are sequences by themselves. The
-rest is dealt at random into groups of bounded size; within a group pieces are packed
-best-fit in decreasing order, then moves and one-for-one and two-for-one exchanges
-between underfull sequences raise the sum of squared fills until sequences run empty.
-What stays clearly underfull is pooled over groups and packed once more.
+rest is dealt at random into groups of bounded size. Within a group pieces are packed
+best-fit as they come; then moves and one-for-one and two-for-one exchanges between
+underfull sequences raise the sum of squared fills until sequences run empty. Where the
+search ends short of that, large pieces are left without small ones to go with: so what is
+underfull is pooled over groups with a share of the full sequences and packed once more,
+largest first, and searched again.
 
 Defined results for odd input
 -----------------------------
@@ -30,11 +32,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mergeloom.llm.common import materialize
+from mergeloom.llm.common import Scratch, with_small_side
 from mergeloom.llm.words import Words, find_words, hash_words, row_slices
 
 PIECES = "id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
-PACKED = f"{PIECES}, sequence_id bigint, offset bigint"
+PACKED = f"{PIECES}, sequence_id bigint, offset bigint, moved boolean"
 
 
 class WordEncoder:
@@ -42,13 +44,15 @@ class WordEncoder:
 
     A text's ids are then those of its words one after the other. Words are found and
     hashed in bulk; each new one is tokenized once and its ids kept in a pool, which
-    is emptied when it holds more than `most` words or eight times as many ids.
+    is emptied when it holds more than `most` words or eight times as many ids. Words are
+    looked up by sorted hashes; only the last RECENT ones are in a dictionary.
     Words alike but for case share their ids, save those that hold one of the file's
     added tokens, which are found before lower-casing: these are kept by their exact bytes.
     """
 
     #: Words tokenized in one call, with a separator between them.
     TOGETHER = 100
+    RECENT = 50_000
 
     def __init__(self, tokenizer_file: str, most: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -64,7 +68,8 @@ class WordEncoder:
         self._empty()
 
     def _empty(self) -> None:
-        self.slots: dict[int, int] = {}
+        self.recent: dict[int, int] = {}
+        self.known, self.slots, self.held = np.zeros(0, np.uint64), np.zeros(0, np.int32), 0
         self.pool = np.zeros(1 << 16, np.uint32)
         self.begins = np.zeros(1 << 12, np.int64)
         self.lengths = np.zeros(1 << 12, np.int64)
@@ -93,7 +98,7 @@ class WordEncoder:
     def _learn(self, hashes: list[int], words: list[str]) -> None:
         ids = self._words(words)
         lengths = np.array([len(x) for x in ids], np.int64)
-        n, total = len(self.slots), int(lengths.sum())
+        n, total = self.held, int(lengths.sum())
         while self.used + total > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
         while n + len(ids) > len(self.begins):
@@ -102,8 +107,24 @@ class WordEncoder:
         self.pool[self.used : self.used + total] = np.concatenate(ids)
         self.lengths[n : n + len(ids)] = lengths
         self.begins[n : n + len(ids)] = self.used + np.cumsum(lengths) - lengths
-        self.used += total
-        self.slots.update(zip(hashes, range(n, n + len(ids)), strict=True))
+        self.used, self.held = self.used + total, n + len(ids)
+        self.recent.update(zip(hashes, range(n, n + len(ids)), strict=True))
+        if len(self.recent) > self.RECENT:
+            known = np.r_[self.known, np.fromiter(self.recent.keys(), np.uint64, len(self.recent))]
+            slots = np.r_[self.slots, np.fromiter(self.recent.values(), np.int32, len(self.recent))]
+            order = np.argsort(known)
+            self.known, self.slots, self.recent = known[order], slots[order], {}
+
+    def _slots(self, hashes: np.ndarray) -> np.ndarray:
+        """Where the ids of words are kept; -1 for those not met yet."""
+        out = np.full(len(hashes), -1, np.int64)
+        if len(self.known):
+            at = np.minimum(np.searchsorted(self.known, hashes), len(self.known) - 1)
+            found = self.known[at] == hashes
+            out[found] = self.slots[at[found]]
+        rest = np.flatnonzero(out < 0)
+        out[rest] = [self.recent.get(h, -1) for h in hashes[rest].tolist()]
+        return out
 
     def _hashes(self, words: Words) -> np.ndarray:
         """hash_words, but by exact bytes for words that hold an added token."""
@@ -121,16 +142,17 @@ class WordEncoder:
         words = find_words(texts)
         if not len(words.starts):
             return np.zeros(0, np.uint32), np.zeros(len(texts) + 1, np.int64)
-        if len(self.slots) > self.most or self.used > 8 * self.most:
+        if self.held > self.most or self.used > 8 * self.most:
             self._empty()
         distinct, first, inverse = np.unique(self._hashes(words), return_index=True, return_inverse=True)
-        keys = distinct.tolist()
-        new = [k for k, h in enumerate(keys) if h not in self.slots]
-        if new:
+        slots = self._slots(distinct)
+        new = np.flatnonzero(slots < 0)
+        if len(new):
             data = words.data.tobytes()
             spans = zip(words.starts[first[new]].tolist(), words.ends[first[new]].tolist(), strict=True)
-            self._learn([keys[k] for k in new], [data[a:b].decode("utf-8", "replace") for a, b in spans])
-        slot = np.fromiter(map(self.slots.__getitem__, keys), np.int64, len(keys))[inverse]
+            slots[new] = self.held + np.arange(len(new))
+            self._learn(distinct[new].tolist(), [data[a:b].decode("utf-8", "replace") for a, b in spans])
+        slot = slots[inverse]
         lengths = self.lengths[slot]
         ends = np.cumsum(lengths)
         ids = self.pool[np.repeat(self.begins[slot] - (ends - lengths), lengths) + np.arange(ends[-1])]
@@ -165,12 +187,12 @@ def token_pieces(docs: DataFrame, id_col: str, text_col: str, tokenizer_file: st
     return docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(pieces, PIECES)
 
 
-def best_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:
-    """Bins of indices: longest first, each into the fullest bin that has room."""
+def best_fit(lengths: np.ndarray, capacity: int, decreasing: bool = False) -> list[list[int]]:
+    """Bins of indices: as they come or longest first, each into the fullest bin that has room."""
     bins: list[list[int]] = []
     by_room: list[list[int]] = [[] for _ in range(capacity + 1)]
     rooms = 0  # bit r is set when a bin has r tokens of room
-    for k in np.argsort(-lengths, kind="stable").tolist():
+    for k in (np.argsort(-lengths, kind="stable") if decreasing else np.arange(len(lengths))).tolist():
         size = int(lengths[k])
         fits = rooms >> size
         if fits:
@@ -191,80 +213,95 @@ def best_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:
 def local_search(bins: list[list[int]], lengths: np.ndarray, capacity: int) -> list[list[int]]:
     """Empty bins by moves and exchanges that raise the sum of squared fills.
 
-    The least filled bin gives: an item moves, or is exchanged for a smaller one, or
-    two are exchanged for one smaller than both together, always towards a bin that is
-    at least as full, until the giver is empty or nothing improves. Ends when as few
-    bins are left as the total length allows, or every underfull bin has given.
+    From the least filled on, each underfull bin gives to those at least as full: an item
+    moves, or is exchanged for a smaller one, or two are exchanged for one smaller than both
+    together, until the giver is empty or nothing improves. Passes end when as few bins are
+    left as the total length allows, or one changes nothing. Emptied bins stay, as empty lists.
     """
+    bins = [list(b) for b in bins]
     fills = [int(lengths[b].sum()) for b in bins]
-    least = -(-int(lengths.sum()) // capacity)
-    open_bins = sorted((k for k, f in enumerate(fills) if f < capacity), key=lambda k: fills[k])
-    left = len(bins)
-    for giver in open_bins:
-        if left <= least:
-            break
-        takers = [k for k in open_bins if k != giver and 0 < fills[k] < capacity and fills[k] >= fills[giver]]
-        improved = bool(takers)
-        while improved and bins[giver]:
-            improved = False
-            owner = np.array([k for k in takers for _ in bins[k]])
-            place = np.array([i for k in takers for i in bins[k]])
-            size, room = lengths[place], capacity - np.array(fills)[owner]
-            own = sorted(bins[giver], key=lambda i: -lengths[i])
-            pairs = [(own[k], own[k + 1]) for k in range(len(own) - 1)]
-            for give in [(i,) for i in own] + pairs:
-                amount = int(lengths[list(give)].sum())
-                if len(give) == 1 and (fit := np.flatnonzero(room >= amount)).size:
-                    to, back = int(owner[fit[np.argmin(room[fit])]]), []
-                elif (swap := np.flatnonzero((size < amount) & (amount <= size + room))).size:
-                    best = swap[np.argmax(amount - size[swap])]
-                    to, back = int(owner[best]), [int(place[best])]
-                else:
-                    continue
-                gain = amount - sum(int(lengths[i]) for i in back)
-                bins[giver] = [i for i in bins[giver] if i not in give] + back
-                bins[to] = [i for i in bins[to] if i not in back] + list(give)
+    least, left, changed = -(-int(lengths.sum()) // capacity), sum(map(bool, bins)), True
+    while left > least and changed:
+        changed = False
+        for giver in sorted((k for k, f in enumerate(fills) if 0 < f < capacity), key=lambda k: fills[k]):
+            takers = [k for k, f in enumerate(fills) if k != giver and fills[giver] <= f < capacity]
+            if left <= least or not takers or not bins[giver]:
+                continue
+            # the takers' items: whose they are, which, how long; and the room of each bin
+            owner, place = np.repeat(takers, [len(bins[k]) for k in takers]), np.concatenate([bins[k] for k in takers])
+            size, room = lengths[place], np.zeros(len(bins), np.int64)
+            room[takers] = capacity - np.array([fills[k] for k in takers])
+            while bins[giver]:
+                step = _improvement(sorted(bins[giver], key=lambda i: -lengths[i]), lengths, size, room[owner])
+                if step is None:
+                    break
+                give, at, back = step
+                to, returned = int(owner[at]), [int(place[at])] if back else []
+                gain = int(lengths[give].sum()) - int(lengths[returned].sum())
+                bins[giver] = [i for i in bins[giver] if i not in give] + returned
+                bins[to] = [i for i in bins[to] if i not in returned] + give
+                if back:
+                    place[at], size[at] = give[0], lengths[give[0]]
+                more = np.array(give[1:] if back else give, np.int64)
+                owner, place, size = np.r_[owner, np.full(len(more), to)], np.r_[place, more], np.r_[size, lengths[more]]
                 fills[giver] -= gain
                 fills[to] += gain
-                takers = [k for k in takers if fills[k] < capacity]
-                improved = bool(takers)
-                break
-        left -= not bins[giver]
-    return [b for b in bins if b]
+                room[to] -= gain
+                changed = True
+            left -= not bins[giver]
+    return bins
+
 
+def _improvement(own: list[int], lengths: np.ndarray, size: np.ndarray, room: np.ndarray) -> tuple[list[int], int, bool] | None:
+    """What a giver gives (its items, longest first), the place of a taker's item, and whether that one comes back."""
+    for give in [[i] for i in own] + [own[k : k + 2] for k in range(len(own) - 1)]:
+        amount = int(lengths[give].sum())
+        fit = np.flatnonzero(room >= amount)
+        if len(give) == 1 and len(fit):
+            return give, int(fit[np.argmin(room[fit])]), False
+        swap = np.flatnonzero((size < amount) & (amount <= size + room) & (room > 0))
+        if len(swap):
+            return give, int(swap[np.argmax(amount - size[swap])]), True
+    return None
 
-def pack_group(rows: pd.DataFrame, capacity: int) -> pd.DataFrame:
-    """Pack one bounded group; sequence_id is the group's number and the bin's place in it."""
+
+def pack_group(rows: pd.DataFrame, capacity: int, decreasing: bool) -> pd.DataFrame:
+    """Pack one bounded group; sequence_id is the group's number and the bin's place in it, moved tells what the search moved."""
     lengths = rows["length"].to_numpy(np.int64)
-    bins = local_search(best_fit(lengths, capacity), lengths, capacity)
+    first = best_fit(lengths, capacity, decreasing)
+    bins = local_search(first, lengths, capacity)
+    was = np.zeros(len(lengths), np.int64)
+    was[np.concatenate(first)] = np.repeat(np.arange(len(first)), [len(b) for b in first])
     order = np.concatenate([np.array(b, np.int64) for b in bins])
-    out = rows.iloc[order].copy()
     number = np.repeat(np.arange(len(bins)), [len(b) for b in bins])
+    out = rows.iloc[order].copy()
     out["sequence_id"] = (rows["part"].to_numpy(np.int64)[order] << 32) + number
     ends = np.cumsum(lengths[order])
     firsts = np.r_[0, np.flatnonzero(np.diff(number)) + 1]
-    out["offset"] = ends - lengths[order] - np.repeat((ends - lengths[order])[firsts], [len(b) for b in bins])
+    out["offset"] = ends - lengths[order] - np.repeat((ends - lengths[order])[firsts], np.diff(np.r_[firsts, len(order)]))
+    out["moved"] = was[order] != number
     return out.drop(columns="part")
 
 
 def _dealt(pieces: DataFrame, level: int, groups: int, capacity: int) -> DataFrame:
     """Pack materialized pieces in groups that they are dealt to by a hash of their place."""
     part = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)) + (level << 24)
-    return pieces.withColumn("part", part).groupBy("part").applyInPandas(lambda rows: pack_group(rows, capacity), PACKED)
+    return pieces.withColumn("part", part).groupBy("part").applyInPandas(lambda rows: pack_group(rows, capacity, level > 0), PACKED)
 
 
-def pack(pieces: DataFrame, capacity: int, group_rows: int, slack: float) -> DataFrame:
-    """Pack materialized pieces; what stays underfull in a first round is pooled and packed again."""
+def pack(pieces: DataFrame, capacity: int, group_rows: int, partners: float, scratch: Scratch) -> DataFrame:
+    """Pack stored pieces; what stays underfull in a first round is pooled with some full sequences and packed again."""
     whole = F.col("length") == capacity
-    full = pieces.where(whole).withColumns({"sequence_id": -1 - F.monotonically_increasing_id(), "offset": F.lit(0).cast("bigint")})
-    groups = -(-pieces.where(~whole).count() // group_rows)
-    if groups <= 1:
-        return full.unionByName(_dealt(pieces.where(~whole), 0, 1, capacity))
-    packed = materialize(_dealt(pieces.where(~whole), 0, groups, capacity), "packed")
-    poor = packed.groupBy("sequence_id").agg(F.sum("length").alias("fill")).where(F.col("fill") < (1 - slack) * capacity).select("sequence_id")
-    rest = materialize(packed.join(poor, "sequence_id", "left_semi").select(*pieces.columns), "packed-rest")
-    again = _dealt(rest, 1, max(1, -(-rest.count() // group_rows)), capacity)
-    return full.unionByName(packed.join(poor, "sequence_id", "left_anti").select(*packed.columns)).unionByName(again)
+    full = pieces.where(whole).withColumns({"sequence_id": -1 - F.monotonically_increasing_id(), "offset": F.lit(0).cast("bigint"), "moved": F.lit(False)})
+    rest = pieces.where(~whole)
+    packed = scratch.store(_dealt(rest, 0, max(1, -(-rest.count() // group_rows)), capacity), "packed")
+    drawn = F.pmod(F.xxhash64("sequence_id"), F.lit(1 << 20)) < int(partners * (1 << 20))
+    again = packed.groupBy("sequence_id").agg(F.sum("length").alias("fill")).where((F.col("fill") < capacity) | drawn).select("sequence_id")
+    again = scratch.store(again, "again")
+    side = with_small_side(again, again.count(), 16)
+    pool = scratch.store(packed.join(side, "sequence_id", "left_semi").select(*pieces.columns), "pool")
+    pooled = _dealt(pool, 1, max(1, -(-pool.count() // group_rows)), capacity)
+    return full.unionByName(packed.join(side, "sequence_id", "left_anti").select(*packed.columns)).unionByName(pooled)
 
 
 def best_fit_packing(
@@ -276,12 +313,13 @@ def best_fit_packing(
     capacity: int = 4096,
     end_id: int = 1,
     group_rows: int = 20_000,
-    slack: float = 0.03,
+    partners: float = 0.1,
 ) -> DataFrame:
-    """One row for each piece: id, piece, start, length, ids_crc32, sequence_id, offset.
+    """One row for each piece: id, piece, start, length, ids_crc32, sequence_id, offset, moved (by the search).
 
     group_rows: pieces packed together in a task, which bounds its memory and time.
-    slack: sequences with a larger empty share are packed once more over all groups.
+    partners: share of the full sequences that are packed once more with all underfull ones.
     """
-    pieces = materialize(token_pieces(docs, id_col, text_col, tokenizer_file, capacity, end_id), "pieces")
-    return pack(pieces, capacity, group_rows, slack).withColumnRenamed("id", id_col)
+    scratch = Scratch(docs.sparkSession, "packing")
+    pieces = scratch.store(token_pieces(docs, id_col, text_col, tokenizer_file, capacity, end_id), "pieces")
+    return pack(pieces, capacity, group_rows, partners, scratch).withColumnRenamed("id", id_col)

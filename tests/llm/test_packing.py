@@ -12,9 +12,7 @@ FILE = public_tokenizers.path("word_bpe_49k.json")
 def plain_ids(text):
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(FILE)
-    tokenizer.encode_special_tokens = True
-    return tokenizer.encode(text or "", add_special_tokens=False).ids + [1]
+    return Tokenizer.from_file(FILE).encode(text or "", add_special_tokens=False).ids + [1]
 
 
 @pytest.mark.parametrize("group_rows", [20_000, 3])
@@ -40,20 +38,34 @@ def test_pieces_and_places(spark, group_rows):
 
 def test_local_search_empties_bins():
     rng = np.random.default_rng(5)
-    for capacity, low, high in ((100, 20, 60), (100, 34, 50), (50, 1, 50)):
+    emptied = 0
+    for capacity, low, high in ((100, 20, 60), (100, 34, 50), (50, 1, 50), (1000, 10, 900)):
         lengths = rng.integers(low, high, 400)
         first = best_fit(lengths, capacity)
-        better = local_search([list(b) for b in first], lengths, capacity)
+        better = [b for b in local_search(first, lengths, capacity) if b]
         assert sorted(i for b in better for i in b) == list(range(400))
         assert all(lengths[b].sum() <= capacity for b in better)
-        assert len(better) <= len(first)
+        squares = [sum(int(lengths[b].sum()) ** 2 for b in bins) for bins in (first, better)]
+        assert squares[1] >= squares[0]
+        emptied += len(first) - len(better)
+    assert emptied > 10
 
 
 def test_exchange_two_for_one():
     # no single move or exchange empties the last bin; 30 + 20 for 45 does
     lengths = np.array([55, 45, 30, 20])
     out = local_search([[0], [1], [2, 3]], lengths, 105)
-    assert len(out) == 2
+    assert sum(map(bool, out)) == 2
+
+
+def test_as_few_sequences_as_the_tokens_allow_by_the_search(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = best_fit_packing(docs, tokenizer_file=FILE).collect()
+    fills = {}
+    for r in rows:
+        fills[r.sequence_id] = fills.get(r.sequence_id, 0) + r.length
+    assert max(fills.values()) <= 4096 and len(fills) == -(-sum(fills.values()) // 4096)
+    assert sum(r.moved for r in rows) > 50
 
 
 def test_empty_table(spark):
