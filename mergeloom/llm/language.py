@@ -1,6 +1,6 @@
 """Language identification by compression against per-language dictionaries.
 
-Each language gets a raw-content zstandard dictionary made of whole sample texts. Texts
+Each language gets a raw-content zstandard dictionary made of sample passages. Texts
 are reduced to their lower-cased letters, with a space for whatever stands between. A
 text is cut into blocks; every block is compressed against every dictionary, and the
 language with the smallest sum of sizes wins. The margin to the runner-up tells how
@@ -22,7 +22,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mergeloom.llm.words import row_slices
@@ -43,28 +43,33 @@ class LanguageModel(NamedTuple):
     contents: list[bytes]
 
 
-def learn_languages(labelled: DataFrame, *, sample_rows: int = 64, sample_bytes: int = 8192, dictionary_bytes: int = 96 << 10) -> LanguageModel:
+def learn_languages(
+    labelled: DataFrame, *, sample_rows: int = 64, sample_bytes: int = 8192, dictionary_bytes: int = 96 << 10, most_languages: int = 256
+) -> LanguageModel:
     """Dictionaries from a bounded sample of labelled rows (columns id, text, lang).
 
-    Rows per language are counted over all rows. Sampled are about sample_rows rows of
-    each language, of at most sample_bytes bytes, by a hash of the id; a dictionary
-    holds whole texts up to dictionary_bytes. Copies of a text are used once.
+    Rows per language are counted over all rows; the most_languages with most rows are
+    learned. Sampled are about sample_rows rows of each language by a hash of the id, copies of
+    a text once, of a long text its first sample_bytes letters; a dictionary holds such
+    passages up to dictionary_bytes.
     """
-    rows = labelled.where("id IS NOT NULL AND text IS NOT NULL AND lang IS NOT NULL")
-    fit = rows.where((F.octet_length("text") <= sample_bytes) & F.col("text").rlike("\\p{L}"))
-    counts = fit.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()
+    rows = labelled.where("id IS NOT NULL AND text IS NOT NULL AND lang IS NOT NULL").where(F.col("text").rlike("\\p{L}"))
+    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages).collect()
     if not counts:
         return LanguageModel([], [])
     share = F.create_map(*[x for r in counts for x in (F.lit(r.lang), F.lit(min(1.0, 2 * sample_rows / r.n)))])
     at = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / float(1 << 30)
-    sample = fit.where(at < share[F.col("lang")]).select("lang", letters_only(F.col("text")).alias("text"), at.alias("at"), "id").collect()
-    texts: dict[str, dict[bytes, None]] = {r.lang: {} for r in counts}
-    for r in sorted(sample, key=lambda r: (r.at, r.id)):
+    passage = F.substr(letters_only(F.col("text")), F.lit(1), F.lit(sample_bytes))
+    sample = rows.where(at < share[F.col("lang")]).select("lang", passage.alias("text"), at.alias("at"), "id")
+    sample = sample.groupBy("lang", "text").agg(F.min(F.struct("at", "id")).alias("first"))
+    before = F.sum(F.octet_length("text")).over(Window.partitionBy("lang").orderBy("first").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    texts: dict[str, list[bytes]] = {r.lang: [] for r in counts}
+    for r in sample.withColumn("bytes", before).where(F.col("bytes") <= dictionary_bytes + sample_bytes).orderBy("lang", "first").collect():
         own, text = texts[r.lang], r.text.encode()
-        if text not in own and sum(map(len, own)) + len(text) <= dictionary_bytes:
-            own[text] = None
-    order = sorted((r for r in counts if texts[r.lang]), key=lambda r: (-r.n, r.lang))
-    return LanguageModel([r.lang for r in order], [b"\n".join(texts[r.lang]) for r in order])
+        if sum(map(len, own)) + len(text) <= dictionary_bytes:
+            own.append(text)
+    known = [r.lang for r in counts if texts[r.lang]]
+    return LanguageModel(known, [b"\n".join(texts[x]) for x in known])
 
 
 class Sizes:

@@ -32,7 +32,7 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, held_out = documents(spark, sf_dir), bucket_of_id("doc_id", 4) == 2
+    docs, held_out = documents(spark, sf_dir), F.coalesce(bucket_of_id("doc_id", 4) == 2, F.lit(False))
     model = learn_languages(labelled_rows(docs, ~held_out))
     return identify_language(docs, model).withColumn("held_out", held_out)
 
@@ -50,7 +50,7 @@ def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, held_out = documents(spark, sf_dir), bucket_of_id("doc_id", 5) == 0
+    docs, held_out = documents(spark, sf_dir), F.coalesce(bucket_of_id("doc_id", 5) == 0, F.lit(False))
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~held_out)
     return score_toxicity(docs, learn_toxicity(docs, labels)).withColumn("held_out", held_out)
 

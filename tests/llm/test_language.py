@@ -33,3 +33,30 @@ def test_nothing_to_learn_and_empty_table(spark):
     assert model == LanguageModel([], [])
     assert identify_language(docs, model).first().lang_pred == "und"
     assert identify_language(docs.where("doc_id > 1"), model).count() == 0
+
+
+def test_against_sizes_by_brute_force(spark):
+    import regex
+    import zstandard
+
+    rows = [(k, prose(lang, 3 + k % 40, k), lang) for k, lang in enumerate(["xa", "yb"] * 60)]
+    rows += [(500, prose("xa", 9000, 7), "long"), (501, prose("xa", 40, 8) + " " + prose("yb", 40, 9), None), (502, "Kora 7 MITA", None), (503, "éß ıİ", None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = learn_languages(labelled_rows(docs, docs.doc_id >= 0))
+    assert set(model.languages) == {"xa", "yb", "long"} and model.languages[2] == "long"  # learned from a long text alone
+    dictionaries = [zstandard.ZstdCompressionDict(c, dict_type=zstandard.DICT_TYPE_RAWCONTENT) for c in model.contents]
+    for r in identify_language(docs, model).collect():
+        text = next(t for k, t, _ in rows if k == r.doc_id)
+        letters = regex.sub(r"[^\p{L}\p{M}]+", " ", text.lower()).strip().encode()
+        blocks = [letters[k : k + 4096] for k in range(0, len(letters), 4096)]
+        plain = {"level": 6, "write_content_size": False, "write_checksum": False, "write_dict_id": False}
+        sizes = [sum(len(zstandard.ZstdCompressor(dict_data=d, **plain).compress(b)) for b in blocks) for d in dictionaries]
+        best = min(range(3), key=lambda k: sizes[k])
+        margin = 1 - sizes[best] / min(n for k, n in enumerate(sizes) if k != best)
+        assert (r.lang_pred, r.rejected) == (model.languages[best], margin < 0.005) and abs(r.margin - margin) < 1e-12, text
+
+
+def test_as_many_languages_as_allowed(spark):
+    rows = [(k, prose("xa", 9, k), f"l{k % 7}" if k else "l6") for k in range(70)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    assert learn_languages(labelled_rows(docs, docs.doc_id >= 0), most_languages=3).languages == ["l6", "l1", "l2"]
