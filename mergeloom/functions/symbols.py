@@ -22,20 +22,16 @@ def of_text(text: Column) -> Column:
     return F.translate(F.decode(F.encode(text, "UTF-8"), "ISO-8859-1"), _LATIN, _SYMBOLS)
 
 
-def ids(symbols: Column) -> Column:
-    """Token ids of a symbol string."""
-    return F.transform(F.filter(F.split(symbols, ""), lambda c: c != ""), lambda c: F.ascii(c) - BASE)
-
-
 def first_id(symbols: Column) -> Column:
     return F.ascii(symbols) - BASE
 
 
 def adjacent_pairs(symbols: Column) -> Column:
     """All overlapping pairs of neighbours, without those that hold token 0."""
-    n = F.char_length(symbols)
-    pairs = F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.substr(symbols, i, F.lit(2)))
-    return F.when(n > 1, F.filter(pairs, lambda p: ~F.contains(p, F.lit(NUL))))
+    each = F.filter(F.split(symbols, ""), lambda c: c != "")
+    left, right = F.slice(each, 1, F.char_length(symbols) - 1), F.slice(each, 2, F.char_length(symbols) - 1)
+    pairs = F.zip_with(left, right, lambda a, b: F.concat(a, b))
+    return F.when(F.char_length(symbols) > 1, F.filter(pairs, lambda p: ~F.contains(p, F.lit(NUL))))
 
 
 def merged(symbols: Column, a: int, b: int, new: int, self_pair: str = "greedy") -> Column:

@@ -13,7 +13,7 @@ from collections.abc import Callable
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, DataType, DoubleType, LongType, StringType
+from pyspark.sql.types import BinaryType, BooleanType, DataType, DoubleType, LongType, StringType
 
 #: Regular expressions of one-character properties.
 PROPERTIES = {
@@ -25,8 +25,21 @@ PROPERTIES = {
 }
 #: General categories in the order of their numbers, from 0 (unassigned).
 CATEGORIES = "Cn Lu Ll Lt Lm Lo Mn Mc Me Nd Nl No Pc Pd Ps Pe Pi Pf Po Sm Sc Sk So Zs Zl Zp Cc Cf Cs Co".split()
-#: Scripts in the order of their numbers, from 1 (common).
-SCRIPTS = "Common Inherited Latin Greek Cyrillic Armenian Hebrew Arabic Syriac Thaana Devanagari Bengali Gurmukhi Gujarati Oriya Tamil Telugu".split()
+#: Scripts in the order of their numbers, from 0.
+SCRIPTS = (
+    "UNKNOWN COMMON INHERITED LATIN GREEK CYRILLIC ARMENIAN HEBREW ARABIC SYRIAC THAANA DEVANAGARI BENGALI GURMUKHI GUJARATI ORIYA TAMIL TELUGU "
+    "KANNADA MALAYALAM SINHALA THAI LAO TIBETAN MYANMAR GEORGIAN HANGUL ETHIOPIC CHEROKEE CANADIAN_ABORIGINAL OGHAM RUNIC KHMER MONGOLIAN "
+    "HIRAGANA KATAKANA BOPOMOFO HAN YI OLD_ITALIC GOTHIC DESERET TAGALOG HANUNOO BUHID TAGBANWA LIMBU TAI_LE LINEAR_B UGARITIC SHAVIAN OSMANYA "
+    "CYPRIOT BRAILLE BUGINESE COPTIC NEW_TAI_LUE GLAGOLITIC TIFINAGH SYLOTI_NAGRI OLD_PERSIAN KHAROSHTHI BALINESE CUNEIFORM PHOENICIAN PHAGS_PA "
+    "NKO SUNDANESE LEPCHA OL_CHIKI VAI SAURASHTRA KAYAH_LI REJANG LYCIAN CARIAN LYDIAN CHAM TAI_THAM TAI_VIET AVESTAN EGYPTIAN_HIEROGLYPHS "
+    "SAMARITAN LISU BAMUM JAVANESE MEETEI_MAYEK IMPERIAL_ARAMAIC OLD_SOUTH_ARABIAN INSCRIPTIONAL_PARTHIAN INSCRIPTIONAL_PAHLAVI OLD_TURKIC "
+    "KAITHI BATAK BRAHMI MANDAIC CHAKMA MEROITIC_CURSIVE MEROITIC_HIEROGLYPHS MIAO SHARADA SORA_SOMPENG TAKRI CAUCASIAN_ALBANIAN BASSA_VAH "
+    "DUPLOYAN ELBASAN GRANTHA KHOJKI KHUDAWADI LINEAR_A MAHAJANI MANICHAEAN MENDE_KIKAKUI MODI MRO NABATAEAN OLD_NORTH_ARABIAN OLD_PERMIC "
+    "PAHAWH_HMONG PALMYRENE PAU_CIN_HAU PSALTER_PAHLAVI SIDDHAM TIRHUTA WARANG_CITI AHOM ANATOLIAN_HIEROGLYPHS HATRAN MULTANI OLD_HUNGARIAN "
+    "SIGNWRITING ADLAM BHAIKSUKI MARCHEN NEWA OSAGE TANGUT MASARAM_GONDI NUSHU SOYOMBO ZANABAZAR_SQUARE DOGRA GUNJALA_GONDI HANIFI_ROHINGYA "
+    "MAKASAR MEDEFAIDRIN OLD_SOGDIAN SOGDIAN ELYMAIC NANDINAGARI NYIAKENG_PUACHUE_HMONG WANCHO CHORASMIAN DIVES_AKURU KHITAN_SMALL_SCRIPT YEZIDI "
+    "CYPRO_MINOAN OLD_UYGHUR TANGSA TOTO VITHKUQI"
+).split()
 
 
 def version(spark) -> dict[str, str]:
@@ -50,12 +63,19 @@ def category(character: Column) -> Column:
     return out
 
 
+def script_name(cp: Column) -> Column:
+    """The script of a code point by the JVM's table (LATIN, HAN, ...)."""
+    return F.reflect(F.lit("java.lang.Character$UnicodeScript"), F.lit("of"), cp.cast("int"))
+
+
 def script(character: Column) -> Column:
     """The number of a character's script; 0 for one that is not listed."""
-    out = F.lit(0)
-    for k, name in enumerate(SCRIPTS, 1):
-        out = F.when(character.rlike(rf"^\p{{Is{name}}}$"), k).otherwise(out)
-    return out
+    return F.greatest(F.array_position(F.array(*[F.lit(x) for x in SCRIPTS]), script_name(F.ascii(character))) - 1, F.lit(0)).cast("int")
+
+
+def block(character: Column) -> Column:
+    """The name of a character's block by the JVM's table (BASIC_LATIN, CYRILLIC, ...); null outside all blocks."""
+    return F.reflect(F.lit("java.lang.Character$UnicodeBlock"), F.lit("of"), F.ascii(character).cast("int"))
 
 
 def in_block(character: Column, block: str) -> Column:
@@ -87,6 +107,11 @@ def from_utf16(value: Column) -> Column:
     return F.decode(value, "UTF-16LE")
 
 
+def is_well_formed(cps: Column) -> Column:
+    """Whether code points are a text's: none is a surrogate or out of range."""
+    return F.forall(cps, is_valid_codepoint)
+
+
 def is_cased(character: Column) -> Column:
     return F.lower(character) != F.upper(character)
 
@@ -106,8 +131,9 @@ def count_sentences(text: Column) -> Column:
 
 def is_suspicious(text: Column) -> Column:
     """Whether letters of more than one script stand in a text."""
-    found = [F.when(text.rlike(rf"(?=\p{{L}})\p{{Is{name}}}"), 1).otherwise(0) for name in SCRIPTS[2:]]
-    return sum(found[1:], found[0]) > 1
+    letters = F.array_distinct(F.filter(F.split(text, ""), lambda c: c.rlike(r"^\p{L}$")))
+    found = F.array_distinct(F.transform(letters, lambda c: script_name(F.ascii(c))))
+    return F.size(F.array_except(found, F.array(F.lit("COMMON"), F.lit("INHERITED"), F.lit("UNKNOWN")))) > 1
 
 
 def _by_character(kind: DataType, f: Callable) -> Callable[[Column], Column]:
@@ -128,7 +154,27 @@ case_fold = _by_character(StringType(), str.casefold)
 title = _by_character(StringType(), str.title)
 decomposed = _by_character(StringType(), lambda c: unicodedata.normalize("NFD", c))
 composed = _by_character(StringType(), lambda c: unicodedata.normalize("NFC", c))
-is_nfc = _by_character(BooleanType(), lambda c: unicodedata.is_normalized("NFC", c))
+
+
+def is_normalized(text: Column, form: str = "NFC") -> Column:
+    """Whether a text is in a normalization form: NFC, NFD, NFKC or NFKD."""
+
+    @F.arrow_udf(BooleanType())
+    def run(values: pa.Array) -> pa.Array:
+        return pa.array([None if v is None else unicodedata.is_normalized(form, v) for v in values.to_pylist()], pa.bool_())
+
+    return run(text)
+
+
+def normalize_bytes(value: Column, form: str = "NFC") -> Column:
+    """UTF-8 bytes in a normalization form; invalid ones become U+FFFD."""
+
+    @F.arrow_udf(BinaryType())
+    def run(values: pa.Array) -> pa.Array:
+        return pa.array([None if v is None else unicodedata.normalize(form, v.decode("utf-8", "replace")).encode() for v in values.to_pylist()], pa.binary())
+
+    return run(value)
+
 
 
 @F.arrow_udf(StringType())

@@ -1,17 +1,20 @@
-"""Encoding by merge order and by longest match, and decoding."""
+"""Encoding by merge order and by longest match, and decoding.
+
+Texts go to Arrow functions in batches; merges, matches and lookups run over a whole batch
+in numpy (mergeloom.operators.batches).
+"""
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mergeloom.functions import symbols as S
+from mergeloom.operators.batches import MergeTable, Trie, flat_bytes, lists_of, picked, slices
 from mergeloom.operators.training import Merge, token_bytes
 
-#: Merge lists up to this length are applied as JVM expressions.
-NATIVE_MERGES = 64
 REPLACEMENT = b"\xef\xbf\xbd"
 
 
@@ -20,29 +23,14 @@ def encode_merge_order(docs: DataFrame, merges: list[Merge], text_col: str = "te
 
     Without merges the ids are the bytes. Null stays null.
     """
-    if len(merges) <= NATIVE_MERGES:
-        expression = S.of_text(F.col(text_col))
-        for m in merges:
-            expression = S.merged(expression, m.a, m.b, m.new_id)
-        return docs.withColumn(out_col, S.ids(expression))
-
-    rules = [(S.symbol(m.a) + S.symbol(m.b), S.symbol(m.new_id)) for m in merges]
+    table = MergeTable([(m.a, m.b, m.new_id) for m in merges])
 
     @F.arrow_udf("array<int>")
-    def run(texts: pa.Array) -> pa.Array:
-        out = []
-        for text in texts.to_pylist():
-            if text is None:
-                out.append(None)
-                continue
-            s = "".join([chr(S.BASE + b) for b in text.encode()])
-            for pair, new in rules:
-                if pair in s:
-                    s = s.replace(pair, new)
-            out.append(np.frombuffer(s.encode("utf-32-le"), np.int32) - S.BASE)
-        return pa.array(out, pa.list_(pa.int32()))
+    def run(values: pa.Array) -> pa.Array:
+        out = [lists_of(*table.apply(*flat_bytes(part)), part) for part in slices(values)]
+        return pa.concat_arrays(out) if out else pa.array([], pa.list_(pa.int32()))
 
-    return docs.withColumn(out_col, run(F.col(text_col)))
+    return docs.withColumn(out_col, run(F.col(text_col).cast("binary")))
 
 
 def chunk_size(longest: int) -> int:
@@ -50,60 +38,85 @@ def chunk_size(longest: int) -> int:
     return max(512, min(2048, 8 * longest))
 
 
-def longest_match(value: bytes, tokens: dict[bytes, int], longest: int, size: int) -> list[list[int]]:
-    """Ids of each chunk of `size` bytes: the longest token at each place that ends within the chunk, else the byte."""
-    out = []
-    for begin in range(0, len(value), size):
-        end, at, ids = min(begin + size, len(value)), begin, []
-        while at < end:
-            for n in range(min(longest, end - at), 0, -1):
-                found = tokens.get(value[at : at + n])
-                if found is not None:
-                    break
-            else:
-                n, found = 1, value[at]
-            ids.append(found)
-            at += n
-        out.append(ids)
-    return out
-
-
-def encode_longest_match(docs: DataFrame, vocabulary: list[bytes], text_col: str = "text", out_col: str = "chunks", size: int | None = None) -> DataFrame:
+def encode_longest_match(
+    docs: DataFrame, vocabulary: list[bytes], text_col: str = "text", out_col: str = "chunks", size: int | None = None, part_bytes: int | None = None
+) -> DataFrame:
     """docs with an array of chunks, each an array of token ids, for each text (string or binary).
 
-    vocabulary: the bytes of each id; of equal ones the last counts, empty ones never.
+    vocabulary: the bytes of each id, at most MOST_TOKENS; of equal ones the last counts,
+    empty ones never. part_bytes: values longer than that are cut into parts of about so
+    many bytes, which are dealt out to tasks and put together again; chunks know nothing
+    of each other, so the result is the same.
     """
-    tokens = {b: k for k, b in enumerate(vocabulary) if b}
-    longest = max(map(len, tokens), default=1)
+    longest = max(map(len, vocabulary), default=1) or 1
     step = size or chunk_size(longest)
-    shared = docs.sparkSession.sparkContext.broadcast(tokens)  # at most MOST_TOKENS entries
+    trie = docs.sparkSession.sparkContext.broadcast(Trie(vocabulary))
 
     @F.arrow_udf("array<array<int>>")
     def run(values: pa.Array) -> pa.Array:
-        found = [None if v is None else longest_match(v, shared.value, longest, step) for v in values.to_pylist()]
-        return pa.array(found, pa.list_(pa.list_(pa.int32())))
-
-    return docs.withColumn(out_col, run(F.col(text_col).cast("binary")))
+        out = []
+        for part in slices(values):
+            ids, chunks, rows = trie.value.encode(*flat_bytes(part), step)
+            lists = pa.ListArray.from_arrays(pa.array(chunks.astype(np.int32)), pa.array(ids))
+            out.append(pa.ListArray.from_arrays(pa.array(rows.astype(np.int32)), lists, mask=pc.is_null(part)))
+        return pa.concat_arrays(out) if out else pa.array([], pa.list_(pa.list_(pa.int32())))
+
+    value = F.col(text_col).cast("binary")
+    if part_bytes is None:
+        return docs.withColumn(out_col, run(value))
+    part = -(-part_bytes // step) * step
+    giant = F.coalesce(F.octet_length(text_col) > part, F.lit(False))
+    plain, big = docs.where(~giant).withColumn(out_col, run(value)), docs.where(giant).withColumn("giant_key", F.sha2(value, 256))
+    values = big.select("giant_key", value.alias("value")).dropDuplicates(["giant_key"])
+    at = F.explode(F.sequence(F.lit(0), F.floor((F.octet_length("value") - 1) / part))).alias("part")
+    parts = values.select("giant_key", at, "value").select("giant_key", "part", F.substring("value", F.col("part") * part + 1, F.lit(part)).alias("value"))
+    found = parts.repartition("giant_key", "part").select("giant_key", "part", run(F.col("value")).alias("chunks"))
+    joined = found.groupBy("giant_key").agg(F.array_sort(F.collect_list(F.struct("part", "chunks"))).alias("parts"))
+    whole = big.join(joined, "giant_key").withColumn(out_col, F.flatten("parts.chunks"))
+    return plain.unionByName(whole.select(*plain.columns))
 
 
 def chunk_offsets(encoded: DataFrame, id_col: str, chunks_col: str = "chunks") -> DataFrame:
     """id, chunk, tokens and offset: how many tokens each chunk has and how many come before it."""
+
+    @F.arrow_udf("array<bigint>")
+    def sums_before(sizes: pa.Array) -> pa.Array:
+        flat = pc.fill_null(sizes.flatten(), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        counts = pc.fill_null(pc.list_value_length(sizes), 0).to_numpy(zero_copy_only=False)
+        ends = np.r_[0, np.cumsum(counts)]
+        before = np.r_[0, np.cumsum(flat)]
+        return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(before[:-1] - np.repeat(before[ends[:-1]], counts)))
+
     sizes = F.transform(chunks_col, lambda c: F.size(c))
-    before = F.transform(F.sequence(F.lit(0), F.size("sizes") - 1), lambda i: F.aggregate(F.slice("sizes", F.lit(1), i), F.lit(0), lambda s, x: s + x))
-    rows = encoded.select(id_col, sizes.alias("sizes")).where(F.size("sizes") > 0).select(id_col, "sizes", before.alias("before"))
+    rows = encoded.select(id_col, sizes.alias("sizes")).where(F.size("sizes") > 0).select(id_col, "sizes", sums_before("sizes").alias("before"))
     return rows.select(id_col, F.posexplode(F.arrays_zip("sizes", "before")).alias("chunk", "z")).select(id_col, "chunk", F.col("z.sizes").alias("tokens"), F.col("z.before").alias("offset"))
 
 
 def decode(tokens: DataFrame, vocab: DataFrame, id_col: str, tokens_col: str = "tokens") -> DataFrame:
-    """id and bytes of each row's token ids; an id outside the vocabulary gives the bytes of U+FFFD.
+    """id and bytes of each row's token ids; an id outside the vocabulary gives the bytes of U+FFFD, null gives null.
 
-    vocab: token_id and bytes, at most 65,536 rows, and therefore broadcast.
+    vocab: token_id and bytes, at most MOST_TOKENS rows, which every task gets.
     """
-    rows = tokens.select(id_col, F.posexplode(tokens_col).alias("pos", "token_id"))
-    parts = rows.join(F.broadcast(vocab.select("token_id", F.hex("bytes").alias("h"))), "token_id", "left")
-    parts = parts.select(id_col, F.struct("pos", F.coalesce("h", F.lit(REPLACEMENT.hex())).alias("h")).alias("part"))
-    joined = parts.groupBy(id_col).agg(F.array_sort(F.collect_list("part")).alias("parts"))
-    return joined.select(id_col, F.unhex(F.array_join("parts.h", "")).alias("bytes"))
+    known = {r.token_id: bytes(r.bytes) for r in vocab.select("token_id", "bytes").collect()}
+    # the last entry stands for unknown ids
+    values = [known.get(k, REPLACEMENT) for k in range(max(known, default=-1) + 1)] + [REPLACEMENT]
+    sizes = np.array([len(v) for v in values], np.int64)
+    begins, pool = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(values), np.uint8)
+
+    @F.arrow_udf("binary")
+    def run(lists: pa.Array) -> pa.Array:
+        out = []
+        for a in range(0, len(lists), 256):
+            part = lists[a : a + 256]
+            ids = pc.fill_null(part.flatten(), -1).to_numpy(zero_copy_only=False)
+            ids = np.where((ids >= 0) & (ids < len(values) - 1), ids, len(values) - 1)
+            ends = np.cumsum(pc.fill_null(pc.list_value_length(part), 0).to_numpy(zero_copy_only=False))
+            offsets = np.r_[0, np.r_[0, np.cumsum(sizes[ids])][ends]].astype(np.int32)
+            body = pa.Array.from_buffers(pa.binary(), len(part), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(picked(pool, begins[ids], sizes[ids]).tobytes())])
+            out.append(pc.if_else(part.is_valid(), body, pa.scalar(None, pa.binary())))
+        return pa.concat_arrays(out) if out else pa.array([], pa.binary())
+
+    return tokens.select(id_col, run(tokens_col).alias("bytes"))
 
 
 def decode_bytes(ids: list[int], merges: list[Merge]) -> bytes:

@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mergeloom.functions import symbols as S
-from mergeloom.functions.text import words
-from mergeloom.sources.storage import materialize
+from mergeloom.functions.text import display_bytes, words
+from mergeloom.sources.storage import Scratch
 
 
 class Merge(NamedTuple):
@@ -77,33 +77,43 @@ def safe_prefix(ranked: list[tuple[int, int, int]], most: int) -> list[tuple[int
 def train_merges(bag: DataFrame, target: int, *, self_pair: str = "greedy", ranked: int = 256, keep_every: int = 8) -> list[Merge]:
     """Merges until the vocabulary has `target` tokens or no pair occurs twice.
 
-    bag: word and freq. Each round is one Spark job that returns the `ranked` most
-    frequent pairs; merges that cannot influence each other are taken together.
-    The bag is written to shared storage every keep_every merges, which bounds the plan.
+    bag: word and freq. Pairs are counted once; then each round takes merges that cannot
+    influence each other from the `ranked` most frequent pairs, and corrects the counts by
+    the words that hold one of them, their pairs before taken off and those after added. The
+    counts are written every round, the bag every keep_every merges, which bounds the plan.
     Raises ValueError for an empty bag.
     """
     if target > S.MOST_TOKENS:
         raise ValueError(f"at most {S.MOST_TOKENS} tokens")
-    state = materialize(symbol_bag(bag), "symbol-bag")
+    scratch = Scratch(bag.sparkSession, "training")
+    state = scratch.store(symbol_bag(bag), "bag")
     if state.isEmpty():
         raise ValueError("the corpus is empty")
+    counts = scratch.store(pair_counts(state), "counts")
     merges: list[Merge] = []
     pending = 0
     while 256 + len(merges) < target:
-        rows = [(r.a, r.b, r["count"]) for r in top_pairs(state, ranked).collect()]
+        rows = [(r.a, r.b, r["count"]) for r in with_ids(counts.orderBy(F.desc("count"), "pair").limit(ranked)).collect()]
         # at the end of a full list pairs with the last count may be missing
         whole = rows if len(rows) < ranked else [r for r in rows if r[2] > rows[-1][2]] or rows[:1]
         chosen = safe_prefix(whole, target - 256 - len(merges))
         if not chosen:
             break
-        expression = F.col("symbols")
+        expression, held = F.col("symbols"), F.lit(False)
         for a, b, n in chosen:
             merges.append(Merge(a, b, 256 + len(merges), n))
             expression = S.merged(expression, a, b, merges[-1].new_id, self_pair)
+            held = held | F.contains("symbols", F.lit(S.symbol(a) + S.symbol(b)))
+        signed = lambda symbols, freq: F.transform(F.coalesce(S.adjacent_pairs(symbols), F.array().cast("array<string>")), lambda p: F.struct(p.alias("pair"), freq.alias("count")))
+        touched = state.where(held).select("freq", F.col("symbols"), expression.alias("after"))
+        change = touched.select(F.explode(F.concat(signed(F.col("symbols"), -F.col("freq")), signed(F.col("after"), F.col("freq")))).alias("p")).select("p.*")
+        corrected = counts.unionByName(change.groupBy("pair").agg(F.sum("count").alias("count"))).groupBy("pair").agg(F.sum("count").alias("count"))
+        counts = scratch.replace(corrected.where("count > 0"), "counts")
         state = state.withColumn("symbols", expression)
         pending += len(chosen)
         if pending >= keep_every:
-            state, pending = materialize(state, "symbol-bag"), 0
+            state, pending = scratch.replace(state, "bag"), 0
+    scratch.drop()
     return merges
 
 
@@ -129,22 +139,31 @@ def token_bytes(merges: list[Merge]) -> list[bytes]:
 
 def vocabulary(spark, merges: list[Merge]) -> DataFrame:
     """token_id, bytes and display of every token."""
-    from mergeloom.functions.text import display_bytes
-
     return spark.createDataFrame([(k, bytearray(b), display_bytes(b)) for k, b in enumerate(token_bytes(merges))], "token_id int, bytes binary, display string")
 
 
-def progress(bag: DataFrame, merges: list[Merge]) -> DataFrame:
-    """For each merge its number, token, count and the symbols left in the corpus after it (bag: a symbol bag)."""
+def progress(bag: DataFrame, merges: list[Merge], *, seconds: float = 0.0, keep_every: int = 8) -> DataFrame:
+    """For each merge its number, token, count, the symbols left in the corpus after it, and how far training is (bag: a symbol bag).
+
+    ratio: symbols before all merges for one left; percent: share of the merges done;
+    seconds_left: what the rest takes at the pace of the merges so far, which took `seconds` in all.
+    """
+    spark, parts = bag.sparkSession, token_bytes(merges)
+    scratch = Scratch(spark, "progress")
     total = bag.agg(F.sum(F.col("freq") * F.char_length("symbols")).alias("n")).first().n or 0
-    spark, parts, rows = bag.sparkSession, token_bytes(merges), []
-    from mergeloom.functions.text import display_bytes
-
-    left = [F.sum(F.col("freq") * F.char_length(e)).alias(f"n{k}") for k, e in enumerate(_stages(merges))]
-    counts = bag.agg(*left).first() if left else []
-    for k, m in enumerate(merges):
-        rows.append((k + 1, len(merges), display_bytes(parts[m.new_id]), m.count, int(counts[k]), round(total / counts[k], 4) if counts[k] else None))
-    return spark.createDataFrame(rows, "merge_index int, total_merges int, merge_string string, best_count bigint, symbol_count bigint, ratio double")
+    left: list[int] = []
+    for k in range(0, len(merges), keep_every):  # the plan holds so many merges at most
+        stages = list(_stages(merges[k : k + keep_every]))
+        left += bag.agg(*[F.sum(F.col("freq") * F.char_length(e)).alias(f"n{i}") for i, e in enumerate(stages)]).first()
+        if k + keep_every < len(merges):
+            bag = scratch.replace(bag.withColumn("symbols", stages[-1]), "bag")
+    scratch.drop()
+    n = len(merges)
+    rows = [
+        (k + 1, n, display_bytes(parts[m.new_id]), m.count, int(left[k]), round(total / left[k], 4) if left[k] else None, round(100.0 * (k + 1) / n, 1), round(seconds * (n - k - 1) / n, 3))
+        for k, m in enumerate(merges)
+    ]
+    return spark.createDataFrame(rows, "merge_index int, total_merges int, merge_string string, best_count bigint, symbol_count bigint, ratio double, percent double, seconds_left double")
 
 
 def _stages(merges: list[Merge]):

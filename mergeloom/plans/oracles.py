@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from mergeloom.plans.queries import K
+from mergeloom.plans.queries import K, LETTER_PAIRS
 from mergeloom.sources.corpus import TEXT_EXTENSIONS
 
 BYTE_WORDS = r"\n| *(?:[A-Za-z\x{80}-\x{10FFFF}]+|[0-9]+)| +|[^A-Za-z0-9 \n\x{80}-\x{10FFFF}]+"
@@ -95,6 +95,23 @@ chunked AS (
 """.replace("{symbols}", SYMBOLS_OF.format("text"))
 
 DISPLAY = "CASE WHEN b = 32 THEN '▁' WHEN b = 10 THEN '\\n' WHEN b BETWEEN 33 AND 126 THEN chr(b) ELSE printf('<0x%02X>', b) END"
+
+def _many_merges() -> str:
+    s = SYMBOLS_OF.format("text")
+    for k, (a, b) in enumerate(LETTER_PAIRS):
+        s = f"replace({s}, chr({65536 + a}) || chr({65536 + b}), chr({65536 + 256 + k}))"
+    return s
+
+
+#: Display of the bytes h: valid UTF-8 as it is, other bytes by DISPLAY.
+DISPLAYED = f"""array_to_string(list_transform(regexp_extract_all(h, '(?:C[2-9A-F]|D[0-9A-F])[89AB][0-9A-F]|E[0-9A-F](?:[89AB][0-9A-F]){{2}}|F[0-4](?:[89AB][0-9A-F]){{3}}|..'),
+  lambda x: CASE WHEN length(x) > 2 THEN decode(unhex(x)) ELSE {DISPLAY.replace("b ", "(('0x' || x)::INT) ").replace("chr(b)", "chr(('0x' || x)::INT)").replace("', b)", "', ('0x' || x)::INT)")} END), '')"""
+#: A number's four bytes, lowest first, in hexadecimal.
+LITTLE = "printf('%02X%02X%02X%02X', ({0}) % 256, ({0}) // 256 % 256, ({0}) // 65536 % 256, ({0}) // 16777216)"
+SCRIPT_CASE = "CASE WHEN regexp_matches(chr(range::INT), '\\p{Latin}') THEN 3 WHEN regexp_matches(chr(range::INT), '\\p{Common}') THEN 1 ELSE 0 END"
+CATEGORY_CASE = "CASE " + " ".join(
+    f"WHEN regexp_matches(chr(range::INT), '\\p{{{c}}}') THEN {k}" for k, c in enumerate("Lu Ll Lt Lm Lo Mn Mc Me Nd Nl No Pc Pd Ps Pe Pi Pf Po Sm Sc Sk So Zs Zl Zp Cc Cf".split(), 1)
+) + " ELSE 0 END"
 BLANKS = "replace(text, '.' || chr(10), '.' || repeat(chr(10), 2) || ' ' || repeat(chr(10), 3))"
 PARAGRAPHS = f"""SELECT doc_id, unnest(range(0, len(l)))::BIGINT AS par_idx, unnest(l) AS par FROM (
   SELECT doc_id, list_filter(regexp_split_to_array({BLANKS}, '\\n\\n+'), lambda x: regexp_matches(x, '[^\\s\\x{{A0}}]')) AS l FROM documents)"""
@@ -154,8 +171,8 @@ ORACLES: dict[str, str] = {
     "top_byte_pairs": f"WITH {BAG} SELECT (unicode(p) - 65536)::INT AS a, (unicode(substr(p, 2)) - 65536)::INT AS b, n AS count FROM ({_pairs('s0')}) ORDER BY n DESC, p LIMIT 20",
     "best_pair": f"WITH {BAG} SELECT (unicode(p) - 65536)::INT AS a, (unicode(substr(p, 2)) - 65536)::INT AS b, n AS count FROM ({_pairs('s0')}) ORDER BY n DESC, p LIMIT 1",
     "merge_step": f"""
-        WITH {BAG}, m AS (SELECT p FROM ({_pairs("s0")}) ORDER BY n DESC, p LIMIT 1)
-        SELECT word, freq, length(s) AS n_before, length(replace(s, (SELECT p FROM m), 'x')) AS n_after FROM s0 WHERE contains(s, (SELECT p FROM m))""",
+        WITH {BAG}, m AS MATERIALIZED (SELECT p FROM ({_pairs("s0")}) ORDER BY n DESC, p LIMIT 1)
+        SELECT word, freq, length(s) AS n_before, length(replace(s, m.p, 'x')) AS n_after FROM s0 JOIN m ON contains(s0.s, m.p)""",
     "train_merges_8": f"""
         WITH {TRAIN} SELECT k AS merge_idx, (unicode(p) - 65536)::INT AS a, (unicode(substr(p, 2)) - 65536)::INT AS b, (256 + k)::INT AS new_id, n AS count FROM ({MERGES}) WHERE n >= 2""",
     "train_progress": f"WITH {TRAIN} "
@@ -166,11 +183,37 @@ ORACLES: dict[str, str] = {
     "model_json_roundtrip": f"WITH {TRAIN},\n{VOCAB} SELECT token_id, h AS bytes_hex FROM v",
     "display_bytes": f"SELECT b AS byte, {DISPLAY} AS display FROM (SELECT range::INT AS b FROM range(256))",
     "encode_merge_order": f"WITH {TRAIN} SELECT doc_id, length(s) AS n_tokens, md5({IDS.format('s')}) AS tokens_md5 FROM ({_encoded('documents')})",
+    "encode_many_merges": f"SELECT doc_id, length(s) AS n_tokens, md5({IDS.format('s')}) AS tokens_md5 FROM (SELECT doc_id, {_many_merges()} AS s FROM documents)",
+    "display_strings": f"WITH {TRAIN},\n{VOCAB} SELECT token_id, {DISPLAYED} AS display FROM v",
+    "token_spans": f"""
+        WITH {TRAIN},\n{VOCAB}, b AS (SELECT item_id, trim(text) AS text FROM benchmark WHERE trim(text) <> ''), e AS ({_encoded("b")}),
+        t AS (SELECT item_id, unnest(range(0, length(s)))::BIGINT AS pos, unicode(unnest(regexp_extract_all(s, '(?s).'))) - 65536 AS token_id FROM e),
+        d AS (SELECT token_id, replace(replace(replace(replace({DISPLAYED}, chr(10), '\\n'), chr(9), '\\t'), chr(13), '\\r'), ' ', '·') AS x FROM v)
+        SELECT item_id, pos, '<span class="token" title="Token ID: ' || token_id || '">' || x || '<span class="token-id">#' || token_id || '</span></span>' AS span FROM t JOIN d USING (token_id)""",
+    "bin_export": f"""
+        WITH {TRAIN}, e AS ({_encoded("benchmark")})
+        SELECT item_id, md5(unhex({LITTLE.format(0x44584654)} || {LITTLE.format(256 + K)} || {LITTLE.format("length(s)")} || {LITTLE.format(2)} ||
+          coalesce(array_to_string(list_transform(regexp_extract_all(s, '(?s).'), lambda c: {LITTLE.format("unicode(c) - 65536")}), ''), '') || '7B7D')) AS export_md5 FROM e""",
+    "bin_export_longest": f"""
+        WITH {TRAIN},\n{VOCAB},\n{ALTERNATION.replace("documents", "benchmark").replace("doc_id", "item_id")},
+        ids AS (SELECT item_id, chunk, unnest(m) AS a, unnest(range(0, len(m))) AS i FROM matched),
+        t AS (SELECT item_id, count(*) AS n, string_agg({LITTLE.format("token_id")}, '' ORDER BY chunk, i) AS body FROM ids JOIN lookup USING (a) GROUP BY item_id)
+        SELECT item_id, md5(unhex({LITTLE.format(0x44584654)} || {LITTLE.format(256 + K)} || {LITTLE.format("n")} || {LITTLE.format(2)} || body || '7B7D')) AS export_md5 FROM t""",
+    "trie_binary_roundtrip": f"""
+        WITH {TRAIN},\n{VOCAB},\n{NODES}
+        SELECT 3 AS version, count(*)::INT AS n_nodes, (count(*) - 1)::INT AS n_edges, (max(length(prefix)) // 2)::INT AS longest, (SELECT count(*) FROM v)::INT AS vocab_size FROM nodes""",
+    "case_mapping": "SELECT doc_id, md5(upper(replace(text, 'ß', 'SS'))) AS upper_md5, md5(lower(text)) AS lower_md5 FROM documents",
+    "unicode_categories": f"SELECT range::INT AS cp, ({CATEGORY_CASE})::INT AS category, ({SCRIPT_CASE})::INT AS script FROM range(1, 592)",
+    "normal_forms": """
+        WITH d AS (SELECT doc_id, replace(text, 'e', 'e' || chr(769)) AS t FROM documents)
+        SELECT doc_id, nfc_normalize(t) = t AS is_nfc, NOT regexp_matches(t, '[\\x{C0}-\\x{C5}\\x{C7}-\\x{CF}\\x{D1}-\\x{D6}\\x{D9}-\\x{DD}\\x{E0}-\\x{E5}\\x{E7}-\\x{EF}\\x{F1}-\\x{F6}\\x{F9}-\\x{FD}\\x{FF}]') AS is_nfd,
+               md5(nfc_normalize(t)) AS nfc_md5, true AS well_formed, false AS suspicious FROM d""",
     "stream_encode": f"WITH {TRAIN} SELECT doc_id, length(s) AS n_tokens, md5({IDS.format('s')}) AS tokens_md5 FROM ({_encoded('documents')})",
     "trie_nodes": f"WITH {TRAIN},\n{VOCAB},\n{NODES} SELECT node_id, prefix, first_child, num_children, token_id FROM nodes",
     "trie_edges": f"""
         WITH {TRAIN},\n{VOCAB},\n{NODES}
         SELECT node_id - 1 AS edge_id, ('0x' || right(prefix, 2))::INT AS symbol, node_id AS target FROM nodes WHERE node_id > 0""",
+    "encode_longest_match_parts": "",
     "encode_longest_match": f"""
         WITH {TRAIN},\n{VOCAB},\n{ALTERNATION},
         ids AS (SELECT doc_id, chunk, unnest(m) AS a, unnest(range(0, len(m))) AS i FROM matched)
@@ -213,3 +256,4 @@ ORACLES: dict[str, str] = {
     "utf8_valid": """
         SELECT doc_id, true AS valid, strlen(text) AS n_bytes, md5(array_to_string(list_transform(regexp_extract_all(text, '(?s).'), lambda c: unicode(c)::VARCHAR), ',')) AS codepoints_md5 FROM documents""",
 }
+ORACLES["encode_longest_match_parts"] = ORACLES["encode_longest_match"]

@@ -21,10 +21,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Tables up to this many bytes may have fewer row groups than there are cores.
+SMALL_TABLE = 256 << 20
+
+
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents; a table of fewer files than there are cores is dealt out, since a row group is read by one task."""
+    """The documents; a small table is dealt out to the cores, since a row group is read by one task. Others are left as they are read."""
     df, cores = table(spark, sf_dir, "documents"), spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))  # of the files
+    return df.repartition(cores) if size <= min(SMALL_TABLE, cores * (32 << 20)) else df
 
 
 def bag(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -144,6 +149,16 @@ def encode_merge_order(spark, sf_dir):
     return e.select("doc_id", F.size("tokens").cast("bigint").alias("n_tokens"), _tokens_md5("tokens").alias("tokens_md5"))
 
 
+#: Pairs of letters, in the order in which encode_many_merges joins them.
+LETTER_PAIRS = [(a, b) for a in b"etaoinshrdlu" for b in b"etaoinshrdlu"]
+
+
+def encode_many_merges(spark, sf_dir):
+    merges = [training.Merge(a, b, 256 + k, 2) for k, (a, b) in enumerate(LETTER_PAIRS)]
+    e = encoding.encode_merge_order(docs(spark, sf_dir), merges)
+    return e.select("doc_id", F.size("tokens").cast("bigint").alias("n_tokens"), _tokens_md5("tokens").alias("tokens_md5"))
+
+
 def trie_nodes(spark, sf_dir):
     return trie.trie_nodes(training.vocabulary(spark, small_model(spark, sf_dir)))
 
@@ -161,6 +176,13 @@ def encode_longest_match(spark, sf_dir):
     return e.select("doc_id", F.size("tokens").cast("bigint").alias("n_tokens"), _tokens_md5("tokens").alias("tokens_md5"))
 
 
+def encode_longest_match_parts(spark, sf_dir):
+    """As encode_longest_match, long texts cut into parts of some kilobytes that go to different tasks."""
+    e = encoding.encode_longest_match(docs(spark, sf_dir), training.token_bytes(small_model(spark, sf_dir)), part_bytes=8192)
+    e = e.select("doc_id", F.flatten("chunks").alias("tokens"))
+    return e.select("doc_id", F.size("tokens").cast("bigint").alias("n_tokens"), _tokens_md5("tokens").alias("tokens_md5"))
+
+
 def chunk_offsets(spark, sf_dir):
     o = encoding.chunk_offsets(_chunks(spark, sf_dir), "doc_id")
     return o.select("doc_id", F.col("chunk").cast("bigint"), F.col("tokens").cast("bigint"), F.col("offset").cast("bigint"))
@@ -219,6 +241,14 @@ def bin_export(spark, sf_dir):
     return blobs.select("item_id", F.md5("export").alias("export_md5"))
 
 
+def bin_export_longest(spark, sf_dir):
+    """The export of ids by longest match."""
+    model = small_model(spark, sf_dir)
+    items = encoding.encode_longest_match(table(spark, sf_dir, "benchmark"), training.token_bytes(model))
+    blobs = model_io.token_blob(items.select("item_id", F.flatten("chunks").alias("tokens")), "{}", 256 + len(model), "item_id")
+    return blobs.select("item_id", F.md5("export").alias("export_md5"))
+
+
 def trie_binary_roundtrip(spark, sf_dir):
     blob = trie.trie_blob(spark, training.vocabulary(spark, small_model(spark, sf_dir)))
     head, nodes, edges = trie.parse(bytes(blob.first().trie))  # one small row
@@ -257,8 +287,26 @@ def utf8_valid(spark, sf_dir):
 
 
 def unicode_categories(spark, sf_dir):
+    return _latin(spark).select("cp", U.category(F.col("c")).alias("category"), U.script(F.col("c")).alias("script"))
+
+
+def unicode_names(spark, sf_dir):
     c = _latin(spark)
-    return c.select("cp", U.category(F.col("c")).alias("category"), U.script(F.col("c")).alias("script"), U.name(F.col("c")).alias("name"), U.numeric_value(F.col("c")).alias("numeric_value"), U.case_fold(F.col("c")).alias("folded"))
+    return c.select("cp", U.name(F.col("c")).alias("name"), U.numeric_value(F.col("c")).alias("numeric_value"), U.case_fold(F.col("c")).alias("folded"), U.block(F.col("c")).alias("block"))
+
+
+def unicode_scripts(spark, sf_dir):
+    """How many code points each script has, over all planes."""
+    every = spark.range(0x110000).where(U.is_valid_codepoint(F.col("id"))).select(U.script_name(F.col("id")).alias("script"))
+    return every.groupBy("script").agg(F.count(F.lit(1)).alias("n"))
+
+
+def normal_forms(spark, sf_dir):
+    d = docs(spark, sf_dir).select("doc_id", F.replace("text", F.lit("e"), F.lit("e\u0301")).alias("text"))
+    return d.select(
+        "doc_id", *[U.is_normalized(F.col("text"), f).alias(f"is_{f.lower()}") for f in ("NFC", "NFD")], F.md5(U.normalize_bytes(F.col("text").cast("binary"))).alias("nfc_md5"),
+        U.is_well_formed(U.codepoints(F.col("text"))).alias("well_formed"), U.is_suspicious(F.col("text")).alias("suspicious"),
+    )
 
 
 def stream_encode(spark, sf_dir):
@@ -279,9 +327,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         corpus_profile, ext_filter, paragraph_split, paragraph_shuffle, corpus_concat, nfc_normalize, codepoint_class_counts, unicode_words,
         byte_words, word_bag_top, pair_counts, top_byte_pairs, best_pair, merge_step, train_merges_8, train_progress, vocab_table, display_bytes,
-        display_strings, encode_merge_order, trie_nodes, trie_edges, encode_longest_match, chunk_offsets, decode_roundtrip, decode_unknown,
-        compression_by_lang, token_spans, format_size, format_duration, model_json_roundtrip, vocab_text_export, bin_export,
-        trie_binary_roundtrip, unicode_properties, character_classes, byte_classes, case_mapping, grapheme_count, utf8_valid,
-        unicode_categories, stream_encode,
+        display_strings, encode_merge_order, encode_many_merges, trie_nodes, trie_edges, encode_longest_match, encode_longest_match_parts,
+        chunk_offsets, decode_roundtrip, decode_unknown, compression_by_lang, token_spans, format_size, format_duration, model_json_roundtrip,
+        vocab_text_export, bin_export, bin_export_longest, trie_binary_roundtrip, unicode_properties, character_classes, byte_classes,
+        case_mapping, grapheme_count, utf8_valid, unicode_categories, unicode_names, unicode_scripts, normal_forms, stream_encode,
     )
 }

@@ -77,6 +77,14 @@ class Scratch:
         self.paths.setdefault(name, []).append(f"{self.folder}/{name}-{self.stored}")
         return self.paths[name][-1]
 
+    def replace(self, df: DataFrame, name: str) -> DataFrame:
+        """Store df, which may read the table stored under name before, and delete that one."""
+        old = self.paths.pop(name, [])
+        new = self.store(df, name)
+        self.paths["replaced"] = old
+        self.drop("replaced")
+        return new
+
     def drop(self, *names: str) -> None:
         """Delete all that was stored under these names, or everything; what still reads it must have been stored before."""
         for name in names or list(self.paths):

@@ -1,11 +1,13 @@
 import random
 import struct
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from mergeloom.operators import encoding as E
 from mergeloom.operators import trie
+from mergeloom.operators.batches import Trie
 from mergeloom.operators.training import Merge, token_bytes, vocabulary
 from mergeloom.sources import model_io
 
@@ -41,11 +43,35 @@ def test_long_lists_agree_with_short_ones(spark):
         assert got[k] == ids and E.decode_bytes(ids, merges) == text.encode()
 
 
+def longest_match(value, vocabulary, size):
+    ids, chunks, _ = Trie(vocabulary).encode(np.frombuffer(value, np.uint8), np.array([0, len(value)]), size)
+    return [ids[a:b].tolist() for a, b in zip(chunks[:-1], chunks[1:], strict=True)]
+
+
+def test_longest_match_against_brute_force(spark):
+    rng = random.Random(3)
+    vocab = [bytes([b]) for b in range(256)] + [bytes(rng.choice(b"abc") for _ in range(rng.randint(2, 7))) for _ in range(60)]
+    table = {b: k for k, b in enumerate(vocab)}
+    texts = ["".join(rng.choice("abcd\u00e9") for _ in range(rng.randint(0, 3000))) for _ in range(25)] + [None, "abcab" * 4000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    for size, part in ((None, None), (7, None), (64, 1000)):
+        got = {r.id: r.chunks for r in E.encode_longest_match(docs, vocab, size=size, part_bytes=part).collect()}
+        for k, text in enumerate(texts):
+            want, value = [], (text or "").encode()
+            for begin in range(0, len(value), size or 512):
+                at, end, own = begin, min(begin + (size or 512), len(value)), []
+                while at < end:
+                    n = next(n for n in range(min(7, end - at), 0, -1) if value[at : at + n] in table)
+                    own.append(table[value[at : at + n]])
+                    at += n
+                want.append(own)
+            assert got[k] == (None if text is None else want)
+
+
 def test_longest_match_vectors():
     vocab = [bytes([b]) for b in range(256)] + [b"ab", b"abc"]
-    table = {b: k for k, b in enumerate(vocab)}
-    assert E.longest_match(b"abcab", table, 3, 512) == [[257, 256]]
-    assert E.longest_match(b"abcab", table, 3, 2) == [[256], [99, 97], [98]]
+    assert longest_match(b"abcab", vocab, 512) == [[257, 256]]
+    assert longest_match(b"abcab", vocab, 2) == [[256], [99, 97], [98]]
     assert [E.chunk_size(n) for n in (1, 100, 1000)] == [512, 800, 2048]
 
 
@@ -60,8 +86,8 @@ def test_decode_unknown_and_round_trip(spark):
     vocab = vocabulary(spark, AB)
     rows = {r.id: bytes(r.bytes).decode() for r in E.decode(E.encode_merge_order(docs, AB), vocab, "id").collect()}
     assert rows == {1: "abc ğ ab", 2: "x"}
-    odd = spark.createDataFrame([(1, [97, 400])], "id int, tokens array<int>")
-    assert bytes(E.decode(odd, vocab, "id").first().bytes) == b"a\xef\xbf\xbd"
+    odd = spark.createDataFrame([(1, [97, 400, -1]), (2, []), (3, None)], "id int, tokens array<int>")
+    assert {r.id: r.bytes and bytes(r.bytes) for r in E.decode(odd, vocab, "id").collect()} == {1: b"a" + b"\xef\xbf\xbd" * 2, 2: b"", 3: None}
 
 
 def test_trie_round_trip_and_refusals(spark):
