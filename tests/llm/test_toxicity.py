@@ -69,3 +69,45 @@ def test_nothing_labelled_and_empty(spark):
     assert score_toxicity(docs, model).first().score == 0
     assert score_toxicity(docs.where("doc_id > 1"), model).count() == 0
     assert np.allclose(np.exp(character_model(docs, "text")).sum(axis=-1), 1, atol=1e-3)
+
+
+def test_scores_against_plain_python(spark, learned):
+    """Every text as a whole, token by token, with a Viterbi of its own for the readings."""
+    import math
+
+    from mergeloom.llm.toxicity import DISGUISED, LETTERS
+
+    decoder = Decoder(learned.characters)
+
+    def reading(token):
+        """The best path over (last three letters), written out without shortcuts."""
+        best = {(0, 0, 0): (0.0, "")}
+        for options in decoder._readings(token):
+            after = {}
+            for state, (score, read) in best.items():
+                for letter, cost in options:
+                    code = None if not letter else 0 if letter == " " else ord(letter) - 96 if "a" <= letter <= "z" else 27
+                    total = score + cost + (float(learned.characters[state][code]) if code is not None and (state[2] or code) else 0.0)
+                    to = state if code is None else (state[1], state[2], code) if code else (0, 0, 0)
+                    if to not in after or total > after[to][0]:
+                        after[to] = (total, read + letter)
+            best = after
+        return max(best.items(), key=lambda x: x[1][0] + (float(learned.characters[x[0]][0]) if x[0][2] else 0.0))[1][1]
+
+    def score(text):
+        lower = (text or "").lower()
+        words = set(LETTERS.findall(lower))
+        for match in DISGUISED.finditer(lower):
+            words.update(LETTERS.findall(reading(match.group(0))))
+        logit = learned.intercept + sum(learned.weights[w] for w in words & learned.weights.keys())
+        return 1 / (1 + math.exp(-logit))
+
+    rng = random.Random(8)
+    disguises = ["r0tt3n", "v1le", "v.i.l.e", "viiiile", "v i l e", "R0TT3N", "vi1e", "stone", "123", "r-o-t-t-e-n", "ro77en"]
+    texts = [" ".join(rng.choice(PLAIN + disguises) for _ in range(rng.randint(0, 30))) for _ in range(80)]
+    texts += [None, "", "vvvv" + "iiii" * 40 + "llle", "r0tt3n" * 30, "ab1cd2" * 200, "x1" * 700 + "vile", "1l" * 60 + " v1le"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    for r in score_toxicity(docs, learned).collect():
+        assert abs(r.score - score(texts[r.doc_id])) < 1e-9, texts[r.doc_id]
+    token = "".join(rng.choice("r0tt3nv1l3") for _ in range(300))
+    assert decoder._decode(token) == reading(token)
