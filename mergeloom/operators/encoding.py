@@ -18,11 +18,13 @@ from mergeloom.operators.training import Merge, token_bytes
 REPLACEMENT = b"\xef\xbf\xbd"
 
 
-def encode_merge_order(docs: DataFrame, merges: list[Merge], text_col: str = "text", out_col: str = "tokens") -> DataFrame:
+def encode_merge_order(docs: DataFrame, merges: list[Merge] | None, text_col: str = "text", out_col: str = "tokens") -> DataFrame:
     """docs with the token ids of each whole text: every merge once, in order, from left to right.
 
-    Without merges the ids are the bytes. Null stays null.
+    Without merges the ids are the bytes; None, no model at all, raises ValueError. Null stays null.
     """
+    if merges is None:
+        raise ValueError("no model")
     table = MergeTable([(m.a, m.b, m.new_id) for m in merges])
 
     @F.arrow_udf("array<int>")

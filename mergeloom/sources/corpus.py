@@ -36,6 +36,20 @@ def read_files(spark: SparkSession, *paths: str, recursive: bool = False, only_t
     return files.select(name, F.col("length").alias("size"), nfc(text).alias("text"))
 
 
+def read_lines(spark: SparkSession, *paths: str, recursive: bool = False, only_text: bool = False) -> DataFrame:
+    """name and text of each line of files of any size, its line feed included, read by byte ranges.
+
+    A line feed is a word by itself in both word rules, so the bag of words of the lines is
+    that of the whole files. A file's last line gets a line feed too. Decoding is as in read_files.
+    """
+    lines = spark.read.option("recursiveFileLookup", recursive).option("lineSep", "\n").text(list(paths))
+    lines = lines.select(F.col("_metadata.file_name").alias("name"), F.col("_metadata.file_block_start").alias("start"), F.concat(F.make_valid_utf8("value"), F.lit("\n")).alias("text"))
+    if only_text:
+        lines = lines.where(is_text_name(F.col("name")))
+    text = F.when(F.col("start") == 0, F.regexp_replace("text", "^\\x{FEFF}", "")).otherwise(F.col("text"))
+    return lines.select("name", nfc(text).alias("text"))
+
+
 def without_file(files: DataFrame, name: str) -> DataFrame:
     return files.where(F.col("name") != name)
 

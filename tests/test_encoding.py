@@ -22,6 +22,8 @@ def tokens(spark, texts, merges):
 def test_merge_order_vectors(spark):
     assert tokens(spark, ["abab", "", None], AB) == {0: [256, 256], 1: [], 2: None}
     assert tokens(spark, ["ğ"], []) == {0: [196, 159]}
+    with pytest.raises(ValueError, match="no model"):
+        tokens(spark, ["a"], None)
 
 
 def test_long_lists_agree_with_short_ones(spark):

@@ -57,3 +57,37 @@ def test_unicode_functions(spark):
     assert (row.cat, row.name, row.num, row.can, row.script) == (1, "LATIN SMALL LETTER E WITH ACUTE", 3.0, True, 3)
     assert (row.mixed, row.plain, row.one, row.block, row.non, row.valid) == (True, False, "1", True, True, False)
     assert (row.back, row.nfd, row.fold, row.words) == ("é", "é", "ss", 2)
+
+
+def test_lines_have_the_bag_of_whole_files(spark, tmp_path):
+    from mergeloom.operators.training import word_bag
+
+    (tmp_path / "a.txt").write_bytes(b"\xef\xbb\xbfone  two\n\n three e\xcc\x81 \xff\r\nfour\n")
+    (tmp_path / "b.md").write_text("x y \n z\n")
+    (tmp_path / "c.png").write_text("no\n")
+    whole, lines = (f(spark, str(tmp_path), only_text=True) for f in (corpus.read_files, corpus.read_lines))
+    for mode in ("unicode", "byte"):
+        one, two = ({r.word: r.freq for r in word_bag(d, pretokenizer=mode).collect()} for d in (whole, lines))
+        assert one == two
+
+
+def test_scripts_blocks_and_forms(spark):
+    import unicodedata
+
+    import regex
+
+    cps = [65, 0xB5, 0x3B1, 0x416, 0x5D0, 0x627, 0x905, 0xE01, 0x4E00, 0xAC00, 0x3042, 0x10D0, 0x1F600, 0x301, 0x20]
+    rows = spark.createDataFrame([(c, chr(c)) for c in cps], "cp int, c string").select("cp", U.script(F.col("c")).alias("script"), U.block(F.col("c")).alias("block")).collect()
+    for r in rows:
+        assert regex.fullmatch(rf"\p{{Script={U.SCRIPTS[r.script]}}}", chr(r.cp)), r
+    assert {r.cp: r.block for r in rows}[0x416] == "CYRILLIC" and {r.cp: r.block for r in rows}[65] == "BASIC_LATIN"
+    texts = ["é", "e\u0301", "\ufb01", "plain", "", None]
+    for form in ("NFC", "NFD", "NFKC", "NFKD"):
+        d = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string")
+        got = d.select("k", U.is_normalized(F.col("t"), form).alias("is"), U.normalize_bytes(F.col("t").cast("binary"), form).alias("b"), T.normalize(F.col("t"), form).alias("s")).collect()
+        for r in got:
+            t = texts[r.k]
+            want = None if t is None else unicodedata.normalize(form, t)
+            assert r["is"] == (None if t is None else t == want) and r.s == want and (r.b if t is None else bytes(r.b).decode()) == want
+    ok = spark.createDataFrame([(1, [65, 0x10FFFF]), (2, [0xD800]), (3, [0x110000]), (4, [])], "k int, c array<int>")
+    assert {r.k: r.w for r in ok.select("k", U.is_well_formed(F.col("c")).alias("w")).collect()} == {1: True, 2: False, 3: False, 4: True}
