@@ -11,7 +11,8 @@ from mergeloom.llm.common import bucket_of_id, small_batches
 from mergeloom.llm.exact_dedup import exact_dedup
 from mergeloom.llm.grid_order import embedding_components
 from mergeloom.llm.language import identify_language, labelled_rows, learn_languages
-from mergeloom.llm.licenses import license_scan
+from mergeloom.llm.license_texts import TEMPLATES
+from mergeloom.llm.licenses import PHRASES, license_scan
 from mergeloom.llm.near_dedup import minhash_components
 from mergeloom.llm.packing import best_fit_packing
 from mergeloom.llm.piece_scan import decode_documents, encode_documents
@@ -56,7 +57,8 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_scan(documents(spark, sf_dir)).drop("spans")
+    scanned = license_scan(documents(spark, sf_dir)).drop("spans")
+    return scanned.withColumn("score", F.round("score", 9))  # sums of logarithms differ in the last digits
 
 
 def op8_sentencepiece_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,6 +113,38 @@ SELECT doc_id, n AS n_shingles, component_id, doc_id = component_id AS kept FROM
 """
 
 
+_TEMPLATES = ", ".join(f"({k}, '{t.label}', '{t.text}', '{t.key}')" for k, t in enumerate(TEMPLATES))
+_PHRASES = ", ".join(f"('{label}', '{phrase}')" for phrase, label in PHRASES.items())
+OP7_SQL = rf"""
+WITH t AS (SELECT k, label, string_split(text, ' ') AS own, string_split(key, ' ') AS key FROM (VALUES {_TEMPLATES}) v(k, label, text, key)),
+kp AS MATERIALIZED (SELECT *, list_filter(range(0, len(own)), lambda p: own[p + 1:p + len(key)] = key)[1] AS kat FROM t),
+w AS MATERIALIZED (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents
+), place AS MATERIALIZED (SELECT doc_id, unnest(w) AS word, unnest(range(0, len(w))) AS i FROM w),
+df AS (SELECT word, count(DISTINCT doc_id) AS n FROM place GROUP BY word),
+idf AS (SELECT word, ln(((SELECT count(*) FROM documents) + 1) / (coalesce(n, 0) + 1)::DOUBLE) + 1e-6 AS x FROM (SELECT DISTINCT unnest(own) AS word FROM kp) LEFT JOIN df USING (word)),
+posted AS (
+  SELECT k, p, word, x FROM (SELECT k, unnest(own) AS word, unnest(range(0, len(own))) AS p FROM kp) JOIN idf USING (word)
+  QUALIFY row_number() OVER (PARTITION BY k ORDER BY x DESC, p) <= 16
+), posting AS MATERIALIZED (
+  SELECT k, p, word, x / total AS x, CASE WHEN p BETWEEN kat AND kat + len(key) - 1 THEN 0 ELSE 2 + greatest(kat - p, p - kat - len(key) + 1) // 8 END AS off
+  FROM posted JOIN (SELECT k, list_sum(list(x ORDER BY p)) AS total FROM posted GROUP BY k) USING (k) JOIN kp USING (k)
+), span AS (
+  SELECT doc_id, k, label, i - kat AS d FROM place JOIN kp ON word = key[1]
+), found AS (
+  SELECT doc_id, label, least(1, list_sum(list(CASE WHEN d + p + off >= 0 AND list_contains(w[greatest(0, d + p - off) + 1:d + p + off + 1], word) THEN x ELSE 0 END ORDER BY p))) AS score
+  FROM (SELECT * FROM span JOIN kp USING (k, label) JOIN w USING (doc_id) WHERE w[d + kat + 1:d + kat + len(key)] = key) JOIN posting USING (k) GROUP BY doc_id, k, label, d HAVING score >= 0.6
+), base AS (
+  SELECT doc_id, label, i FROM place JOIN (SELECT label, string_split(phrase, ' ') AS ph FROM (VALUES {_PHRASES}) v(label, phrase)) ON word = ph[1] JOIN w USING (doc_id) WHERE w[i + 1:i + len(ph)] = ph
+), b AS (SELECT doc_id, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, list(DISTINCT label) AS base FROM base GROUP BY doc_id),
+f AS (SELECT doc_id, list(DISTINCT label) AS labels, max(score) AS score FROM found GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, array_to_string(list_sort(coalesce(base, [])), ',') AS base_labels,
+       array_to_string(list_sort(list_distinct(list_concat(coalesce(base, []), coalesce(labels, [])))), ',') AS labels,
+       round(greatest(coalesce(score, 0), CASE WHEN n_base > 0 THEN 0.5 ELSE 0 END)::DOUBLE, 9) AS score
+FROM w LEFT JOIN b USING (doc_id) LEFT JOIN f USING (doc_id)
+"""
+
+
 OP5_SQL = """
 WITH RECURSIVE v AS (
   SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
@@ -143,4 +177,5 @@ def oracle_sql() -> dict[str, str]:
         "op3_exact_dedup": OP3_SQL,
         "op4_minhash_near_dedup": OP4_SQL,
         "op5_embedding_near_dedup": OP5_SQL,
+        "op7_license_scan": OP7_SQL,
     }
