@@ -158,18 +158,17 @@ def scan_pieces(spark: SparkSession, folder: str, end_id: int, block_tokens: int
     return lines.mapInArrow(scan, PIECES)
 
 
-def count_tokens(spark: SparkSession, folder: str, *, end_id: int, block_tokens: int = 1 << 19, scratch: Scratch | None = None) -> DataFrame:
-    """One row for each document of the flat token files in folder.
-
-    Columns: file, place (number in the file, from 0), start (its first token's place in
-    the file), n_tokens (without the end id), closed (whether an end id follows).
-    block_tokens: tokens searched at once; blocks take no notice of documents.
-    """
-    scratch = scratch or Scratch(spark, "token-counts")
+def scanned_files(spark: SparkSession, folder: str, end_id: int, block_tokens: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """The pieces of documents in the files of folder (PIECES) and a list of the files, both stored: folder is read here only."""
     files = spark.read.format("binaryFile").load(folder).where("length > 0").select("path", "length")  # no content is read
+    files = scratch.store(files.select(F.col("path").alias("name"), F.xxhash64("path").alias("file"), "length"), "files")
     if not files.where("length % 2 = 1").isEmpty():
         raise ValueError(f"{folder} has files that are not of 2-byte tokens")
-    pieces = scratch.store(scan_pieces(spark, folder, end_id, block_tokens), "pieces")
+    return scratch.store(scan_pieces(spark, folder, end_id, block_tokens), "pieces"), files
+
+
+def stitched_documents(pieces: DataFrame, files: DataFrame, end_id: int, scratch: Scratch) -> DataFrame:
+    """The documents that the pieces make up, as count_tokens returns them."""
     own = ["file", "split", "odd"]
     blocks = pieces.where("piece = 0").select(*own, "block", "ends", "size", "bytes")
     before = lambda column, by, order: F.coalesce(F.sum(column).over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -180,9 +179,10 @@ def count_tokens(spark: SparkSession, folder: str, *, end_id: int, block_tokens:
     right = right.select(*own, "begin", "bytes", before("ends", ["file"], "split").alias("documents"))
     right = scratch.store(right, "ranges")
     # then over the blocks of a range
-    inside = scratch.store(blocks.select(*own, "block", before("ends", own, "block").alias("inner"), before("size", own, "block").alias("tokens_before")), "blocks")
-    based = inside.join(right, own).select(*own, "block", (F.col("documents") + F.col("inner")).alias("base"), ((F.col("begin") - F.col("odd")) / 2 + F.col("tokens_before")).cast("bigint").alias("offset"))
-    based = scratch.store(based, "bases")
+    inside = blocks.select(*own, "block", before("ends", own, "block").alias("inner"), before("size", own, "block").alias("tokens_before"))
+    inside = scratch.store(inside, "blocks")
+    offset = ((F.col("begin") - F.col("odd")) / 2 + F.col("tokens_before")).cast("bigint").alias("offset")
+    based = scratch.store(inside.join(right, own).select(*own, "block", (F.col("documents") + F.col("inner")).alias("base"), offset), "bases")
     stitched = (
         pieces.join(with_small_side(based, based.count(), 64), [*own, "block"])
         .groupBy("file", (F.col("base") + F.col("piece")).alias("place"))
@@ -190,7 +190,7 @@ def count_tokens(spark: SparkSession, folder: str, *, end_id: int, block_tokens:
     )
     # a file without an end id at its end was read as if it had one
     ends = right.groupBy("file").agg(F.max(F.col("begin") + F.col("bytes")).alias("read"))
-    listed = scratch.store(files.select(F.col("path").alias("name"), F.xxhash64("path").alias("file"), "length").join(ends, "file", "left"), "files")
+    listed = scratch.store(files.join(ends, "file", "left"), "files-read")
     if not listed.where(f"read IS NULL OR read NOT IN (length, length + {len(separator(end_id))})").isEmpty():
         raise RuntimeError("the ranges read do not make up the files")
     found = stitched.join(with_small_side(listed, listed.count(), 300), "file")
@@ -199,6 +199,17 @@ def count_tokens(spark: SparkSession, folder: str, *, end_id: int, block_tokens:
     return found.where("closed OR n_tokens > 0")
 
 
+def count_tokens(spark: SparkSession, folder: str, *, end_id: int, block_tokens: int = 1 << 19) -> DataFrame:
+    """One row for each document of the flat token files in folder.
+
+    Columns: file, place (number in the file, from 0), start (its first token's place in
+    the file), n_tokens (without the end id), closed (whether an end id follows).
+    block_tokens: tokens searched at once; blocks take no notice of documents.
+    """
+    scratch = Scratch(spark, "token-counts")
+    return stitched_documents(*scanned_files(spark, folder, end_id, block_tokens, scratch), end_id, scratch)
+
+
 def document_token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, rank_file: str, end_id: int = 50256) -> DataFrame:
     """Tokenize docs into flat files, scan those, and give each row its count: id, n_tokens, part, place, start.
 
@@ -210,10 +221,12 @@ def document_token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str
     scratch = Scratch(spark, "token-files")
     folder = scratch.path("flat-tokens")
     places = scratch.store(write_token_files(docs, id_col, text_col, rank_file, end_id, folder), "places")
-    counts = count_tokens(spark, folder, end_id=end_id, scratch=scratch)
+    pieces, files = scanned_files(spark, folder, end_id, 1 << 19, scratch)
+    scratch.drop("flat-tokens")
+    counts = stitched_documents(pieces, files, end_id, scratch)
     part = F.regexp_extract("file", r"part-(\d+)", 1).cast("int")
     counts = scratch.store(counts.select(part.alias("part"), "place", "start", "n_tokens"), "counts")
-    scratch.drop("flat-tokens", "pieces", "ranges", "blocks", "bases", "files")
+    scratch.drop("pieces", "ranges", "blocks", "bases", "files", "files-read")
     joined = scratch.store(places.join(counts, ["part", "place"], "full"), "joined")
     if not joined.where("n_tokens IS NULL OR empty IS NULL OR empty != (n_tokens = 0)").isEmpty():
         raise RuntimeError("the token files do not hold the documents of the table, row by row")
