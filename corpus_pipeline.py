@@ -26,11 +26,16 @@ from mergeloom.llm.packing import best_fit_packing
 from mergeloom.llm.toxicity import learn_toxicity, score_toxicity
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """name, with underscores behind until df has no such column."""
+    while name in {c.lower() for c in df.columns}:
+        name += "_"
+    return name
+
+
 def keyed(docs: DataFrame) -> tuple[DataFrame, str]:
     """docs with a hash of its text for each row, and the name of the hash's column."""
-    key = "text_key"
-    while key in {c.lower() for c in docs.columns}:
-        key += "_"
+    key = unused(docs, "text_key")
     small_batches(docs.sparkSession)
     return docs.withColumn(key, F.xxhash64("text")), key
 
@@ -46,7 +51,7 @@ def one_of_each(rows: DataFrame, groups: DataFrame, key: str, *rank: Column) ->
 
     groups: key and group, written, for keys whose rows share their group with others.
     """
-    columns, group = [c for c in rows.columns if c != key], f"{key}_group"
+    columns, group = [F.col("`" + c.replace("`", "``") + "`") for c in rows.columns if c != key], unused(rows, "text_group")
     side = with_small_side(groups.select(key, F.col("group").alias(group)), groups.count(), 80)
     content = F.xxhash64(F.to_json(F.struct(*columns)))  # only fully equal rows are still alike
     order = F.struct(*[c.alias(f"rank{k}") for k, c in enumerate(rank)], F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), content.alias("content"))

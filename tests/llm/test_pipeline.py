@@ -46,8 +46,8 @@ STAGES = [corpus_pipeline.toxicity, corpus_pipeline.language, corpus_pipeline.ex
 
 @pytest.mark.parametrize("stage", STAGES)
 def test_clashing_columns_long_texts_and_empty_tables(spark, tmp_path, stage):
-    extra = ["again_id", "dropped_id", "kept", "row_key", "id", "group", "first", "node", "word", "label", "n", "row"]
-    schema = "doc_id bigint, text string, lang string, " + ", ".join(f"{c} string" for c in extra)
+    extra = ["again_id", "dropped_id", "kept", "text_key", "id", "group", "first", "node", "word", "label", "n", "row", "text_group", "a.b"]
+    schema = "doc_id bigint, text string, lang string, " + ", ".join(f"`{c}` string" for c in extra)
     rows = [(k, prose("xa" if k % 2 else "yb", 40, k) + (" vilest" if k % 5 == 0 else ""), "xa" if k % 2 else "yb") for k in range(120)]
     rows += [(900, prose("xa", 100_000, "long"), "xa"), (1, rows[1][1], "xa"), (None, rows[3][1], "xa"), (901, "word " * 200_000, None), (902, "", None), (None, None, None)]
     spark.createDataFrame([(k, int(k % 5 == 0)) for k in range(120)], "doc_id bigint, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
