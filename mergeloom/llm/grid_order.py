@@ -138,7 +138,8 @@ def join_intervals(a: Block, b: Block, u: slice, v: slice, least: float, leaf: i
     x, y = a.cells[u], b.cells[v]
     if (x.min(axis=0) > y.max(axis=0) + 1).any() or (y.min(axis=0) > x.max(axis=0) + 1).any():
         return
-    if linked_throughout(a.vectors[u], b.vectors[v], least):
+    spread = np.maximum(x.max(axis=0), y.max(axis=0)) - np.minimum(x.min(axis=0), y.min(axis=0))
+    if (spread <= 1).all() and linked_throughout(a.vectors[u], b.vectors[v], least):
         links.add_all(u, v)
         return
     if len(x) <= leaf and len(y) <= leaf:
