@@ -44,7 +44,7 @@ class LanguageModel(NamedTuple):
 
 
 def learn_languages(
-    labelled: DataFrame, *, sample_rows: int = 64, sample_bytes: int = 8192, dictionary_bytes: int = 96 << 10, most_languages: int = 256
+    labelled: DataFrame, *, sample_rows: int = 256, sample_bytes: int = 512, dictionary_bytes: int = 96 << 10, most_languages: int = 256
 ) -> LanguageModel:
     """Dictionaries from a bounded sample of labelled rows (columns id, text, lang).
 
