@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mergeloom.llm.common import Scratch, with_small_side
-from mergeloom.llm.words import Words, find_words, hash_words, row_slices
+from mergeloom.llm.words import Numbers, Words, find_words, hash_words, row_slices
 
 PIECES = "id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 PACKED = f"{PIECES}, sequence_id bigint, offset bigint, moved boolean"
@@ -44,15 +44,13 @@ class WordEncoder:
 
     A text's ids are then those of its words one after the other. Words are found and
     hashed in bulk; each new one is tokenized once and its ids kept in a pool, which
-    is emptied when it holds more than `most` words or eight times as many ids. Words are
-    looked up by sorted hashes; only the last RECENT ones are in a dictionary.
+    is emptied when it holds more than `most` words or eight times as many ids.
     Words alike but for case share their ids, save those that hold one of the file's
     added tokens, which are found before lower-casing: these are kept by their exact bytes.
     """
 
     #: Words tokenized in one call, with a separator between them.
     TOGETHER = 100
-    RECENT = 50_000
 
     def __init__(self, tokenizer_file: str, most: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -68,8 +66,7 @@ class WordEncoder:
         self._empty()
 
     def _empty(self) -> None:
-        self.recent: dict[int, int] = {}
-        self.known, self.slots, self.held = np.zeros(0, np.uint64), np.zeros(0, np.int32), 0
+        self.numbers, self.held = Numbers(), 0
         self.pool = np.zeros(1 << 16, np.uint32)
         self.begins = np.zeros(1 << 12, np.int64)
         self.lengths = np.zeros(1 << 12, np.int64)
@@ -108,23 +105,7 @@ class WordEncoder:
         self.lengths[n : n + len(ids)] = lengths
         self.begins[n : n + len(ids)] = self.used + np.cumsum(lengths) - lengths
         self.used, self.held = self.used + total, n + len(ids)
-        self.recent.update(zip(hashes, range(n, n + len(ids)), strict=True))
-        if len(self.recent) > self.RECENT:
-            known = np.r_[self.known, np.fromiter(self.recent.keys(), np.uint64, len(self.recent))]
-            slots = np.r_[self.slots, np.fromiter(self.recent.values(), np.int32, len(self.recent))]
-            order = np.argsort(known)
-            self.known, self.slots, self.recent = known[order], slots[order], {}
-
-    def _slots(self, hashes: np.ndarray) -> np.ndarray:
-        """Where the ids of words are kept; -1 for those not met yet."""
-        out = np.full(len(hashes), -1, np.int64)
-        if len(self.known):
-            at = np.minimum(np.searchsorted(self.known, hashes), len(self.known) - 1)
-            found = self.known[at] == hashes
-            out[found] = self.slots[at[found]]
-        rest = np.flatnonzero(out < 0)
-        out[rest] = [self.recent.get(h, -1) for h in hashes[rest].tolist()]
-        return out
+        self.numbers.add(hashes, n)
 
     def _hashes(self, words: Words) -> np.ndarray:
         """hash_words, but by exact bytes for words that hold an added token."""
@@ -145,7 +126,7 @@ class WordEncoder:
         if self.held > self.most or self.used > 8 * self.most:
             self._empty()
         distinct, first, inverse = np.unique(self._hashes(words), return_index=True, return_inverse=True)
-        slots = self._slots(distinct)
+        slots = self.numbers.find(distinct)
         new = np.flatnonzero(slots < 0)
         if len(new):
             data = words.data.tobytes()

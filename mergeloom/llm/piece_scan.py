@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mergeloom.llm.common import Scratch
-from mergeloom.llm.words import mixed, row_slices
+from mergeloom.llm.words import Numbers, Words, find_words, hash_words, mixed, row_slices, text_bytes
 
 SPACE = "▁"
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
@@ -382,29 +382,31 @@ class Pieces:
         traced = iter(self.traces(every, [s for c in cuts for s in c[:-1]], [s for c in cuts for s in c[1:]]))
         return [np.concatenate(list(islice(traced, len(own)))) for own in chunks]
 
-    def words(self, text: bytes) -> list[str]:
-        """The text with spaces written as in pieces, cut before runs of spaces where no piece crosses."""
-        if not text:
-            return []
-        whole = SPACE + text.decode("utf-8", "replace").replace(" ", SPACE)
-        if not self.cuts_at_spaces:
-            return [whole]
-        parts = whole.split(SPACE)[1:]
-        if "" not in parts and len(parts[0]):
-            return [SPACE + p for p in parts]
-        out, spaces = [], 0
-        for part in parts:  # an empty part is one more space of the run before a word
-            spaces += 1
-            if part:
-                out.append(SPACE * spaces + part)
-                spaces = 0
-        return out + [SPACE * spaces] * bool(spaces)
+    def words(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Words of texts with the spaces in front of them, cut where no piece crosses: data, begin, end, spaces; and each text's number of words.
+
+        A text has one space more in front. Spaces at its end are a word without letters.
+        """
+        array = pa.array(texts, pa.binary())
+        found = find_words(array, b" " if self.cuts_at_spaces else b"")
+        offsets = text_bytes(array)[1]
+        full = np.flatnonzero(found.counts)
+        stops = np.cumsum(found.counts)
+        before = np.r_[0, found.ends[:-1]] if len(found.ends) else found.ends
+        before[(stops - found.counts)[full]] = offsets[full] - 1
+        last = offsets[:-1] - 1
+        last[full] = found.ends[stops[full] - 1]
+        behind = np.where(offsets[1:] > offsets[:-1], offsets[1:] - last, 0)
+        behind[full] = (offsets[1:] - last)[full]
+        tails = np.flatnonzero(behind)
+        put = lambda x, y: np.insert(x, stops[tails], y)
+        return found.data, put(found.starts, 0), put(found.ends, 0), put(found.starts - before, behind[tails]), found.counts + (behind > 0)
 
     def _forget(self) -> None:
         #: Characters that each symbol has; what no piece is has one.
         self.lengths = np.ones(self.start + 1, np.int64)
         self.lengths[: self.size] = [max(1, len(t.decode("utf-8", "replace"))) for t in self.text]
-        self.known: dict[str, int] = {}
+        self.numbers = Numbers()
         self.held = 0
         self.ids = np.zeros(0, np.int32)
         self.at, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -435,19 +437,21 @@ class Pieces:
         """
         if self.held > 4_000_000:
             self._forget()
-        before, place = len(self.known), self.known.setdefault
-        own: list[int] = []
-        counts = np.zeros(len(texts), np.int64)
-        for k, text in enumerate(texts):
-            words = self.words(text)
-            counts[k] = len(words)
-            own += [place(w, len(self.known)) for w in words]
-        new = list(islice(self.known, before, None))
-        if new:
-            self._learn(new, chunk)
-        order = np.array(own, np.int64)
-        n = self.count[order]
-        return picked(self.ids, self.at[order], n), np.r_[0, np.cumsum(n)][np.r_[0, np.cumsum(counts)]]
+        data, begins, ends, spaces, counts = self.words(texts)
+        with np.errstate(over="ignore"):
+            keys = mixed(hash_words(Words(data, begins, ends, counts), False) + spaces.astype(np.uint64) * FACTOR)
+        distinct, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
+        slots = self.numbers.find(distinct)
+        new = np.flatnonzero(slots < 0)
+        if len(new):
+            known, whole = len(self.at), data.tobytes()
+            slots[new] = known + np.arange(len(new))
+            self.numbers.add(distinct[new].tolist(), known)
+            spans = zip(begins[first[new]].tolist(), ends[first[new]].tolist(), spaces[first[new]].tolist(), strict=True)
+            self._learn([SPACE * n + whole[a:b].decode("utf-8", "replace").replace(" ", SPACE) for a, b, n in spans], chunk)
+        slot = slots[inverse]
+        n = self.count[slot]
+        return picked(self.ids, self.at[slot], n), np.r_[0, np.cumsum(n)][np.r_[0, np.cumsum(counts)]]
 
     def decode(self, ids: np.ndarray, ends: np.ndarray) -> pa.Array:
         """Texts of rows of ids, given where each row ends, without the space that encoding put in front."""

@@ -26,11 +26,12 @@ class Words(NamedTuple):
     counts: np.ndarray
 
 
-@lru_cache(maxsize=1)
-def byte_values() -> np.ndarray:
-    """A fixed 64-bit value for each byte; A-Z have those of a-z."""
+@lru_cache(maxsize=2)
+def byte_values(folded: bool = True) -> np.ndarray:
+    """A fixed 64-bit value for each byte; if folded A-Z have those of a-z."""
     values = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    values[ord("A") : ord("Z") + 1] = values[ord("a") : ord("z") + 1]
+    if folded:
+        values[ord("A") : ord("Z") + 1] = values[ord("a") : ord("z") + 1]
     return values
 
 
@@ -80,17 +81,47 @@ def find_words(texts: pa.Array, separators: bytes = SPACE) -> Words:
     return Words(data, starts, ends, np.diff(np.searchsorted(starts, offsets)))
 
 
-def hash_words(words: Words) -> np.ndarray:
-    """A 64-bit hash of each word, alike for upper and lower case of A-Z."""
+def hash_words(words: Words, folded: bool = True) -> np.ndarray:
+    """A 64-bit hash of each word; if folded alike for upper and lower case of A-Z."""
     if not len(words.starts):
         return np.zeros(0, np.uint64)
     with np.errstate(over="ignore"):
         up, down = powers(len(words.data))
         sums = np.zeros(len(words.data) + 1, np.uint64)
-        np.cumsum(byte_values()[words.data] * up, out=sums[1:])
+        np.cumsum(byte_values(folded)[words.data] * up, out=sums[1:])
         return mixed((sums[words.ends] - sums[words.starts]) * down[words.starts] + (words.ends - words.starts).astype(np.uint64))
 
 
+class Numbers:
+    """Numbers of 64-bit hashes: sorted arrays, and a dictionary of the last RECENT ones, which keeps memory low."""
+
+    RECENT = 50_000
+
+    def __init__(self):
+        self.recent: dict[int, int] = {}
+        self.known, self.numbers = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """The number of each hash; -1 for those not added yet."""
+        out = np.full(len(hashes), -1, np.int64)
+        if len(self.known):
+            at = np.minimum(np.searchsorted(self.known, hashes), len(self.known) - 1)
+            found = self.known[at] == hashes
+            out[found] = self.numbers[at[found]]
+        rest = np.flatnonzero(out < 0)
+        out[rest] = [self.recent.get(h, -1) for h in hashes[rest].tolist()]
+        return out
+
+    def add(self, hashes: list[int], first: int) -> None:
+        """Number new hashes from first on."""
+        self.recent.update(zip(hashes, range(first, first + len(hashes)), strict=True))
+        if len(self.recent) > self.RECENT:
+            known = np.r_[self.known, np.fromiter(self.recent.keys(), np.uint64, len(self.recent))]
+            numbers = np.r_[self.numbers, np.fromiter(self.recent.values(), np.int32, len(self.recent))]
+            order = np.argsort(known)
+            self.known, self.numbers, self.recent = known[order], numbers[order], {}
+
+
 def shingles(hashes: np.ndarray, counts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of each text's runs of `size` words, text by text, and how many each text has.
 
