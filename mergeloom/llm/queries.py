@@ -9,12 +9,14 @@ from pyspark.sql import functions as F
 
 from mergeloom.llm.common import bucket_of_id, small_batches
 from mergeloom.llm.exact_dedup import exact_dedup
+from mergeloom.llm.filter_audit import filter_audit
 from mergeloom.llm.grid_order import embedding_components
 from mergeloom.llm.language import identify_language, labelled_rows, learn_languages
 from mergeloom.llm.license_texts import TEMPLATES
 from mergeloom.llm.licenses import PHRASES, license_scan
 from mergeloom.llm.near_dedup import minhash_components
 from mergeloom.llm.packing import best_fit_packing
+from mergeloom.llm.periodic_runs import periodic_runs
 from mergeloom.llm.piece_scan import decode_documents, encode_documents
 from mergeloom.llm.pseudo_likelihood import learn_model, score_documents
 from mergeloom.llm.token_counts import document_token_counts
@@ -83,6 +85,30 @@ def op10_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(docs, *learn_model(docs))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    marks = labels.select("doc_id", (F.col("quality") == 1).alias("good"), (F.col("toxic") == 1).alias("toxic"))
+    return filter_audit(documents(spark, sf_dir), marks, ["good", "toxic"])
+
+
+def planted(docs: DataFrame) -> DataFrame:
+    """doc_id and text; a tenth of the texts, by the checksum of doc_id, become periodic from some word on."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    rows = docs.select("doc_id", "text", h.alias("h"), F.expr("h div 10").alias("g"))
+    words = rows.withColumn("w", F.when(F.col("h") % 10 == 0, F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))))
+    words = words.withColumn("a", F.expr("if(size(w) > 0, g % size(w), null)")).withColumn("p", F.expr("1 + (size(w) - a) div (3 + g % 8)"))
+    text = F.expr("if(a is null, text, array_join(transform(w, (x, i) -> if(i >= a, w[cast(a + (i - a) % p as int)], x)), ' '))")
+    return words.select("doc_id", text.alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs(planted(documents(spark, sf_dir)))
+    top = F.expr("reduce(runs, get(runs, 0), (best, r) -> if(r.length * best.period > best.length * r.period, r, best))")
+    lines = F.expr("array_join(transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, '\n')), '')")
+    rows = found.select("doc_id", F.size("runs").cast("bigint").alias("n_runs"), top.alias("top"), F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    return rows.select("doc_id", "n_runs", "top.*", F.expr("1000 * top.length div top.period").alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
 OP3_SQL = r"""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS text,
@@ -157,6 +183,58 @@ SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component
 """
 
 
+OP11_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text, coalesce(source, '') AS part, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), firsts AS (SELECT text, min(doc_id) AS least FROM d GROUP BY text), f AS MATERIALIZED (
+  SELECT part, [len(w) < 50, 100 * len(list_distinct(w)) < 65 * len(w), 100 * len(regexp_replace(text, '[^A-Z]', '', 'g')) > 5 * length(text), regexp_matches(text, '[#$%&*|]'), coalesce(least < d.doc_id, false)] AS f,
+    EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND quality = 1) AS good, EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND toxic = 1) AS toxic
+  FROM d JOIN firsts USING (text)
+), one AS (SELECT unnest([1, 2, 3, 4, 5]) AS k), orders AS (
+  SELECT [a.k, b.k, c.k, d.k, e.k] AS o FROM one a, one b, one c, one d, one e WHERE len(list_distinct([a.k, b.k, c.k, d.k, e.k])) = 5
+), steps AS MATERIALIZED (
+  SELECT array_to_string(list_transform(o, lambda x: 'ABCDE'[x]), '') AS filter_order, k AS step, o[k] AS own, o[:k - 1] AS earlier, o[k + 1:] AS later FROM orders, one
+), x AS (
+  SELECT part, filter_order, step, own, f[own] AS fails, len(list_filter(earlier, lambda g: f[g])) = 0 AS alive, len(list_filter(earlier || later, lambda g: f[g])) = 0 AS others, good, toxic FROM f, steps
+), s AS (
+  SELECT part, filter_order, step, own, count(*) FILTER (alive AND NOT fails) AS kept, count(*) FILTER (alive AND fails) AS removed, count(*) FILTER (NOT alive AND fails) AS redundant,
+    count(*) FILTER (fails AND others) AS unique_fails, count(*) FILTER (alive AND fails AND good) AS good_lost, count(*) FILTER (alive AND fails AND toxic) AS toxic_lost
+  FROM x GROUP BY ALL
+)
+SELECT * EXCLUDE own, (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley FROM s
+"""
+
+
+OP12_SQL = r"""
+WITH table_ AS (
+  SELECT list(c ORDER BY k) AS t FROM (
+    SELECT k, list_reduce([k] || range(0, 8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM (SELECT unnest(range(0, 256)) AS k))
+), raw AS (
+  SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w,
+    xor(list_reduce([4294967295::BIGINT] || list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS h
+  FROM documents, table_
+), spot AS (SELECT *, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN h // 10 % len(w) END AS a, h // 10 AS g FROM raw), plan AS (
+  SELECT *, 1 + (len(w) - a) // (3 + g % 8) AS p FROM spot
+), d AS MATERIALIZED (
+  SELECT doc_id, CASE WHEN a IS NULL THEN w ELSE list_transform(range(0, len(w)), lambda i: w[1 + CASE WHEN i >= a THEN a + (i - a) % p ELSE i END]) END AS w FROM plan
+), word AS MATERIALIZED (SELECT doc_id, unnest(w) AS x, unnest(range(0, len(w))) AS i FROM d), five AS MATERIALIZED (
+  SELECT doc_id, i, x || ' ' || lead(x, 1) OVER o || ' ' || lead(x, 2) OVER o || ' ' || lead(x, 3) OVER o || ' ' || lead(x, 4) OVER o AS g FROM word WINDOW o AS (PARTITION BY doc_id ORDER BY i)
+), alike AS (
+  SELECT a.doc_id, b.i - a.i AS q, a.i FROM five a JOIN five b ON a.doc_id = b.doc_id AND a.g = b.g AND a.i < b.i
+), island AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS k FROM alike), stretch AS MATERIALIZED (
+  SELECT doc_id, q, min(i) AS s, count(*) + 4 + q AS n FROM island GROUP BY doc_id, q, k HAVING count(*) + 4 + q >= greatest(6, 4 * q)
+), run AS MATERIALIZED (
+  SELECT * FROM stretch a WHERE NOT EXISTS (SELECT 1 FROM stretch b WHERE b.doc_id = a.doc_id AND b.q < a.q AND b.s <= a.s AND b.s + b.n >= a.s + a.n)
+), gone AS (SELECT DISTINCT doc_id, unnest(range(s + q, s + n)) AS i FROM run), kept AS (
+  SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS text FROM word ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id
+), best AS (
+  SELECT * FROM run a WHERE NOT EXISTS (SELECT 1 FROM run b WHERE a.doc_id = b.doc_id AND (b.n * a.q > a.n * b.q OR b.n * a.q = a.n * b.q AND (b.s, b.q) < (a.s, a.q)))
+), lines AS (SELECT doc_id, count(*) AS n_runs, string_agg(s || ',' || n || ',' || q || chr(10), '' ORDER BY s, q) AS text FROM run GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, s AS start, n AS length, q AS period, 1000 * n // q AS exponent_milli, sha256(coalesce(l.text, '')) AS runs_sha256, sha256(coalesce(k.text, '')) AS collapsed_sha256
+FROM d LEFT JOIN lines l USING (doc_id) LEFT JOIN kept k USING (doc_id) LEFT JOIN best USING (doc_id)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": op1_token_counts,
@@ -169,6 +247,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_sentencepiece_scan": op8_sentencepiece_scan,
         "op9_best_fit_packing": op9_best_fit_packing,
         "op10_pseudo_likelihood": op10_pseudo_likelihood,
+        "op11_filter_audit": op11_filter_audit,
+        "op12_periodic_runs": op12_periodic_runs,
     }
 
 
@@ -178,4 +258,6 @@ def oracle_sql() -> dict[str, str]:
         "op4_minhash_near_dedup": OP4_SQL,
         "op5_embedding_near_dedup": OP5_SQL,
         "op7_license_scan": OP7_SQL,
+        "op11_filter_audit": OP11_SQL,
+        "op12_periodic_runs": OP12_SQL,
     }
