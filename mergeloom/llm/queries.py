@@ -19,6 +19,7 @@ from mergeloom.llm.packing import best_fit_packing
 from mergeloom.llm.periodic_runs import periodic_runs
 from mergeloom.llm.piece_scan import decode_documents, encode_documents
 from mergeloom.llm.pseudo_likelihood import learn_model, score_documents
+from mergeloom.llm.repeated_passages import remove_repeated
 from mergeloom.llm.token_counts import document_token_counts
 from mergeloom.llm.toxicity import learn_toxicity, score_toxicity
 
@@ -109,6 +110,12 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_runs", "top.*", F.expr("1000 * top.length div top.period").alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
 
 
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = remove_repeated(documents(spark, sf_dir))
+    removed = F.expr("reduce(spans, 0L, (n, s) -> n + s.length)")
+    return cut.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 OP3_SQL = r"""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS text,
@@ -235,6 +242,25 @@ FROM d LEFT JOIN lines l USING (doc_id) LEFT JOIN kept k USING (doc_id) LEFT JOI
 """
 
 
+OP13_SQL = """
+WITH d AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents
+), part AS (
+  SELECT r, 1000 * k AS base, substr(h, 2000 * k + 1, 2398) AS h FROM (SELECT r, h, unnest(range(0, (n + 999) // 1000)) AS k FROM d)
+), spot AS (SELECT r, base, h, unnest(range(0, least(1000, len(h) // 2 - 199))) AS i FROM part), string AS MATERIALIZED (
+  SELECT r, base + i AS i, md5_number(substr(h, 2 * i + 1, 400)) AS m FROM spot
+), twice AS (SELECT m FROM string GROUP BY m HAVING count(*) > 1), starts AS (
+  SELECT r, i, i - lag(i) OVER (PARTITION BY r ORDER BY i) AS gap FROM string SEMI JOIN twice USING (m)
+), grouped AS (SELECT r, i, count(*) FILTER (gap IS NULL OR gap > 200) OVER (PARTITION BY r ORDER BY i) AS k FROM starts), span AS MATERIALIZED (
+  SELECT r, min(i) AS s, max(i) + 200 AS e FROM grouped GROUP BY r, k
+), edge AS (SELECT r, s, e FROM span UNION ALL SELECT r, n, n FROM d), piece AS (
+  SELECT r, s, coalesce(lag(e) OVER (PARTITION BY r ORDER BY s, e), 0) AS before FROM edge
+), kept AS (SELECT r, string_agg(substr(h, 2 * before + 1, 2 * (s - before)), '' ORDER BY before) AS h FROM piece JOIN d USING (r) GROUP BY r),
+k AS (SELECT r, sum(e - s)::BIGINT AS n_removed, count(*) AS n_spans FROM span GROUP BY r)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(kept.h)) AS kept_sha256 FROM d JOIN kept USING (r) LEFT JOIN k USING (r)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": op1_token_counts,
@@ -249,6 +275,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_pseudo_likelihood": op10_pseudo_likelihood,
         "op11_filter_audit": op11_filter_audit,
         "op12_periodic_runs": op12_periodic_runs,
+        "op13_suffix_dedup": op13_suffix_dedup,
     }
 
 
@@ -260,4 +287,5 @@ def oracle_sql() -> dict[str, str]:
         "op7_license_scan": OP7_SQL,
         "op11_filter_audit": OP11_SQL,
         "op12_periodic_runs": OP12_SQL,
+        "op13_suffix_dedup": OP13_SQL,
     }
