@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mergeloom.llm.common import Scratch, with_small_side
-from mergeloom.llm.words import Numbers, Words, find_words, hash_words, row_slices
+from mergeloom.llm.words import KnownWords, Words, find_words, hash_words, lower_case, row_slices
 
 PIECES = "id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 PACKED = f"{PIECES}, sequence_id bigint, offset bigint, moved boolean"
@@ -43,8 +43,8 @@ class WordEncoder:
     """Ids of texts for tokenizers that lower-case, drop white space and join nothing across it.
 
     A text's ids are then those of its words one after the other. Words are found and
-    hashed in bulk; each new one is tokenized once and its ids kept in a pool, which
-    is emptied when it holds more than `most` words or eight times as many ids.
+    hashed in bulk and compared with the word known by that hash; each new one is tokenized once and its ids
+    kept in a pool, which is emptied when it holds more than `most` words or eight times as many ids or bytes.
     Words alike but for case share their ids, save those that hold one of the file's
     added tokens, which are found before lower-casing: these are kept by their exact bytes.
     """
@@ -66,11 +66,11 @@ class WordEncoder:
         self._empty()
 
     def _empty(self) -> None:
-        self.numbers, self.held = Numbers(), 0
+        self.known = KnownWords()
         self.pool = np.zeros(1 << 16, np.uint32)
         self.begins = np.zeros(1 << 12, np.int64)
         self.lengths = np.zeros(1 << 12, np.int64)
-        self.used = 0
+        self.used = self.held = 0
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -92,7 +92,7 @@ class WordEncoder:
             out[k] = ids
         return out
 
-    def _learn(self, hashes: list[int], words: list[str]) -> None:
+    def _learn(self, words: list[str]) -> None:
         ids = self._words(words)
         lengths = np.array([len(x) for x in ids], np.int64)
         n, total = self.held, int(lengths.sum())
@@ -105,35 +105,34 @@ class WordEncoder:
         self.lengths[n : n + len(ids)] = lengths
         self.begins[n : n + len(ids)] = self.used + np.cumsum(lengths) - lengths
         self.used, self.held = self.used + total, n + len(ids)
-        self.numbers.add(hashes, n)
 
-    def _hashes(self, words: Words) -> np.ndarray:
-        """hash_words, but by exact bytes for words that hold an added token."""
-        hashes = hash_words(words)
+    def _folded(self, words: Words) -> tuple[Words, np.ndarray]:
+        """The words in lower case and their hashes; those that hold an added token as they are."""
+        data = lower_case()[words.data]
         spans = np.array([m.span() for m in self.added.finditer(words.data)] if self.added else [], np.int64).reshape(-1, 2)
         at = np.searchsorted(words.starts, spans[:, 0], "right") - 1
         inside = (at >= 0) & (spans[:, 1] <= words.ends[at])  # not from one text into the next
-        for k in np.unique(at[inside]).tolist():
+        exact = np.unique(at[inside]).tolist()
+        for k in exact:
+            data[words.starts[k] : words.ends[k]] = words.data[words.starts[k] : words.ends[k]]
+        folded = words._replace(data=data)
+        hashes = hash_words(folded, False)
+        for k in exact:
             word = words.data[words.starts[k] : words.ends[k]].tobytes()
-            hashes[k] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
-        return hashes
+            hashes[k] = int.from_bytes(hashlib.blake2b(word, digest_size=8, key=b"exact").digest(), "little")
+        return folded, hashes
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in order, and where each text's ids begin and the last ends."""
         words = find_words(texts)
         if not len(words.starts):
             return np.zeros(0, np.uint32), np.zeros(len(texts) + 1, np.int64)
-        if self.held > self.most or self.used > 8 * self.most:
+        if self.held > self.most or max(self.used, self.known.used) > 8 * self.most:
             self._empty()
-        distinct, first, inverse = np.unique(self._hashes(words), return_index=True, return_inverse=True)
-        slots = self.numbers.find(distinct)
-        new = np.flatnonzero(slots < 0)
+        slot, new = self.known.slots(*self._folded(words))
         if len(new):
             data = words.data.tobytes()
-            spans = zip(words.starts[first[new]].tolist(), words.ends[first[new]].tolist(), strict=True)
-            slots[new] = self.held + np.arange(len(new))
-            self._learn(distinct[new].tolist(), [data[a:b].decode("utf-8", "replace") for a, b in spans])
-        slot = slots[inverse]
+            self._learn([data[a:b].decode("utf-8", "replace") for a, b in zip(words.starts[new].tolist(), words.ends[new].tolist(), strict=True)])
         lengths = self.lengths[slot]
         ends = np.cumsum(lengths)
         ids = self.pool[np.repeat(self.begins[slot] - (ends - lengths), lengths) + np.arange(ends[-1])]
@@ -247,7 +246,11 @@ def _improvement(own: list[int], lengths: np.ndarray, size: np.ndarray, room: np
 
 
 def pack_group(rows: pd.DataFrame, capacity: int, decreasing: bool) -> pd.DataFrame:
-    """Pack one bounded group; sequence_id is the group's number and the bin's place in it, moved tells what the search moved."""
+    """Pack one bounded group; sequence_id is the group's number and the bin's place in it, moved tells what the search moved.
+
+    Rows are ordered first, so that the result does not depend on how they were delivered.
+    """
+    rows = rows.sort_values(["id", "piece", "start", "length", "ids_crc32"], na_position="last", kind="stable", ignore_index=True)
     lengths = rows["length"].to_numpy(np.int64)
     first = best_fit(lengths, capacity, decreasing)
     bins = local_search(first, lengths, capacity)
@@ -281,7 +284,8 @@ def pack(pieces: DataFrame, capacity: int, group_rows: int, partners: float, scr
     again = scratch.store(again, "again")
     side = with_small_side(again, again.count(), 16)
     pool = scratch.store(packed.join(side, "sequence_id", "left_semi").select(*pieces.columns), "pool")
-    pooled = _dealt(pool, 1, max(1, -(-pool.count() // group_rows)), capacity)
+    pooled = scratch.store(_dealt(pool, 1, max(1, -(-pool.count() // group_rows)), capacity), "pooled")
+    scratch.drop("pool")
     return full.unionByName(packed.join(side, "sequence_id", "left_anti").select(*packed.columns)).unionByName(pooled)
 
 

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mergeloom.llm.common import Scratch
-from mergeloom.llm.words import Numbers, Words, find_words, hash_words, mixed, row_slices, text_bytes
+from mergeloom.llm.words import KnownWords, Words, find_words, hash_words, mixed, row_slices, text_bytes
 
 SPACE = "▁"
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
@@ -406,7 +406,7 @@ class Pieces:
         #: Characters that each symbol has; what no piece is has one.
         self.lengths = np.ones(self.start + 1, np.int64)
         self.lengths[: self.size] = [max(1, len(t.decode("utf-8", "replace"))) for t in self.text]
-        self.numbers = Numbers()
+        self.known = KnownWords()
         self.held = 0
         self.ids = np.zeros(0, np.int32)
         self.at, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -438,18 +438,14 @@ class Pieces:
         if self.held > 4_000_000:
             self._forget()
         data, begins, ends, spaces, counts = self.words(texts)
+        words = Words(data, begins, ends, counts)
         with np.errstate(over="ignore"):
-            keys = mixed(hash_words(Words(data, begins, ends, counts), False) + spaces.astype(np.uint64) * FACTOR)
-        distinct, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
-        slots = self.numbers.find(distinct)
-        new = np.flatnonzero(slots < 0)
+            keys = mixed(hash_words(words, False) + spaces.astype(np.uint64) * FACTOR)
+        slot, new = self.known.slots(words, keys, spaces)
         if len(new):
-            known, whole = len(self.at), data.tobytes()
-            slots[new] = known + np.arange(len(new))
-            self.numbers.add(distinct[new].tolist(), known)
-            spans = zip(begins[first[new]].tolist(), ends[first[new]].tolist(), spaces[first[new]].tolist(), strict=True)
+            whole = data.tobytes()
+            spans = zip(begins[new].tolist(), ends[new].tolist(), spaces[new].tolist(), strict=True)
             self._learn([SPACE * n + whole[a:b].decode("utf-8", "replace").replace(" ", SPACE) for a, b, n in spans], chunk)
-        slot = slots[inverse]
         n = self.count[slot]
         return picked(self.ids, self.at[slot], n), np.r_[0, np.cumsum(n)][np.r_[0, np.cumsum(counts)]]
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from hashlib import blake2b
 from typing import NamedTuple
 
 import numpy as np
@@ -13,8 +14,8 @@ import pyarrow.compute as pc
 #: The white space that separates words, \x20 and \x09-\x0D.
 SPACE = b" \t\n\x0b\x0c\r"
 MULTIPLIER = 0x9E3779B97F4A7C15
-#: The inverse of MULTIPLIER modulo 2**64.
-INVERSE = pow(MULTIPLIER, -1, 1 << 64)
+#: Words of more bytes are hashed one by one.
+LONG_WORD = 512
 
 
 class Words(NamedTuple):
@@ -26,28 +27,12 @@ class Words(NamedTuple):
     counts: np.ndarray
 
 
-@lru_cache(maxsize=2)
-def byte_values(folded: bool = True) -> np.ndarray:
-    """A fixed 64-bit value for each byte; if folded A-Z have those of a-z."""
-    values = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    if folded:
-        values[ord("A") : ord("Z") + 1] = values[ord("a") : ord("z") + 1]
-    return values
-
-
 @lru_cache(maxsize=1)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    with np.errstate(over="ignore"):
-        up = np.full(n, MULTIPLIER, np.uint64)
-        down = np.full(n, INVERSE, np.uint64)
-        up[0] = down[0] = 1
-        return np.cumprod(up), np.cumprod(down)
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """MULTIPLIER**k and INVERSE**k for k < n, from tables whose size is a power of two."""
-    up, down = _powers(1 << max(20, int(n - 1).bit_length()))
-    return up[:n], down[:n]
+def lower_case() -> np.ndarray:
+    """Each byte, those of A-Z as a-z."""
+    table = np.arange(256, dtype=np.uint8)
+    table[ord("A") : ord("Z") + 1] += 32
+    return table
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -82,14 +67,30 @@ def find_words(texts: pa.Array, separators: bytes = SPACE) -> Words:
 
 
 def hash_words(words: Words, folded: bool = True) -> np.ndarray:
-    """A 64-bit hash of each word; if folded alike for upper and lower case of A-Z."""
-    if not len(words.starts):
-        return np.zeros(0, np.uint64)
+    """A 64-bit hash of each word; if folded alike for upper and lower case of A-Z.
+
+    Eight bytes at a time go into two sums, each of which is mixed before the next eight, so
+    that a word's hash is no linear function of its bytes. Long words have a cryptographic digest.
+    """
+    data = lower_case()[words.data] if folded else words.data
+    body, sizes = data.tobytes() + bytes(8), words.ends - words.starts
+    eights = np.ndarray((len(data) + 1,), "<u8", body, strides=(1,))
+    masks = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
     with np.errstate(over="ignore"):
-        up, down = powers(len(words.data))
-        sums = np.zeros(len(words.data) + 1, np.uint64)
-        np.cumsum(byte_values(folded)[words.data] * up, out=sums[1:])
-        return mixed((sums[words.ends] - sums[words.starts]) * down[words.starts] + (words.ends - words.starts).astype(np.uint64))
+        one, two = mixed(sizes.astype(np.uint64)), mixed(sizes.astype(np.uint64) + np.uint64(MULTIPLIER))
+        at = np.flatnonzero(sizes <= LONG_WORD)
+        for begin in range(0, LONG_WORD, 8):
+            if not len(at):
+                break
+            left = sizes[at] - begin
+            block = eights[words.starts[at] + begin] & masks[np.minimum(left, 8)]
+            one[at] = mixed(one[at] ^ block)
+            two[at] = mixed(two[at] * np.uint64(MULTIPLIER) + block)
+            at = at[left > 8]
+        out = mixed(one + two * np.uint64(MULTIPLIER))
+    for k in np.flatnonzero(sizes > LONG_WORD).tolist():
+        out[k] = int.from_bytes(blake2b(body[words.starts[k] : words.ends[k]], digest_size=8).digest(), "little")
+    return out
 
 
 class Numbers:
@@ -122,6 +123,67 @@ class Numbers:
             self.known, self.numbers, self.recent = known[order], numbers[order], {}
 
 
+class KnownWords:
+    """Numbers of words by their hash, each confirmed by the word's bytes; words whose hash is another's are known by their bytes.
+
+    `beside` is a number that tells words of the same bytes apart.
+    """
+
+    def __init__(self):
+        self.numbers, self.clashes = Numbers(), {}
+        self.pool, self.used, self.held = np.zeros(1 << 16, np.uint8), 0, 0
+        self.begins, self.sizes, self.beside = (np.zeros(1 << 12, np.int64) for _ in range(3))
+
+    def _keep(self, words: Words, which: np.ndarray, beside: np.ndarray) -> None:
+        sizes = words.ends[which] - words.starts[which]
+        n, total = self.held + len(which), self.used + int(sizes.sum())
+        if total > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros(total, np.uint8)])
+        if n > len(self.begins):
+            self.begins, self.sizes, self.beside = (np.concatenate([x, np.zeros(n, np.int64)]) for x in (self.begins, self.sizes, self.beside))
+        self.begins[self.held : n] = self.used + np.cumsum(sizes) - sizes
+        self.sizes[self.held : n], self.beside[self.held : n] = sizes, beside[which]
+        self.pool[self.used : total] = words.data[places(words.starts[which], sizes)]
+        self.used, self.held = total, n
+
+    def _others(self, words: Words, slots: np.ndarray, beside: np.ndarray) -> np.ndarray:
+        """Which words differ from the one that their number stands for."""
+        sizes = words.ends - words.starts
+        same = (self.sizes[slots] == sizes) & (self.beside[slots] == beside)
+        at, size = slots[same], sizes[same]
+        apart = words.data[places(words.starts[same], size)] != self.pool[places(self.begins[at], size)]
+        if apart.any():
+            owner = np.flatnonzero(same)[np.searchsorted(np.cumsum(size), np.flatnonzero(apart), "right")]
+            same[owner] = False
+        return np.flatnonzero(~same)
+
+    def slots(self, words: Words, hashes: np.ndarray, beside: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The number of each word, and which words got the new numbers, in their order."""
+        beside = np.zeros(len(hashes), np.int64) if beside is None else beside
+        distinct, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+        number = self.numbers.find(distinct)
+        new = np.flatnonzero(number < 0)
+        number[new] = self.held + np.arange(len(new))
+        self.numbers.add(distinct[new].tolist(), self.held)
+        added = first[new]
+        self._keep(words, added, beside)
+        slots = number[inverse]
+        for k in self._others(words, slots, beside).tolist():
+            word = (words.data[words.starts[k] : words.ends[k]].tobytes(), int(beside[k]))
+            if word not in self.clashes:
+                self.clashes[word] = self.held
+                added = np.r_[added, k]
+                self._keep(words, np.array([k]), beside)
+            slots[k] = self.clashes[word]
+        return slots, added
+
+
+def places(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """All places of ranges of these starts and sizes, one range after the other."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
+
+
 def shingles(hashes: np.ndarray, counts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of each text's runs of `size` words, text by text, and how many each text has.
 
@@ -137,8 +199,8 @@ def shingles(hashes: np.ndarray, counts: np.ndarray, size: int) -> tuple[np.ndar
         value = np.repeat(np.minimum(counts, size), runs).astype(np.uint64)
         for k in range(size):
             here = starts + k
-            value = value * np.uint64(MULTIPLIER) + np.where(here < last, padded[here], np.uint64(0))
-        return mixed(value), runs
+            value = mixed(value * np.uint64(MULTIPLIER) + np.where(here < last, padded[here], np.uint64(0)))
+        return value, runs
 
 
 def minima(values: np.ndarray, counts: np.ndarray, hashes: int, seed: int = 1) -> np.ndarray:

@@ -94,3 +94,28 @@ def test_special_tokens_are_the_library_call(spark):
         rows = {r.doc_id: r for r in best_fit_packing(docs, tokenizer_file=FILE).collect()}
         for k, ids in enumerate(want):
             assert (rows[k].length, rows[k].ids_crc32) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())), texts[k]
+
+
+def test_null_and_repeated_ids(spark):
+    rows = [(None, "one two three"), (None, "one two three"), (None, None), (5, "four " * 200), (5, "five six"), (5, "five six")]
+    got = best_fit_packing(spark.createDataFrame(rows, "doc_id bigint, text string"), tokenizer_file=FILE, capacity=64).collect()
+    lengths = sorted((str(r.doc_id), r.piece, r.length) for r in got)
+    want = []
+    for key, text in rows:
+        n = len(plain_ids(text))
+        want += [(str(key), k, min(64, n - a)) for k, a in enumerate(range(0, n, 64))]
+    assert lengths == sorted(want)
+    assert len({(r.sequence_id, r.offset) for r in got}) == len(got)
+
+
+def test_order_of_delivery_does_not_matter():
+    import pandas as pd
+
+    from mergeloom.llm.packing import pack_group
+
+    rng = np.random.default_rng(4)
+    rows = pd.DataFrame({"id": rng.integers(0, 50, 300).astype(float), "piece": 0, "start": 0, "length": rng.integers(5, 60, 300), "ids_crc32": rng.integers(0, 1 << 32, 300), "part": 3})
+    rows.loc[::17, "id"] = np.nan
+    columns = ["id", "length", "ids_crc32", "sequence_id", "offset"]
+    places = [pack_group(rows.sample(frac=1, random_state=k), 100, k > 1)[columns].sort_values(["sequence_id", "offset"]).to_csv(index=False) for k in (0, 1)]
+    assert places[0] == places[1]
