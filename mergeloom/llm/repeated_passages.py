@@ -295,14 +295,17 @@ def cut_texts(texts: DataFrame, length: int) -> DataFrame:
     return texts.select("id", "text", "marks").mapInArrow(run, f"id bigint, n_bytes bigint, spans array<{SPAN}>, kept binary")
 
 
-def repeated_records(keyed: DataFrame, parsed: DataFrame, length: int, most_records: int, scratch: Scratch) -> DataFrame:
-    """row, place, t0 and t1 of all records with repeated strings (t0 and t1 null: all of them)."""
+def repeated_records(keyed: DataFrame, parsed: DataFrame, rows: DataFrame, length: int, most_records: int, scratch: Scratch) -> DataFrame:
+    """row, place, t0 and t1 of all records with repeated strings (t0 and t1 null: all of them).
+
+    rows: row and text_key of the parsed texts, which are dropped on the way.
+    """
     heads = parsed.select(F.explode("heads").alias("head")).groupBy("head").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("head")
     heads = scratch.store(heads, "heads")
     each = F.posexplode(F.arrays_zip("heads", "high", "low")).alias("place", "z")
     records = parsed.select("row", each).select(F.col("z.heads").alias("head"), F.col("z.high").alias("high"), F.col("z.low").alias("low"), "row", "place")
     records = scratch.store(records.join(with_small_side(heads, heads.count(), 24), "head", "left_semi"), "records")
-    scratch.drop("heads")
+    scratch.drop("heads", "parsed")
     name = ["head", "high", "low"]
     different = records.groupBy(*name).agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("row"), F.min_by("place", "row").alias("place"))
     different = scratch.store(different, "different")
@@ -312,7 +315,7 @@ def repeated_records(keyed: DataFrame, parsed: DataFrame, length: int, most_reco
     open_ = different.join(with_small_side(mixed_heads, mixed_heads.count(), 24), "head")
     wanted = F.struct("place", "head", "high", "low", (F.col("n") > 1).alias("several"))
     by_row = open_.groupBy("row").agg(F.collect_list(wanted).alias("wanted"))
-    by_text = scratch.store(by_row.join(parsed.select("row", "text_key"), "row").select("text_key", "wanted"), "wanted")
+    by_text = scratch.store(by_row.join(rows, "row").select("text_key", "wanted"), "wanted")
     n_texts = by_text.count()
     texts = keyed.select("text_key", "text")
     if n_texts:  # few texts: only these are dealt out
@@ -336,7 +339,7 @@ def repeated_records(keyed: DataFrame, parsed: DataFrame, length: int, most_reco
     return marks
 
 
-def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, length: int = 200, most_records: int = 10_000, scratch: Scratch | None = None) -> DataFrame:
+def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, length: int = 200, most_records: int = 4_000, scratch: Scratch | None = None) -> DataFrame:
     """One row for each row of docs: id, n_bytes, spans (removed: structs of start and length in bytes), kept (the other bytes).
 
     Removed is each byte covered by a string of `length` bytes that also starts elsewhere in these texts.
@@ -346,14 +349,15 @@ def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     scratch = scratch or Scratch(docs.sparkSession, "repeated-passages")
     keyed = keyed_texts(docs, id_col, text_col)
     parsed = scratch.store(parsed_texts(keyed, length), "parsed")
-    copies = parsed.groupBy("text_key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("text_key")
+    rows = scratch.store(parsed.select("row", "text_key"), "rows")
+    copies = rows.groupBy("text_key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("text_key")
     copies = scratch.store(copies, "copies")
     n_copies = copies.count()
-    marks = repeated_records(keyed, parsed, length, most_records, scratch)
+    marks = repeated_records(keyed, parsed, rows, length, most_records, scratch)
     by_row = marks.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("place", "t0", "t1"))).alias("marks"))
-    by_text = by_row.join(parsed.select("row", "text_key"), "row").join(with_small_side(copies, n_copies, 40), "text_key", "left_anti")
+    by_text = by_row.join(rows, "row").join(with_small_side(copies, n_copies, 40), "text_key", "left_anti")
     by_text = scratch.store(by_text.select("text_key", "marks"), "marks-by-text")
-    scratch.drop("parsed", "marks")
+    scratch.drop("rows", "marks")
     # copies go whole, texts without marks stay whole; the others are cut
     kinds = copies.select("text_key", F.lit(True).alias("whole")).unionByName(by_text.select("text_key", F.lit(False).alias("whole")))
     told = keyed.join(with_small_side(kinds, n_copies + by_text.count(), 40), "text_key", "left")
