@@ -40,11 +40,45 @@ def lists_of(values: np.ndarray, offsets: np.ndarray, like: pa.Array) -> pa.Arra
     return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values.astype(np.int32)), mask=pc.is_null(like))
 
 
+def symbol_ids(strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of symbol strings (see mergeloom.functions.symbols) in a row, and where each string's begin and the last end."""
+    data, offsets = flat_bytes(strings.cast(pa.binary()))
+    four = data.reshape(-1, 4).astype(np.int32)  # U+10000 to U+1FFFF have four bytes
+    return ((four[:, 1] & 15) << 12) | ((four[:, 2] & 63) << 6) | (four[:, 3] & 63), offsets // 4
+
+
+def symbol_strings(ids: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    """Symbol strings of ids."""
+    four = np.empty((len(ids), 4), np.uint8)
+    four[:, 0], four[:, 1], four[:, 2], four[:, 3] = 0xF0, 0x90 | ids >> 12, 0x80 | ids >> 6 & 63, 0x80 | ids & 63
+    return pa.Array.from_buffers(pa.string(), len(offsets) - 1, [None, pa.py_buffer((4 * offsets).astype(np.int32).tobytes()), pa.py_buffer(four.tobytes())])
+
+
+def pair_keys(ids: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Neighbouring ids within each row as a * 2**16 + b, without those that hold id 0, and the row of each."""
+    row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    near = np.flatnonzero((row[1:] == row[:-1]) & (ids[1:] > 0) & (ids[:-1] > 0))
+    return (ids[near].astype(np.int64) << 16) + ids[near + 1], row[near]
+
+
+def summed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each key once, with the exact sum of its values."""
+    if not len(keys):
+        return keys, values
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+    return keys[first], np.add.reduceat(values[order], first)
+
+
 class MergeTable:
-    """Merges by rank, for many texts at once."""
+    """Merges by rank, for many texts at once.
 
-    def __init__(self, merges: list[tuple[int, int, int]]):
-        self.size = max([256, *(m[2] + 1 for m in merges)])
+    self_pair: how a run of a pair of equal symbols is read, see mergeloom.functions.symbols.merged.
+    """
+
+    def __init__(self, merges: list[tuple[int, int, int]], self_pair: str = "greedy"):
+        self.size, self.collapse = max([256, *(m[2] + 1 for m in merges)]), self_pair == "collapse"
         self.merges = merges
         keys = np.array([a * self.size + b for a, b, _ in merges], np.int64)
         self.keys, self.ranks = np.unique(keys, return_index=True)  # a pair is merged when it first comes up
@@ -94,13 +128,17 @@ class MergeTable:
             places = np.unique(np.concatenate(waiting.pop(r)))
             places = places[alive[places] & (symbol[places] == a) & (after[places] >= 0)]
             places = places[symbol[after[places]] == b]
-            if a == b and len(places):  # of a run every other pair, from its left end
+            gone = last = after[places]
+            if a == b and len(places):
                 starts = np.r_[True, after[places[:-1]] != places[1:]]
-                inside = np.arange(len(places)) - np.flatnonzero(starts)[np.cumsum(starts) - 1]
-                places = places[inside % 2 == 0]
-            gone = after[places]
+                if self.collapse:  # a whole run
+                    places, last = places[starts], gone[np.r_[starts[1:], True]]
+                else:  # of a run every other pair, from its left end
+                    inside = np.arange(len(places)) - np.flatnonzero(starts)[np.cumsum(starts) - 1]
+                    places = places[inside % 2 == 0]
+                    gone = last = after[places]
             symbol[places], alive[gone] = new, False
-            after[places] = after[gone]
+            after[places] = after[last]
             right = after[places]
             before[right[right >= 0]] = places[right >= 0]
             left = before[places]
@@ -110,6 +148,64 @@ class MergeTable:
         return symbol[alive], np.r_[0, np.cumsum(alive)][offsets]
 
 
+    def apply_rows(self, ids: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """As apply, for many short rows: in each step every row takes the first of its merges that are still to come."""
+        later = np.int64(len(self.merges))  # no merge
+        news = np.array([m[2] for m in self.merges], np.int32)
+        row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+        taken = np.full(len(offsets) - 1, -1, np.int64)  # the last merge of each row
+        finished: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def ranks(symbol: np.ndarray, row: np.ndarray, places: np.ndarray) -> np.ndarray:
+            """The merge of each place and the next one, if it is still to come in their row."""
+            rank = np.full(len(places), later)
+            inside = np.flatnonzero(places < len(symbol) - 1)
+            inside = inside[row[places[inside]] == row[places[inside] + 1]]
+            found = self.rank(symbol[places[inside]], symbol[places[inside] + 1])
+            rank[inside] = np.where(found > taken[row[places[inside]]], found, later)
+            return rank
+
+        symbol = ids.astype(np.int32)
+        rank = ranks(symbol, row, np.arange(len(symbol)))
+        while len(symbol):
+            first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+            sizes = np.diff(np.r_[first, len(row)])
+            least = np.minimum.reduceat(rank, first)
+            done = np.repeat(least == later, sizes)
+            if done.any():
+                finished.append((row[done], symbol[done]))
+                symbol, row, rank = symbol[~done], row[~done], rank[~done]
+                least, sizes = least[least < later], sizes[least < later]
+                if not len(symbol):
+                    break
+            taken[row[np.r_[0, np.cumsum(sizes)[:-1]]]] = least
+            here = rank == np.repeat(least, sizes)
+            places = np.flatnonzero(here)
+            gone = np.zeros(len(symbol) + 1, bool)
+            gone[places + 1] = True
+            equal = symbol[places] == symbol[places + 1]
+            if equal.any():  # runs of a pair of equal symbols: the first place of each pair or of the whole run
+                starts = np.r_[True, places[1:] != places[:-1] + 1] | ~equal
+                inside = np.arange(len(places)) - np.flatnonzero(starts)[np.cumsum(starts) - 1]
+                heads = starts if self.collapse else inside % 2 == 0
+                if not self.collapse:
+                    gone[places[~heads] + 1] = False
+                    gone[places[heads] + 1] = True
+                places = places[heads]
+            symbol[places] = news[rank[places]]
+            kept = ~gone[:-1]
+            at = np.cumsum(kept) - 1
+            symbol, row, rank, places = symbol[kept], row[kept], rank[kept], at[places]
+            # a merge that is over is over for the whole row
+            rank = np.where(rank > taken[row], rank, later)
+            near = np.unique(np.r_[places, places[places > 0] - 1])
+            rank[near] = ranks(symbol, row, near)
+        row = np.concatenate([np.zeros(0, np.int64), *[f[0] for f in finished]])
+        symbol = np.concatenate([np.zeros(0, np.int32), *[f[1] for f in finished]])
+        order = np.argsort(row, kind="stable")
+        return symbol[order], np.searchsorted(row[order], np.arange(len(offsets)))
+
+
 class Trie:
     """A vocabulary as transitions between nodes, for many places at once."""
 

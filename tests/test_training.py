@@ -40,11 +40,12 @@ def bag_of(spark, words):
     return spark.createDataFrame(list(words.items()), "word string, freq bigint")
 
 
+@pytest.mark.parametrize("index_from", [0, 1000])
 @pytest.mark.parametrize("seed", [1, 2])
-def test_batches_equal_single_merges(spark, seed):
+def test_batches_equal_single_merges(spark, seed, index_from):
     rng = random.Random(seed)
     words = {"".join(rng.choice("abcé") for _ in range(rng.randint(1, 9))): rng.randint(1, 5) for _ in range(60)}
-    got = T.train_merges(bag_of(spark, words), 256 + 25, ranked=12)
+    got = T.train_merges(bag_of(spark, words), 256 + 25, board_size=12, index_from=index_from)
     assert [tuple(m) for m in got] == plain_merges(words, 256 + 25)
 
 
