@@ -166,6 +166,6 @@ def escape_whitespace(text: Column) -> Column:
 
 
 def token_span(token_id: Column, text: Column) -> Column:
-    """A token as an HTML span; the text is not escaped."""
+    """A token as an HTML span, whose form is fixed; the text is not escaped."""
     t = token_id.cast("string")
     return F.concat(F.lit('<span class="token" title="Token ID: '), t, F.lit('">'), escape_whitespace(text), F.lit('<span class="token-id">#'), t, F.lit("</span></span>"))

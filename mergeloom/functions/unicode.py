@@ -23,7 +23,7 @@ PROPERTIES = {
     "numeric": r"\p{N}", "private_use": r"\p{Co}", "identifier_start": r"[\p{L}\p{Nl}_]", "identifier_continue": r"[\p{L}\p{Nl}\p{Mn}\p{Mc}\p{Nd}\p{Pc}]",
     "pattern_whitespace": r"[\t-\r \x{85}\x{200E}\x{200F}\x{2028}\x{2029}]",
 }
-#: General categories in the order of their numbers, from 0 (unassigned).
+#: General categories in the order of their numbers, from 0 (unassigned).
 CATEGORIES = "Cn Lu Ll Lt Lm Lo Mn Mc Me Nd Nl No Pc Pd Ps Pe Pi Pf Po Sm Sc Sk So Zs Zl Zp Cc Cf Cs Co".split()
 #: Scripts in the order of their numbers, from 0.
 SCRIPTS = (
@@ -131,7 +131,7 @@ def count_sentences(text: Column) -> Column:
 
 def is_suspicious(text: Column) -> Column:
     """Whether letters of more than one script stand in a text."""
-    letters = F.array_distinct(F.filter(F.split(text, ""), lambda c: c.rlike(r"^\p{L}$")))
+    letters = F.filter(F.array_distinct(F.split(text, "")), lambda c: c.rlike(r"^\p{L}$"))
     found = F.array_distinct(F.transform(letters, lambda c: script_name(F.ascii(c))))
     return F.size(F.array_except(found, F.array(F.lit("COMMON"), F.lit("INHERITED"), F.lit("UNKNOWN")))) > 1
 

@@ -108,10 +108,16 @@ DISPLAYED = f"""array_to_string(list_transform(regexp_extract_all(h, '(?:C[2-9A-
   lambda x: CASE WHEN length(x) > 2 THEN decode(unhex(x)) ELSE {DISPLAY.replace("b ", "(('0x' || x)::INT) ").replace("chr(b)", "chr(('0x' || x)::INT)").replace("', b)", "', ('0x' || x)::INT)")} END), '')"""
 #: A number's four bytes, lowest first, in hexadecimal.
 LITTLE = "printf('%02X%02X%02X%02X', ({0}) % 256, ({0}) // 256 % 256, ({0}) // 65536 % 256, ({0}) // 16777216)"
-SCRIPT_CASE = "CASE WHEN regexp_matches(chr(range::INT), '\\p{Latin}') THEN 3 WHEN regexp_matches(chr(range::INT), '\\p{Common}') THEN 1 ELSE 0 END"
+SCRIPT_CASE = "CASE WHEN regexp_matches(c, '\\p{Latin}') THEN 3 WHEN regexp_matches(c, '\\p{Common}') THEN 1 WHEN regexp_matches(c, '\\p{Inherited}') THEN 2 ELSE 0 END"
 CATEGORY_CASE = "CASE " + " ".join(
-    f"WHEN regexp_matches(chr(range::INT), '\\p{{{c}}}') THEN {k}" for k, c in enumerate("Lu Ll Lt Lm Lo Mn Mc Me Nd Nl No Pc Pd Ps Pe Pi Pf Po Sm Sc Sk So Zs Zl Zp Cc Cf".split(), 1)
+    f"WHEN regexp_matches(c, '\\p{{{c}}}') THEN {k}" for k, c in enumerate("Lu Ll Lt Lm Lo Mn Mc Me Nd Nl No Pc Pd Ps Pe Pi Pf Po Sm Sc Sk So Zs Zl Zp Cc Cf".split(), 1)
 ) + " ELSE 0 END"
+#: Every character and every byte of the texts with its number.
+TEXTS = "texts AS (SELECT text FROM documents UNION ALL SELECT text FROM conversations UNION ALL SELECT html FROM pages UNION ALL SELECT text FROM benchmark)"
+CHARACTERS = f"{TEXTS}, ch AS (SELECT c, unicode(c) AS cp, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '(?s).')) AS c FROM texts) GROUP BY c)"
+BYTES = f"{TEXTS}, bytes_ AS (SELECT ('0x' || h)::INT AS byte, count(*) AS n FROM (SELECT unnest(regexp_extract_all(hex(encode(text)), '..')) AS h FROM texts) GROUP BY h)"
+#: Hexadecimal bytes of valid UTF-8.
+VALID = "(?:[0-7].|(?:C[2-9A-F]|D.)[89AB].|E0[AB].[89AB].|(?:E[1-9A-CEF])(?:[89AB].){2}|ED[89].[89AB].|F0[9AB].(?:[89AB].){2}|F[1-3](?:[89AB].){3}|F48.(?:[89AB].){2})*"
 BLANKS = "replace(text, '.' || chr(10), '.' || repeat(chr(10), 2) || ' ' || repeat(chr(10), 3))"
 PARAGRAPHS = f"""SELECT doc_id, unnest(range(0, len(l)))::BIGINT AS par_idx, unnest(l) AS par FROM (
   SELECT doc_id, list_filter(regexp_split_to_array({BLANKS}, '\\n\\n+'), lambda x: regexp_matches(x, '[^\\s\\x{{A0}}]')) AS l FROM documents)"""
@@ -171,8 +177,9 @@ ORACLES: dict[str, str] = {
     "top_byte_pairs": f"WITH {BAG} SELECT (unicode(p) - 65536)::INT AS a, (unicode(substr(p, 2)) - 65536)::INT AS b, n AS count FROM ({_pairs('s0')}) ORDER BY n DESC, p LIMIT 20",
     "best_pair": f"WITH {BAG} SELECT (unicode(p) - 65536)::INT AS a, (unicode(substr(p, 2)) - 65536)::INT AS b, n AS count FROM ({_pairs('s0')}) ORDER BY n DESC, p LIMIT 1",
     "merge_step": f"""
-        WITH {BAG}, m AS MATERIALIZED (SELECT p FROM ({_pairs("s0")}) ORDER BY n DESC, p LIMIT 1)
-        SELECT word, freq, length(s) AS n_before, length(replace(s, m.p, 'x')) AS n_after FROM s0 JOIN m ON contains(s0.s, m.p)""",
+        WITH {BAG}, m AS MATERIALIZED (SELECT p FROM ({_pairs("s0")}) ORDER BY n DESC, p LIMIT 1),
+        x AS (SELECT word, freq, length(s) AS n_before, length(replace(s, (SELECT p FROM m), 'x')) AS n_after FROM s0)
+        SELECT * FROM x WHERE n_before > n_after""",
     "train_merges_8": f"""
         WITH {TRAIN} SELECT k AS merge_idx, (unicode(p) - 65536)::INT AS a, (unicode(substr(p, 2)) - 65536)::INT AS b, (256 + k)::INT AS new_id, n AS count FROM ({MERGES}) WHERE n >= 2""",
     "train_progress": f"WITH {TRAIN} "
@@ -181,7 +188,7 @@ ORACLES: dict[str, str] = {
     ),
     "vocab_table": f"WITH {TRAIN},\n{VOCAB} SELECT token_id, h AS bytes_hex FROM v",
     "model_json_roundtrip": f"WITH {TRAIN},\n{VOCAB} SELECT token_id, h AS bytes_hex FROM v",
-    "display_bytes": f"SELECT b AS byte, {DISPLAY} AS display FROM (SELECT range::INT AS b FROM range(256))",
+    "display_bytes": f"WITH {BYTES} SELECT b AS byte, n, {DISPLAY} AS display FROM (SELECT byte AS b, n FROM bytes_)",
     "encode_merge_order": f"WITH {TRAIN} SELECT doc_id, length(s) AS n_tokens, md5({IDS.format('s')}) AS tokens_md5 FROM ({_encoded('documents')})",
     "encode_many_merges": f"SELECT doc_id, length(s) AS n_tokens, md5({IDS.format('s')}) AS tokens_md5 FROM (SELECT doc_id, {_many_merges()} AS s FROM documents)",
     "display_strings": f"WITH {TRAIN},\n{VOCAB} SELECT token_id, {DISPLAYED} AS display FROM v",
@@ -203,11 +210,15 @@ ORACLES: dict[str, str] = {
         WITH {TRAIN},\n{VOCAB},\n{NODES}
         SELECT 3 AS version, count(*)::INT AS n_nodes, (count(*) - 1)::INT AS n_edges, (max(length(prefix)) // 2)::INT AS longest, (SELECT count(*) FROM v)::INT AS vocab_size FROM nodes""",
     "case_mapping": "SELECT doc_id, md5(upper(replace(text, 'ß', 'SS'))) AS upper_md5, md5(lower(text)) AS lower_md5 FROM documents",
-    "unicode_categories": f"SELECT range::INT AS cp, ({CATEGORY_CASE})::INT AS category, ({SCRIPT_CASE})::INT AS script FROM range(1, 592)",
+    "unicode_categories": f"WITH {CHARACTERS} SELECT cp, n, ({CATEGORY_CASE})::INT AS category, ({SCRIPT_CASE})::INT AS script FROM ch",
+    "unicode_scripts": f"""
+        WITH {CHARACTERS} SELECT CASE {" ".join(f"WHEN regexp_matches(c, '{chr(92)}p{{{x.title()}}}') THEN '{x}'" for x in ("COMMON", "INHERITED", "LATIN", "GREEK", "CYRILLIC", "ARABIC", "HEBREW", "HAN", "HIRAGANA", "KATAKANA", "HANGUL"))} ELSE 'UNKNOWN' END AS script,
+               sum(n)::BIGINT AS n FROM ch GROUP BY 1""",
     "normal_forms": """
-        WITH d AS (SELECT doc_id, replace(text, 'e', 'e' || chr(769)) AS t FROM documents)
+        WITH r AS (SELECT doc_id, replace(text, 'e', 'e' || chr(769)) AS t FROM documents), d AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN replace(t, 'a', chr(1072)) ELSE t END AS t FROM r)
         SELECT doc_id, nfc_normalize(t) = t AS is_nfc, NOT regexp_matches(t, '[\\x{C0}-\\x{C5}\\x{C7}-\\x{CF}\\x{D1}-\\x{D6}\\x{D9}-\\x{DD}\\x{E0}-\\x{E5}\\x{E7}-\\x{EF}\\x{F1}-\\x{F6}\\x{F9}-\\x{FD}\\x{FF}]') AS is_nfd,
-               md5(nfc_normalize(t)) AS nfc_md5, true AS well_formed, false AS suspicious FROM d""",
+               md5(nfc_normalize(t)) AS nfc_md5, doc_id % 6 <> 0 OR strlen(t) % 2 = 0 AS well_formed,
+               regexp_matches(t, '\\p{Latin}') AND regexp_matches(t, '\\p{Cyrillic}') AS suspicious FROM d""",
     "stream_encode": f"WITH {TRAIN} SELECT doc_id, length(s) AS n_tokens, md5({IDS.format('s')}) AS tokens_md5 FROM ({_encoded('documents')})",
     "trie_nodes": f"WITH {TRAIN},\n{VOCAB},\n{NODES} SELECT node_id, prefix, first_child, num_children, token_id FROM nodes",
     "trie_edges": f"""
@@ -222,7 +233,11 @@ ORACLES: dict[str, str] = {
         WITH {TRAIN},\n{VOCAB},\n{ALTERNATION}
         SELECT doc_id, chunk, len(m) AS tokens, coalesce(sum(len(m)) OVER (PARTITION BY doc_id ORDER BY chunk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS offset FROM matched""",
     "decode_roundtrip": "SELECT doc_id, md5(text) AS bytes_md5 FROM documents",
-    "decode_unknown": "SELECT 1 AS id, '48EFBFBD69' AS bytes_hex UNION ALL SELECT 2, 'FF'",
+    "decode_unknown": f"""
+        WITH {TRAIN},\n{VOCAB}, e AS ({_encoded("documents")}), known AS MATERIALIZED (SELECT * FROM v WHERE token_id < {256 + K // 2}),
+        t AS (SELECT doc_id, unnest(range(0, length(s))) AS i, unicode(unnest(regexp_extract_all(s, '(?s).'))) - 65536 AS token_id FROM e),
+        b AS (SELECT doc_id, string_agg(coalesce(h, 'EFBFBD'), '' ORDER BY i) AS b FROM t LEFT JOIN known USING (token_id) GROUP BY doc_id)
+        SELECT doc_id, md5(unhex(b)) AS bytes_md5, length(b) // 2 AS n_bytes FROM b""",
     "compression_by_lang": f"""
         WITH {TRAIN}, e AS (SELECT lang, sum(strlen(text))::BIGINT AS n_bytes, sum(length(s))::BIGINT AS n_tokens FROM ({_encoded("documents")}) GROUP BY lang)
         SELECT lang, n_bytes, n_tokens, round(n_bytes / n_tokens, 2) AS ratio FROM e""",
@@ -230,30 +245,31 @@ ORACLES: dict[str, str] = {
         WITH d AS (SELECT doc_id, n_chars * doc_id AS n FROM documents)
         SELECT doc_id, CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN printf('%.1f KB', floor(n / 102.4 + 0.5) / 10) ELSE printf('%.1f MB', floor(n / 104857.6 + 0.5) / 10) END AS size_text FROM d""",
     "format_duration": """
-        WITH r AS (SELECT range AS id, range * 7.25::DOUBLE AS x FROM range(3000)), m AS (SELECT *, floor(x / 60)::BIGINT AS m, round(x - 60 * floor(x / 60))::BIGINT AS s FROM r)
+        WITH r AS (SELECT o_orderkey AS id, o_orderkey * 7.25::DOUBLE AS x FROM orders), m AS (SELECT *, floor(x / 60)::BIGINT AS m, round(x - 60 * floor(x / 60))::BIGINT AS s FROM r)
         SELECT id, CASE WHEN x < 60 THEN printf('%.1fs', floor(x * 10 + 0.5) / 10) WHEN s > 0 THEN m || 'm ' || s || 's' ELSE m || 'm' END AS trained,
                CASE WHEN x < 60 THEN round(x)::BIGINT || 's' WHEN m < 60 AND s > 0 THEN m || 'm ' || s || 's' WHEN m < 60 THEN m || 'm'
                     WHEN m % 60 > 0 THEN (m // 60) || 'h ' || (m % 60) || 'm' ELSE (m // 60) || 'h' END AS left_text FROM m""",
     "vocab_text_export": f"""
-        WITH v AS (SELECT b, {DISPLAY} AS d FROM (SELECT range::INT AS b FROM range(256))),
-        l AS (SELECT '# Vocabulary' || chr(10) || '# Total tokens: ' || count(*) || chr(10) || chr(10) || string_agg(b || chr(9) || d || chr(9) || '[' || b || ']', chr(10) ORDER BY b) || chr(10) AS t FROM v)
+        WITH {TRAIN},\n{VOCAB}, b AS (SELECT token_id, {DISPLAYED} AS d, array_to_string(list_transform(regexp_extract_all(h, '..'), lambda x: ('0x' || x)::INT), ',') AS b FROM v),
+        l AS (SELECT '# Vocabulary' || chr(10) || '# Total tokens: ' || count(*) || chr(10) || chr(10) || string_agg(token_id || chr(9) || d || chr(9) || '[' || b || ']', chr(10) ORDER BY token_id) || chr(10) AS t FROM b)
         SELECT md5(t) AS text_md5, length(t) AS n_chars FROM l""",
-    "character_classes": f"SELECT range::INT AS cp, ({_class_case('chr(range::INT)')})::INT AS class FROM range(1, 592)",
-    "byte_classes": """
-        SELECT range::INT AS byte, (CASE WHEN range = 32 THEN 2 WHEN range = 10 THEN 4 WHEN range >= 128 THEN 0
-               WHEN regexp_matches(chr(range::INT), '[A-Za-z]') THEN 0 WHEN regexp_matches(chr(range::INT), '[0-9]') THEN 1 ELSE 3 END)::INT AS class FROM range(256)""",
-    "unicode_properties": "SELECT range::INT AS cp, "
+    "character_classes": f"WITH {CHARACTERS} SELECT cp, n, ({_class_case('c')})::INT AS class FROM ch",
+    "byte_classes": f"""
+        WITH {BYTES} SELECT byte, n, (CASE WHEN byte = 32 THEN 2 WHEN byte = 10 THEN 4 WHEN byte >= 128 THEN 0
+               WHEN regexp_matches(chr(byte), '[A-Za-z]') THEN 0 WHEN regexp_matches(chr(byte), '[0-9]') THEN 1 ELSE 3 END)::INT AS class FROM bytes_""",
+    "unicode_properties": f"WITH {CHARACTERS} SELECT cp, n, "
     + ", ".join(
-        f"regexp_matches(chr(range::INT), '\\p{{{c}}}') AS {n}"
+        f"regexp_matches(c, '\\p{{{c}}}') AS {n}"
         for n, c in (
             ("letter", "L"), ("uppercase", "Lu"), ("lowercase", "Ll"), ("titlecase", "Lt"), ("digit", "Nd"), ("number", "N"), ("punctuation", "P"),
             ("symbol", "S"), ("mark", "M"), ("separator", "Z"), ("control", "Cc"), ("format", "Cf"), ("space", "Zs"),
         )
     )
-    + " FROM range(1, 592)",
+    + " FROM ch",
     "grapheme_count": """
         WITH d AS (SELECT doc_id, replace(text, 'e', 'e' || chr(769)) AS t FROM documents) SELECT doc_id, length_grapheme(t) AS n_graphemes, length(t) AS n_chars FROM d""",
-    "utf8_valid": """
-        SELECT doc_id, true AS valid, strlen(text) AS n_bytes, md5(array_to_string(list_transform(regexp_extract_all(text, '(?s).'), lambda c: unicode(c)::VARCHAR), ',')) AS codepoints_md5 FROM documents""",
+    "utf8_valid": f"""
+        WITH h AS (SELECT doc_id, text, hex(encode(text)) AS h FROM documents), b AS (SELECT doc_id, text, CASE WHEN doc_id % 3 = 0 THEN substr(h, 1, length(h) - 2) WHEN doc_id % 7 = 0 THEN 'C3' || h ELSE h END AS h FROM h)
+        SELECT doc_id, regexp_full_match(h, '{VALID}') AS valid, length(h) // 2 AS n_bytes, md5(array_to_string(list_transform(regexp_extract_all(text, '(?s).'), lambda c: unicode(c)::VARCHAR), ',')) AS codepoints_md5 FROM b""",
 }
 ORACLES["encode_longest_match_parts"] = ORACLES["encode_longest_match"]

@@ -36,8 +36,29 @@ def bag(spark: SparkSession, sf_dir: str) -> DataFrame:
     return training.word_bag(docs(spark, sf_dir), pretokenizer="byte")
 
 
+#: Models of K merges by application and folder: a session trains each once.
+_MODELS: dict[tuple[str, str], list[training.Merge]] = {}
+
+
 def small_model(spark: SparkSession, sf_dir: str) -> list[training.Merge]:
-    return training.train_merges(bag(spark, sf_dir), 256 + K)
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _MODELS:
+        _MODELS[key] = training.train_merges(bag(spark, sf_dir), 256 + K)
+    return _MODELS[key]
+
+
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All texts: of documents, conversations, pages and the benchmark."""
+    parts = [table(spark, sf_dir, t).select(F.col(c).alias("text")) for t, c in (("conversations", "text"), ("pages", "html"), ("benchmark", "text"))]
+    out = docs(spark, sf_dir).select("text")
+    for part in parts:
+        out = out.unionByName(part)
+    return out
+
+
+def characters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each character of the texts (c, cp) and its number (n)."""
+    return corpus.character_counts(texts(spark, sf_dir)).withColumn("cp", F.ascii("c"))
 
 
 def lengths_md5(words) -> object:
@@ -133,7 +154,7 @@ def vocab_table(spark, sf_dir):
 
 
 def display_bytes(spark, sf_dir):
-    return spark.range(256).select(F.col("id").cast("int").alias("byte"), T.display_byte(F.col("id").cast("int")).alias("display"))
+    return corpus.byte_counts(texts(spark, sf_dir)).select("byte", "n", T.display_byte(F.col("byte")).alias("display"))
 
 
 def display_strings(spark, sf_dir):
@@ -195,8 +216,10 @@ def decode_roundtrip(spark, sf_dir):
 
 
 def decode_unknown(spark, sf_dir):
-    rows = spark.createDataFrame([(1, [72, 300, 105]), (2, [255])], "id int, tokens array<int>")
-    return encoding.decode(rows, training.vocabulary(spark, []), "id").select("id", F.hex("bytes").alias("bytes_hex"))
+    """Texts encoded with all merges, decoded with half of them."""
+    model = small_model(spark, sf_dir)
+    tokens = encoding.encode_merge_order(docs(spark, sf_dir), model)
+    return encoding.decode(tokens, training.vocabulary(spark, model[: K // 2]), "doc_id").select("doc_id", F.md5("bytes").alias("bytes_md5"), F.octet_length("bytes").cast("bigint").alias("n_bytes"))
 
 
 def compression_by_lang(spark, sf_dir):
@@ -219,8 +242,9 @@ def format_size(spark, sf_dir):
 
 
 def format_duration(spark, sf_dir):
-    seconds = (F.col("id") * 7.25).alias("seconds")
-    return spark.range(0, 3000).select(F.col("id"), seconds).select("id", T.format_duration(F.col("seconds")).alias("trained"), T.format_estimate(F.col("seconds")).alias("left_text"))
+    """The numbers of orders as quarters of seconds."""
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_orderkey") * 7.25).alias("seconds"))
+    return orders.select("id", T.format_duration(F.col("seconds")).alias("trained"), T.format_estimate(F.col("seconds")).alias("left_text"))
 
 
 def model_json_roundtrip(spark, sf_dir):
@@ -230,7 +254,7 @@ def model_json_roundtrip(spark, sf_dir):
 
 
 def vocab_text_export(spark, sf_dir):
-    v = spark.range(256).select(F.col("id").cast("int").alias("token_id"), F.unhex(F.lpad(F.hex("id"), 2, "0")).alias("bytes"), T.display_byte(F.col("id").cast("int")).alias("display"))
+    v = training.vocabulary(spark, small_model(spark, sf_dir))
     return model_io.vocabulary_text(v).select(F.md5(F.col("text").cast("binary")).alias("text_md5"), F.length("text").cast("bigint").alias("n_chars"))
 
 
@@ -255,22 +279,17 @@ def trie_binary_roundtrip(spark, sf_dir):
     return spark.createDataFrame([(head["version"], len(nodes), len(edges), head["longest"], head["vocab_size"])], "version int, n_nodes int, n_edges int, longest int, vocab_size int")
 
 
-def _latin(spark):
-    """The characters up to U+024F, without those that have no place in a table."""
-    return spark.range(1, 0x250).select(F.col("id").cast("int").alias("cp"), F.chr(F.col("id")).alias("c0")).select("cp", F.expr("decode(unhex(lpad(hex(cp), 8, '0')), 'UTF-32')").alias("c"))
-
-
 def unicode_properties(spark, sf_dir):
     names = ("letter", "uppercase", "lowercase", "titlecase", "digit", "number", "punctuation", "symbol", "mark", "separator", "control", "format", "space")
-    return _latin(spark).select("cp", *[U.has(F.col("c"), n).alias(n) for n in names])
+    return characters(spark, sf_dir).select("cp", "n", *[U.has(F.col("c"), n).alias(n) for n in names])
 
 
 def character_classes(spark, sf_dir):
-    return _latin(spark).select("cp", T.character_class(F.col("c")).alias("class"))
+    return characters(spark, sf_dir).select("cp", "n", T.character_class(F.col("c")).alias("class"))
 
 
 def byte_classes(spark, sf_dir):
-    return spark.range(256).select(F.col("id").cast("int").alias("byte"), T.byte_class(F.col("id")).alias("class"))
+    return corpus.byte_counts(texts(spark, sf_dir)).select("byte", "n", T.byte_class(F.col("byte")).alias("class"))
 
 
 def case_mapping(spark, sf_dir):
@@ -283,29 +302,36 @@ def grapheme_count(spark, sf_dir):
 
 
 def utf8_valid(spark, sf_dir):
-    return docs(spark, sf_dir).select("doc_id", F.is_valid_utf8("text").alias("valid"), F.octet_length("text").cast("bigint").alias("n_bytes"), F.md5(F.array_join(U.codepoints(F.col("text")), ",").cast("binary")).alias("codepoints_md5"))
+    """Whether bytes are valid UTF-8: documents as they are, and some cut inside a character or with a stray byte in front."""
+    whole = F.encode("text", "UTF-8")
+    cut = F.when(F.col("doc_id") % 3 == 0, F.substring(whole, 1, F.octet_length(whole) - 1)).when(F.col("doc_id") % 7 == 0, F.concat(F.unhex(F.lit("C3")), whole)).otherwise(whole)
+    rows = docs(spark, sf_dir).select("doc_id", "text", cut.alias("bytes"))
+    points = F.md5(F.array_join(U.codepoints(F.col("text")), ",").cast("binary"))
+    return rows.select("doc_id", F.is_valid_utf8(F.col("bytes").cast("string")).alias("valid"), F.octet_length("bytes").cast("bigint").alias("n_bytes"), points.alias("codepoints_md5"))
 
 
 def unicode_categories(spark, sf_dir):
-    return _latin(spark).select("cp", U.category(F.col("c")).alias("category"), U.script(F.col("c")).alias("script"))
+    return characters(spark, sf_dir).select("cp", "n", U.category(F.col("c")).alias("category"), U.script(F.col("c")).alias("script"))
 
 
 def unicode_names(spark, sf_dir):
-    c = _latin(spark)
-    return c.select("cp", U.name(F.col("c")).alias("name"), U.numeric_value(F.col("c")).alias("numeric_value"), U.case_fold(F.col("c")).alias("folded"), U.block(F.col("c")).alias("block"))
+    c = characters(spark, sf_dir)
+    return c.select("cp", "n", U.name(F.col("c")).alias("name"), U.numeric_value(F.col("c")).alias("numeric_value"), U.case_fold(F.col("c")).alias("folded"), U.block(F.col("c")).alias("block"))
 
 
 def unicode_scripts(spark, sf_dir):
-    """How many code points each script has, over all planes."""
-    every = spark.range(0x110000).where(U.is_valid_codepoint(F.col("id"))).select(U.script_name(F.col("id")).alias("script"))
-    return every.groupBy("script").agg(F.count(F.lit(1)).alias("n"))
+    """How many characters of the texts each script has."""
+    return characters(spark, sf_dir).groupBy(U.script_name(F.col("cp")).alias("script")).agg(F.sum("n").alias("n"))
 
 
 def normal_forms(spark, sf_dir):
+    """Documents with an accent set apart after every e; every fifth also has a letter of another script, every sixth a lone surrogate among its code points."""
     d = docs(spark, sf_dir).select("doc_id", F.replace("text", F.lit("e"), F.lit("e\u0301")).alias("text"))
+    d = d.withColumn("text", F.when(F.col("doc_id") % 5 == 0, F.replace("text", F.lit("a"), F.lit("\u0430"))).otherwise(F.col("text")))
+    points = F.when(F.col("doc_id") % 6 == 0, F.concat(U.codepoints(F.col("text")), F.array(F.octet_length("text") % 2 * 1 + 0xD7FF))).otherwise(U.codepoints(F.col("text")))
     return d.select(
         "doc_id", *[U.is_normalized(F.col("text"), f).alias(f"is_{f.lower()}") for f in ("NFC", "NFD")], F.md5(U.normalize_bytes(F.col("text").cast("binary"))).alias("nfc_md5"),
-        U.is_well_formed(U.codepoints(F.col("text"))).alias("well_formed"), U.is_suspicious(F.col("text")).alias("suspicious"),
+        U.is_well_formed(points).alias("well_formed"), U.is_suspicious(F.col("text")).alias("suspicious"),
     )
 
 

@@ -61,6 +61,18 @@ def profile(docs: DataFrame, text_col: str = "text") -> DataFrame:
     )
 
 
+def character_counts(texts: DataFrame, text_col: str = "text") -> DataFrame:
+    """c and n: each character of the texts and how often it stands there."""
+    each = texts.select(F.explode(F.split(text_col, "")).alias("c")).where("c != ''")
+    return each.groupBy("c").agg(F.count(F.lit(1)).alias("n"))
+
+
+def byte_counts(texts: DataFrame, text_col: str = "text") -> DataFrame:
+    """byte and n: each byte of the texts in UTF-8 and how often it stands there."""
+    latin = F.decode(F.encode(text_col, "UTF-8"), "ISO-8859-1")  # a character for each byte
+    return character_counts(texts.select(latin.alias("text"))).select(F.ascii("c").alias("byte"), "n")
+
+
 def split_paragraphs(docs: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
     """id, par_idx (from 0, blank ones left out) and par of each text."""
     return docs.select(id_col, F.posexplode(paragraphs(F.col(text_col))).alias("par_idx", "par"))
