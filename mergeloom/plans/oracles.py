@@ -17,7 +17,7 @@ CLASS_RE = {
     "NEWLINE": f"[{NEWLINES}]",
     "OTHER": rf"[^\p{{L}}\p{{M}}\p{{N}}\p{{P}}\p{{S}}{SPACES}{NEWLINES}]",
 }
-SYMBOLS_OF = "array_to_string(list_transform(range(0, octet_length(encode({0}))), lambda i: chr((65536 + ('0x' || substr(hex(encode({0})), 2 * i + 1, 2))::INT)::INT)), '')"
+SYMBOLS_OF = "array_to_string(list_transform(regexp_extract_all(hex(encode({0})), '..'), lambda b: chr((65536 + ('0x' || b)::INT)::INT)), '')"
 
 
 def _class_case(c: str) -> str:
