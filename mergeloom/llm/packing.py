@@ -299,12 +299,13 @@ def best_fit_packing(
     end_id: int = 1,
     group_rows: int = 20_000,
     partners: float = 0.1,
+    scratch: Scratch | None = None,
 ) -> DataFrame:
     """One row for each piece: id, piece, start, length, ids_crc32, sequence_id, offset, moved (by the search).
 
     group_rows: pieces packed together in a task, which bounds its memory and time.
     partners: share of the full sequences that are packed once more with all underfull ones.
     """
-    scratch = Scratch(docs.sparkSession, "packing")
+    scratch = scratch or Scratch(docs.sparkSession, "packing")
     pieces = scratch.store(token_pieces(docs, id_col, text_col, tokenizer_file, capacity, end_id), "pieces")
     return pack(pieces, capacity, group_rows, partners, scratch).withColumnRenamed("id", id_col)

@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mergeloom.llm.common import materialize, with_small_side
+from mergeloom.llm.common import Scratch, with_small_side
 from mergeloom.llm.words import find_words, hash_words, minima, row_slices, shingles, text_bytes
 
 #: What a character may stand for besides itself.
@@ -218,13 +218,8 @@ class Decoder:
         return out
 
     def words(self, texts: pa.Array) -> list[set[str]]:
-        """Distinct lower-cased words of each text as it stands and of its restored tokens."""
-        data, starts, ends, owner = suspicious_spans(texts)
-        out = [set(LETTERS.findall((t or b"").decode("utf-8", "replace").lower())) for t in texts.to_pylist()]
-        for a, b, k in zip(starts.tolist(), ends.tolist(), owner.tolist(), strict=True):
-            for match in DISGUISED.finditer(data[a:b].decode("utf-8", "replace").lower()):
-                out[k].update(LETTERS.findall(self._reading(match)))
-        return out
+        """Distinct lower-cased words of each restored text."""
+        return [set(LETTERS.findall((t or "").lower())) for t in self.restore(texts)]
 
 
 def without_copies(rows: DataFrame) -> DataFrame:
@@ -269,15 +264,17 @@ def learn_toxicity(
     least_rows: int = 5,
     least_z: float = 6.0,
     most_words: int = 2000,
+    scratch: Scratch | None = None,
 ) -> ToxicityModel:
     """Character model over all texts, word weights from a bounded sample of labelled rows.
 
     labels: id and label (0 or 1). About sample_rows labelled rows at most are drawn by
-    a hash of the id, and of copies among them one is used. A word becomes a feature when
-    it is in at least least_rows toxic rows and its share of toxic rows is above that of clean
-    rows by least_z deviations; of these the most_words with the largest deviations stay.
-    Weights are smoothed log-likelihood ratios, the intercept is the log-odds of the labels.
+    a hash of the id, and of copies among them one is used. A word of the restored texts becomes a feature when
+    it is in at least least_rows rows and its shares of toxic and of clean rows differ
+    by least_z deviations, whichever is larger; of these the most_words with the largest deviations stay.
+    Weights are smoothed log-likelihood ratios of either sign, the intercept is the log-odds of the labels.
     """
+    own, scratch = scratch is None, scratch or Scratch(docs.sparkSession, "toxicity")
     characters = character_model(docs, text_col)
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"))
     n = known.count()
@@ -285,7 +282,7 @@ def learn_toxicity(
     sample = known.where(at < min(1.0, sample_rows / max(n, 1))).dropDuplicates(["id"])
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text")).where("text IS NOT NULL")
     drawn = texts.join(with_small_side(sample, min(n, 2 * sample_rows), 40), "id")
-    once = materialize(without_copies(drawn), "toxic-sample")
+    once = scratch.store(without_copies(drawn), "toxic-sample")
     texts = texts.join(with_small_side(once, once.count(), 40), "id").select("text", "label")
     shared = docs.sparkSession.sparkContext.broadcast(characters)
 
@@ -302,7 +299,7 @@ def learn_toxicity(
             yield pa.RecordBatch.from_arrays([pa.array(part, pa.string())] + [pa.array([t[w] for w in part], pa.int64()) for t in total], ["word", "n0", "n1"])
 
     counted = texts.mapInArrow(count, "word string, n0 bigint, n1 bigint").groupBy("word").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    counted = materialize(counted, "toxic-words")
+    counted = scratch.store(counted, "toxic-words")
     rows = {r.word: r for r in counted.where("word = ''").collect()}
     clean, toxic = (rows[""].n0, rows[""].n1) if rows else (0, 0)
     if not clean or not toxic:
@@ -310,9 +307,11 @@ def learn_toxicity(
     ratio = F.log((F.col("n1") + 0.5) / (toxic + 1.0)) - F.log((F.col("n0") + 0.5) / (clean + 1.0))
     pooled = (F.col("n1") + F.col("n0") + 1.0) / (toxic + clean + 2.0)
     z = (F.col("n1") / toxic - F.col("n0") / clean) / F.sqrt(pooled * (1 - pooled) * (1 / toxic + 1 / clean))
-    enough = F.col("n1") >= least_rows
-    chosen = counted.where((F.col("word") != "") & enough).select("word", ratio.alias("ratio"), z.alias("z")).where(F.col("z") >= least_z)
+    enough = F.col("n0") + F.col("n1") >= least_rows
+    chosen = counted.where((F.col("word") != "") & enough).select("word", ratio.alias("ratio"), F.abs(z).alias("z")).where(F.col("z") >= least_z)
     weights = {r.word: float(r.ratio) for r in chosen.orderBy(F.desc("z"), "word").limit(most_words).collect()}
+    if own:
+        scratch.drop()
     return ToxicityModel(characters, weights, math.log(toxic / clean))
 
 

@@ -106,3 +106,38 @@ def test_language_stage_has_the_margin_of_the_operator(spark):
     assert {r.doc_id for r in corpus_pipeline.language(spark, docs, "").collect()} == {r.doc_id for r in verdicts if not r.rejected}
     unlabelled = docs.withColumn("lang", docs.lang.substr(1, 0)).replace("", None, ["lang"])
     assert {r.doc_id for r in corpus_pipeline.language(spark, unlabelled, "").collect()} == {r[0] for r in rows}
+
+
+def small_corpus(path, spark):
+    rows = [(k, prose("xa" if k % 2 else "yb", 60, k) + (" vilest" if k % 5 == 0 else ""), "xa" if k % 2 else "yb") for k in range(200)]
+    rows += [(300, rows[7][1], "xa"), (301, rows[7][1].replace(" ", "\n"), "xa"), (302, None, None)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string").write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame([(k, int(k % 5 == 0)) for k in range(200)], "doc_id bigint, toxic int").write.parquet(f"{path}/labels.parquet")
+    return {k for k in range(200) if k % 5}
+
+
+def test_texts_that_share_a_hash_lose_no_row(spark, tmp_path, monkeypatch):
+    """One text in three has the same first hash as others."""
+    from pyspark.sql import functions as F
+
+    plain = corpus_pipeline.text_hash
+    monkeypatch.setattr(corpus_pipeline, "text_hash", lambda salt: F.pmod(plain(0), F.lit(40)) if salt == 0 else plain(salt))
+    want = small_corpus(tmp_path, spark)
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    scratch = corpus_pipeline.Scratch(spark, "keys")
+    rows, key = corpus_pipeline.keyed(docs, scratch)
+    assert rows.select(key).distinct().count() == docs.select("text").distinct().count() == rows.select(key, "text").distinct().count()
+    assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == want
+
+
+def test_nothing_is_left_but_the_result(spark, tmp_path, monkeypatch):
+    import os
+
+    from mergeloom.sources import storage
+
+    root = tmp_path / "shared"
+    small_corpus(tmp_path, spark)
+    monkeypatch.setattr(storage, "shared_root", lambda spark: str(root))
+    rows = corpus_pipeline.run(spark, str(tmp_path))
+    (folder,) = os.listdir(root)
+    assert folder.startswith("pipeline-") and len(os.listdir(root / folder)) == 1 and rows.count() == 160
