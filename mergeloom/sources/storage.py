@@ -86,8 +86,10 @@ class Scratch:
         return new
 
     def drop(self, *names: str) -> None:
-        """Delete all that was stored under these names, or everything; what still reads it must have been stored before."""
-        for name in names or list(self.paths):
-            for path in self.paths.pop(name, []):
-                place = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-                place.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(place, True)
+        """Delete all that was stored under these names, or everything and the folder; what still reads it must have been stored before."""
+        paths = [path for name in names for path in self.paths.pop(name, [])]
+        if not names:
+            self.paths, paths = {}, [self.folder]
+        for path in paths:
+            place = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(place, True)
