@@ -122,7 +122,39 @@ BLANKS = "replace(text, '.' || chr(10), '.' || repeat(chr(10), 2) || ' ' || repe
 PARAGRAPHS = f"""SELECT doc_id, unnest(range(0, len(l)))::BIGINT AS par_idx, unnest(l) AS par FROM (
   SELECT doc_id, list_filter(regexp_split_to_array({BLANKS}, '\\n\\n+'), lambda x: regexp_matches(x, '[^\\s\\x{{A0}}]')) AS l FROM documents)"""
 
+#: The documents as one sequence in hexadecimal, and, after TRAIN, VOCAB and ALTERNATION, the matches of each of its chunks.
+JOINED = "joined AS MATERIALIZED (SELECT string_agg(hex(encode(text)), '0A0A' ORDER BY doc_id) AS h FROM documents)"
+CORPUS_CHUNKS = f"""{JOINED}, byte_ AS (
+  SELECT unnest(range(0, len(l))) AS i, ('0x' || unnest(l))::INT AS b FROM (SELECT regexp_extract_all(h, '..') AS l FROM joined)
+), m AS MATERIALIZED (
+  SELECT chunk, regexp_extract_all(part, (SELECT re FROM alternatives)) AS m FROM (
+    SELECT i // (SELECT size FROM longest) AS chunk, string_agg(chr(65536 + b), '' ORDER BY i) AS part FROM byte_ GROUP BY 1)
+), corpus_chunk AS MATERIALIZED (
+  SELECT chunk, m, len(m) AS tokens, coalesce(sum(len(m)) OVER (ORDER BY chunk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS offset FROM m
+)"""
+
+
+def _sequence_merges(k: int) -> str:
+    """Tables q0..qk of the sequence's symbols by place, b0..b(k-1) of best pairs."""
+    parts = [f"{JOINED}, q0 AS MATERIALIZED (SELECT unnest(range(0, len(l))) AS i, ('0x' || unnest(l))::INT AS s FROM (SELECT regexp_extract_all(h, '..') AS l FROM joined))"]
+    for j in range(k):
+        parts.append(f"""n{j} AS MATERIALIZED (SELECT i, s, lead(s) OVER o AS nxt, lead(i) OVER o AS ni FROM q{j} WINDOW o AS (ORDER BY i)),
+b{j} AS MATERIALIZED (SELECT s AS a, nxt AS b, count(*) AS n FROM n{j} WHERE s > 0 AND nxt > 0 GROUP BY ALL ORDER BY n DESC, a, b LIMIT 1),
+h{j} AS (SELECT i, ni, coalesce(lag(ni) OVER (ORDER BY i) <> i, true) AS begins FROM n{j}, b{j} WHERE s = a AND nxt = b),
+r{j} AS (SELECT i, ni, sum(begins::INT) OVER (ORDER BY i ROWS UNBOUNDED PRECEDING) AS run FROM h{j}),
+t{j} AS MATERIALIZED (SELECT i, ni FROM (SELECT i, ni, row_number() OVER (PARTITION BY run ORDER BY i) AS k FROM r{j}) WHERE k % 2 = 1),
+q{j + 1} AS MATERIALIZED (SELECT n{j}.i, CASE WHEN t.i IS NULL THEN s ELSE {256 + j} END AS s FROM n{j} LEFT JOIN t{j} t ON t.i = n{j}.i WHERE n{j}.i NOT IN (SELECT ni FROM t{j}))""")
+    return ",\n".join(parts)
+
+
 ORACLES: dict[str, str] = {
+    "train_sequence_4": f"WITH {_sequence_merges(4)} "
+    + " UNION ALL ".join(f"SELECT {j} AS merge_idx, a::INT AS a, b::INT AS b, {256 + j} AS new_id, n AS count FROM b{j}" for j in range(4)),
+    "corpus_chunks": f"WITH {TRAIN},\n{VOCAB},\n{ALTERNATION},\n{CORPUS_CHUNKS} SELECT chunk, tokens, \"offset\" FROM corpus_chunk",
+    "corpus_export": f"""
+        WITH {TRAIN},\n{VOCAB},\n{ALTERNATION},\n{CORPUS_CHUNKS},
+        ids AS (SELECT "offset" + i AS place, token_id FROM (SELECT "offset", unnest(m) AS a, unnest(range(0, len(m))) AS i FROM corpus_chunk) JOIN lookup USING (a))
+        SELECT place // 10000 AS block, count(*) AS n_tokens, sum(token_id * (place % 10000 + 1))::BIGINT AS ids_sum, (SELECT count(*) FROM ids) AS total FROM ids GROUP BY 1""",
     "corpus_profile": """
         SELECT count(*) AS n_docs, sum(strlen(text))::BIGINT AS total_bytes, sum(length(text))::BIGINT AS total_chars,
                CASE WHEN sum(strlen(text)) < 1024 THEN sum(strlen(text)) || ' B' WHEN sum(strlen(text)) < 1048576 THEN printf('%.1f KB', sum(strlen(text)) / 1024.0)

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from mergeloom.functions import symbols as S
 from mergeloom.functions import text as T
 from mergeloom.functions import unicode as U
-from mergeloom.operators import encoding, training, trie
+from mergeloom.operators import encoding, sequence, training, trie
 from mergeloom.sources import corpus, model_io
+from mergeloom.sources.storage import Scratch, work_folder
 
 #: Merges that the small models of these queries have.
 K = 8
@@ -336,7 +337,6 @@ def normal_forms(spark, sf_dir):
 
 
 def stream_encode(spark, sf_dir):
-    from mergeloom.sources.storage import work_folder
     from mergeloom.streaming.encode_stream import encode_stream
 
     to = work_folder(spark, "stream-out")
@@ -348,6 +348,32 @@ def stream_encode(spark, sf_dir):
     return done.select("doc_id", F.size("tokens").cast("bigint").alias("n_tokens"), _tokens_md5("tokens").alias("tokens_md5"))
 
 
+def train_sequence_4(spark, sf_dir):
+    """Merges over the documents as one sequence of bytes, without words."""
+    return training.merges_frame(spark, sequence.train_sequence(table(spark, sf_dir, "documents"), 256 + 4, "doc_id"))
+
+
+def _encoded_corpus(spark, sf_dir):
+    scratch = Scratch(spark, "encoded-corpus")
+    return sequence.encode_corpus(table(spark, sf_dir, "documents"), training.token_bytes(small_model(spark, sf_dir)), "doc_id", scratch=scratch)
+
+
+def corpus_chunks(spark, sf_dir):
+    """Tokens and offset of each chunk of the documents as one sequence."""
+    return sequence.corpus_chunks(_encoded_corpus(spark, sf_dir))
+
+
+def corpus_export(spark, sf_dir):
+    """The documents exported as one sequence and read back: for every 10,000 ids their number and a sum that depends on their order."""
+    folder = work_folder(spark, "corpus-export")
+    model = small_model(spark, sf_dir)
+    total = model_io.export_corpus(_encoded_corpus(spark, sf_dir), model_io.model_json(model), 256 + len(model), folder)
+    ids = model_io.read_export(spark, folder).select("position", F.posexplode("tokens").alias("k", "token_id"))
+    place = F.col("position") + F.col("k")
+    rows = ids.groupBy(F.floor(place / 10_000).alias("block")).agg(F.count(F.lit(1)).alias("n_tokens"), F.sum(F.col("token_id") * (place % 10_000 + 1)).alias("ids_sum"))
+    return rows.withColumn("total", F.lit(total).cast("bigint"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -357,5 +383,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         chunk_offsets, decode_roundtrip, decode_unknown, compression_by_lang, token_spans, format_size, format_duration, model_json_roundtrip,
         vocab_text_export, bin_export, bin_export_longest, trie_binary_roundtrip, unicode_properties, character_classes, byte_classes,
         case_mapping, grapheme_count, utf8_valid, unicode_categories, unicode_names, unicode_scripts, normal_forms, stream_encode,
+        train_sequence_4, corpus_chunks, corpus_export,
     )
 }

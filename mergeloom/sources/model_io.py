@@ -5,7 +5,10 @@ from __future__ import annotations
 import json
 import struct
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mergeloom.operators.training import Merge, token_bytes
@@ -78,6 +81,66 @@ def parse_token_blob(blob: bytes) -> tuple[int, list[int], str]:
     return size, ids, blob[16 + 4 * n : 16 + 4 * n + length].decode()
 
 
+def _write_raw(rows: DataFrame, last: str, folder: str) -> None:
+    """Write rows of bytes one after the other; each ends with the byte `last`, which the text writer puts there."""
+    rows.select(F.substring("bytes", F.lit(1), F.octet_length("bytes") - 1).cast("string").alias("value")).write.option("lineSep", last).text(folder)
+
+
+def export_corpus(encoded: DataFrame, vocab_json: str, vocab_size: int, folder: str) -> int:
+    """Write the ids of a whole corpus (piece and chunks, as encode_corpus gives them) as one export in files; the number of ids.
+
+    The files of folder/0-header, 1-tokens and 2-vocabulary, in this order and within each in order of their names, are
+    the export that token_blob gives for all ids in a row. Each task writes the ids of a range of pieces.
+    """
+    spark, tail = encoded.sparkSession, vocab_json.encode()
+
+    @F.arrow_udf("binary")
+    def as_bytes(chunks: pa.Array) -> pa.Array:
+        ids = chunks.flatten()
+        flat, at = ids.flatten().to_numpy().astype("<u4"), np.r_[0, np.cumsum(pc.fill_null(ids.value_lengths(), 0).to_numpy())]
+        ends = np.r_[0, np.cumsum(pc.fill_null(chunks.value_lengths(), 0).to_numpy())]
+        return pa.array([flat[a:b].tobytes() for a, b in zip(at[ends[:-1]].tolist(), at[ends[1:]].tolist(), strict=True)], pa.binary())
+
+    total = encoded.agg(F.sum(F.aggregate("chunks", F.lit(0).cast("bigint"), lambda n, c: n + F.size(c))).alias("n")).first().n or 0
+    head = struct.pack("<4I", EXPORT_MAGIC, vocab_size, total, len(tail))
+    raw = lambda value: spark.createDataFrame([(bytearray(value),)], "bytes binary").coalesce(1)
+    _write_raw(raw(head), chr(head[-1]), f"{folder}/0-header")
+    rows = encoded.repartitionByRange("piece").sortWithinPartitions("piece").select(as_bytes("chunks").alias("bytes"))
+    _write_raw(rows.where(F.octet_length("bytes") > 0), "\0", f"{folder}/1-tokens")  # ids are under 2**24
+    if tail:
+        _write_raw(raw(tail), chr(tail[-1]), f"{folder}/2-vocabulary")
+    return total
+
+
+def read_export(spark: SparkSession, folder: str, most: int = 1 << 16) -> DataFrame:
+    """position (of the first) and tokens of an exported corpus, `most` ids of a file at a time.
+
+    Raises ValueError when the header is not an export's or tells of another number of ids.
+    """
+    head = b"".join(bytes(r.content) for r in spark.read.format("binaryFile").load(f"{folder}/0-header").select("content").collect())
+    if len(head) != 16 or struct.unpack("<4I", head)[0] != EXPORT_MAGIC:
+        raise ValueError("not a token export")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(f"{folder}/1-tokens")
+    number = F.regexp_extract("path", r"part-(\d+)", 1).cast("bigint")
+    order = Window.orderBy("number")  # a row for each file
+    places = files.select(number.alias("number"), F.col("length")).select("number", (F.sum("length").over(order) - F.col("length")).alias("start"), F.sum("length").over(Window.partitionBy()).alias("whole"))
+    wanted = struct.unpack("<4I", head)[2]
+    found = places.agg(F.max("whole").alias("whole")).first().whole or 0
+    if found != 4 * wanted:
+        raise ValueError(f"{found // 4} ids instead of {wanted}")
+
+    def cut(batches):
+        for batch in batches:
+            for start, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                ids = np.frombuffer(content.as_buffer(), "<u4").astype(np.int32)
+                for a in range(0, len(ids), most):
+                    part = ids[a : a + most]
+                    yield pa.RecordBatch.from_arrays([pa.array([start // 4 + a], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(part)], pa.int32()), pa.array(part))], ["position", "tokens"])
+
+    told = files.select(number.alias("number"), "content").join(F.broadcast(places.select("number", "start")), "number")  # a row for each file
+    return told.select("start", "content").mapInArrow(cut, "position bigint, tokens array<int>")
+
+
 def write_tokens(tokens: DataFrame, folder: str) -> None:
     """Token ids as Parquet, the export for large corpora."""
     tokens.write.parquet(folder)

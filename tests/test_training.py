@@ -84,3 +84,14 @@ def test_progress(spark):
     merges = T.train_merges(bag, 258)
     rows = T.progress(T.symbol_bag(bag), merges).collect()
     assert [(r.merge_string, r.best_count, r.symbol_count) for r in rows] == [("ab", 6, 6), ("abab", 3, 3)]
+
+
+def test_rounds_read_less_and_less(spark):
+    """Words are read by the pairs they hold: rare pairs need few of them."""
+    rng = random.Random(4)
+    stems = ["".join(rng.choice("abcdefghij") for _ in range(3)) for _ in range(40)]
+    words = {"".join(rng.choice(stems) for _ in range(rng.randint(1, 4))): rng.randint(1, 9) for _ in range(800)}
+    rounds = []
+    got = T.train_merges(bag_of(spark, words), 256 + 60, board_size=300, renew_after=40, rounds=rounds)
+    assert [tuple(m) for m in got] == plain_merges(words, 256 + 60)
+    assert all(r.words <= len(words) * r.merges for r in rounds) and rounds[-1].words < len(words) / 3
