@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from mergeloom.functions import symbols as S
 from mergeloom.functions.text import display_bytes, words
 from mergeloom.operators.batches import MergeTable, pair_keys, picked, summed, symbol_ids, symbol_strings
+from mergeloom.operators.segments import cut_at_words
 from mergeloom.sources.storage import Scratch
 
 
@@ -31,8 +32,10 @@ class Merge(NamedTuple):
 MERGES = "merge_idx int, a int, b int, new_id int, count bigint"
 
 
-def word_bag(docs: DataFrame, text_col: str = "text", pretokenizer: str = "unicode") -> DataFrame:
-    """word and freq: how often each word stands in the texts."""
+def word_bag(docs: DataFrame, text_col: str = "text", pretokenizer: str = "unicode", part_bytes: int | None = None) -> DataFrame:
+    """word and freq: how often each word stands in the texts. part_bytes: longer texts are cut first (cut_at_words)."""
+    if part_bytes is not None:
+        docs = cut_at_words(docs.select(text_col), text_col, pretokenizer, part_bytes=part_bytes)
     return docs.select(F.explode(words(F.col(text_col), pretokenizer)).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("freq"))
 
 

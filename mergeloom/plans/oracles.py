@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from mergeloom.operators.permutation import ROUNDS
 from mergeloom.plans.queries import K, LETTER_PAIRS
 from mergeloom.sources.corpus import TEXT_EXTENSIONS
 
@@ -25,6 +26,18 @@ def _class_case(c: str) -> str:
     return f"CASE {arms} ELSE 6 END"
 
 
+def _swap_rounds() -> str:
+    """A step for each round of the permutation: a number may change place with its mirror image about the round's key."""
+    steps = []
+    for k in range(ROUNDS):
+        key = f"('0x' || substr(md5('42:{k}'), 1, 15))::BIGINT % n"
+        steps.append(
+            f"m{k} AS (SELECT *, ({key} + n - x) % n AS other FROM r{k}), "
+            f"r{k + 1} AS (SELECT * EXCLUDE (x, other), CASE WHEN substr(md5('42:{k}:' || greatest(x, other)), 1, 1) >= '8' THEN other ELSE x END AS x FROM m{k})"
+        )
+    return ", ".join(steps)
+
+
 BAG = f"""
 bag AS MATERIALIZED (
   SELECT word, count(*) AS freq FROM (SELECT unnest(regexp_extract_all(text, '{BYTE_WORDS}')) AS word FROM documents) GROUP BY word
@@ -201,6 +214,14 @@ ORACLES: dict[str, str] = {
         n AS (SELECT doc_id, length(text) AS n FROM documents)
         SELECT doc_id, count(i) AS n_words, md5(coalesce(string_agg((coalesce(nxt, n + 1) - i)::VARCHAR, ',' ORDER BY i), '')) AS lengths_md5
         FROM n LEFT JOIN marks USING (doc_id) GROUP BY doc_id""",
+    "paragraph_permutation": f"""
+        WITH p AS (SELECT *, row_number() OVER (ORDER BY doc_id, par_idx) - 1 AS number FROM ({PARAGRAPHS})), r0 AS (SELECT *, number AS x, count(*) OVER () AS n FROM p), {_swap_rounds()}
+        SELECT doc_id, par_idx, strlen(par) AS n_bytes, number, x AS place, number AS back FROM r{ROUNDS}""",
+    "file_scan": """
+        WITH t AS (
+          SELECT 'documents-' || doc_id AS file, doc_id AS k, text FROM documents UNION ALL SELECT 'pages-' || page_id, page_id, html FROM pages
+        ), d AS (SELECT file, k % 7 = 0 AS stray, nfc_normalize(CASE WHEN k % 7 = 0 THEN chr(65533) ELSE '' END || replace(text, 'e', 'e' || chr(769)) || chr(10)) AS text FROM t)
+        SELECT file, CASE WHEN stray THEN 'replaced' ELSE 'text' END AS status, strlen(text) AS n_bytes, md5(text) AS text_md5 FROM d""",
     "byte_words": f"""
         WITH w AS (SELECT doc_id, regexp_extract_all(text, '{BYTE_WORDS}') AS w FROM documents)
         SELECT doc_id, len(w) AS n_words, md5(array_to_string(list_transform(w, lambda x: length(x)::VARCHAR), ',')) AS lengths_md5 FROM w""",
@@ -305,3 +326,6 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, regexp_full_match(h, '{VALID}') AS valid, length(h) // 2 AS n_bytes, md5(array_to_string(list_transform(regexp_extract_all(text, '(?s).'), lambda c: unicode(c)::VARCHAR), ',')) AS codepoints_md5 FROM b""",
 }
 ORACLES["encode_longest_match_parts"] = ORACLES["encode_longest_match"]
+_JOINED = "WITH joined AS (SELECT doc_id // 100 AS doc_id, string_agg(text, chr(10) || chr(10) ORDER BY doc_id) AS text FROM documents GROUP BY 1), ch AS"
+_WORDS = ORACLES["unicode_words"].replace("FROM documents", "FROM joined").replace("WITH ch AS", _JOINED)
+ORACLES["giant_text_words"] = f"SELECT doc_id AS block, n_words, lengths_md5 FROM ({_WORDS})"

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from mergeloom.functions import symbols as S
 from mergeloom.functions import text as T
 from mergeloom.functions import unicode as U
-from mergeloom.operators import encoding, sequence, training, trie
+from mergeloom.operators import encoding, permutation, segments, sequence, training, trie
 from mergeloom.sources import corpus, model_io
 from mergeloom.sources.storage import Scratch, work_folder
 
@@ -374,6 +374,35 @@ def corpus_export(spark, sf_dir):
     return rows.withColumn("total", F.lit(total).cast("bigint"))
 
 
+def giant_text_words(spark, sf_dir):
+    """The words of texts of a hundred documents each, found in parts of 16 KB: their number and lengths in order."""
+    blocks = table(spark, sf_dir, "documents").select(F.floor(F.col("doc_id") / 100).alias("block"), "doc_id", "text")
+    pieces = segments.cut_at_words(corpus.concatenated(blocks, "block", "doc_id"), part_bytes=16 << 10)
+    found = pieces.select("block", "piece", F.transform(T.words(F.col("text")), lambda w: F.char_length(w)).alias("lengths"))
+    whole = found.groupBy("block").agg(F.flatten(F.array_sort(F.collect_list(F.struct("piece", "lengths"))).getField("lengths")).alias("lengths"))
+    return whole.select("block", F.size("lengths").cast("bigint").alias("n_words"), F.md5(F.array_join(F.col("lengths").cast("array<string>"), ",").cast("binary")).alias("lengths_md5"))
+
+
+def paragraph_permutation(spark, sf_dir):
+    """The place of each paragraph in the corpus permuted by a seed, and the number that leads back from it."""
+    pars = corpus.split_paragraphs(_with_blank_lines(spark, sf_dir), "doc_id").withColumn("par_idx", F.col("par_idx").cast("bigint"))
+    placed = permutation.permuted(pars.select("doc_id", "par_idx", F.octet_length("par").cast("bigint").alias("n_bytes")), 42, "doc_id", "par_idx")
+    n = placed.count()
+    return placed.withColumn("back", permutation.number_at(F.col("place"), n, 42))
+
+
+def file_scan(spark, sf_dir):
+    """Documents and pages written as a file each and scanned: accents apart, and a stray byte in front of every seventh."""
+    parts = [table(spark, sf_dir, t).select(F.concat(F.lit(t + "-"), k).alias("file"), F.col(k).alias("k"), F.col(c).alias("text")) for t, k, c in (("documents", "doc_id", "text"), ("pages", "page_id", "html"))]
+    apart = parts[0].unionByName(parts[1]).withColumn("text", F.replace("text", F.lit("e"), F.lit("e\u0301")))
+    stray = F.when(F.col("k") % 7 == 0, F.concat(F.unhex(F.lit("C3")), F.col("text").cast("binary"))).otherwise(F.col("text").cast("binary"))
+    folder = work_folder(spark, "files")
+    apart.select("file", stray.cast("string").alias("value")).write.partitionBy("file").text(folder)
+    found = corpus.scan_files(spark, folder, recursive=True)
+    name = F.regexp_extract("path", "file=([^/]*)/", 1)
+    return found.where(F.col("path").contains("/file=")).select(name.alias("file"), "status", F.col("size").alias("n_bytes"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -383,6 +412,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         chunk_offsets, decode_roundtrip, decode_unknown, compression_by_lang, token_spans, format_size, format_duration, model_json_roundtrip,
         vocab_text_export, bin_export, bin_export_longest, trie_binary_roundtrip, unicode_properties, character_classes, byte_classes,
         case_mapping, grapheme_count, utf8_valid, unicode_categories, unicode_names, unicode_scripts, normal_forms, stream_encode,
-        train_sequence_4, corpus_chunks, corpus_export,
+        train_sequence_4, corpus_chunks, corpus_export, giant_text_words, paragraph_permutation, file_scan,
     )
 }

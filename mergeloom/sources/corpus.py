@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,7 +24,7 @@ def is_text_name(name: Column) -> Column:
 
 
 def read_files(spark: SparkSession, *paths: str, recursive: bool = False, only_text: bool = False, raw: bool = False) -> DataFrame:
-    """name, size and text (or bytes with raw=True) of files, one row each.
+    """name, size and text (or bytes with raw=True) of files, one row each; scan_files also lists empty and unreadable ones.
 
     Text is decoded as UTF-8 with U+FFFD for invalid bytes and without a leading byte
     order mark, then brought to NFC. recursive: walk folders. only_text: by extension.
@@ -36,6 +39,27 @@ def read_files(spark: SparkSession, *paths: str, recursive: bool = False, only_t
     return files.select(name, F.col("length").alias("size"), nfc(text).alias("text"))
 
 
+def scan_files(spark: SparkSession, *paths: str, recursive: bool = False) -> DataFrame:
+    """path, name, status, size and text of files, a row for each, also for those that cannot be read.
+
+    status: "text"; "replaced", where bytes that are not UTF-8 became U+FFFD; "empty", with an empty text;
+    "unreadable", with null for text and size: the file is listed, but went away or fails its checksum.
+    Decoding is as in read_files; size is that of the text in bytes.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).load(list(paths))
+    # a scan leaves out files without bytes; the names are those of the index that the driver has made for the scan
+    names = [(re.sub("^file:///", "file:/", unquote(p)),) for p in files.inputFiles()]
+    listed = spark.createDataFrame(names, "path string")
+    settings = {"recursiveFileLookup": recursive, "ignoreCorruptFiles": True, "ignoreMissingFiles": True}
+    content = F.col("content").cast("string")
+    text = nfc(F.regexp_replace(F.make_valid_utf8(content), "^\\x{FEFF}", ""))
+    read = spark.read.format("binaryFile").options(**settings).load(list(paths)).select("path", F.is_valid_utf8(content).alias("valid"), text.alias("text"))
+    found = listed.join(files.select("path", F.lit(True).alias("filled")), "path", "left").join(read, "path", "left")
+    text = F.when(F.col("filled"), F.col("text")).otherwise("")
+    status = F.when(text.isNull(), "unreadable").when(text == "", "empty").when(F.col("valid"), "text").otherwise("replaced")
+    return found.select("path", F.regexp_extract("path", "([^/]*)$", 1).alias("name"), status.alias("status"), F.octet_length(text).cast("bigint").alias("size"), text.alias("text"))
+
+
 def read_lines(spark: SparkSession, *paths: str, recursive: bool = False, only_text: bool = False) -> DataFrame:
     """name and text of each line of files of any size, its line feed included, read by byte ranges.
 

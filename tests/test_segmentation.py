@@ -91,3 +91,13 @@ def test_scripts_blocks_and_forms(spark):
             assert r["is"] == (None if t is None else t == want) and r.s == want and (r.b if t is None else bytes(r.b).decode()) == want
     ok = spark.createDataFrame([(1, [65, 0x10FFFF]), (2, [0xD800]), (3, [0x110000]), (4, [])], "k int, c array<int>")
     assert {r.k: r.w for r in ok.select("k", U.is_well_formed(F.col("c")).alias("w")).collect()} == {1: True, 2: False, 3: False, 4: True}
+
+
+def test_files_that_cannot_be_read_are_listed(spark, tmp_path):
+    (tmp_path / "ok.txt").write_bytes("﻿é".encode())
+    (tmp_path / "stray.txt").write_bytes(b"a\xffb")
+    (tmp_path / "empty.txt").write_bytes(b"")
+    (tmp_path / "bad.txt").write_bytes(b"changed since its checksum was made")
+    (tmp_path / ".bad.txt.crc").write_bytes(b"crc\0" + (512).to_bytes(4, "big") + b"\0\0\0\0")
+    rows = {r.name: (r.status, r.size, r.text) for r in corpus.scan_files(spark, f"file://{tmp_path}").collect()}
+    assert rows == {"ok.txt": ("text", 2, "é"), "stray.txt": ("replaced", 5, "a�b"), "empty.txt": ("empty", 0, ""), "bad.txt": ("unreadable", None, None)}
