@@ -6,7 +6,8 @@ in RocksDB and never expires. Per digest it holds the number of rows, the identi
 the row to keep and its locator, delivery and row number, where the staged content is
 found. Digests hit more than once have the full bytes of all their staged rows compared; a
 digest that stands for different contents is split by content. With a folder for the state
-later deliveries are checked against all earlier ones.
+later deliveries are checked against all earlier ones. A delivery that the caller names may be
+repeated, after a failure or by mistake: what has been staged and counted is not staged or counted again.
 Only DataFrame and SQL functions run on the executors.
 
 Defined results for odd input
@@ -69,7 +70,7 @@ def stream_groups(spark: SparkSession, folder: str, bytes_per_batch: int) -> Dat
         stream_session(spark)
         .readStream.schema(STAGED)
         .option("maxBytesPerTrigger", str(bytes_per_batch))
-        .parquet(f"{folder}/staged")
+        .parquet(f"{folder}/staged/*")
         .groupBy("digest")
         .agg(F.count(F.lit(1)).alias("group_size"), F.max(best).alias("best"))
     )
@@ -82,7 +83,7 @@ def stream_groups(spark: SparkSession, folder: str, bytes_per_batch: int) -> Dat
         .awaitTermination()
     )
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in state.schema) + ", batch bigint"
-    updates = spark.read.schema(kinds).option("basePath", log).parquet(log) if _any_batch(spark, log) else spark.createDataFrame([], kinds)
+    updates = spark.read.schema(kinds).option("basePath", log).parquet(log) if _exists(spark, log) else spark.createDataFrame([], kinds)
     last = updates.groupBy("digest").agg(F.max_by(F.struct("group_size", "best"), "batch").alias("s"))
     return last.select(
         "digest",
@@ -93,11 +94,19 @@ def stream_groups(spark: SparkSession, folder: str, bytes_per_batch: int) -> Dat
     )
 
 
-def _any_batch(spark: SparkSession, folder: str) -> bool:
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+def _exists(spark: SparkSession, place: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(place)
     return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
 
 
+def _move(spark: SparkSession, folder: str, to: str) -> None:
+    a, b = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (folder, to))
+    fs = a.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(b.getParent())
+    if not fs.rename(a, b):
+        raise OSError(f"{folder} cannot be moved to {to}")
+
+
 def exact_dedup(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -106,27 +115,37 @@ def exact_dedup(
     key_hex: int = 64,
     bytes_per_batch: int = 256 << 30,
     state: str | None = None,
+    delivery: int | None = None,
     scratch: Scratch | None = None,
 ) -> DataFrame:
     """One row for each row of docs: id, keep_id, group_size, kept, text_sha256.
 
     state: a folder on shared storage that keeps deliveries and state for later calls; keep_id,
     group_size and kept then speak of all rows so far. Without it they go with the call's scratch.
+    delivery: the caller's number for these rows, larger than those of earlier deliveries. A number
+    that the state knows is not taken in again: the result is that of the rows staged under it.
+    By default a new number, so that a call repeated with the same state counts its rows again.
     key_hex: hexadecimal digits of the SHA-256 that key the state; fewer digits force
     collisions, which the comparison of full bytes resolves (tests).
     bytes_per_batch: bytes of the staged table in a micro-batch.
     """
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "exact-dedup")
-    folder, delivery = state or scratch.path("state"), time.time_ns()
+    folder, delivery = state or scratch.path("state"), time.time_ns() if delivery is None else delivery
     text = F.col(text_col)
     content = docs.select(F.col(id_col).cast("bigint").alias("id"), F.length(F.coalesce(text, F.lit(""))).cast("bigint").alias("n_chars"), normalized(text).alias("content"))
-    rows = content.withColumns({"sha": F.sha2("content", 256), "delivery": F.lit(delivery), "row_id": F.monotonically_increasing_id()}).withColumn("digest", F.substring("sha", 1, key_hex))
-    rows.select(*[x.split()[0] for x in STAGED.split(", ")]).write.mode("append").parquet(f"{folder}/staged")
-    staged = spark.read.schema(STAGED).parquet(f"{folder}/staged")
+    rows = content.withColumns({"sha": F.sha2("content", 256), "delivery": F.lit(delivery).cast("bigint"), "row_id": F.monotonically_increasing_id()}).withColumn("digest", F.substring("sha", 1, key_hex))
+    own_folder = f"{folder}/staged/{delivery}"
+    if not _exists(spark, own_folder):  # whole deliveries only are moved to where they are read, and what an attempt that broke off has left is overwritten
+        arriving = f"{folder}/arriving/{delivery}"
+        rows.select(*[x.split()[0] for x in STAGED.split(", ")]).write.mode("overwrite").parquet(arriving)
+        _move(spark, arriving, own_folder)
+    own_rows = spark.read.schema(STAGED).parquet(own_folder)
+    staged = spark.read.schema(STAGED).parquet(f"{folder}/staged/*")
     groups = scratch.store(stream_groups(spark, folder, bytes_per_batch), "groups")
 
     # full bytes of every row whose digest was hit again: equal when the smallest and the largest are
+    groups = groups if state is None else scratch.store(groups.join(own_rows.select("digest").distinct(), "digest", "left_semi"), "own-groups")
     hits = groups.where("group_size > 1").select("digest")
     hit_rows = staged.join(with_small_side(hits, hits.count(), 160), "digest", "left_semi")
     compared = hit_rows.groupBy("digest").agg(F.min("content").alias("low"), F.max("content").alias("high"))
@@ -142,11 +161,11 @@ def exact_dedup(
             ),
             "split",
         )
-    own = staged.where(F.col("delivery") == delivery).drop("content")
+    own = own_rows.drop("content")
     kept = (F.col("delivery") == F.col("keep_delivery")) & (F.col("row_id") == F.col("keep_row"))
     columns = [F.col("id").alias(id_col), "keep_id", "group_size", kept.alias("kept"), F.col("sha").alias("text_sha256")]
     whole = own.join(groups, "digest")
     if not n_collided:
         return whole.select(*columns)
-    again = staged.where(F.col("delivery") == delivery).join(small, "digest", "left_semi").drop("sha").join(split, "content")
+    again = own_rows.join(small, "digest", "left_semi").drop("sha").join(split, "content")
     return whole.join(small, "digest", "left_anti").select(*columns).unionByName(again.select(*columns))

@@ -58,3 +58,18 @@ def test_later_deliveries_are_checked_against_earlier_ones(spark, tmp_path, key_
         docs = spark.createDataFrame(rows, "doc_id bigint, text string")
         got = exact_dedup(docs, key_hex=key_hex, state=f"file://{tmp_path}/state").collect()
         assert sorted(((r.doc_id, r.keep_id, r.group_size, r.kept) for r in got), key=str) == sorted(want, key=str)
+
+
+@pytest.mark.parametrize("key_hex", [64, 1])
+def test_a_delivery_may_be_repeated(spark, tmp_path, key_hex):
+    state = f"file://{tmp_path}/state"
+    names = ("doc_id", "keep_id", "group_size", "kept")
+    run = lambda rows, k: sorted(tuple(r[n] for n in names) for r in exact_dedup(spark.createDataFrame(rows, "doc_id bigint, text string"), key_hex=key_hex, state=state, delivery=k).collect())
+    first, second = [(1, "a"), (2, "b")], [(3, "a "), (4, "c")]
+    assert run(first, 1) == [(1, 1, 1, True), (2, 2, 1, True)]
+    assert run(first, 1) == [(1, 1, 1, True), (2, 2, 1, True)]
+    (tmp_path / "state" / "arriving" / "2").mkdir()  # a broken attempt
+    (tmp_path / "state" / "arriving" / "2" / "part-0.parquet").write_bytes(b"x")
+    want = [(3, 3, 2, True), (4, 4, 1, True)]
+    assert run(second, 2) == want and run(second, 2) == want
+    assert run(first, 1) == [(1, 3, 2, False), (2, 2, 1, True)]
