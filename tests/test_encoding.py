@@ -2,6 +2,7 @@ import random
 import struct
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -126,3 +127,24 @@ def test_models_and_exports(spark, tmp_path):
     assert model_io.parse_token_blob(blob) == (257, [256, 120], "{}")
     text = model_io.vocabulary_text(vocabulary(spark, AB).where(F.col("token_id") >= 255)).first().text
     assert text == "# Vocabulary\n# Total tokens: 2\n\n255\t<0xFF>\t[255]\n256\tab\t[97,98]\n"
+
+
+def test_ids_of_a_batch_are_given_out_slice_by_slice(spark):
+    from mergeloom.operators.batches import MergeTable, Trie
+    from mergeloom.operators.encoding import matched_slices, merged_slices
+    from mergeloom.plans import queries
+    from mergeloom.sources.storage import BATCH_SETTINGS
+
+    rows = [b"ab" * 150_000, None, b"", b"b" * 300_000] * 4
+    table, trie = MergeTable([(97, 98, 256)]), Trie([bytes([k]) for k in range(256)] + [b"ab"])
+    merged = list(merged_slices(table, iter([pa.array(rows, pa.binary())])))
+    matched = list(matched_slices(trie, 512, iter([pa.array(rows, pa.binary())])))
+    for parts in (merged, matched):
+        assert len(parts) > 1 and pa.concat_arrays(parts).is_valid().to_pylist() == [r is not None for r in rows]
+    assert max(len(p.flatten()) for p in merged) <= 1 << 20
+    assert pa.concat_arrays(merged).slice(0, 4).to_pylist() == [[256] * 150_000, None, [], [98] * 300_000]
+    assert [None if r is None else [t for c in r for t in c] for r in pa.concat_arrays(matched).slice(0, 4).to_pylist()] == [[256] * 150_000, None, [], [98] * 300_000]
+    # the queries' tables bound what a task gets at a time, by rows and by bytes
+    queries.table(spark, "/root/testdata/sf0.001", "documents")
+    assert all(spark.conf.get(k) == v for k, v in BATCH_SETTINGS.items())
+    assert int(BATCH_SETTINGS["spark.sql.execution.arrow.maxBytesPerBatch"]) <= 16 << 20
