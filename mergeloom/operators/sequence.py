@@ -15,8 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from mergeloom.operators.batches import MergeTable, Trie, flat_bytes, pair_keys, slices, summed
-from mergeloom.operators.encoding import chunk_size
+from mergeloom.operators.batches import MergeTable, Trie, batch_slices, flat_bytes, pair_keys, slices, summed
+from mergeloom.operators.encoding import chunk_size, matched_slices
 from mergeloom.operators.training import Merge, safe_prefix
 from mergeloom.sources.corpus import SEPARATOR
 from mergeloom.sources.storage import Scratch
@@ -25,6 +25,11 @@ BLOCK = 4096
 PIECES = "piece bigint, at bigint, bytes binary"
 
 
+def beside_pieces(side: DataFrame, row_bytes: int = 64, limit_bytes: int = 8 << 20) -> DataFrame:
+    """A stored table with a row for each piece, marked for broadcast while it is small, so that the pieces themselves stay where they are; beyond that the join shuffles."""
+    return F.broadcast(side) if side.count() * row_bytes <= limit_bytes else side
+
+
 def sums_before(rows: DataFrame, order_col: str, value: str, out_col: str, scratch: Scratch) -> DataFrame:
     """rows with the sum of `value` over all rows before in order of order_col, a number that few rows share a BLOCK of."""
     block = F.floor(F.col(order_col) / BLOCK)
@@ -61,23 +66,33 @@ def corpus_pieces(docs: DataFrame, id_col: str, text_col: str = "text", *, size:
 
     def cut(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            held, room = [], 0
             for place, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 body = value.as_buffer()
-                first, end = place // size, place + len(body)
-                rows = [(k, max(k * size, place)) for k in range(first, -(-end // size))]
-                for a in range(0, len(rows), 64):
-                    parts = [(k, at - k * size, body.slice(at - place, min(end, (k + 1) * size) - at)) for k, at in rows[a : a + 64]]
-                    columns = list(zip(*parts, strict=True))
-                    yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array([b.to_pybytes() for b in columns[2]], pa.binary())], ["piece", "at", "bytes"])
+                end = place + len(body)
+                for k in range(place // size, -(-end // size)):
+                    at = max(k * size, place)
+                    held.append((k, at - k * size, body.slice(at - place, min(end, (k + 1) * size) - at).to_pybytes()))
+                    room += len(held[-1][2])
+                    if room >= 1 << 20:
+                        yield given(held)
+                        held, room = [], 0
+            if held:
+                yield given(held)
+
+    def given(held: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+        pieces, places, parts = zip(*held, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(pieces, pa.int64()), pa.array(places, pa.int64()), pa.array(parts, pa.binary())], ["piece", "at", "bytes"])
 
     parts = placed_texts(docs, id_col, text_col, scratch).mapInArrow(cut, PIECES)
     # a piece has at most `size` bytes
     joined = parts.groupBy("piece").agg(F.array_sort(F.collect_list(F.struct("at", "bytes"))).alias("parts"))
-    return joined.select("piece", F.expr("reduce(parts, X'', (whole, p) -> concat(whole, p.bytes))").alias("bytes"))
+    # bytes as they are, put together in one go
+    return joined.select("piece", F.array_join(F.col("parts.bytes").cast("array<string>"), "").cast("binary").alias("bytes"))
 
 
 def encode_corpus(docs: DataFrame, vocabulary: list[bytes], id_col: str, text_col: str = "text", *, size: int | None = None, chunks_in_piece: int = 32, scratch: Scratch) -> DataFrame:
-    """piece, chunk (the piece's first), offset (tokens before the piece) and chunks (ids of each chunk) by longest match in chunks of the whole sequence.
+    """piece, chunk (the piece's first), offset (tokens before the piece), chunks (ids of each chunk) and sizes (their numbers) by longest match in chunks of the whole sequence.
 
     Chunks are cut at multiples of `size` bytes of the sequence and run from one text into the next.
     """
@@ -85,23 +100,20 @@ def encode_corpus(docs: DataFrame, vocabulary: list[bytes], id_col: str, text_co
     trie = docs.sparkSession.sparkContext.broadcast(Trie(vocabulary))
 
     @F.arrow_udf("array<array<int>>")
-    def run(values: pa.Array) -> pa.Array:
-        out = []
-        for part in slices(values):
-            ids, chunks, rows = trie.value.encode(*flat_bytes(part), step)
-            out.append(pa.ListArray.from_arrays(pa.array(rows.astype(np.int32)), pa.ListArray.from_arrays(pa.array(chunks.astype(np.int32)), pa.array(ids))))
-        return pa.concat_arrays(out) if out else pa.array([], pa.list_(pa.list_(pa.int32())))
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        return matched_slices(trie.value, step, batches)
 
     pieces = corpus_pieces(docs, id_col, text_col, size=step * chunks_in_piece, scratch=scratch)
-    encoded = scratch.store(pieces.select("piece", run("bytes").alias("chunks")), "encoded")
-    counts = encoded.select("piece", F.aggregate("chunks", F.lit(0).cast("bigint"), lambda n, c: n + F.size(c)).alias("tokens"))
-    offsets = sums_before(counts, "piece", "tokens", "offset", scratch)
-    return encoded.join(offsets, "piece").select("piece", (F.col("piece") * chunks_in_piece).alias("chunk"), "offset", "chunks")
+    sizes = F.transform("chunks", lambda c: F.size(c)).alias("sizes")
+    encoded = scratch.store(pieces.select("piece", run("bytes").alias("chunks")).select("piece", "chunks", sizes), "encoded")
+    counts = encoded.select("piece", F.aggregate("sizes", F.lit(0).cast("bigint"), lambda n, c: n + c).alias("tokens"))
+    offsets = scratch.store(sums_before(counts, "piece", "tokens", "offset", scratch).select("piece", "offset"), "offsets")
+    return encoded.join(beside_pieces(offsets), "piece").select("piece", (F.col("piece") * chunks_in_piece).alias("chunk"), "offset", "chunks", "sizes")
 
 
 def corpus_chunks(encoded: DataFrame) -> DataFrame:
     """chunk, tokens and offset of every chunk of an encoded corpus."""
-    each = encoded.select("chunk", "offset", F.posexplode(F.transform("chunks", lambda c: F.size(c))).alias("k", "tokens"), F.transform("chunks", lambda c: F.size(c)).alias("sizes"))
+    each = encoded.select("chunk", "offset", F.posexplode("sizes").alias("k", "tokens"), "sizes")  # the ids are not read
     before = F.aggregate(F.slice("sizes", 1, F.col("k")), F.lit(0).cast("bigint"), lambda n, x: n + x)
     return each.select((F.col("chunk") + F.col("k")).alias("chunk"), F.col("tokens").cast("bigint").alias("tokens"), (F.col("offset") + before).alias("offset"))
 
@@ -146,17 +158,24 @@ def _with_neighbours(edges: DataFrame, scratch: Scratch) -> DataFrame:
 
 def _edges(state: DataFrame) -> DataFrame:
     """piece, first and last symbol, number of symbols, and length of the run of equal symbols at the end."""
-    last = F.element_at("ids", -1)
-    trail = F.size("ids") - F.coalesce(F.array_max(F.transform(F.sequence(F.lit(1), F.size("ids")), lambda k: F.when(F.get("ids", k - 1) != last, k))), F.lit(0))
-    return state.select("piece", F.get("ids", F.lit(0)).alias("first"), last.alias("last"), F.size("ids").alias("n"), trail.alias("trail"))
+
+    def ends(batches):
+        for batch in batch_slices(batches, 1):
+            lists = batch.column(1)
+            ids, at = lists.flatten().to_numpy(), (lists.offsets.to_numpy() - lists.offsets[0].as_py()).astype(np.int64)
+            last, n = ids[at[1:] - 1], np.diff(at)
+            other = np.where(ids != np.repeat(last, n), np.arange(1, len(ids) + 1), 0)
+            trail = at[1:] - np.maximum(np.maximum.reduceat(other, at[:-1]), at[:-1])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(x, pa.int32()) for x in (ids[at[:-1]], last, n, trail)]], ["piece", "first", "last", "n", "trail"])
+
+    return state.mapInArrow(ends, "piece bigint, first int, last int, n int, trail int")
 
 
 def _sequence_pairs(state: DataFrame, around: DataFrame) -> DataFrame:
     """pair (a * 2**16 + b) and count over the sequence: those inside pieces and those over their borders."""
 
     def count(batches):
-        for batch in batches:
-            lists = batch.column(0)
+        for lists in (part for batch in batches for part in slices(batch.column(0))):
             keys, _ = pair_keys(lists.flatten().to_numpy(), (lists.offsets.to_numpy() - lists.offsets[0].as_py()).astype(np.int64))
             pair, n = summed(keys, np.ones(len(keys), np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(pair), pa.array(n)], ["pair", "n"])
@@ -185,7 +204,7 @@ def _rewritten(state: DataFrame, around: DataFrame, merges: list[Merge], self_pa
         return out
 
     def run(batches):
-        for batch in batches:
+        for batch in batch_slices(batches, 1):
             lists = batch.column(1)
             values, at = lists.flatten().to_numpy(), (lists.offsets.to_numpy() - lists.offsets[0].as_py()).tolist()
             sides = zip(*[batch.column(k).to_pylist() for k in (2, 3, 4)], strict=True)
@@ -195,7 +214,7 @@ def _rewritten(state: DataFrame, around: DataFrame, merges: list[Merge], self_pa
             flat = np.concatenate([np.zeros(0, np.int32), *[rows[k] for k in keep]]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["piece", "ids"])
 
-    told = state.join(around.drop("first"), "piece").select("piece", "ids", "prior", "following", "odd")
+    told = state.join(beside_pieces(around.drop("first")), "piece").select("piece", "ids", "prior", "following", "odd")
     return told.mapInArrow(run, "piece bigint, ids array<int>")
 
 
@@ -204,7 +223,7 @@ def train_sequence(docs: DataFrame, target: int, id_col: str, text_col: str = "t
     scratch = Scratch(docs.sparkSession, "sequence-training")
 
     def spread(batches):
-        for batch in batches:
+        for batch in batch_slices(batches, 1):
             data, offsets = flat_bytes(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(data.astype(np.int32)))], ["piece", "ids"])
 

@@ -2,6 +2,7 @@ import random
 import struct
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from mergeloom.operators import sequence
@@ -119,3 +120,33 @@ def test_rows_and_places_merge_alike():
             for apply in (table.apply, table.apply_rows):
                 out, at = apply(ids, offsets)
                 assert [out[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == want
+
+
+def test_chunks_do_not_read_the_ids(spark, docs):
+    vocabulary = [bytes([k]) for k in range(256)] + [b"aa"]
+    encoded = sequence.encode_corpus(docs, vocabulary, "doc_id", size=16, chunks_in_piece=3, scratch=Scratch(spark, "t"))
+    plan = sequence.corpus_chunks(encoded)._jdf.queryExecution().executedPlan().toString()
+    assert "sizes:array<int>" in plan and "chunks:array" not in plan
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_edges_of_pieces_in_slices(spark, monkeypatch):
+    from mergeloom.operators import batches
+
+    monkeypatch.setattr(batches.slices, "__defaults__", (3,))
+    rows = [(0, [5]), (1, [5, 5, 5]), (2, [1, 5, 5]), (3, [2, 7]), (4, [7, 7, 7, 7, 7])]
+    got = sequence._edges(spark.createDataFrame(rows, "piece bigint, ids array<int>").coalesce(1)).orderBy("piece").collect()
+    assert [tuple(r) for r in got] == [(0, 5, 5, 1, 1), (1, 5, 5, 3, 3), (2, 1, 5, 3, 2), (3, 2, 7, 2, 1), (4, 7, 7, 5, 5)]
+    cut = list(batches.batch_slices(iter([pa.RecordBatch.from_pydict({"piece": [r[0] for r in rows], "ids": [r[1] for r in rows]})]), 1))
+    assert max(len(b) for b in cut) <= 2 and pa.Table.from_batches(cut)["piece"].to_pylist() == list(range(5))
+
+
+def test_files_of_an_export_do_not_grow(spark, docs, joined, tmp_path):
+    vocabulary = [bytes([k]) for k in range(256)]
+    encoded = sequence.encode_corpus(docs, vocabulary, "doc_id", size=16, chunks_in_piece=3, scratch=Scratch(spark, "t"))
+    assert model_io.export_corpus(encoded, "{}", 256, f"{tmp_path}/e", file_ids=100) == len(joined)
+    files = [f for f in sorted(tmp_path.glob("e/1-tokens/part-*")) if f.stat().st_size]
+    assert len(files) >= len(joined) // 150 and max(f.stat().st_size for f in files) <= 4 * 150
+    assert b"".join(f.read_bytes() for f in files) == np.frombuffer(joined, np.uint8).astype("<u4").tobytes()
+    back = sorted((r.position, r.tokens) for r in model_io.read_export(spark, f"{tmp_path}/e").collect())
+    assert [t for _, part in back for t in part] == list(joined)
