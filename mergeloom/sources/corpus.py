@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import io
 import re
+import tarfile
 from urllib.parse import unquote
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,6 +63,71 @@ def scan_files(spark: SparkSession, *paths: str, recursive: bool = False) -> Dat
     return found.select("path", F.regexp_extract("path", "([^/]*)$", 1).alias("name"), status.alias("status"), F.octet_length(text).cast("bigint").alias("size"), text.alias("text"))
 
 
+def write_archives(files: DataFrame, folder: str, name_col: str = "name", bytes_col: str = "bytes", *, archive_bytes: int = 4 << 20) -> None:
+    """Write rows as files of tar archives in a folder, about archive_bytes each; a larger file has an archive for itself.
+
+    A file for each row costs a folder entry, a commit and an opening each; archives are as many as the bytes ask for.
+    """
+
+    def packed(batches):
+        out, tar, room = None, None, 0
+        for batch in batches:
+            for name, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                body = value.as_py() or b""
+                if tar is not None and room + len(body) > archive_bytes:
+                    tar.close()
+                    yield pa.RecordBatch.from_arrays([pa.array([out.getvalue()], pa.binary())], ["archive"])
+                    tar = None
+                if tar is None:
+                    out, room = io.BytesIO(), 0
+                    tar = tarfile.open(fileobj=out, mode="w", format=tarfile.PAX_FORMAT)
+                member = tarfile.TarInfo(name or "")
+                member.size = len(body)
+                tar.addfile(member, io.BytesIO(body))
+                room += len(body)
+        if tar is not None:
+            tar.close()
+            yield pa.RecordBatch.from_arrays([pa.array([out.getvalue()], pa.binary())], ["archive"])
+
+    rows = files.select(F.col(name_col).alias("name"), F.col(bytes_col).alias("bytes")).mapInArrow(packed, "archive binary")
+    # an archive ends with empty blocks; the text writer puts the last byte there
+    rows.select(F.substring("archive", F.lit(1), F.octet_length("archive") - 1).cast("string").alias("value")).write.option("lineSep", "\0").option("maxRecordsPerFile", 1).text(folder)
+
+
+def scan_archives(spark: SparkSession, *paths: str, recursive: bool = False) -> DataFrame:
+    """path (of the archive), name, status, size and text of each file in tar archives; as scan_files, but an archive that is damaged or cut off is an error."""
+
+    def members(batches):
+        for batch in batches:
+            for path, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                held, room = [], 0
+                body = value.as_buffer()
+                if bytes(body[-1024:]).strip(b"\0"):
+                    raise ValueError(f"{path} ends inside an archive")
+                with tarfile.open(fileobj=io.BytesIO(body), mode="r:") as tar:
+                    for member in tar:
+                        if not member.isfile():
+                            continue
+                        held.append((member.name, tar.extractfile(member).read()))
+                        room += len(held[-1][1])
+                        if room >= 1 << 20:
+                            yield given(path, held)
+                            held, room = [], 0
+                if held:
+                    yield given(path, held)
+
+    def given(path: str, held: list[tuple[str, bytes]]) -> pa.RecordBatch:
+        names, contents = zip(*held, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array([path] * len(held)), pa.array(names), pa.array(contents, pa.binary())], ["path", "name", "content"])
+
+    archives = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).load(list(paths)).select("path", "content")
+    content = F.col("content").cast("string")
+    text = nfc(F.regexp_replace(F.make_valid_utf8(content), "^\\x{FEFF}", ""))
+    read = archives.mapInArrow(members, "path string, name string, content binary").select("path", "name", F.is_valid_utf8(content).alias("valid"), text.alias("text"))
+    status = F.when(F.col("text") == "", "empty").when(F.col("valid"), "text").otherwise("replaced")
+    return read.select("path", "name", status.alias("status"), F.octet_length("text").cast("bigint").alias("size"), "text")
+
+
 def read_lines(spark: SparkSession, *paths: str, recursive: bool = False, only_text: bool = False) -> DataFrame:
     """name and text of each line of files of any size, its line feed included, read by byte ranges.
 

@@ -101,3 +101,21 @@ def test_files_that_cannot_be_read_are_listed(spark, tmp_path):
     (tmp_path / ".bad.txt.crc").write_bytes(b"crc\0" + (512).to_bytes(4, "big") + b"\0\0\0\0")
     rows = {r.name: (r.status, r.size, r.text) for r in corpus.scan_files(spark, f"file://{tmp_path}").collect()}
     assert rows == {"ok.txt": ("text", 2, "é"), "stray.txt": ("replaced", 5, "a�b"), "empty.txt": ("empty", 0, ""), "bad.txt": ("unreadable", None, None)}
+
+
+def test_files_in_archives(spark, tmp_path):
+    import tarfile
+
+    long = "d/" * 80 + "long name é.txt"
+    files = [("ok", "﻿é".encode()), ("stray", b"a\xffb"), ("empty", b""), ("block", b"x" * 512), (long, b"\0\n\0"), ("big", b"y" * 5000)]
+    rows = spark.createDataFrame(files * 2, "name string, bytes binary").coalesce(1)  # names may come again
+    corpus.write_archives(rows, f"{tmp_path}/a", archive_bytes=2000)
+    archives = sorted(tmp_path.glob("a/part-*"))
+    assert len(archives) > 2 and sum(len(tarfile.open(a).getmembers()) for a in archives) == 12
+    got = sorted((r.name, r.status, r.size, r.text) for r in corpus.scan_archives(spark, f"file://{tmp_path}/a").collect())
+    want = [("ok", "text", 2, "é"), ("stray", "replaced", 5, "a�b"), ("empty", "empty", 0, ""), ("block", "text", 512, "x" * 512), (long, "text", 3, "\0\n\0"), ("big", "text", 5000, "y" * 5000)]
+    assert got == sorted(want * 2)
+    (tmp_path / "cut").mkdir()
+    (tmp_path / "cut" / "x.tar").write_bytes(archives[0].read_bytes()[:700])
+    with pytest.raises(Exception, match="ends inside an archive"):
+        corpus.scan_archives(spark, f"file://{tmp_path}/cut").collect()
