@@ -20,6 +20,7 @@ Defined results for odd input
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
 import zlib
@@ -33,12 +34,49 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mergeloom.llm.common import Scratch, with_small_side
-from mergeloom.llm.words import KnownWords, Words, find_words, hash_words, lower_case, row_slices
+from mergeloom.llm.words import KnownWords, Words, find_words, hash_words, lower_case, places, row_slices
+
+#: The steps before BPE by which a tokenizer file is known to be of the kind that PLAIN and BEFORE_BPE repeat.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLIT = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}
+BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+#: What SPLIT finds in plain words once they are in lower case, and the line feeds between them.
+BEFORE_BPE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\\sa-zß-öø-ÿ0-9]+|\n")
+END_OF_WORD = "</w>"
 
 PIECES = "id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 PACKED = f"{PIECES}, sequence_id bigint, offset bigint, moved boolean"
 
 
+class Parts(dict):
+    """Numbers of the parts of words, given when first asked for; line feed is 0. fresh: those not tokenized yet, in order."""
+
+    def __init__(self):
+        self["\n"], self.fresh = 0, []
+
+    def __missing__(self, part: str) -> int:
+        self[part] = number = len(self)
+        self.fresh.append(part)
+        return number
+
+
+def plain_words(words: Words, which: np.ndarray, most: int = 256) -> np.ndarray:
+    """Which of them hold only visible ASCII characters and letters of Latin-1, in `most` bytes at most.
+
+    NFC leaves such words alone, and each of their characters has one in lower case.
+    """
+    sizes = words.ends[which] - words.starts[which]
+    data = words.data[places(words.starts[which], sizes)]
+    before = np.r_[np.uint8(0), data[:-1]]
+    second = (before == 0xC3) & (data >= 0x80) & (data != 0x97) & (data != 0xB7)  # not the signs of multiplication and division
+    fine = (data > 0x20) & (data < 0x7F) | (data == 0xC3) | second & (data < 0xC0)
+    fine[:-1] &= (data[:-1] != 0xC3) | second[1:]
+    ends = np.cumsum(sizes)
+    fine[ends[data[ends - 1] == 0xC3] - 1] = False
+    fine[(ends - sizes)[data[ends - sizes] >= 0x80]] &= data[(ends - sizes)[data[ends - sizes] >= 0x80]] == 0xC3
+    return (np.add.reduceat(~fine, ends - sizes, dtype=np.int64) == 0) & (sizes <= most)
+
+
 class WordEncoder:
     """Ids of texts for tokenizers that lower-case, drop white space and join nothing across it.
 
@@ -47,6 +85,8 @@ class WordEncoder:
     kept in a pool, which is emptied when it holds more than `most` words or eight times as many ids or bytes.
     Words alike but for case share their ids, save those that hold one of the file's
     added tokens, which are found before lower-casing: these are kept by their exact bytes.
+    Where the file is of the kind named by NORMALIZER and SPLIT, plain words come to the library's BPE
+    already in lower case and split, each distinct part once: the last id of a part is one that ends a word.
     """
 
     #: Words tokenized in one call, with a separator between them.
@@ -62,6 +102,17 @@ class WordEncoder:
         self.tokenizer.model._resize_cache(0)  # each word comes once
         self.separator = "7"
         self.separator_id = self._ids([self.separator])[0][0]
+        with open(tokenizer_file, encoding="utf-8") as file:
+            kind = json.load(file)
+        self.bare = None
+        before = {"type": "Sequence", "pretokenizers": [SPLIT, BYTE_LEVEL]}
+        if kind["normalizer"] == NORMALIZER and kind["pre_tokenizer"] == before and kind["model"].get("end_of_word_suffix") == END_OF_WORD:
+            kind |= {"normalizer": None, "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, BYTE_LEVEL]}, "added_tokens": []}
+            self.bare = Tokenizer.from_str(json.dumps(kind))
+            self.bare.model._resize_cache(0)
+            vocabulary = self.bare.get_vocab(with_added_tokens=False)
+            self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.ends_word[[k for t, k in vocabulary.items() if t.endswith(END_OF_WORD)]] = True
         self.most = most
         self._empty()
 
@@ -71,9 +122,16 @@ class WordEncoder:
         self.begins = np.zeros(1 << 12, np.int64)
         self.lengths = np.zeros(1 << 12, np.int64)
         self.used = self.held = 0
+        self._empty_parts()
+
+    def _empty_parts(self) -> None:
+        self.parts = Parts()
+        self.part_ids = np.zeros(0, np.uint32)
+        self.part_begins, self.part_lengths = np.zeros(1, np.int64), np.zeros(1, np.int64)
 
-    def _ids(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _ids(self, texts: list[str], bare: bool = False) -> list[np.ndarray]:
+        tokenizer = self.bare if bare else self.tokenizer
+        return [np.array(e.ids, np.uint32) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _words(self, words: list[str]) -> list[np.ndarray]:
         """Ids of each word; words that hold the separator are tokenized alone."""
@@ -92,35 +150,66 @@ class WordEncoder:
             out[k] = ids
         return out
 
-    def _learn(self, words: list[str]) -> None:
-        ids = self._words(words)
-        lengths = np.array([len(x) for x in ids], np.int64)
+    def _plain(self, words: Words, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of plain words, and how many each has."""
+        if len(self.parts) > self.most:
+            self._empty_parts()
+        sizes = words.ends[which] - words.starts[which] + 1
+        at = places(words.starts[which], sizes)
+        ends = np.cumsum(sizes) - 1
+        at[ends] = 0
+        data = words.data[at]
+        data[ends] = ord("\n")
+        parts = BEFORE_BPE.findall(data.tobytes().decode().lower())
+        number = np.fromiter(map(self.parts.__getitem__, parts), np.int64, len(parts))
+        new, self.parts.fresh = self.parts.fresh, []
+        if new:
+            ids = np.concatenate(self._ids([" ".join(new[k : k + self.TOGETHER]) for k in range(0, len(new), self.TOGETHER)], bare=True))
+            upto = np.flatnonzero(self.ends_word[ids]) + 1
+            lengths = np.diff(upto, prepend=0)
+            self.part_begins = np.r_[self.part_begins, len(self.part_ids) + upto - lengths]
+            self.part_lengths = np.r_[self.part_lengths, lengths]
+            self.part_ids = np.r_[self.part_ids, ids]
+            if len(self.part_lengths) != len(self.parts) or upto[-1] != len(ids):
+                raise ValueError("parts of words and ids that end a word differ in number")
+        size = self.part_lengths[number]
+        return self.part_ids[places(self.part_begins[number], size)], np.diff(np.cumsum(size)[number == 0], prepend=0)
+
+    def _learn(self, words: Words, new: np.ndarray, exact: np.ndarray) -> None:
+        """Keep the ids of the words `new`; exact: words that hold an added token."""
+        plain = plain_words(words, new) & ~np.isin(new, exact) if self.bare else np.zeros(len(new), bool)
+        lengths, begins = np.zeros(len(new), np.int64), np.zeros(len(new), np.int64)
+        ids, sizes = self._plain(words, new[plain]) if plain.any() else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
+        others = new[~plain]
+        each = self._words([words.data[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(words.starts[others].tolist(), words.ends[others].tolist(), strict=True)])
+        lengths[plain], lengths[~plain] = sizes, [len(x) for x in each]
+        begins[plain], begins[~plain] = np.cumsum(sizes) - sizes, len(ids) + np.cumsum(lengths[~plain]) - lengths[~plain]
         n, total = self.held, int(lengths.sum())
         while self.used + total > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-        while n + len(ids) > len(self.begins):
+        while n + len(new) > len(self.begins):
             self.begins = np.concatenate([self.begins, np.zeros_like(self.begins)])
             self.lengths = np.concatenate([self.lengths, np.zeros_like(self.lengths)])
-        self.pool[self.used : self.used + total] = np.concatenate(ids)
-        self.lengths[n : n + len(ids)] = lengths
-        self.begins[n : n + len(ids)] = self.used + np.cumsum(lengths) - lengths
-        self.used, self.held = self.used + total, n + len(ids)
+        self.pool[self.used : self.used + total] = np.concatenate([ids, *each])
+        self.lengths[n : n + len(new)] = lengths
+        self.begins[n : n + len(new)] = self.used + begins
+        self.used, self.held = self.used + total, n + len(new)
 
-    def _folded(self, words: Words) -> tuple[Words, np.ndarray]:
-        """The words in lower case and their hashes; those that hold an added token as they are."""
+    def _folded(self, words: Words) -> tuple[Words, np.ndarray, np.ndarray]:
+        """The words in lower case and their hashes; those that hold an added token as they are, and which these are."""
         data = lower_case()[words.data]
         spans = np.array([m.span() for m in self.added.finditer(words.data)] if self.added else [], np.int64).reshape(-1, 2)
         at = np.searchsorted(words.starts, spans[:, 0], "right") - 1
         inside = (at >= 0) & (spans[:, 1] <= words.ends[at])  # not from one text into the next
-        exact = np.unique(at[inside]).tolist()
-        for k in exact:
+        exact = np.unique(at[inside])
+        for k in exact.tolist():
             data[words.starts[k] : words.ends[k]] = words.data[words.starts[k] : words.ends[k]]
         folded = words._replace(data=data)
         hashes = hash_words(folded, False)
-        for k in exact:
+        for k in exact.tolist():
             word = words.data[words.starts[k] : words.ends[k]].tobytes()
             hashes[k] = int.from_bytes(hashlib.blake2b(word, digest_size=8, key=b"exact").digest(), "little")
-        return folded, hashes
+        return folded, hashes, exact
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in order, and where each text's ids begin and the last ends."""
@@ -129,10 +218,10 @@ class WordEncoder:
             return np.zeros(0, np.uint32), np.zeros(len(texts) + 1, np.int64)
         if self.held > self.most or max(self.used, self.known.used) > 8 * self.most:
             self._empty()
-        slot, new = self.known.slots(*self._folded(words))
+        folded, hashes, exact = self._folded(words)
+        slot, new = self.known.slots(folded, hashes)
         if len(new):
-            data = words.data.tobytes()
-            self._learn([data[a:b].decode("utf-8", "replace") for a, b in zip(words.starts[new].tolist(), words.ends[new].tolist(), strict=True)])
+            self._learn(words, new, exact)
         lengths = self.lengths[slot]
         ends = np.cumsum(lengths)
         ids = self.pool[np.repeat(self.begins[slot] - (ends - lengths), lengths) + np.arange(ends[-1])]
@@ -199,18 +288,25 @@ def local_search(bins: list[list[int]], lengths: np.ndarray, capacity: int) -> l
     left as the total length allows, or one changes nothing. Emptied bins stay, as empty lists.
     """
     bins = [list(b) for b in bins]
-    fills = [int(lengths[b].sum()) for b in bins]
+    fills = np.array([int(lengths[b].sum()) for b in bins], np.int64)
+    items = [np.array(b, np.int64) for b in bins]
+    counts = np.array([len(b) for b in bins], np.int64)
     least, left, changed = -(-int(lengths.sum()) // capacity), sum(map(bool, bins)), True
     while left > least and changed:
         changed = False
-        for giver in sorted((k for k, f in enumerate(fills) if 0 < f < capacity), key=lambda k: fills[k]):
-            takers = [k for k, f in enumerate(fills) if k != giver and fills[giver] <= f < capacity]
-            if left <= least or not takers or not bins[giver]:
+        underfull = np.flatnonzero((fills > 0) & (fills < capacity))
+        for giver in underfull[np.argsort(fills[underfull], kind="stable")].tolist():
+            if left <= least:
+                break
+            takers = np.flatnonzero((fills >= fills[giver]) & (fills < capacity))
+            takers = takers[takers != giver]
+            if not len(takers) or not bins[giver]:
                 continue
             # the takers' items: whose they are, which, how long; and the room of each bin
-            owner, place = np.repeat(takers, [len(bins[k]) for k in takers]), np.concatenate([bins[k] for k in takers])
+            owner, place = np.repeat(takers, counts[takers]), np.concatenate([items[k] for k in takers.tolist()])
             size, room = lengths[place], np.zeros(len(bins), np.int64)
-            room[takers] = capacity - np.array([fills[k] for k in takers])
+            room[takers] = capacity - fills[takers]
+            touched = {giver}
             while bins[giver]:
                 step = _improvement(sorted(bins[giver], key=lambda i: -lengths[i]), lengths, size, room[owner])
                 if step is None:
@@ -227,7 +323,10 @@ def local_search(bins: list[list[int]], lengths: np.ndarray, capacity: int) -> l
                 fills[giver] -= gain
                 fills[to] += gain
                 room[to] -= gain
+                touched.add(to)
                 changed = True
+            for k in touched:
+                items[k], counts[k] = np.array(bins[k], np.int64), len(bins[k])
             left -= not bins[giver]
     return bins
 

@@ -66,6 +66,15 @@ def find_words(texts: pa.Array, separators: bytes = SPACE) -> Words:
     return Words(data, starts, ends, np.diff(np.searchsorted(starts, offsets)))
 
 
+#: The first k bytes of eight.
+MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one number, with zeros after the end."""
+    return np.ndarray((len(data) + 1,), "<u8", data.tobytes() + bytes(8), strides=(1,))
+
+
 def hash_words(words: Words, folded: bool = True) -> np.ndarray:
     """A 64-bit hash of each word; if folded alike for upper and lower case of A-Z.
 
@@ -73,9 +82,8 @@ def hash_words(words: Words, folded: bool = True) -> np.ndarray:
     that a word's hash is no linear function of its bytes. Long words have a cryptographic digest.
     """
     data = lower_case()[words.data] if folded else words.data
-    body, sizes = data.tobytes() + bytes(8), words.ends - words.starts
-    eights = np.ndarray((len(data) + 1,), "<u8", body, strides=(1,))
-    masks = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+    sizes = words.ends - words.starts
+    block_at = eights(data)
     with np.errstate(over="ignore"):
         one, two = mixed(sizes.astype(np.uint64)), mixed(sizes.astype(np.uint64) + np.uint64(MULTIPLIER))
         at = np.flatnonzero(sizes <= LONG_WORD)
@@ -83,13 +91,13 @@ def hash_words(words: Words, folded: bool = True) -> np.ndarray:
             if not len(at):
                 break
             left = sizes[at] - begin
-            block = eights[words.starts[at] + begin] & masks[np.minimum(left, 8)]
+            block = block_at[words.starts[at] + begin] & MASKS[np.minimum(left, 8)]
             one[at] = mixed(one[at] ^ block)
             two[at] = mixed(two[at] * np.uint64(MULTIPLIER) + block)
             at = at[left > 8]
         out = mixed(one + two * np.uint64(MULTIPLIER))
     for k in np.flatnonzero(sizes > LONG_WORD).tolist():
-        out[k] = int.from_bytes(blake2b(body[words.starts[k] : words.ends[k]], digest_size=8).digest(), "little")
+        out[k] = int.from_bytes(blake2b(data[words.starts[k] : words.ends[k]].tobytes(), digest_size=8).digest(), "little")
     return out
 
 
@@ -151,16 +159,22 @@ class KnownWords:
         sizes = words.ends - words.starts
         same = (self.sizes[slots] == sizes) & (self.beside[slots] == beside)
         at, size = slots[same], sizes[same]
-        apart = words.data[places(words.starts[same], size)] != self.pool[places(self.begins[at], size)]
-        if apart.any():
-            owner = np.flatnonzero(same)[np.searchsorted(np.cumsum(size), np.flatnonzero(apart), "right")]
-            same[owner] = False
+        owner = np.flatnonzero(same)
+        here, there = eights(words.data), eights(self.pool[: self.used])
+        mine, kept, left = words.starts[same], self.begins[at], size
+        while len(owner):
+            apart = (here[mine] ^ there[kept]) & MASKS[np.minimum(left, 8)] != 0
+            same[owner[apart]] = False
+            more = (left > 8) & ~apart
+            owner, mine, kept, left = owner[more], mine[more] + 8, kept[more] + 8, left[more] - 8
         return np.flatnonzero(~same)
 
     def slots(self, words: Words, hashes: np.ndarray, beside: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """The number of each word, and which words got the new numbers, in their order."""
         beside = np.zeros(len(hashes), np.int64) if beside is None else beside
-        distinct, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+        distinct, inverse = np.unique(hashes, return_inverse=True)
+        first = np.zeros(len(distinct), np.int64)
+        first[inverse[::-1]] = np.arange(len(hashes) - 1, -1, -1)
         number = self.numbers.find(distinct)
         new = np.flatnonzero(number < 0)
         number[new] = self.held + np.arange(len(new))

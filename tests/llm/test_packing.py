@@ -119,3 +119,31 @@ def test_order_of_delivery_does_not_matter():
     columns = ["id", "length", "ids_crc32", "sequence_id", "offset"]
     places = [pack_group(rows.sample(frac=1, random_state=k), 100, k > 1)[columns].sort_values(["sequence_id", "offset"]).to_csv(index=False) for k in (0, 1)]
     assert places[0] == places[1]
+
+
+def test_a_part_of_words_is_tokenized_once_and_ids_are_the_librarys(monkeypatch):
+    import random
+
+    import pyarrow as pa
+
+    from mergeloom.llm.packing import WordEncoder
+
+    encoder, seen = WordEncoder(FILE), []
+    plain = encoder._ids
+    monkeypatch.setattr(encoder, "_ids", lambda texts, **kw: seen.extend(texts) or plain(texts, **kw))
+    encoder.encode(pa.array(["zyxabc zyxabc. (zyxabc) ZYXABC,", "zyxabc's «zyxabc» zyxabc"]).cast(pa.binary()))
+    assert sum(t.lower().count("zyxabc") for t in seen) == 2  # the quotation marks are no part of Latin-1's letters
+
+    rng = random.Random(3)
+    signs = ["a", "b", "S", "'", "'s", "'RE", "t", "É", "ß", "ÿ", "×", "÷", "ª", "é", "̸", "=", "7", "12", ".", "**", "$", "<|endoftext|>", "İ", "Σ", "中", "\x7f", "\x00", "\x85", " ", "­", "Ã", "—"]
+    texts = ["".join(rng.choice(signs + [" "] * 6) for _ in range(rng.randint(0, 60))) for _ in range(400)] + ["É" * 300, "'" * 300 + "s", "x7" * 200]
+    want = [plain_ids(t)[:-1] for t in texts]
+    for most in (1_000_000, 20):  # few parts kept: emptied again and again
+        encoder = WordEncoder(FILE, most)
+        for k in range(0, len(texts), 50):
+            ids, at = encoder.encode(pa.array([t.encode() for t in texts[k : k + 50]]))
+            for t, w, a, b in zip(texts[k : k + 50], want[k : k + 50], at[:-1], at[1:], strict=True):
+                assert ids[a:b].tolist() == w, t
+    stray = pa.array([b"ab\xc3", b"\xa9cd", b"x\xc3 \xa9y", b"\xc3\xa9\xc3", b"\xff"])
+    ids, at = encoder.encode(stray)
+    assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == [plain_ids(t.decode("utf-8", "replace"))[:-1] for t in stray.to_pylist()]
