@@ -7,8 +7,9 @@ of its last two letters and is then predicted itself. So every word gets a proba
     P(word | window) = P(class | window) * P(word | class)      (1 for a class of one word)
 
 P(class | window): a network in numpy, one tanh layer over an embedding for each place of
-the window, its output a tree of two levels with as many branches. It is trained on a
-bounded sample of the corpus. P(word | class): how often the whole corpus, the document
+the window, its output a tree of two levels: classes by their counts, few to a branch where they
+are frequent. It is trained on every word of the corpus: each task goes once through its part from a
+common beginning, and what they learned is averaged. P(word | class): how often the whole corpus, the document
 itself left out, has the word among those of its class, with a letter model of the corpus's
 words as a prior (Witten-Bell). These counts are a table that grows with the corpus, joined
 to the words of each document.
@@ -153,10 +154,11 @@ def windows(own: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return out
 
 
-def hidden(n: Network, window: np.ndarray) -> np.ndarray:
-    total = n.places[0][window[0]] + n.bias
+def hidden(n: Network | Weights, window: np.ndarray) -> np.ndarray:
+    total = n.places[0].take(window[0], axis=0)
+    total += n.bias
     for k in range(1, len(window)):
-        total += n.places[k][window[k]]
+        total += n.places[k].take(window[k], axis=0)
     return np.tanh(total, out=total)
 
 
@@ -175,7 +177,8 @@ def class_logs(n: Network, window: np.ndarray, own: np.ndarray, step: int = 2048
     out = np.zeros(len(own))
     branch_out = np.r_[n.branch_out, n.branch_bias[None]]
     leaf_out = np.concatenate([n.leaf_out, n.leaf_bias[:, None]], axis=1)
-    order = np.argsort(n.branch[own], kind="stable")  # by branch, so that a branch's words are one product
+    sizes = leaf_counts(n)
+    order = np.argsort(n.branch[own].astype(np.uint16), kind="stable")  # by branch, so that a branch's words are one product
     for a in range(0, len(own), step * 32):
         part = order[a : a + step * 32]
         h = np.ones((len(part), len(n.bias) + 1), np.float32)
@@ -184,21 +187,29 @@ def class_logs(n: Network, window: np.ndarray, own: np.ndarray, step: int = 2048
         logs = np.concatenate([_logs(h[k : k + step], branch_out, branch[k : k + step]) for k in range(0, len(part), step)])
         cuts = np.union1d(np.r_[0, np.flatnonzero(np.diff(branch)) + 1, len(part)], np.arange(0, len(part), step)).tolist()
         for u, v in zip(cuts[:-1], cuts[1:], strict=True):
-            logs[u:v] += _logs(h[u:v], leaf_out[branch[u]], leaf[u:v])
+            if sizes[branch[u]] > 1:
+                logs[u:v] += _logs(h[u:v], leaf_out[branch[u]][:, : sizes[branch[u]]], leaf[u:v])
         out[part] = logs
     return out
 
 
+def leaf_counts(n: Network) -> np.ndarray:
+    """How many classes each branch has."""
+    return np.bincount(n.branch[1:], minlength=len(n.branch_bias))
+
+
 def new_network(class_counts: np.ndarray, width: int, rng: np.random.Generator) -> Network:
-    """A network that predicts classes by their counts; the most frequent are dealt to the branches in turn."""
+    """A network that predicts classes by their counts; classes of like frequency share a branch."""
     number = len(class_counts) - 1  # the border is never predicted
-    size = math.isqrt(number - 1) + 1
     order = 1 + np.argsort(-class_counts[1:], kind="stable")
+    shares = class_counts[order] + 0.1
+    # branches + leaves looked at for a word are fewest when a class takes the root of its share of a branch
+    taken = np.sqrt(np.maximum(shares / shares.sum(), 1 / (16 * number)))
+    turn = np.unique((np.cumsum(taken) - taken).astype(np.int64), return_inverse=True)[1]
+    size, leaves = int(turn[-1]) + 1, int(np.bincount(turn).max())
     branch, leaf = np.zeros(number + 1, np.int64), np.zeros(number + 1, np.int64)
-    turn = np.arange(number) // size
-    branch[order] = np.where(turn % 2, size - 1 - np.arange(number) % size, np.arange(number) % size)
-    leaf[order] = turn
-    leaves = int(turn[-1]) + 1
+    branch[order] = turn
+    leaf[order] = np.arange(number) - np.searchsorted(turn, turn)
     weight = np.zeros((size, leaves))
     weight[branch[1:], leaf[1:]] = class_counts[1:] + 0.1
     small = lambda *shape: rng.normal(0, 0.1, shape).astype(np.float32)
@@ -209,56 +220,177 @@ def new_network(class_counts: np.ndarray, width: int, rng: np.random.Generator)
     )
 
 
-def train_network(sequences: list[np.ndarray], class_counts: np.ndarray, *, width: int = 32, epochs: int = 3, batch: int = 4096, rate: float = 0.08, seed: int = 7) -> Network:
-    """Adagrad on the cross-entropy of each word's class in its window. sequences: classes, text by text."""
-    rng = np.random.default_rng(seed)
-    n = new_network(class_counts, width, rng)
-    if not sequences:
-        return n
-    own = np.concatenate(sequences)
-    window = windows(own, np.array([len(s) for s in sequences]))
-    grown = Network(*[np.full(x.shape if k else x.shape[:2], 0.1, np.float32) if x.dtype == np.float32 else x for k, x in enumerate(n)])
-
-    def move(k: int, gradient: np.ndarray, at=...) -> None:
-        """One step of parameter k, or of its rows `at`."""
-        square = gradient**2 if k else (gradient**2).mean(axis=1)  # an embedding has one rate
-        grown[k][at] += square
-        scale = np.sqrt(grown[k][at])
-        n[k][at] -= rate * gradient / (scale if k else scale[:, None])
-
-    def softmax_error(h: np.ndarray, out: np.ndarray, bias: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-        logits = h @ out + bias
-        logits -= logits.max(axis=1, keepdims=True)
-        error = np.exp(logits)
-        error /= error.sum(axis=1, keepdims=True)
-        error[np.arange(len(h)), wanted] -= 1
-        return error
+class Weights(NamedTuple):
+    """A network's parameters, or sums of their squared gradients; in branch and leaves (one for each branch) the last row is the bias."""
+
+    places: np.ndarray
+    bias: np.ndarray
+    branch: np.ndarray
+    leaves: list[np.ndarray]
+
+    def tables(self) -> list[np.ndarray]:
+        """Views of all of it as tables, a row being what is averaged together."""
+        return [self.places.reshape(-1, self.places.shape[-1]), self.bias.reshape(1, -1), self.branch.reshape(1, -1), *[x.reshape(1, -1) for x in self.leaves]]
+
+
+class Learner:
+    """Adagrad on the cross-entropy of each word's class in its window."""
+
+    #: Rows of an output that are taken at once, which stay in the processor's cache.
+    ROWS = 1024
+
+    def __init__(self, network: Network, rate: float = 0.08, grown: Weights | None = None):
+        self.shape, self.rate = network, rate
+        leaves = [np.r_[network.leaf_out[b][:, :k], network.leaf_bias[b][None, :k]] for b, k in enumerate(leaf_counts(network).tolist())]
+        self.weights = Weights(network.places.copy(), network.bias.copy(), np.r_[network.branch_out, network.branch_bias[None]], leaves)
+        full = lambda x: np.full(x.shape, 0.1, np.float32)
+        self.grown = Weights(full(network.places[:, :, 0]), full(network.bias), full(self.weights.branch), [full(x) for x in leaves])  # an embedding has one rate
+        if grown is not None:
+            self.grown = Weights(grown.places.copy(), grown.bias.copy(), grown.branch.copy(), [x.copy() for x in grown.leaves])
+        self.seen = [np.zeros(len(x), np.int64) for x in self.weights.tables()]
 
-    for _ in range(epochs):
+    @property
+    def network(self) -> Network:
+        n, w = self.shape, self.weights
+        leaf_out, leaf_bias = n.leaf_out.copy(), n.leaf_bias.copy()
+        for b, x in enumerate(w.leaves):
+            leaf_out[b][:, : x.shape[1]], leaf_bias[b][: x.shape[1]] = x[:-1], x[-1]
+        return Network(w.places, w.bias, n.branch, n.leaf, w.branch[:-1], w.branch[-1], leaf_out, leaf_bias)
+
+    def _output(self, out: np.ndarray, grown: np.ndarray, h: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+        """One step of one output; the gradient of what it was given."""
+        large = np.abs(out).sum(axis=0).max() > 80  # else no exponential is out of range
+        ones, back, gradient = np.ones(out.shape[1], np.float32), np.empty((len(h), len(out) - 1), np.float32), np.zeros_like(out)
+        room = np.empty((min(len(h), self.ROWS), out.shape[1]), np.float32)
+        for a in range(0, len(h), self.ROWS):
+            part = h[a : a + self.ROWS]
+            error = np.matmul(part, out, out=room[: len(part)])
+            if large:
+                error -= error.max(axis=1, keepdims=True)
+            np.exp(error, out=error)
+            error *= (1 / (error @ ones))[:, None]
+            error[np.arange(len(part)), wanted[a : a + self.ROWS]] -= 1
+            np.matmul(error, out[:-1].T, out=back[a : a + self.ROWS])
+            gradient += part.T @ error
+        grown += gradient**2
+        out -= self.rate * gradient / np.sqrt(grown)
+        return back
+
+    def step(self, window: np.ndarray, own: np.ndarray) -> None:
+        n, w = self.shape, self.weights
+        order = np.argsort(n.branch[own].astype(np.uint16), kind="stable")
+        window, own = window[:, order], own[order]
+        branch, leaf = n.branch[own], n.leaf[own]
+        h = np.ones((len(own), len(w.bias) + 1), np.float32)
+        h[:, :-1] = hidden(w, window)
+        back = self._output(w.branch, self.grown.branch, h, branch)
+        cuts = np.r_[0, np.flatnonzero(np.diff(branch)) + 1, len(own)].tolist()
+        for u, v in zip(cuts[:-1], cuts[1:], strict=True):
+            b = int(branch[u])
+            self.seen[3 + b] += v - u
+            if w.leaves[b].shape[1] > 1:
+                back[u:v] += self._output(w.leaves[b], self.grown.leaves[b], h[u:v], leaf[u:v])
+        slope = h[:, :-1] * h[:, :-1]
+        back *= np.subtract(1, slope, out=slope)
+        gradient = back.sum(axis=0)
+        self.grown.bias[:] += gradient**2
+        w.bias[:] -= self.rate * gradient / np.sqrt(self.grown.bias)
+        for k in (1, 2):
+            self.seen[k] += len(own)
+        classes = w.places.shape[1]
+        for k in range(len(window)):
+            at = window[k].astype(np.uint16) if classes <= 1 << 16 else window[k]
+            order = np.argsort(at, kind="stable")
+            first = np.flatnonzero(np.diff(at[order], prepend=at[order[:1]] + 1))
+            rows = at[order[first]].astype(np.int64)
+            gradient = np.add.reduceat(back.take(order, axis=0), first, axis=0)
+            self.grown.places[k][rows] += np.einsum("ij,ij->i", gradient, gradient) / len(w.bias)
+            w.places[k][rows] -= (self.rate / np.sqrt(self.grown.places[k][rows]))[:, None] * gradient
+            self.seen[0][k * classes + rows] += np.diff(np.r_[first, len(at)])
+
+    def read(self, own: np.ndarray, counts: np.ndarray, batch: int, rng: np.random.Generator) -> None:
+        """Go once through the classes of some texts, in random order."""
+        window = windows(own, counts)
         shuffled = rng.permutation(len(own))
         for a in range(0, len(own), batch):
             part = shuffled[a : a + batch]
-            part = part[np.argsort(n.branch[own[part]], kind="stable")]
-            w, branch, leaf = window[:, part], n.branch[own[part]], n.leaf[own[part]]
-            h = hidden(n, w)
-            error = softmax_error(h, n.branch_out, n.branch_bias, branch)
-            back = error @ n.branch_out.T
-            cuts = np.r_[0, np.flatnonzero(np.diff(branch)) + 1, len(part)].tolist()
-            for u, v in zip(cuts[:-1], cuts[1:], strict=True):
-                b = int(branch[u])
-                e = softmax_error(h[u:v], n.leaf_out[b], n.leaf_bias[b], leaf[u:v])
-                back[u:v] += e @ n.leaf_out[b].T
-                move(6, h[u:v].T @ e, b)
-                move(7, e.sum(axis=0), b)
-            move(4, h.T @ error)
-            move(5, error.sum(axis=0))
-            back *= 1 - h**2
-            move(1, back.sum(axis=0))
-            for k in range(len(w)):
-                order = np.argsort(w[k], kind="stable")
-                rows, first = np.unique(w[k][order], return_index=True)
-                move(0, np.add.reduceat(back[order], first, axis=0), (k, rows))
-    return n
+            self.step(window[:, part], own[part])
+
+
+def train_network(sequences: list[np.ndarray], class_counts: np.ndarray, *, width: int = 32, epochs: int = 3, batch: int = 4096, rate: float = 0.08, seed: int = 7) -> Network:
+    """A network that has gone through sequences (classes, text by text) several times."""
+    return begun(sequences, class_counts, width=width, epochs=epochs, batch=batch, rate=rate, seed=seed).network
+
+
+def begun(sequences: list[np.ndarray], class_counts: np.ndarray, *, width: int = 32, epochs: int = 3, batch: int = 4096, rate: float = 0.08, seed: int = 7) -> Learner:
+    rng = np.random.default_rng(seed)
+    learner = Learner(new_network(class_counts, width, rng), rate)
+    for _ in range(epochs if sequences else 0):
+        learner.read(np.concatenate(sequences), np.array([len(s) for s in sequences]), batch, rng)
+    return learner
+
+
+LEARNED = "block int, learner int, sums binary, seen binary"
+
+
+def train_on_all(docs: DataFrame, text_col: str, classes: Classes, learner: Learner, tokens: float, *, tokens_each: int = 16_000_000, batch: int = 32_768, block_rows: int = 512) -> Network:
+    """The network after every word of docs: each task goes once through its texts, from the learner given.
+
+    Of each row of the parameters the tasks' changes are averaged, weighted by how many words they had
+    for it. A task is for about tokens_each words or a partition; it sends no more than one set of parameters.
+    """
+    spark = docs.sparkSession
+    given = spark.sparkContext.broadcast((classes, learner.network, learner.grown, learner.rate))
+
+    def learn(batches):
+        from pyspark import TaskContext
+
+        known, network, grown, rate = given.value
+        here, number = Learner(network, rate, grown), TaskContext.get().partitionId()
+        rng = np.random.default_rng(number)
+        before = [x.copy() for x in here.weights.tables()]
+        for arrow in batches:
+            for a, b in row_slices(arrow.column(0)):
+                part = spelled(arrow.column(0)[a:b])
+                here.read(known.of(hash_words(part.words), part.endings), part.words.counts, batch, rng)
+        block = 0
+        for old, new, seen in zip(before, here.weights.tables(), here.seen, strict=True):
+            for a in range(0, len(new), block_rows):
+                n = seen[a : a + block_rows]
+                if n.any():
+                    sums = (new[a : a + block_rows] - old[a : a + block_rows]) * n[:, None].astype(np.float64)
+                    yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int32()), "learner": pa.array([number], pa.int32()), "sums": pa.array([sums.astype(np.float32).tobytes()]), "seen": pa.array([n.tobytes()])})
+                block += 1
+
+    def summed(batches):
+        """Of each block, whose rows come one after the other, the sums."""
+        held, sums, seen = None, None, None
+
+        def row():
+            return pa.RecordBatch.from_pydict({"block": pa.array([held], pa.int32()), "learner": pa.array([0], pa.int32()), "sums": pa.array([(sums / np.maximum(seen, 1).repeat(len(sums) // len(seen))).astype(np.float32).tobytes()]), "seen": pa.array([seen.tobytes()])})
+
+        for arrow in batches:
+            for block, x, n in zip(arrow.column(0).to_pylist(), arrow.column(2), arrow.column(3), strict=True):
+                x, n = np.frombuffer(x.as_buffer(), np.float32), np.frombuffer(n.as_buffer(), np.int64)
+                if block != held:
+                    if held is not None:
+                        yield row()
+                    held, sums, seen = block, np.zeros(len(x)), np.zeros(len(n), np.int64)
+                sums, seen = sums + x, seen + n
+        if held is not None:
+            yield row()
+
+    tasks = max(spark.sparkContext.defaultParallelism, math.ceil(tokens / tokens_each))
+    learned = docs.select(F.col(text_col).cast("binary").alias("text")).coalesce(tasks).mapInArrow(learn, LEARNED)
+    means = learned.repartition("block").sortWithinPartitions("block", "learner").mapInArrow(summed, LEARNED)
+    changes = {r.block: np.frombuffer(r.sums, np.float32) for r in means.select("block", "sums").collect()}  # one set of parameters
+    block = 0
+    for table in learner.weights.tables():
+        for a in range(0, len(table), block_rows):
+            if block in changes:
+                table[a : a + block_rows] += changes[block].reshape(-1, table.shape[1])
+            block += 1
+    return learner.network
 
 
 def word_counts(docs: DataFrame, text_col: str, flush: int = 1 << 21) -> DataFrame:
@@ -324,9 +456,9 @@ def letter_model(docs: DataFrame, text_col: str, own: np.ndarray) -> np.ndarray:
 def learn_model(docs: DataFrame, text_col: str = "text", *, own_words: int = 16_384, sample_tokens: int = 1_000_000, sample_cut: int = 20_000, width: int = 32, epochs: int = 3) -> tuple[Model, DataFrame]:
     """The model of a corpus and its word counts (hash, n).
 
-    Words, endings and letters are counted over all documents. The network is trained on
-    about sample_tokens tokens, those of documents drawn by a hash of their text, copies once, and of
-    one document no more than sample_cut.
+    Words, endings and letters are counted over all documents, and the network is trained on all their
+    words (train_on_all). Where that begins comes from about sample_tokens tokens, those of documents drawn
+    by a hash of their text, copies once, and of one document no more than sample_cut.
     """
     scratch = Scratch(docs.sparkSession, "pseudo-likelihood")
     counts = scratch.store(word_counts(docs, text_col), "word-counts")
@@ -359,7 +491,9 @@ def learn_model(docs: DataFrame, text_col: str = "text", *, own_words: int = 16_
     at = sample.offsets.to_numpy() if len(sample) else np.zeros(1, np.int32)
     values = sample.values.to_numpy().astype(np.int64) if len(sample) else np.zeros(0, np.int64)
     parts = [values[a:b] for a, b in zip(at[:-1], at[1:], strict=True) if b > a]
-    return Model(classes, train_network(parts, class_counts, width=width, epochs=epochs), letters, tokens, types), counts.select("hash", "n")
+    learner = begun(parts, class_counts, width=width, epochs=epochs)
+    network = train_on_all(docs, text_col, classes, learner, class_counts.sum())
+    return Model(classes, network, letters, tokens, types), counts.select("hash", "n")
 
 
 SCORED = "id bigint, row bigint, hash bigint, ending int, n bigint, value double"

@@ -158,3 +158,37 @@ def test_nothing_to_learn(spark):
     assert pl.score_documents(docs.where("doc_id > 7"), model, counts).count() == 0
     empty, none = pl.learn_model(docs.where("doc_id > 7"))
     assert none.count() == 0 and pl.score_documents(some, empty, none).first().n_tokens == 3
+
+
+def test_network_is_trained_on_every_word(spark, trained):
+    """With no sample to begin from; the tasks' changes averaged by the words that each had."""
+    from pyspark.sql import functions as F
+
+    docs, texts, (model, _) = trained
+    docs = docs.select("doc_id", F.when(F.col("doc_id") == 7, F.repeat(F.lit("cat sat "), 15_000)).otherwise(F.col("text")).alias("text"))
+    classes, number = model.classes, model.classes.number
+    counts = np.ones(number)
+    start = pl.begun([], counts, width=8)
+    first = [x.copy() for x in start.weights.tables()]
+    network = pl.train_on_all(docs, "text", classes, start, 1.0, batch=64, block_rows=100)
+    sums, seen = [np.zeros(x.shape) for x in first], [np.zeros(len(x)) for x in first]
+    for part, rows in enumerate(docs.select("text").rdd.glom().collect()):
+        spelled = pl.spelled(pa.array([(r.text or "").encode() for r in rows], pa.binary()))
+        one = pl.Learner(pl.begun([], counts, width=8).network)
+        one.read(classes.of(hash_words(spelled.words), spelled.endings), spelled.words.counts, 64, np.random.default_rng(part))
+        for k, (old, new, n) in enumerate(zip(first, one.weights.tables(), one.seen, strict=True)):
+            sums[k] += (new - old) * n[:, None]
+            seen[k] += n
+    words = sum(len(words_of(t)) for k, t in enumerate(texts) if k != 7) + 30_000
+    assert seen[1][0] == seen[2][0] == sum(n[0] for n in seen[3:]) == words and seen[0].sum() == 4 * words
+    for got, old, total, n in zip(pl.Learner(network).weights.tables(), first, sums, seen, strict=True):
+        assert np.allclose(got, old + total / np.maximum(n, 1)[:, None], atol=1e-4)
+
+
+def test_model_without_a_sample_has_learned_of_every_frequent_word(trained):
+    model, counts = pl.learn_model(trained[0], own_words=12, width=16, sample_tokens=0)
+    class_counts = np.r_[0.0, sorted((r.n for r in counts.collect()), reverse=True)[:12], model.tokens]
+    begin = pl.new_network(class_counts, 16, np.random.default_rng(7))
+    changed = (model.network.places != begin.places).any(axis=2)
+    assert changed[:, 1:13].all() and changed[:, 13:][:, np.array(model.tokens) > 0].any(axis=0).all()
+    assert not changed[:, 13:][:, np.array(model.tokens) == 0].any()
