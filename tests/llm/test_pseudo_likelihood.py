@@ -192,3 +192,91 @@ def test_model_without_a_sample_has_learned_of_every_frequent_word(trained):
     changed = (model.network.places != begin.places).any(axis=2)
     assert changed[:, 1:13].all() and changed[:, 13:][:, np.array(model.tokens) > 0].any(axis=0).all()
     assert not changed[:, 13:][:, np.array(model.tokens) == 0].any()
+
+
+def test_learning_reads_the_corpus_three_times_and_counts_letters_while_training(spark, trained):
+    """Once for words, once for the sample and once for network and letters."""
+    docs, texts, (model, _) = trained
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    pl.learn_model(docs.mapInArrow(seen, docs.schema), own_words=12, width=8, sample_tokens=0)
+    assert read.value == 3 * len(texts)
+    start = pl.begun([], np.ones(model.classes.number), width=8)
+    got = pl.read_all(docs, "text", model.classes, start, 1.0, batch=64)[1]
+    want = Counter()
+    for rows in docs.select("text").rdd.glom().collect():  # a partition is one slice here
+        for w in {w for r in rows for w in words_of(r.text) if class_of(model.classes, w) > len(model.classes.hashes)}:
+            c = codes_of(w)
+            for k in range(len(c) - 3, -2, -1) if len(c) > 1 else []:
+                after = [c[j] if j < len(c) else 0 for j in (k + 1, k + 2, k + 3)]
+                want[((after[0] * pl.CODES + after[1]) * pl.CODES + after[2]) * pl.CODES + (c[k] if k >= 0 else 0)] += 1
+    assert len(got) == pl.CODES**4 and {k: int(got[k]) for k in np.flatnonzero(got).tolist()} == want
+    assert np.array_equal(pl.letter_model(got), model.letters)
+
+
+@pytest.mark.parametrize("scale", [1, 200])
+def test_steps_against_plain_adagrad(scale):
+    """scale 200: exponentials would be out of range without the largest logit taken off."""
+    rng = np.random.default_rng(3)
+    number, width, rate = 60, 6, 0.08
+    network = pl.new_network(np.r_[0.0, 1000 / np.arange(1, number)], width, rng)
+    network.branch_out[:] *= scale
+    learner = pl.Learner(network, rate)
+    learner.ROWS = 32  # several blocks, and branches of more rows than one
+    places, bias, outs = network.places.astype(float), network.bias.astype(float), {-1: np.r_[network.branch_out, network.branch_bias[None]].astype(float)}
+    outs |= {b: np.r_[network.leaf_out[b][:, :k], network.leaf_bias[b][None, :k]].astype(float) for b, k in enumerate(pl.leaf_counts(network).tolist())}
+    grown = {k: np.full(x.shape, 0.1) for k, x in outs.items()} | {"bias": np.full(width, 0.1), "places": np.full(places.shape[:2], 0.1)}
+    for _ in range(4):
+        window, own = rng.integers(0, number, (4, 150)), np.minimum(1 + rng.geometric(0.1, 150), number - 1)
+        learner.step(window.astype(np.uint16), own)
+        steps = {k: np.zeros_like(x) for k, x in outs.items()} | {"bias": np.zeros(width), "places": np.zeros_like(places)}
+        for w, c in zip(window.T.tolist(), own.tolist(), strict=True):
+            h = np.r_[np.tanh(sum(places[k, x] for k, x in enumerate(w)) + bias), 1]
+            back, b = np.zeros(width), int(network.branch[c])
+            for which, wanted in ((-1, b), (b, int(network.leaf[c]))):
+                logits = h @ outs[which]
+                error = np.exp(logits - logits.max()) / np.exp(logits - logits.max()).sum()
+                error[wanted] -= 1
+                back += outs[which][:-1] @ error
+                steps[which] += np.outer(h, error)
+            back *= 1 - h[:-1] ** 2
+            steps["bias"] += back
+            for k, x in enumerate(w):
+                steps["places"][k, x] += back
+        for k, x in outs.items():
+            grown[k] += steps[k] ** 2
+            x -= rate * steps[k] / np.sqrt(grown[k])
+        grown["bias"] += steps["bias"] ** 2
+        bias -= rate * steps["bias"] / np.sqrt(grown["bias"])
+        grown["places"] += (steps["places"] ** 2).mean(axis=2)
+        places -= rate * steps["places"] / np.sqrt(grown["places"])[:, :, None]
+    got = learner.network
+    assert np.allclose(got.places, places, atol=1e-3) and np.allclose(got.bias, bias, atol=1e-3)
+    assert np.allclose(got.branch_out, outs[-1][:-1], atol=1e-3) and np.allclose(got.branch_bias, outs[-1][-1], atol=1e-3)
+    for b, k in enumerate(pl.leaf_counts(network).tolist()):
+        assert np.allclose(got.leaf_out[b][:, :k], outs[b][:-1], atol=1e-3) and np.allclose(got.leaf_bias[b][:k], outs[b][-1], atol=1e-3)
+
+
+def test_sums_of_rows_by_number_and_classes_of_hashes_that_begin_alike():
+    rng = np.random.default_rng(5)
+    for numbers in (np.minimum(rng.geometric(0.02, 3000), 400).astype(np.uint16), np.zeros(100, np.int64), np.zeros(0, np.uint16)):
+        values = rng.normal(size=(len(numbers), 3)).astype(np.float32)
+        for many in (2, 5, 64):
+            rows, sizes, sums = pl.row_sums(values, numbers, many)
+            assert sorted(rows.tolist()) == np.unique(numbers).tolist()
+            for r, n, x in zip(rows, sizes, sums, strict=True):
+                assert n == (numbers == r).sum() and np.allclose(x, values[numbers == r].sum(axis=0), atol=1e-4)
+    first = rng.integers(0, 1 << pl.SLOT_BITS, 50, dtype=np.uint64) << pl.SHIFT
+    hashes = np.unique(np.r_[first, first + np.uint64(1), first[:20] + np.uint64(9), rng.integers(0, 1 << 63, 200, dtype=np.uint64), np.uint64(2**64 - 1)])
+    known, number = hashes[::2], rng.permutation(len(hashes[::2])) + 1
+    want = dict(zip(known.tolist(), number.tolist(), strict=True))
+    asked = rng.permutation(np.r_[hashes, hashes])
+    assert pl.Classes(known, number).of(asked, np.full(len(asked), 7)).tolist() == [want.get(h, 1 + len(known) + 7) for h in asked.tolist()]
+    order, begins = pl.grouped(asked)
+    assert np.array_equal(asked[order[begins]], hashes) and (np.diff(np.r_[begins, len(order)]) == 2).all()
+    assert len(pl.grouped(asked[:0])[1]) == 0
