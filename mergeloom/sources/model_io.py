@@ -4,11 +4,9 @@ from __future__ import annotations
 
 import json
 import struct
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -88,7 +86,7 @@ def _write_raw(rows: DataFrame, last: str, folder: str) -> None:
 
 
 def export_corpus(encoded: DataFrame, vocab_json: str, vocab_size: int, folder: str, file_ids: int = 2 << 20) -> int:
-    """Write the ids of a whole corpus (piece, chunks and sizes, as encode_corpus gives them) as one export in files; the number of ids.
+    """Write the ids of a whole corpus (piece, tokens and ids, as encode_corpus gives them) as one export in files; the number of ids.
 
     The files of folder/0-header, 1-tokens and 2-vocabulary, in this order and within each in order of their names, are
     the export that token_blob gives for all ids in a row. Each task writes the ids of a range of pieces, about file_ids
@@ -96,15 +94,7 @@ def export_corpus(encoded: DataFrame, vocab_json: str, vocab_size: int, folder:
     """
     spark, tail = encoded.sparkSession, vocab_json.encode()
 
-    @F.arrow_udf("binary")
-    def as_bytes(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for chunks in batches:
-            ids = chunks.flatten()
-            flat, at = ids.flatten().to_numpy().astype("<u4"), np.r_[0, np.cumsum(pc.fill_null(ids.value_lengths(), 0).to_numpy())]
-            ends = np.r_[0, np.cumsum(pc.fill_null(chunks.value_lengths(), 0).to_numpy())]
-            yield pa.array([flat[a:b].tobytes() for a, b in zip(at[ends[:-1]].tolist(), at[ends[1:]].tolist(), strict=True)], pa.binary())
-
-    found = encoded.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("bigint"), lambda n, c: n + c)).alias("n"), F.max("piece").alias("last")).first()
+    found = encoded.agg(F.sum("tokens").alias("n"), F.max("piece").alias("last")).first()
     total, pieces = found.n or 0, (found.last if found.last is not None else -1) + 1
     head = struct.pack("<4I", EXPORT_MAGIC, vocab_size, total, len(tail))
     raw = lambda value: spark.createDataFrame([(bytearray(value),)], "bytes binary").coalesce(1)
@@ -112,7 +102,7 @@ def export_corpus(encoded: DataFrame, vocab_json: str, vocab_size: int, folder:
     number = max(1, -(-total // file_ids))
     each = max(1, -(-pieces // number))
     # piece numbers have no gaps: a range of them is a file, without a pass for their bounds
-    files = encoded.select("piece", as_bytes("chunks").alias("bytes")).repartitionById(number, F.floor(F.col("piece") / each).cast("int"))
+    files = encoded.select("piece", F.col("ids").alias("bytes")).repartitionById(number, F.floor(F.col("piece") / each).cast("int"))
     rows = files.sortWithinPartitions("piece").select("bytes")
     _write_raw(rows.where(F.octet_length("bytes") > 0), "\0", f"{folder}/1-tokens")  # ids are under 2**24
     if tail:

@@ -150,3 +150,83 @@ def test_files_of_an_export_do_not_grow(spark, docs, joined, tmp_path):
     assert b"".join(f.read_bytes() for f in files) == np.frombuffer(joined, np.uint8).astype("<u4").tobytes()
     back = sorted((r.position, r.tokens) for r in model_io.read_export(spark, f"{tmp_path}/e").collect())
     assert [t for _, part in back for t in part] == list(joined)
+
+
+def test_pieces_are_cut_where_they_are_read():
+    data = bytes(range(7, 207))
+
+    def rows(*bounds):
+        return iter([pa.RecordBatch.from_pydict({"place": pa.array([a], pa.int64()), "bytes": [data[a:b]]}) for a, b in bounds])
+
+    for total in (200, 195, 1):
+        for bounds in ([(0, 200)], [(0, 3), (3, 90), (90, 200)], [(90, 200), (0, 33), (33, 90)], [(k, k + 1) for k in range(200)]):
+            whole, loose = {}, {}
+            for pieces, places, parts in sequence.cut_pieces(rows(*bounds), 16, total):
+                for k, piece in enumerate(pieces):
+                    if places is None:
+                        whole[piece] = parts[k]
+                    else:
+                        loose.setdefault(piece, []).append((places[k], parts[k]))
+            assert len(loose) <= len(bounds) + 1 and (len(bounds) == 200 or sum(map(len, loose.values())) <= 4)
+            whole |= {piece: b"".join(p for _, p in sorted(parts)) for piece, parts in loose.items()}
+            assert [whole[k] for k in sorted(whole)] == [data[a : min(a + 16, total)] for a in range(0, total, 16)]
+
+
+def test_a_round_reads_the_sequence_as_bytes_and_few_neighbours(spark, docs, joined, monkeypatch):
+    seen = {}
+    store = Scratch.store
+
+    def spied(self, df, name):
+        out = store(self, df, name)
+        seen.setdefault(name, []).append((out.dtypes, out.count()))
+        return out
+
+    monkeypatch.setattr(Scratch, "store", spied)
+    assert [tuple(m) for m in sequence.train_sequence(docs, 256 + 3, "doc_id", size=8)] == plain_merges(joined, 256 + 3, "greedy")
+    assert len(seen["sequence"]) <= 3 and all(("symbols", "binary") in kinds and "array" not in str(kinds) for kinds, _ in seen["sequence"])
+    assert all(n < around for (_, n), (_, around) in zip(seen["touched"], seen["around"], strict=False))
+
+
+def test_merges_in_one_go_are_merges_one_by_one():
+    rng = np.random.default_rng(5)
+    for _ in range(500):
+        ids = rng.integers(0, 5, rng.integers(1, 30)).astype("<u2")
+        merges = [sequence.Merge(1, 2, 256, 9), sequence.Merge(4, 3, 257, 9)][: rng.integers(1, 3)] if rng.random() < 0.5 else [sequence.Merge(int(a := rng.integers(1, 4)), int(a), 256, 9)]
+        for self_pair in ("greedy", "collapse"):
+            want = ids.tolist()
+            for m in merges:
+                want = plain_merged(want, *m[:3], self_pair)
+            assert sequence.Replacing(merges, self_pair).apply(ids).tolist() == want
+
+
+@pytest.mark.parametrize("most", [1 << 20, 10])
+def test_pairs_counted_by_table_and_by_sorting(most):
+    rng = np.random.default_rng(6)
+    want, counts, got = {}, sequence.PairCounts(7, most), {}
+    for _ in range(40):
+        rows = [rng.integers(0, 7, rng.integers(1, 9)) for _ in range(rng.integers(1, 5))]
+        for row in rows:
+            for pair in zip(row.tolist(), row.tolist()[1:]):
+                if 0 not in pair:
+                    want[pair] = want.get(pair, 0) + 1
+        counts.add(np.concatenate(rows).astype("<u2"), np.r_[0, np.cumsum([len(r) for r in rows])])
+        if counts.full() or _ == 39:
+            for pair, n in zip(*[x.tolist() for x in counts.taken()], strict=True):
+                got[pair >> 16, pair & 0xFFFF] = got.get((pair >> 16, pair & 0xFFFF), 0) + n
+    assert got == want
+
+
+def test_trie_in_a_table_and_by_search():
+    rng = random.Random(7)
+    for _ in range(200):
+        vocabulary = [bytes(rng.choice(b"ab\0") for _ in range(rng.randint(0, 5))) for _ in range(rng.randint(0, 9))]
+        text = bytes(rng.choice(b"abc\0") for _ in range(rng.randint(0, 80)))
+        size, small, want = rng.randint(1, 30), rng.choice((0, 4096)), []
+        for a in range(0, len(text), size):
+            at, end = a, min(a + size, len(text))
+            while at < end:
+                found = max(((len(v), k) for k, v in enumerate(vocabulary) if v and text[at:end].startswith(v)), default=(1, text[at]))
+                want.append(found[1])
+                at += found[0]
+        trie = type("Sized", (Trie,), {"SMALL": small})(vocabulary)
+        assert trie.encode(np.frombuffer(text, np.uint8), np.array([0, len(text)]), size)[0].tolist() == want
