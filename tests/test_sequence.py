@@ -230,3 +230,31 @@ def test_trie_in_a_table_and_by_search():
                 at += found[0]
         trie = type("Sized", (Trie,), {"SMALL": small})(vocabulary)
         assert trie.encode(np.frombuffer(text, np.uint8), np.array([0, len(text)]), size)[0].tolist() == want
+
+
+def test_more_ids_than_a_header_counts_go_into_volumes(spark, docs, joined, tmp_path):
+    vocabulary = [bytes([k]) for k in range(256)] + [b"aa"]
+    ids, _, _ = Trie(vocabulary).encode(np.frombuffer(joined, np.uint8), np.array([0, len(joined)]), 16)
+    encoded = sequence.encode_corpus(docs, vocabulary, "doc_id", size=16, chunks_in_piece=3, scratch=Scratch(spark, "t"))
+    assert model_io.export_corpus(encoded, "{}", 257, f"{tmp_path}/v", file_ids=60, most_ids=200) == len(ids)
+    volumes = sorted(tmp_path.glob("v/*"))
+    found = [model_io.parse_token_blob(b"".join(f.read_bytes() for f in sorted(v.glob("*/part-*")))) for v in volumes]
+    assert [v.name for v in volumes] == [f"volume-{k:05d}-of-{len(found):05d}" for k in range(len(found))] and len(found) == 1 + len(ids) // 200
+    assert all((size, text) == (257, "{}") and 0 < len(part) <= 200 for size, part, text in found) and [t for _, part, _ in found for t in part] == ids.tolist()
+    back = sorted((r.position, r.tokens) for r in model_io.read_export(spark, f"{tmp_path}/v", most=50).collect())
+    assert [t for _, part in back for t in part] == ids.tolist() and [p for p, _ in back] == list(np.cumsum([0] + [len(t) for _, t in back[:-1]]))
+    sums = sorted(tuple(r) for r in model_io.export_sums(spark, f"{tmp_path}/v", 70).collect())
+    assert sums == [(k, len(part), sum((i + 1) * int(t) for i, t in enumerate(part))) for k in range(-(-len(ids) // 70)) for part in [ids[70 * k : 70 * k + 70]]]
+    volumes[1].rename(tmp_path / "elsewhere")
+    with pytest.raises(ValueError, match="volumes instead of"):
+        model_io.read_export(spark, f"{tmp_path}/v")
+    with pytest.raises(ValueError, match="a piece of"):
+        model_io.export_corpus(encoded, "{}", 257, f"{tmp_path}/w", most_ids=20)
+
+
+def test_headers_count_no_more_than_32_bits(spark, tmp_path):
+    rows = [(0, 0, 3_000_000_000, bytearray(8)), (1, 3_000_000_000, 3_000_000_000, bytearray(4))]
+    encoded = spark.createDataFrame(rows, "piece bigint, offset bigint, tokens bigint, ids binary")
+    assert model_io.export_corpus(encoded, "", 256, f"{tmp_path}/e", file_ids=1 << 32) == 6_000_000_000
+    heads = [b"".join(f.read_bytes() for f in v.glob("0-header/part-*")) for v in sorted(tmp_path.glob("e/volume-*"))]
+    assert [struct.unpack("<4I", h)[2] for h in heads] == [3_000_000_000] * 2
