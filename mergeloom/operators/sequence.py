@@ -27,8 +27,8 @@ BLOCK = 4096
 ROOM, ROW, SORTED = 1 << 20, 1 << 17, 32 << 20
 
 PIECES = pa.schema([("piece", pa.int64()), ("bytes", pa.binary())])
-#: A piece's number in order, tokens before it in its stretch (the whole pieces that a task found in a row, named by the first), its own, those of its chunks, and their ids of 32 bits.
-ENCODED = pa.schema([("piece", pa.int64()), ("stretch", pa.int64()), ("before", pa.int64()), ("tokens", pa.int64()), ("sizes", pa.list_(pa.int32())), ("ids", pa.binary())])
+#: A piece's number in order, tokens before it in its stretch (the whole pieces that a task found in a row, named by the first), its own, those of its chunks, and their ids of so many bytes.
+ENCODED = pa.schema([("piece", pa.int64()), ("stretch", pa.int64()), ("before", pa.int64()), ("tokens", pa.int64()), ("sizes", pa.list_(pa.int32())), ("width", pa.int32()), ("ids", pa.binary())])
 #: A piece's symbols (see symbol_type), first and last, their number, and how many equal ones end it; or, without a piece, how often a task found a pair.
 STATE = pa.schema([("piece", pa.int64()), ("symbols", pa.binary()), *[(c, pa.int32()) for c in ("first", "last", "n", "trail")], ("pair", pa.int64()), ("count", pa.int64())])
 SPARK_TYPES = {pa.int64(): "bigint", pa.int32(): "int", pa.binary(): "binary", pa.list_(pa.int32()): "array<int>"}
@@ -154,8 +154,8 @@ class Identity:
         return iter(())
 
 
-def over_pieces(docs: DataFrame, id_col: str, text_col: str, work: Callable[[], Identity], schema: pa.Schema, *, size: int, scratch: Scratch, name: str) -> DataFrame:
-    """The sequence cut at multiples of `size` bytes and given to the work of each task, stored under name and name-seams.
+def over_pieces(docs: DataFrame, id_col: str, text_col: str, work: Callable[[], Identity], schema: pa.Schema, *, size: int, scratch: Scratch, name: str, **options: str) -> DataFrame:
+    """The sequence cut at multiples of `size` bytes and given to the work of each task, stored under name and name-seams with options of the writer.
 
     Tasks cut what they read and work on it at once. Only pieces over the border of what two tasks read are
     put together by a shuffle: some for each file.
@@ -180,11 +180,11 @@ def over_pieces(docs: DataFrame, id_col: str, text_col: str, work: Callable[[],
             yield from own.step(batch.column(0).to_pylist(), batch.column(1).to_pylist())
         yield from own.rest()
 
-    stored = scratch.store(rows.mapInArrow(cut, spark_schema(wide)), name)
+    stored = scratch.store(rows.mapInArrow(cut, spark_schema(wide)), name, **options)
     scratch.drop("ordered-bytes", "part-starts")
     parts = stored.where("loose IS NOT NULL").groupBy("piece").agg(F.array_sort(F.collect_list(F.struct("at", "loose"))).alias("parts"))  # at most `size` bytes
     joined = parts.select("piece", F.array_join(F.col("parts.loose").cast("array<string>"), "").cast("binary").alias("bytes"))  # bytes as they are
-    mended = scratch.store(joined.mapInArrow(seams, spark_schema(schema)), f"{name}-seams")
+    mended = scratch.store(joined.mapInArrow(seams, spark_schema(schema)), f"{name}-seams", **options)
     return stored.where("loose IS NULL").select(*schema.names).unionByName(mended)
 
 
@@ -198,8 +198,8 @@ class Encoding:
 
     schema = ENCODED
 
-    def __init__(self, trie: Trie, step: int):
-        self.trie, self.chunk = trie, step
+    def __init__(self, trie: Trie, step: int, tokens: int):
+        self.trie, self.chunk, self.type = trie, step, np.dtype(symbol_type(tokens))
         self.stretch, self.following, self.before = -1, -1, 0
 
     def step(self, pieces: list[int], parts: list[bytes]) -> Iterator[pa.RecordBatch]:
@@ -214,7 +214,7 @@ class Encoding:
         stretch, before = zip(*places, strict=True)
         yield filled(
             self.schema, len(pieces), piece=pa.array(pieces, pa.int64()), stretch=pa.array(stretch, pa.int64()), before=pa.array(before, pa.int64()), tokens=pa.array(tokens, pa.int64()),
-            sizes=pa.ListArray.from_arrays(pa.array(rows, pa.int32()), pa.array(np.diff(chunks), pa.int32())), ids=binaries(ids.astype("<i4"), chunks[rows]),
+            sizes=pa.ListArray.from_arrays(pa.array(rows, pa.int32()), pa.array(np.diff(chunks), pa.int32())), width=pa.array(np.full(len(pieces), self.type.itemsize), pa.int32()), ids=binaries(ids.astype(self.type), chunks[rows]),
         )
 
     def rest(self) -> Iterator[pa.RecordBatch]:
@@ -222,17 +222,17 @@ class Encoding:
 
 
 def encode_corpus(docs: DataFrame, vocabulary: list[bytes], id_col: str, text_col: str = "text", *, size: int | None = None, chunks_in_piece: int = 32, scratch: Scratch) -> DataFrame:
-    """piece, chunk (the piece's first), offset (tokens before the piece), tokens (their number), sizes (those of each chunk) and ids (32 bits each, lowest byte first) by longest match in chunks of the whole sequence.
+    """piece, chunk (the piece's first), offset (tokens before the piece), tokens (their number), sizes (those of each chunk) and ids (each of `width` bytes, lowest first) by longest match in chunks of the whole sequence.
 
     Chunks are cut at multiples of `size` bytes of the sequence and run from one text into the next.
     """
     step = size or chunk_size(max(map(len, vocabulary), default=1) or 1)
     trie = docs.sparkSession.sparkContext.broadcast(Trie(vocabulary))
-    encoded = over_pieces(docs, id_col, text_col, lambda: Encoding(trie.value, step), ENCODED, size=step * chunks_in_piece, scratch=scratch, name="encoded")
+    encoded = over_pieces(docs, id_col, text_col, lambda: Encoding(trie.value, step, max(256, len(vocabulary))), ENCODED, size=step * chunks_in_piece, scratch=scratch, name="encoded", compression="zstd")
     counts = encoded.groupBy("stretch").agg(F.sum("tokens").alias("n"))
     starts = scratch.store(sums_before(counts, "stretch", "n", "stretch_start", scratch).select("stretch", "stretch_start"), "offsets")
     offset = (F.col("stretch_start") + F.col("before")).alias("offset")
-    return encoded.join(beside_pieces(starts), "stretch").select("piece", (F.col("piece") * chunks_in_piece).alias("chunk"), offset, "tokens", "sizes", "ids")
+    return encoded.join(beside_pieces(starts), "stretch").select("piece", (F.col("piece") * chunks_in_piece).alias("chunk"), offset, "tokens", "sizes", "width", "ids")
 
 
 def corpus_chunks(encoded: DataFrame) -> DataFrame:

@@ -89,7 +89,7 @@ def _write_raw(rows: DataFrame, last: str, folder: str) -> None:
 
 
 def export_corpus(encoded: DataFrame, vocab_json: str, vocab_size: int, folder: str, file_ids: int = 2 << 20, most_ids: int = MOST_IDS) -> int:
-    """Write the ids of a whole corpus (piece, offset, tokens and ids, as encode_corpus gives them) as one export in files; the number of ids.
+    """Write the ids of a whole corpus (piece, offset, tokens, width and ids, as encode_corpus gives them) as one export in files; the number of ids.
 
     The files of folder/0-header, 1-tokens and 2-vocabulary, in this order and within each in order of their names, are
     the export that token_blob gives for all ids in a row. Each task writes the ids of a range of pieces, about file_ids
@@ -113,14 +113,20 @@ def export_corpus(encoded: DataFrame, vocab_json: str, vocab_size: int, folder:
 def _write_export(encoded: DataFrame, n: int, first: int, last: int, vocab_json: str, vocab_size: int, folder: str, file_ids: int) -> None:
     """Write pieces first to last, which have n ids, as one export."""
     spark, tail = encoded.sparkSession, vocab_json.encode()
+
+    def widened(batches):
+        for batch in batches:
+            for width, ids in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                yield pa.RecordBatch.from_pydict({"bytes": pa.array([np.frombuffer(ids.as_buffer(), f"<u{width}").astype("<u4").tobytes()], pa.binary())})
+
     head = struct.pack("<4I", EXPORT_MAGIC, vocab_size, n, len(tail))
     raw = lambda value: spark.createDataFrame([(bytearray(value),)], "bytes binary").coalesce(1)
     _write_raw(raw(head), chr(head[-1]), f"{folder}/0-header")
     number = max(1, -(-n // file_ids))
     each = max(1, -(-(last + 1 - first) // number))
     # piece numbers have no gaps: a range of them is a file, without a pass for their bounds
-    files = encoded.select("piece", F.col("ids").alias("bytes")).repartitionById(number, F.floor((F.col("piece") - first) / each).cast("int"))
-    rows = files.sortWithinPartitions("piece").select("bytes")
+    files = encoded.select("piece", "width", "ids").repartitionById(number, F.floor((F.col("piece") - first) / each).cast("int"))
+    rows = files.sortWithinPartitions("piece").select("width", "ids").mapInArrow(widened, "bytes binary")
     _write_raw(rows.where(F.octet_length("bytes") > 0), "\0", f"{folder}/1-tokens")  # ids are under 2**24
     if tail:
         _write_raw(raw(tail), chr(tail[-1]), f"{folder}/2-vocabulary")

@@ -176,8 +176,8 @@ def test_a_round_reads_the_sequence_as_bytes_and_few_neighbours(spark, docs, joi
     seen = {}
     store = Scratch.store
 
-    def spied(self, df, name):
-        out = store(self, df, name)
+    def spied(self, df, name, **options):
+        out = store(self, df, name, **options)
         seen.setdefault(name, []).append((out.dtypes, out.count()))
         return out
 
@@ -253,8 +253,8 @@ def test_more_ids_than_a_header_counts_go_into_volumes(spark, docs, joined, tmp_
 
 
 def test_headers_count_no_more_than_32_bits(spark, tmp_path):
-    rows = [(0, 0, 3_000_000_000, bytearray(8)), (1, 3_000_000_000, 3_000_000_000, bytearray(4))]
-    encoded = spark.createDataFrame(rows, "piece bigint, offset bigint, tokens bigint, ids binary")
+    rows = [(0, 0, 3_000_000_000, 2, bytearray(8)), (1, 3_000_000_000, 3_000_000_000, 1, bytearray(4))]
+    encoded = spark.createDataFrame(rows, "piece bigint, offset bigint, tokens bigint, width int, ids binary")
     assert model_io.export_corpus(encoded, "", 256, f"{tmp_path}/e", file_ids=1 << 32) == 6_000_000_000
     heads = [b"".join(f.read_bytes() for f in v.glob("0-header/part-*")) for v in sorted(tmp_path.glob("e/volume-*"))]
     assert [struct.unpack("<4I", h)[2] for h in heads] == [3_000_000_000] * 2
